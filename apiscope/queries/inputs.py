@@ -72,7 +72,7 @@ _SOURCE_LINES = [
     "'/* ' || html || ' */'",
     "'fetch(API_BASE + USERS);'",
     "'fetch(\"/api/v' || v || '/items/' || num || '\");'",
-    "'fetch(`/rest/' || lang || '${{USERS}}/x/${{nope}}/${{cfg.list}}`);'",
+    "'fetch(`/rest/' || lang || chr(36) || '{{USERS}}/x/' || chr(36) || '{{nope}}/' || chr(36) || '{{cfg.list}}`);'",
     "'axios.post(''/api/v1/orders/' || num || ''', body);'",
     "'axios({{ method: \"get\", url: \"/api/v1/conf/' || lang || '\" }});'",
     "'xhr.open(\"PUT\", \"/api/v4/x/' || num || '\");'",
