@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import pii, urls
-from ..functions.core import non_null
+from ..functions.core import first_case, non_null
 from .inventory import last_per
 
 
@@ -152,48 +156,43 @@ def secret_level(severity: Column) -> Column:
             .when(severity == "medium", F.lit("warning")).otherwise(F.lit("error")))
 
 
+def _result(df: DataFrame, keep: Sequence[str], **given: Column) -> DataFrame:
+    """SARIF columns of one kind of finding; what is not given is NULL."""
+    kinds = {"rule_id": "string", "level": "string", "message": "string", "file": "string",
+             "line": "int", "column": "int", "url": "string", "method": "string",
+             "http_status": "int", "secret_type": "string", "severity": "string"}
+    return df.select(*keep, *[given.get(n, F.lit(None)).cast(k).alias(n)
+                              for n, k in kinds.items()])
+
+
 def findings(inventory: DataFrame | None, secret_rows: DataFrame | None = None,
-             ghost_rows: DataFrame | None = None) -> DataFrame:
-    """SARIF result rows of endpoints, secrets and ghosts as one table."""
-    none = F.lit(None).cast("string")
+             ghost_rows: DataFrame | None = None, *, keep: Sequence[str] = ()) -> DataFrame:
+    """SARIF result rows of endpoints, secrets and ghosts as one table.
+
+    ``keep`` names columns that all inputs share, such as the scan id.
+    """
+    c = F.col
     parts = []
     if inventory is not None:
-        status = F.col("status")
-        rule = None
-        for value, rule_id in _RULE_OF_STATUS:
-            rule = (F.when(status == value, F.lit(rule_id)) if rule is None
-                    else rule.when(status == value, F.lit(rule_id)))
-        parts.append(inventory.withColumn("rule_id", rule).where("rule_id IS NOT NULL").select(
-            "rule_id", endpoint_level(status).alias("level"),
-            F.concat(F.lit("Discovered "), status, F.lit(" endpoint: "), F.col("method"),
-                     F.lit(" "), F.col("url")).alias("message"),
-            F.col("file"), F.col("line").cast("int").alias("line"),
-            F.col("column").cast("int").alias("column"),
-            "url", "method", F.col("http_status").cast("int").alias("http_status"),
-            none.alias("secret_type"), none.alias("severity")))
+        rule = first_case((c("status") == value, F.lit(r)) for value, r in _RULE_OF_STATUS)
+        parts.append(_result(
+            inventory.withColumn("_rule", rule).where("_rule IS NOT NULL"), keep,
+            rule_id=c("_rule"), level=endpoint_level(c("status")),
+            message=F.concat(F.lit("Discovered "), c("status"), F.lit(" endpoint: "), c("method"),
+                             F.lit(" "), c("url")),
+            file=c("file"), line=c("line"), column=c("column"), url=c("url"),
+            method=c("method"), http_status=c("http_status")))
     if secret_rows is not None:
-        parts.append(secret_rows.select(
-            F.lit("SHADOW-API-004").alias("rule_id"),
-            secret_level(F.col("severity")).alias("level"),
-            F.concat(F.lit("Hardcoded "), F.col("type"), F.lit(" detected")).alias("message"),
-            "file", F.col("line").cast("int").alias("line"),
-            F.col("column").cast("int").alias("column"),
-            none.alias("url"), none.alias("method"),
-            F.lit(None).cast("int").alias("http_status"),
-            F.col("type").alias("secret_type"), "severity"))
+        parts.append(_result(
+            secret_rows, keep, rule_id=F.lit("SHADOW-API-004"), level=secret_level(c("severity")),
+            message=F.concat(F.lit("Hardcoded "), c("type"), F.lit(" detected")), file=c("file"),
+            line=c("line"), column=c("column"), secret_type=c("type"), severity=c("severity")))
     if ghost_rows is not None:
-        parts.append(ghost_rows.select(
-            F.lit("SHADOW-API-005").alias("rule_id"), F.lit("note").alias("level"),
-            F.concat(F.lit("Documented endpoint not responding: "), F.col("method"), F.lit(" "),
-                     F.col("path")).alias("message"),
-            none.alias("file"), F.lit(None).cast("int").alias("line"),
-            F.lit(None).cast("int").alias("column"), none.alias("url"), none.alias("method"),
-            F.lit(None).cast("int").alias("http_status"), none.alias("secret_type"),
-            none.alias("severity")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    return rows
+        parts.append(_result(
+            ghost_rows, keep, rule_id=F.lit("SHADOW-API-005"), level=F.lit("note"),
+            message=F.concat(F.lit("Documented endpoint not responding: "), c("method"),
+                             F.lit(" "), c("path"))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def finding_json(rows: DataFrame) -> DataFrame:
@@ -245,8 +244,6 @@ def sarif_lines(rows: DataFrame, scans: DataFrame, *, scan: str = "scan_id") ->
 
 
 def _sarif_frame() -> tuple[str, str]:
-    import json
-
     listed = [
         {"id": i, "name": n, "shortDescription": {"text": d},
          "defaultConfiguration": {"level": lv}, "properties": {"tags": list(tg)}}
@@ -266,8 +263,6 @@ def openapi_lines(items: DataFrame, *, title: str = "Discovered API", version: s
     ``seq`` is the path (or schema name), so the lines sort without a global
     numbering; every path line but the smallest starts with a comma.
     """
-    import json
-
     head = {"openapi": "3.0.3", "info": {"title": title, "version": version}}
     if server_url:
         head["servers"] = [{"url": server_url}]

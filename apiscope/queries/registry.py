@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import configure
 from . import inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -22,7 +23,7 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
     """Register ``fn(spark, sf_dir)``; ``sql`` may read the derived tables in ``uses``."""
 
     def wrap(fn):
-        QUERIES[name] = fn
+        QUERIES[name] = lambda spark, sf_dir: fn(configure(spark), sf_dir)
         if sql is not None:
             ORACLE[name] = with_inputs(uses, sql)
         return fn

@@ -38,17 +38,17 @@ def a3(spark, sf):
 
 
 _OPS = """
-WITH p AS (SELECT spec_id, text, CASE WHEN json_extract_string(text, '$.openapi') IS NULL
+WITH p AS (SELECT spec_id, CASE WHEN json_extract_string(text, '$.openapi') IS NULL
     THEN coalesce(json_extract_string(text, '$.basePath'), '') ELSE '' END AS prefix,
-    unnest(json_keys(text, '$.paths')) AS path FROM spec_docs
+    unnest(map_entries(CAST(json_extract(text, '$.paths') AS MAP(VARCHAR, JSON)))) AS e FROM spec_docs
   WHERE coalesce(json_extract_string(text, '$.openapi'), json_extract_string(text, '$.swagger')) IS NOT NULL),
-i AS (SELECT spec_id, prefix || path AS path, json_extract(text, ['$.paths."' || path || '"'])[1] AS item FROM p),
-m AS (SELECT spec_id, path, item, unnest(json_keys(item)) AS verb FROM i WHERE json_type(item) = 'OBJECT')
-SELECT spec_id, path, upper(verb) AS method,
-  coalesce(json_extract_string(item, '$.' || verb || '.summary'), '') AS summary,
-  coalesce(CAST(json_extract(item, '$.' || verb || '.deprecated') AS BOOLEAN), false) AS deprecated,
-  coalesce(array_to_string(CAST(json_extract(item, '$.' || verb || '.tags') AS VARCHAR[]), ','), '') AS tags
-FROM m WHERE verb IN ('get', 'post', 'put', 'delete', 'patch', 'options', 'head')"""
+m AS (SELECT spec_id, prefix || e.key AS path, unnest(map_entries(CAST(e.value AS MAP(VARCHAR, JSON)))) AS o
+  FROM p WHERE json_type(e.value) = 'OBJECT')
+SELECT spec_id, path, upper(o.key) AS method,
+  coalesce(json_extract_string(o.value, '$.summary'), '') AS summary,
+  coalesce(CAST(json_extract(o.value, '$.deprecated') AS BOOLEAN), false) AS deprecated,
+  coalesce(array_to_string(CAST(json_extract(o.value, '$.tags') AS VARCHAR[]), ','), '') AS tags
+FROM m WHERE o.key IN ('get', 'post', 'put', 'delete', 'patch', 'options', 'head')"""
 
 
 @query("F26_spec_flattening", _OPS, ("spec_docs",))

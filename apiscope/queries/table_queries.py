@@ -326,22 +326,15 @@ SELECT scan_id, 1 AS part, ord AS seq, 'Discovered ' || status || ' endpoint: '
 UNION ALL SELECT DISTINCT scan_id, 0, 0, NULL, false FROM inventory
 UNION ALL SELECT DISTINCT scan_id, 2, 0, NULL, false FROM inventory""", INV)
 def f19(spark, sf):
-    i = inv(spark, sf).withColumnRenamed("col", "column")
-    cases = report.findings(i).withColumnRenamed("line", "src_line")
-    keyed = (cases.join(i.select(F.col("url").alias("u"), F.col("file").alias("f"),
-                                 F.col("method").alias("m"), "ord", "scan_id", "status"),
-                        (F.col("url") == F.col("u")) & (F.col("file") == F.col("f"))
-                        & (F.col("method") == F.col("m"))
-                        & F.col("message").startswith(F.concat(F.lit("Discovered "), "status"))))
-    rows = keyed.withColumnRenamed("src_line", "line").withColumnRenamed("ord", "seq")
+    i = inv(spark, sf).withColumn("seq", F.col("ord")).withColumnRenamed("col", "column")
     scan_rows = i.groupBy("scan_id").agg(
         F.lit("2024-01-01").cast("timestamp").alias("started_at"),
         F.lit("2024-01-02").cast("timestamp").alias("completed_at"), F.lit(0).alias("errors"))
-    lines = report.sarif_lines(rows, scan_rows)
-    body = F.when(F.col("part") == 1, F.get_json_object(F.ltrim(F.col("line"), F.lit(",")),
-                                                        "$.message.text"))
-    return lines.select("scan_id", "part", "seq", body.alias("message"), (
-        (F.col("part") == 1) & ~F.col("line").startswith(",")).alias("is_first"))
+    lines = report.sarif_lines(report.findings(i, keep=["scan_id", "seq"]), scan_rows)
+    is_result = F.col("part") == 1
+    text = F.get_json_object(F.ltrim("line", F.lit(",")), "$.message.text")
+    return lines.select("scan_id", "part", "seq", F.when(is_result, text).alias("message"),
+                        (is_result & ~F.col("line").startswith(",")).alias("is_first"))
 
 
 # an error event stands for a 429, the user for the key; TTL one day
