@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,16 +23,23 @@ def any_of(patterns: Iterable[str]) -> str:
     return "(?:" + "|".join(patterns) + ")"
 
 
-def contains_any(text: Column, words: Iterable[str]) -> Column | None:
-    """True where one of the plain words occurs; None for an empty list."""
-    test = None
-    for word in words:
-        hit = text.contains(word)
-        test = hit if test is None else (test | hit)
-    return test
+def contains_any(text: Column, words: Iterable[str]) -> Column:
+    """True where one of the plain words occurs."""
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
 
 
-def matches(text: Column, pattern: str, group: int = 0) -> Column:
+def contains_all(text: Column, words: Iterable[str]) -> Column:
+    return reduce(lambda a, b: a & b, [text.contains(w) for w in words])
+
+
+def hinted(text: Column, pattern: str, hint: str | tuple) -> Column:
+    """The pattern's cheap pre-test: a short pattern, or words of which one occurs."""
+    if isinstance(hint, str):
+        return text.rlike(hint)
+    return contains_any(F.lower(text) if pattern.startswith("(?i)") else text, hint)
+
+
+def matches(text: Column, pattern: str | Column, group: int | Column = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
@@ -68,27 +76,34 @@ def rewrite_matches(text: Column, pattern: str, change: Callable[[Column, Column
     return F.array_join(pieces, "")
 
 
-def match_offsets(text: Column, pattern: str) -> Column:
-    """array<struct<m:string, at:int>>: each match and its 0-based offset."""
-    both = F.struct(
-        matches(text, pattern).alias("ms"),
-        F.transform(F.split(text, pattern, -1), F.length).alias("gaps"),
-    )
+_EDGE = "\u0002"
+
 
-    def place(b: Column) -> Column:
-        sizes = F.transform(b["ms"], F.length)
-        return F.transform(
-            b["ms"],
-            lambda m, i: F.struct(
-                m.alias("m"),
-                (
-                    F.aggregate(F.slice(b["gaps"], 1, i + 1), F.lit(0), lambda a, x: a + x)
-                    + F.aggregate(F.slice(sizes, 1, i), F.lit(0), lambda a, x: a + x)
-                ).alias("at"),
-            ),
-        )
-
-    return let(both, place)
+def match_offsets(text: Column, pattern: str | Column,
+                  keep: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<m, at>>: each match and its 0-based offset, from one pass.
+
+    The pass puts an edge mark around every match; split at the marks, the
+    pieces at odd places are the matches and the lengths before one add up to
+    its offset.  A mark already in the text is blanked first (same length), so
+    cut exact values out of the text itself.  Offsets are summed only for the
+    matches that ``keep`` lets pass: the cost is kept matches times pieces.
+    """
+    marked = F.regexp_replace(F.translate(text, _EDGE, "\u0001"), F.lit(pattern),
+                              F.lit(f"{_EDGE}$0{_EDGE}"))
+
+    def place(pieces: Column) -> Column:
+        numbered = F.transform(pieces, lambda p, i: F.struct(i.alias("i"), p.alias("m")))
+        kept = F.filter(numbered, lambda x: (x["i"] % 2 == 1) if keep is None
+                        else (x["i"] % 2 == 1) & keep(x["m"]))
+        return let(
+            F.struct(kept.alias("kept"), F.transform(pieces, lambda p: F.length(p)).alias("sizes")),
+            lambda k: F.transform(k["kept"], lambda x: F.struct(
+                x["m"].alias("m"),
+                F.aggregate(F.slice(k["sizes"], 1, x["i"]), F.lit(0), lambda a, n: a + n)
+                .alias("at"))))
+
+    return let(F.split(marked, _EDGE, -1), place)
 
 
 def line_column(text: Column, at: Column) -> Column:

@@ -7,11 +7,14 @@ look at a prefix only.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .core import any_of, as_col, first_case, let, non_null
+from .core import as_col, contains_all, first_case, let, non_null
 
 
 def header(headers: Column | str, name: str) -> Column:
@@ -23,12 +26,22 @@ def _body(body: Column | str, body_chars: int | None) -> Column:
     return text if body_chars is None else F.substring(text, 1, body_chars)
 
 
+def _any_rule(body: Column, table: Sequence[tuple]) -> Column:
+    """One of the patterns occurs; its words are looked for first."""
+    def test(b: Column) -> Column:
+        hits = [contains_all(b["low"], words) & b["text"].rlike("(?i)" + pattern)
+                for pattern, words in table]
+        return reduce(lambda x, y: x | y, hits)
+
+    return let(F.struct(body.alias("text"), F.lower(body).alias("low")), test)
+
+
 def has_stack_trace(body: Column | str, body_chars: int | None = None) -> Column:
-    return _body(body, body_chars).rlike("(?i)" + any_of(rules.STACK_TRACES))
+    return _any_rule(_body(body, body_chars), rules.STACK_TRACES)
 
 
 def has_sensitive_error(body: Column | str, body_chars: int | None = None) -> Column:
-    return _body(body, body_chars).rlike("(?i)" + any_of(rules.SENSITIVE_ERRORS))
+    return _any_rule(_body(body, body_chars), rules.SENSITIVE_ERRORS)
 
 
 def has_open_cors(headers: Column | str) -> Column:

@@ -7,6 +7,7 @@ are honoured, nesting is not), and ``match_kind`` says how a row was found.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import pii, urls
-from ..functions.core import (any_of, as_col, contains_any, let, line_column, match_offsets,
-                              matches, non_null)
+from ..functions.core import (any_of, as_col, contains_any, hinted, let, line_column,
+                              match_offsets, matches, non_null)
 
 _MASK = "\u0001\u0001"
 
@@ -41,13 +42,11 @@ def dialect_of(language: Column | str) -> Column:
 
 
 def _literals(text: Column, dialect: str) -> Column:
-    """Literal tokens with their offsets; comments are dropped."""
+    """API-like literal tokens with their offsets; comments are dropped."""
     comment = {"js": ("//", "/*"), "py": ("#",), "html": ("<!--",)}[dialect]
-    return F.filter(
-        match_offsets(text, rules.LITERALS[dialect]),
-        lambda x: ~_starts_with_any(x["m"], comment)
-        & urls.is_api_url(_unquoted(x["m"])),
-    )
+    return match_offsets(
+        text, rules.LITERALS[dialect],
+        keep=lambda m: ~_starts_with_any(m, comment) & urls.is_api_url(_unquoted(m)))
 
 
 def _starts_with_any(text: Column, words: Sequence[str]) -> Column:
@@ -74,9 +73,8 @@ def literal_endpoints(files: DataFrame, *, path: str = "file", text: str = "text
         x["m"].alias("raw"), x["at"].alias("at"),
         line_column(raw, x["at"]).alias("pos")))
     return (
-        files.where(promising)
-        .select(F.col(path).alias("file"), F.col(text).alias("_text"),
-                F.inline(placed))
+        files.select(F.col(path).alias("file"), F.col(text).alias("_text"),
+                     F.inline(F.when(promising, placed)))
         .select(
             "file",
             _unquoted(F.substring(F.col("_text"), F.col("at") + 1, F.length("raw"))).alias("url"),
@@ -99,21 +97,19 @@ def call_sites(files: DataFrame, *, path: str = "file", text: str = "text",
                language: str = "language") -> DataFrame:
     """Calls of HTTP client functions with their first argument.
 
-    ``argument`` is a literal, a name, a member or a ``+`` chain; ``arg_kind``
-    says which.  ``ord`` numbers the calls of a file.
+    ``function`` is the last part of the callee in JavaScript and the dotted
+    name in Python.  ``argument`` is a literal, a name, a member or a ``+``
+    chain; ``arg_kind`` says which.  ``ord`` numbers the calls of a file.
     """
-    calls = F.transform(
-        matches(unescaped(text), rules.CALL_SITE),
-        lambda m: F.struct(
-            F.regexp_extract(m, rules.CALL_SITE, 1).alias("callee"),
-            F.regexp_extract(m, rules.CALL_SITE, 2).alias("argument"),
-        ))
-    lang = F.col(language)
-    last = F.substring_index("callee", ".", -1)
-    is_client = (
-        (lang.isin("javascript", "typescript") & F.lower(last).isin(*rules.CLIENT_FUNCTIONS))
-        | ((lang == "python") & F.col("callee").isin(*rules.PYTHON_CLIENTS))
-    )
+    dialect = dialect_of(language)
+
+    def calls(t: Column, pattern: str) -> Column:
+        return F.transform(matches(t, pattern), lambda m: F.struct(
+            F.regexp_extract(m, pattern, 1).alias("function"),
+            F.regexp_extract(m, pattern, 2).alias("argument")))
+
+    found = let(unescaped(text), lambda t: F.when(dialect == "js", calls(t, rules.CALL_SITES["js"]))
+                .when(dialect == "py", calls(t, rules.CALL_SITES["py"])))
     arg = F.col("argument")
     kind = (
         F.when(arg.rlike(r"^(?:\"[^\"]*\"|'[^']*')$"), F.lit("literal"))
@@ -123,11 +119,9 @@ def call_sites(files: DataFrame, *, path: str = "file", text: str = "text",
         .otherwise(F.lit("concat"))
     )
     return (
-        files.select(F.col(path).alias("file"), lang.alias("_lang"),
-                     F.posexplode(calls).alias("ord", "c"))
-        .select("file", F.col("_lang").alias(language), "ord", "c.callee", "c.argument")
-        .where(is_client)
-        .withColumn("verb", verb_of(last))
+        files.select(F.col(path).alias("file"), F.posexplode(found).alias("ord", "c"))
+        .select("file", "ord", "c.function", "c.argument")
+        .withColumn("verb", verb_of(F.substring_index("function", ".", -1)))
         .withColumn("arg_kind", kind)
     )
 
@@ -187,8 +181,7 @@ def inline_scripts(pages: DataFrame, *, key: str = "page_id", html: str = "html"
     kept = F.filter(both, lambda s: ~s["attrs"].rlike(r"(?i)(?:^|\s)src(?:\s|=|$)")
                     & (F.length(s["body"]) > min_len))
     return (
-        pages.where(F.col(html).rlike("(?i)<script"))
-        .select(F.col(key), F.posexplode(kept).alias("idx", "s"))
+        pages.select(F.col(key), F.posexplode(kept).alias("idx", "s"))
         .select(
             key, "idx",
             F.concat(F.lit("inline://script_"), F.col("idx")).alias("url"),
@@ -246,42 +239,32 @@ def secrets(files: DataFrame, table: Sequence[tuple] = rules.SECRET_RULES, *,
     group 1 of the pattern is the value if there is a group, else the match.
     """
     t = F.col(text)
-    blank = F.array().cast(
-        "array<struct<type:string,severity:string,value:string,pos:struct<line:int,column:int>>>")
-
-    def hits(rule: tuple) -> Column:
-        name, pattern, severity, floor, words = rule
-        group = 1 if _has_group(pattern) else 0
-        located = F.arrays_zip(match_offsets(t, pattern).alias("x"),
-                               matches(t, pattern, group).alias("v"))
-        if floor is not None:
-            located = F.filter(located, lambda z: pii.key_ok(z["v"], floor))
-        rows = F.transform(located, lambda z: F.struct(
+    kinds = "struct<type:string,severity:string,pattern:string,grp:int,floor:double>"
+    hit_rules = non_null(*[
+        F.when(hinted(t, pattern, hint) & t.rlike(pattern), F.struct(
             F.lit(name).alias("type"), F.lit(severity).alias("severity"),
-            z["v"].alias("value"), line_column(t, z["x"]["at"]).alias("pos")))
-        quick = contains_any(t, words)
-        guard = t.rlike(pattern) if quick is None else quick & t.rlike(pattern)
-        return F.when(guard, rows).otherwise(blank)
-
+            F.lit(pattern).alias("pattern"),
+            F.lit(1 if re.compile(pattern).groups else 0).alias("grp"),
+            F.lit(floor).cast("double").alias("floor")).cast(kinds))
+        for name, pattern, severity, floor, hint in table])
+    # one row per text and rule that hits; texts without a hit end here
+    per_rule = files.select(F.col(path).alias("file"), t.alias("_text"),
+                            F.explode(hit_rules).alias("r"))
+    rule, body = F.col("r"), F.col("_text")
+    located = F.filter(
+        F.arrays_zip(match_offsets(body, rule["pattern"]).alias("x"),
+                     matches(body, rule["pattern"], rule["grp"]).alias("g")),
+        lambda z: rule["floor"].isNull() | (F.round(pii.entropy(z["g"]), 9) >= rule["floor"]))
     return (
-        files.where(t.rlike(any_of(_scoped(rule[1]) for rule in table)))
-        .select(F.col(path).alias("file"), F.inline(F.concat(*[hits(r) for r in table])))
-        .select("file", "type", "severity", "value", F.col("pos.line").alias("line"),
-                F.col("pos.column").alias("column"))
+        per_rule.select("file", "_text", rule["type"].alias("type"),
+                        rule["severity"].alias("severity"), F.inline(located))
+        .select("file", "type", "severity", F.col("g").alias("value"),
+                line_column(body, F.col("x.at")).alias("_pos"))
+        .select("file", "type", "severity", "value", F.col("_pos.line").alias("line"),
+                F.col("_pos.column").alias("column"))
     )
 
 
-def _has_group(pattern: str) -> bool:
-    import re
-
-    return re.compile(pattern).groups > 0
-
-
-def _scoped(pattern: str) -> str:
-    """A leading case flag kept to its own branch of an alternation."""
-    return f"(?i:{pattern[4:]})" if pattern.startswith("(?i)") else pattern
-
-
 def file_summary(endpoints: DataFrame, secret_rows: DataFrame,
                  errors: DataFrame | None = None) -> DataFrame:
     """Counts per file; files with nothing to report do not appear.

@@ -14,20 +14,41 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.core import let, matches
 from ..functions.urls import is_api_url
-from .extract import call_sites, unescaped
+from .extract import call_sites, dialect_of, unescaped
 
 
-def definitions(files: DataFrame, *, path: str = "file", text: str = "text") -> DataFrame:
-    """All (file, name, value, kind, pos); kind is the priority."""
+def definitions(files: DataFrame, *, path: str = "file", text: str = "text",
+                only: Column | None = None) -> DataFrame:
+    """All (file, name, value, kind, pos) of the files where ``only`` holds.
+
+    ``kind`` is the priority of the pattern that matched.
+    """
     def found(kind: int, pattern: str) -> Column:
-        pairs = F.arrays_zip(matches(F.col(text), pattern, 1).alias("n"),
-                             matches(F.col(text), pattern, 2).alias("v"))
-        return F.transform(pairs, lambda z, i: F.struct(
+        # one pass over the text; the groups are cut from the short matches
+        return F.transform(matches(F.col(text), pattern), lambda m, i: F.struct(
             F.lit(kind).alias("kind"), i.alias("pos"),
-            z["n"].alias("name"), z["v"].alias("value")))
+            F.regexp_extract(m, pattern, 1).alias("name"),
+            F.regexp_extract(m, pattern, 2).alias("value")))
+
+    rows = F.concat(*[found(kind, pattern) for kind, pattern in rules.DEFINITIONS])
+    return files.select(F.col(path).alias("file"),
+                        F.inline(rows if only is None else F.when(only, rows)))
 
-    arrays = [found(kind, pattern) for kind, pattern in rules.DEFINITIONS]
-    return files.select(F.col(path).alias("file"), F.inline(F.concat(*arrays)))
+
+def needs_resolution(text: str = "text", language: str = "language") -> Column:
+    """The file has a client call that no literal answers.
+
+    Most files of a corpus have none, so their definitions are neither
+    extracted nor shuffled.
+    """
+    dialect, t = dialect_of(language), unescaped(text)
+    return (F.when(dialect == "js", t.rlike(rules.UNRESOLVED_CALLS["js"]))
+            .when(dialect == "py", t.rlike(rules.UNRESOLVED_CALLS["py"])))
+
+
+def _definitions_for_calls(files: DataFrame, columns: dict) -> DataFrame:
+    only = needs_resolution(**{k: v for k, v in columns.items() if k != "path"})
+    return definitions(files, only=only, **_without_language(columns))
 
 
 def resolved_names(defs: DataFrame) -> DataFrame:
@@ -71,7 +92,7 @@ def resolve_concats(files: DataFrame, *, max_depth: int = rules.MAX_RESOLUTION_D
                          F.inline(_operands(F.col("argument"), max_depth)))
     is_literal = F.col("op").rlike("^[\"'`]")
     names = parts.withColumn("name", F.when(~is_literal, F.col("op")))
-    values = resolve_names(names, definitions(files, **_without_language(columns))).withColumn(
+    values = resolve_names(names, _definitions_for_calls(files, columns)).withColumn(
         "part", F.when(is_literal, F.regexp_replace("op", "^['\"`]+|['\"`]+$", ""))
         .otherwise(F.col("value")))
     return (
@@ -93,7 +114,7 @@ def resolve_call_names(files: DataFrame, **columns: str) -> DataFrame:
     """Client calls whose first argument is a name, with the name's value."""
     refs = (call_sites(files, **columns).where(F.col("arg_kind") == "name")
             .select("file", "ord", "verb", F.col("argument").alias("name")))
-    return resolve_names(refs, definitions(files, **_without_language(columns)))
+    return resolve_names(refs, _definitions_for_calls(files, columns))
 
 
 def resolve_templates(files: DataFrame, *, path: str = "file", text: str = "text") -> DataFrame:
@@ -120,7 +141,8 @@ def resolve_templates(files: DataFrame, *, path: str = "file", text: str = "text
                                  F.lit("")).alias("name"))),
     )
     parts = templates.select("file", "ord", "template", F.inline(pieces))
-    joined = resolve_names(parts, definitions(files, path=path, text=text))
+    defs = definitions(files, path=path, text=text, only=F.col(text).contains("${"))
+    joined = resolve_names(parts, defs)
     filled = F.when(F.col("name").isNull(), F.col("fixed")) \
         .otherwise(F.coalesce("value", F.lit("${...}")))
     return (
@@ -132,14 +154,19 @@ def resolve_templates(files: DataFrame, *, path: str = "file", text: str = "text
     )
 
 
-def object_properties(files: DataFrame, *, path: str = "file", text: str = "text") -> DataFrame:
+def object_properties(files: DataFrame, *, path: str = "file", text: str = "text",
+                      only: Column | None = None) -> DataFrame:
     """(file, obj, prop, value): first object with the property, last value in it."""
-    objects = F.arrays_zip(matches(F.col(text), rules.OBJECT_LITERAL, 1).alias("obj"),
-                           matches(F.col(text), rules.OBJECT_LITERAL, 2).alias("body"))
-    props = F.arrays_zip(matches(F.col("o.body"), rules.OBJECT_PROPERTY, 1).alias("prop"),
-                         matches(F.col("o.body"), rules.OBJECT_PROPERTY, 2).alias("value"))
+    def pairs(source: Column, pattern: str, first: str, second: str) -> Column:
+        return F.transform(matches(source, pattern), lambda m: F.struct(
+            F.regexp_extract(m, pattern, 1).alias(first),
+            F.regexp_extract(m, pattern, 2).alias(second)))
+
+    objects = pairs(F.col(text), rules.OBJECT_LITERAL, "obj", "body")
+    props = pairs(F.col("o.body"), rules.OBJECT_PROPERTY, "prop", "value")
     return (
-        files.select(F.col(path).alias("file"), F.posexplode(objects).alias("opos", "o"))
+        files.select(F.col(path).alias("file"), F.posexplode(
+            objects if only is None else F.when(only, objects)).alias("opos", "o"))
         .select("file", "opos", "o.obj", F.posexplode(props).alias("ppos", "p"))
         .groupBy("file", "obj", F.col("p.prop").alias("prop"))
         .agg(F.min_by("p.value", F.struct(F.col("opos"), -F.col("ppos"))).alias("value"))
@@ -152,7 +179,8 @@ def resolve_members(files: DataFrame, **columns: str) -> DataFrame:
             .select("file", "ord", "verb", "argument",
                     F.split_part("argument", F.lit("."), F.lit(1)).alias("obj"),
                     F.split_part("argument", F.lit("."), F.lit(2)).alias("prop")))
-    props = object_properties(files, **_without_language(columns))
+    only = needs_resolution(**{k: v for k, v in columns.items() if k != "path"})
+    props = object_properties(files, only=only, **_without_language(columns))
     return refs.join(props, ["file", "obj", "prop"], "left")
 
 

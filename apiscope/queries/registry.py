@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import configure
+from ..sources.files import spread
 from . import inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,12 +32,17 @@ def query(name: str, sql: str | None = None, uses: tuple[str, ...] = ()):
     return wrap
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, or a table derived from given ones."""
+def table(spark: SparkSession, sf_dir: str, name: str, over: str | None = None) -> DataFrame:
+    """A given table, or a table derived from given ones.
+
+    ``over`` is the key by which a small table is spread over all cores, for
+    queries that do costly work on its texts.
+    """
     if name not in inputs.DERIVED:
-        return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        given = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+        return given if over is None else spread(given, over)
     needs, text = inputs.DERIVED[name]
-    return spark.sql(text, **{n: table(spark, sf_dir, n) for n in needs})
+    return spark.sql(text, **{n: table(spark, sf_dir, n, over) for n in needs})
 
 
 def with_inputs(uses: tuple[str, ...], sql: str) -> str:

@@ -17,7 +17,7 @@ USES = ("responses",)
 
 def log(spark, sf):
     """The derived log with its headers as a map (mixed-case names)."""
-    t = table(spark, sf, "responses")
+    t = table(spark, sf, "responses", "page_id")
     names = {"Content-Type": "content_type", "Access-Control-Allow-Origin": "cors",
              "Deprecation": "deprecation", "Sunset": "sunset", "Link": "link",
              "X-Deprecated": "x_deprecated", "Warning": "warning", "Server": "server"}
@@ -27,8 +27,8 @@ def log(spark, sf):
     return feeds.response_log(raw)
 
 
-TRACE = f"regexp_matches(body, {lit('(?i)(?:' + '|'.join(rules.STACK_TRACES) + ')')})"
-LEAK = f"regexp_matches(body, {lit('(?i)(?:' + '|'.join(rules.SENSITIVE_ERRORS) + ')')})"
+TRACE = f"regexp_matches(body, {lit('(?i)(?:' + '|'.join(p for p, _ in rules.STACK_TRACES) + ')')})"
+LEAK = f"regexp_matches(body, {lit('(?i)(?:' + '|'.join(p for p, _ in rules.SENSITIVE_ERRORS) + ')')})"
 JSON = "contains(lower(content_type), 'application/json')"
 XML = f"(contains(lower(content_type), 'text/xml') AND NOT {JSON})"
 _CATEGORY = "CASE " + " ".join(

@@ -11,6 +11,7 @@ from .registry import lit, query, table
 from .url_queries import in_list, is_api
 
 SRC = ("sources",)
+PY = "language = 'python'"
 
 
 def unescaped(t: str) -> str:
@@ -59,7 +60,7 @@ WHERE NOT ({comment[dialect]}) AND {is_api(unquoted('m'))}"""
        _literal_sql("js", "language <> 'python'") + "\nUNION ALL\n"
        + _literal_sql("py", "language = 'python'"), SRC)
 def c1(spark, sf):
-    found = extract.literal_endpoints(table(spark, sf, "sources"))
+    found = extract.literal_endpoints(table(spark, sf, "sources", "page_id"))
     return found.select("file", "url", F.col("line").cast("bigint").alias("line"),
                         F.col("column").cast("bigint").alias("column"), "context")
 
@@ -69,26 +70,26 @@ SELECT count(*) FILTER (WHERE {is_api(unquoted('m'))}) AS api_literals FROM (
   SELECT unnest(regexp_extract_all(html, {lit(rules.LITERALS['html'])})) AS m FROM pages)
 WHERE NOT starts_with(m, '<!--')""")
 def c1_pages(spark, sf):
-    pages = table(spark, sf, "pages").select(
+    pages = table(spark, sf, "pages", "page_id").select(
         F.col("page_id").alias("file"), F.col("html").alias("text"),
         F.lit("html").alias("language"))
     return extract.literal_endpoints(pages).agg(F.count(F.lit(1)).alias("api_literals"))
 
 
 # --- C2, C3 ---------------------------------------------------------------
-_CALLS = f"""
-SELECT file, language, i - 1 AS ord, regexp_extract(m, {lit(rules.CALL_SITE)}, 1) AS callee,
-  regexp_extract(m, {lit(rules.CALL_SITE)}, 2) AS argument
-FROM (SELECT file, language, ms[i] AS m, i FROM (
-  SELECT file, language, ms, unnest(range(1, len(ms) + 1)) AS i FROM (
-    SELECT file, language, regexp_extract_all({unescaped('text')}, {lit(rules.CALL_SITE)}) AS ms
-    FROM sources)))"""
-_LAST = "split_part(callee, '.', -1)"
-_IS_CLIENT = (f"((language <> 'python' AND lower({_LAST}) IN {in_list(rules.CLIENT_FUNCTIONS)})"
-              f" OR (language = 'python' AND callee IN {in_list(rules.PYTHON_CLIENTS)}))")
-_VERB = (f"CASE WHEN upper({_LAST}) IN ('GET','POST','PUT','DELETE','PATCH')"
-         f" THEN upper({_LAST}) ELSE 'GET' END")
-CALLS = f"SELECT *, {_VERB} AS verb FROM ({_CALLS}) WHERE {_IS_CLIENT}"
+def _calls_sql(dialect: str, where: str) -> str:
+    p = lit(rules.CALL_SITES[dialect])
+    return f"""
+SELECT file, i - 1 AS ord, regexp_extract(ms[i], {p}, 1) AS function,
+  regexp_extract(ms[i], {p}, 2) AS argument
+FROM (SELECT file, ms, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT file, regexp_extract_all({unescaped('text')}, {p}) AS ms FROM sources WHERE {where}))"""
+
+
+_LAST = "upper(split_part(function, '.', -1))"
+_VERB = f"CASE WHEN {_LAST} IN ('GET','POST','PUT','DELETE','PATCH') THEN {_LAST} ELSE 'GET' END"
+CALLS = (f"SELECT *, {_VERB} AS verb FROM ({_calls_sql('js', PY.replace('=', '<>'))}"
+         f" UNION ALL {_calls_sql('py', PY)})")
 
 
 @query("C2_call_endpoints", f"""
@@ -96,13 +97,13 @@ SELECT file, {unquoted('argument')} AS url, verb AS method FROM ({CALLS})
 WHERE regexp_matches(argument, '^("[^"]*"|''[^'']*''|`[^`]*`)$') AND {is_api(unquoted('argument'))}""",
        SRC)
 def c2(spark, sf):
-    return extract.call_endpoints(table(spark, sf, "sources")).select("file", "url", "method")
+    return extract.call_endpoints(table(spark, sf, "sources", "page_id")).select("file", "url", "method")
 
 
 @query("C3_verb_inference", f"""
-SELECT callee, verb, count(*) AS n FROM ({CALLS}) GROUP BY 1, 2""", SRC)
+SELECT function, verb, count(*) AS n FROM ({CALLS}) GROUP BY 1, 2""", SRC)
 def c3(spark, sf):
-    return (extract.call_sites(table(spark, sf, "sources")).groupBy("callee", "verb")
+    return (extract.call_sites(table(spark, sf, "sources", "page_id")).groupBy("function", "verb")
             .agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -123,7 +124,7 @@ def _register_shape(name: str, shape: tuple) -> None:
 
     @query(name, _shape_sql(kind, family, pattern, verb_group, url_group), SRC)
     def run(spark, sf):
-        return extract.shaped_calls(table(spark, sf, "sources"), (shape,)).select(
+        return extract.shaped_calls(table(spark, sf, "sources", "page_id"), (shape,)).select(
             "file", "kind", "verb", "url")
 
 
@@ -137,7 +138,7 @@ for _name, _shape in zip(
 
 @query("C4_C5_all_shapes", "\nUNION ALL\n".join(_shape_sql(*s[:5]) for s in rules.SHAPES), SRC)
 def all_shapes(spark, sf):
-    return extract.shaped_calls(table(spark, sf, "sources")).select("file", "kind", "verb", "url")
+    return extract.shaped_calls(table(spark, sf, "sources", "page_id")).select("file", "kind", "verb", "url")
 
 
 # --- C6 to C10 ------------------------------------------------------------
@@ -162,13 +163,13 @@ SELECT c.file, c.ord, c.argument AS name, d.value FROM calls c
 LEFT JOIN defs d ON d.file = c.file AND d.name = c.argument
 WHERE regexp_matches(c.argument, '^[A-Za-z_$][\\w$]*$')""", SRC)
 def c6(spark, sf):
-    return resolve.resolve_call_names(table(spark, sf, "sources")).select(
+    return resolve.resolve_call_names(table(spark, sf, "sources", "page_id")).select(
         "file", F.col("ord").cast("bigint").alias("ord"), "name", "value")
 
 
 @query("C6_definitions", DEFS, SRC)
 def c6_defs(spark, sf):
-    return resolve.resolved_names(resolve.definitions(table(spark, sf, "sources")))
+    return resolve.resolved_names(resolve.definitions(table(spark, sf, "sources", "page_id")))
 
 
 @query("C7_concatenation", f"""
@@ -183,7 +184,7 @@ SELECT file, ord, argument, string_agg(part, '' ORDER BY i) AS url FROM (
   FROM ops o LEFT JOIN defs d ON d.file = o.file AND d.name = o.op)
 WHERE part IS NOT NULL GROUP BY 1, 2, 3""", SRC)
 def c7(spark, sf):
-    return resolve.resolve_concats(table(spark, sf, "sources")).select(
+    return resolve.resolve_concats(table(spark, sf, "sources", "page_id")).select(
         "file", F.col("ord").cast("bigint").alias("ord"), "argument", "url")
 
 
@@ -205,7 +206,7 @@ SELECT p.file, template, string_agg(CASE WHEN p.name IS NULL THEN fixed
 FROM parts p LEFT JOIN defs d ON d.file = p.file AND d.name = p.name
 GROUP BY 1, 2""".replace("{{", "{").replace("}}", "}"), SRC)
 def c8(spark, sf):
-    return resolve.resolve_templates(table(spark, sf, "sources")).select(
+    return resolve.resolve_templates(table(spark, sf, "sources", "page_id")).select(
         "file", "template", "resolved")
 
 
@@ -226,7 +227,7 @@ SELECT c.file, c.argument, p.value FROM calls c LEFT JOIN props p ON p.file = c.
   AND p.obj = split_part(c.argument, '.', 1) AND p.prop = split_part(c.argument, '.', 2)
 WHERE regexp_matches(c.argument, '^[A-Za-z_$][\\w$]*\\.[\\w$.]*$')""", SRC)
 def c9(spark, sf):
-    return resolve.resolve_members(table(spark, sf, "sources")).select("file", "argument", "value")
+    return resolve.resolve_members(table(spark, sf, "sources", "page_id")).select("file", "argument", "value")
 
 
 # the derived texts define API_BASE, USERS and the two cfg properties in order
@@ -238,7 +239,7 @@ FROM page_parts""", SRC)
 def c10(spark, sf):
     template = F.when(F.col("language") == "python", F.lit("X {API_HOST} ${USERS} ${nope}")) \
         .otherwise(F.lit("X ${API_BASE} {USERS} ${nope}"))
-    return table(spark, sf, "sources").select(
+    return table(spark, sf, "sources", "page_id").select(
         "page_id", resolve.substitute(template, resolve.tracked_constants(F.col("text")))
         .alias("filled"))
 
@@ -269,7 +270,7 @@ SELECT page_id, i - 1 AS idx, 'inline_' || (i - 1) || '_' || left(md5(bs[i]), 8)
     SELECT page_id, list_filter(regexp_extract_all(html, {_SCRIPT}, 2), lambda b: length(b) > 0) AS bs
     FROM pages))""")
 def c13(spark, sf):
-    return extract.inline_scripts(table(spark, sf, "pages"), min_len=0).select(
+    return extract.inline_scripts(table(spark, sf, "pages", "page_id"), min_len=0).select(
         "page_id", F.col("idx").cast("bigint").alias("idx"), "name",
         F.col("size_chars").cast("bigint").alias("size_chars"))
 
@@ -279,7 +280,7 @@ SELECT page_id, '../maps/' || lang || '.js.map' AS map_ref,
   'https://' || host || '/maps/' || lang || '.js.map' AS map_url
 FROM page_parts WHERE page_id % 5 <> 0""", SRC)
 def c14(spark, sf):
-    scripts = table(spark, sf, "sources").withColumn("url", F.concat(
+    scripts = table(spark, sf, "sources", "page_id").withColumn("url", F.concat(
         F.lit("https://"), F.split_part("file", F.lit("/"), F.lit(2)), F.lit("/js/app.js")))
     return extract.source_maps(scripts).select("page_id", "map_ref", "map_url")
 
@@ -303,7 +304,7 @@ SECRETS = "\nUNION ALL\n".join(_secret_sql(*r) for r in rules.SECRET_RULES)
 
 
 def _secrets(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("file"), "text")
+    docs = table(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("file"), "text")
     return extract.secrets(docs)
 
 
@@ -323,7 +324,7 @@ FROM (SELECT doc_id, 's' AS k FROM ({SECRETS})
 GROUP BY 1""")
 def c16(spark, sf):
     # IPv4 literals stand for endpoints: the documents hold no API URLs
-    hosts = table(spark, sf, "documents").select(
+    hosts = table(spark, sf, "documents", "doc_id").select(
         F.col("doc_id").alias("file"),
         F.explode(F.regexp_extract_all("text", F.lit(rules.PII_RULES[4][1]), F.lit(0))))
     return (extract.file_summary(hosts, _secrets(spark, sf))
@@ -336,7 +337,7 @@ SELECT page_id, i - 1 AS idx, hs[i] AS href, regexp_extract(url, '^(https?://[^/
 FROM (SELECT page_id, url, hs, unnest(range(1, len(hs) + 1)) AS i FROM (
   SELECT page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hs FROM pages))""")
 def c17(spark, sf):
-    return extract.links(table(spark, sf, "pages")).select(
+    return extract.links(table(spark, sf, "pages", "page_id")).select(
         "page_id", F.col("idx").cast("bigint").alias("idx"), "href", "target")
 
 
@@ -391,9 +392,9 @@ CORPUS = ("(SELECT 'd' || doc_id AS id, text FROM documents UNION ALL"
 
 
 def corpus(spark, sf):
-    docs = table(spark, sf, "documents").select(
+    docs = table(spark, sf, "documents", "doc_id").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
-    turns = table(spark, sf, "conversations").select(
+    turns = table(spark, sf, "conversations", "conv_id").select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"),
                  F.col("turn").cast("string")).alias("id"), "text")
     return docs.unionByName(turns)
@@ -440,14 +441,14 @@ _CARDS = f"(SELECT doc_id, unnest(regexp_extract_all(text, {lit(_CARD)})) AS m F
 
 @query("D3_luhn", f"SELECT doc_id, m, {luhn('m')} AS ok FROM {_CARDS}")
 def d3(spark, sf):
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", "doc_id").select(
         "doc_id", F.explode(F.regexp_extract_all("text", F.lit(_CARD), F.lit(0))).alias("m")
     ).withColumn("ok", pii.luhn_ok("m"))
 
 
 @query("D4_entropy", f"SELECT doc_id, round({_entropy('text')}, 6) AS bits FROM documents")
 def d4(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.round(pii.entropy("text"), 6).alias("bits"))
+    return table(spark, sf, "documents", "doc_id").select("doc_id", F.round(pii.entropy("text"), 6).alias("bits"))
 
 
 @query("D5_uuid_guard", f"""
@@ -468,7 +469,7 @@ def d5(spark, sf):
 SELECT doc_id, w, {_entropy('w')} >= 3.5 AS ok FROM (
   SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]{{12,}}')) AS w FROM documents)""")
 def d6(spark, sf):
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", "doc_id").select(
         "doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{12,}"), F.lit(0)))
         .alias("w")).withColumn("ok", pii.key_ok("w"))
 
@@ -481,7 +482,7 @@ _TOKENS = f"""(SELECT doc_id, unnest(list_concat(regexp_extract_all(text, {lit(_
 def _tokens(spark, sf):
     both = F.concat(F.regexp_extract_all("text", F.lit(_EMAIL), F.lit(0)),
                     F.regexp_extract_all("text", F.lit("[0-9]{3}-[0-9]{4}"), F.lit(0)))
-    return table(spark, sf, "documents").select("doc_id", F.explode(both).alias("w"))
+    return table(spark, sf, "documents", "doc_id").select("doc_id", F.explode(both).alias("w"))
 
 
 @query("D7_secret_mask", f"""
@@ -500,7 +501,7 @@ def d8(spark, sf):
 SELECT d.doc_id, md5(text) AS disabled, md5(t) AS no_checksum, {_types_sql('text', False)} AS types
 FROM documents d JOIN ({_redact_sql('documents', 'doc_id', False)}) r ON r.doc_id = d.doc_id""")
 def d9(spark, sf):
-    return table(spark, sf, "documents").select(
+    return table(spark, sf, "documents", "doc_id").select(
         "doc_id", F.md5(pii.redact("text", enabled=False)).alias("disabled"),
         F.md5(pii.redact("text", checksums=False)).alias("no_checksum"),
         F.array_join(pii.pii_types("text", checksums=False), ",").alias("types"))

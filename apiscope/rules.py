@@ -127,13 +127,16 @@ GRAPHQL_PATHS = (
 )
 
 # --- Fixed values: personal data and keys ---------------------------------
-# (type, pattern, texts of which at least one occurs in every match)
+# (type, pattern, hint).  The hint is our own addition, a cheap test that holds
+# wherever the pattern matches: words of which one occurs (lower-cased for a
+# pattern that ignores case), or a short pattern.
 PII_RULES = (
     ("email", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b", ("@",)),
-    ("phone", r"\b(?:\+\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b", ()),
-    ("ssn", r"\b\d{3}-\d{2}-\d{4}\b", ("-",)),
-    ("credit_card", r"\b(?:\d{4}[-\s]?){3}\d{4}\b", ()),
-    ("ipv4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", (".",)),
+    ("phone", r"\b(?:\+\d{1,3}[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}\b",
+     r"[0-9]{4}"),
+    ("ssn", r"\b\d{3}-\d{2}-\d{4}\b", r"[0-9]-[0-9]"),
+    ("credit_card", r"\b(?:\d{4}[-\s]?){3}\d{4}\b", r"[0-9]{4}"),
+    ("ipv4", r"\b(?:\d{1,3}\.){3}\d{1,3}\b", r"[0-9]\.[0-9]"),
     ("api_key_stripe", r"\b(?:sk|pk)_(?:live|test)_[a-zA-Z0-9]{24,}\b", ("sk_", "pk_")),
     ("api_key_aws", r"\bAKIA[0-9A-Z]{16}\b", ("AKIA",)),
     ("api_key_github", r"\b(?:ghp|gho|ghu|ghs|ghr)_[a-zA-Z0-9]{36,}\b",
@@ -141,7 +144,7 @@ PII_RULES = (
     ("api_key_google", r"\bAIza[0-9A-Za-z\-_]{35}\b", ("AIza",)),
     ("api_key_generic",
      r"(?i)\b(?:api[_-]?key|apikey|secret[_-]?key|auth[_-]?token|access[_-]?token)"
-     r"[\"'\s:=]+([a-zA-Z0-9\-_]{32,})\b", ()),
+     r"[\"'\s:=]+([a-zA-Z0-9\-_]{32,})\b", ("key", "token")),
     ("bearer_token", r"\bBearer\s+[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+\b",
      ("Bearer",)),
     ("basic_auth", r"\bBasic\s+[A-Za-z0-9+/=]{20,}\b", ("Basic",)),
@@ -152,23 +155,25 @@ UUID = r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 MIN_KEY_ENTROPY = 3.5
 
 # --- Fixed values: response heuristics ------------------------------------
+# (pattern, words that all occur in the lower-cased text of every match); the
+# words are our own addition
 STACK_TRACES = (
-    r"Traceback \(most recent call last\)",
-    r"at [A-Za-z0-9_.$]+\([^)]*\)",
-    r"File \"[^\"]+\", line \d+",
-    r"#\d+ [^\n]+\n\s+at ",
-    r"goroutine \d+ \[",
-    r"panic:",
-    r"Exception in thread",
-    r"System\..*Exception:",
+    (r"Traceback \(most recent call last\)", ("traceback (",)),
+    (r"at [A-Za-z0-9_.$]+\([^)]*\)", ("at ", "(")),
+    (r"File \"[^\"]+\", line \d+", ("file \"", "\", line ")),
+    (r"#\d+ [^\n]+\n\s+at ", ("#", "at ")),
+    (r"goroutine \d+ \[", ("goroutine ",)),
+    (r"panic:", ("panic:",)),
+    (r"Exception in thread", ("exception in thread",)),
+    (r"System\..*Exception:", ("system.", "exception:")),
 )
 SENSITIVE_ERRORS = (
-    r"sql.*error|mysql.*error|postgres.*error",
-    r"mongodb.*error|redis.*error",
-    r"connection refused|connection reset",
-    r"permission denied|access denied",
-    r"internal server error",
-    r"null pointer|undefined is not",
+    (r"sql.*error|mysql.*error|postgres.*error", ("error",)),
+    (r"mongodb.*error|redis.*error", ("error",)),
+    (r"connection refused|connection reset", ("connection re",)),
+    (r"permission denied|access denied", ("denied",)),
+    (r"internal server error", ("internal server error",)),
+    (r"null pointer|undefined is not", ("n",)),
 )
 DEPRECATION_WORDS = (
     "deprecated",
@@ -241,15 +246,14 @@ PREVIEW_ROWS = 10
 FINDING_SEVERITIES = ("low", "medium", "high", "critical")
 
 # --- Our own tables --------------------------------------------------------
-# Secret rules: (name, pattern, severity, lowest entropy or None, texts of
-# which one must occur).  Group 1, where present, is the value; ``None`` as
-# texts means "no cheap pre-check".
+# Secret rules: (name, pattern, severity, lowest entropy or None, hint).
+# Group 1, where present, is the value.
 SECRET_RULES = (
     ("stripe_key", PII_RULES[5][1], "critical", None, PII_RULES[5][2]),
     ("aws_access_key", PII_RULES[6][1], "critical", None, PII_RULES[6][2]),
     ("github_token", PII_RULES[7][1], "critical", None, PII_RULES[7][2]),
     ("google_api_key", PII_RULES[8][1], "high", None, PII_RULES[8][2]),
-    ("generic_api_key", PII_RULES[9][1], "high", MIN_KEY_ENTROPY, ()),
+    ("generic_api_key", PII_RULES[9][1], "high", MIN_KEY_ENTROPY, ("key", "token")),
     ("token_assignment", r"\btoken\s*=\s*\"([0-9a-f]{40})\"", "medium",
      MIN_KEY_ENTROPY, ("token",)),
     ("bearer_token", PII_RULES[10][1], "high", None, PII_RULES[10][2]),
@@ -309,15 +313,25 @@ LITERALS = {
     "html": r"<!--[\s\S]*?-->|\"[^\"]*\"|'[^'\n]*'",
 }
 
-# Call sites: callee, then a literal, a name, a member or a `+` chain.
+# Call sites: client function, then a literal, a name, a member or a `+` chain.
 # Two safeguards for very long inputs: a name starts where no name character
 # stands before it (no rescan from inside a long word), and repeated groups are
 # possessive (Java matches those in a loop, not by recursion on the stack).
-CALL_SITE = (
-    r"(?:^|[^\w$.])(\.?[A-Za-z_$][\w$]*(?:\.[A-Za-z_$][\w$]*)*+)\s*\(\s*"
-    r"((?:\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|[A-Za-z_$][\w$.]*)"
+_ARGUMENT = (
+    r"\s*\(\s*((?:\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|[A-Za-z_$][\w$.]*)"
     r"(?:\s*\+\s*(?:\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|[A-Za-z_$][\w$.]*))*+)"
 )
+CALL_SITES = {
+    "js": r"(?:^|[^\w$])((?i:" + "|".join(CLIENT_FUNCTIONS) + r"))" + _ARGUMENT,
+    "py": r"(?:^|[^\w.])(" + "|".join(PYTHON_CLIENTS).replace(".", r"\.") + r")" + _ARGUMENT,
+}
+# A call whose first argument is a name, a member or a chain: the file's
+# definitions are needed.
+_UNRESOLVED = r"\s*\(\s*(?:[A-Za-z_$]|(?:\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`)\s*\+)"
+UNRESOLVED_CALLS = {
+    "js": r"(?:^|[^\w$])(?i:" + "|".join(CLIENT_FUNCTIONS) + r")" + _UNRESOLVED,
+    "py": r"(?:^|[^\w.])(?:" + "|".join(PYTHON_CLIENTS).replace(".", r"\.") + r")" + _UNRESOLVED,
+}
 OPERAND = r"\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|[A-Za-z_$][\w$.]*"
 
 # Definitions: (priority, pattern, name group, value group).

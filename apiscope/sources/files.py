@@ -25,6 +25,19 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash the rows over all cores if the input has fewer splits than cores.
+
+    For small inputs with costly text work only: one row group is one task
+    however many cores there are.  An input large enough to keep a cluster
+    busy has more splits than cores and is returned as it is, unshuffled.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 def is_source_path(path: Column | str) -> Column:
     """Known extension, and not below a dependency or byte-code folder."""
     p = as_col(path)
