@@ -176,13 +176,7 @@ def resolve(base: Column | str, ref: Column | str) -> Column:
                      lambda s: s != ""),
             F.slice(relative, -1, 1),
         )
-        absolute_inner = F.concat(
-            F.slice(r_segs, 1, 1),
-            F.filter(F.slice(r_segs, 2, F.greatest(F.size(r_segs) - 2, F.lit(0))),
-                     lambda s: s != ""),
-            F.slice(r_segs, -1, 1),
-        )
-        folded = _fold_dots(F.when(r_path.startswith("/"), absolute_inner).otherwise(inner))
+        folded = _fold_dots(F.when(r_path.startswith("/"), r_segs).otherwise(inner))
         rooted = F.when(folded.startswith("/"), folded).otherwise(F.concat(F.lit("/"), folded))
         r_query, r_frag = F.regexp_extract(r, _QUERY, 1), F.regexp_extract(r, _FRAGMENT, 1)
         origin = F.concat(F.lower(F.regexp_extract(b, _SCHEME, 1)), F.lit("://"),

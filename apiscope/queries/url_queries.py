@@ -163,7 +163,7 @@ SELECT page_id, ref, CASE page_id % 14
   WHEN 9 THEN o || regexp_replace({path('base')}, '[^/]*$', '') || num || '/'
   WHEN 10 THEN o || CASE WHEN ends_with({path('base')}, '/') THEN '/' || lang || '/' ELSE '/' END
   WHEN 11 THEN ref
-  WHEN 12 THEN o || '/a/b/' || num || '/'
+  WHEN 12 THEN o || '/a//b/' || num || '/'
   ELSE ref END AS target
 FROM (SELECT r.page_id, r.ref, r.base, p.num,
         CASE WHEN r.page_id % 14 = 1 AND ends_with({path('r.base')}, '/')

@@ -55,16 +55,15 @@ def read_source_tree(spark: SparkSession, root: str, *,
     """(file, text, language) of a source tree, one row per file.
 
     Names are filtered while listing and the size limit before any content is
-    decoded.  Undecodable bytes become replacement characters, which are
-    removed.  Long partitions of huge files are spread by a repartition at the
-    caller's choice.
+    decoded.  Undecodable bytes are dropped (they become replacement
+    characters, and those are removed).
     """
     globs = "*.{" + ",".join(rules.SOURCE_EXTENSIONS) + "}"
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
            .option("pathGlobFilter", globs).load(root))
     if max_mb is not None:
         raw = raw.where(F.col("length") <= int(max_mb * 1024 * 1024))
-    text = F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return source_files(raw.select(
         F.regexp_replace("path", "^file:", "").alias("file"), "content")).select(
         "file", text.alias("text"), "language")

@@ -111,7 +111,7 @@ def base_url(doc: Column) -> Column:
 
 def read_specs(spark: SparkSession, path: str) -> DataFrame:
     """(spec_id, format, text) of specification files, whole files."""
-    files = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    files = (spark.read.text(path, wholetext=True, recursiveFileLookup=True)
              .select("value", F.col("_metadata.file_path").alias("spec_id")))
     return files.select(
         "spec_id", F.when(F.lower("spec_id").rlike(r"\.ya?ml$"), F.lit("yaml"))
