@@ -5,8 +5,9 @@ retry_after.  One key may hold a third of a very large log, so no window here
 spans a whole key's rows: rows are windowed per (key, time bucket), each
 bucket is reduced to one summary row, and only the summaries are windowed per
 key to find what carries into the next bucket.  The rows are shuffled once, by
-(key, bucket).  ``bucket_seconds`` bounds the rows of one window group; it
-never changes a result.
+(key, bucket).  The bucket width never changes a result; by default it is
+chosen from the number of rows and their time span, so that a bucket of all
+keys together holds about ``ROWS_PER_BUCKET`` rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import rules
 
 _LIMITED = 429
-BUCKET_SECONDS = 3600
+ROWS_PER_BUCKET = 1_000_000
 
 
 def _seconds(ts: Column) -> Column:
@@ -25,9 +26,27 @@ def _seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
 
 
-def _bucketed(log: DataFrame, ts: str, width: int) -> DataFrame:
-    return log.withColumn("_t", _seconds(F.col(ts))).withColumn(
-        "_bucket", F.floor(F.col("_t") / F.lit(width)))
+def bucket_width(log: DataFrame, ts: str = "ts",
+                 rows_per_bucket: int = ROWS_PER_BUCKET) -> float:
+    """Seconds per bucket, from one aggregate over the time column alone."""
+    t = _seconds(F.col(ts))
+    n, first, last = log.agg(F.count(F.lit(1)), F.min(t), F.max(t)).first()
+    span = (last - first) if n else 0.0
+    return max(span * rows_per_bucket / max(n, 1), 1.0)
+
+
+def _bucketed(log: DataFrame, key: str, ts: str, width: float | None) -> DataFrame:
+    """Adds ``_t`` and the group ``_g``, a struct of key and bucket.
+
+    The struct is never NULL, so the self-joins on it add no NULL filter that
+    would keep Spark from reusing one shuffle of the rows for both sides, and
+    rows without a key form a group like any other.
+    """
+    if width is None:
+        width = bucket_width(log, ts)
+    t = _seconds(F.col(ts))
+    return log.withColumn("_t", t).withColumn(
+        "_g", F.struct(F.col(key).alias("k"), F.floor(t / F.lit(float(width))).alias("b")))
 
 
 def _ttl(default_ttl: int) -> Column:
@@ -37,32 +56,30 @@ def _ttl(default_ttl: int) -> Column:
 
 def exposure(log: DataFrame, *, key: str = "key", ts: str = "ts", order: str = "ord",
              default_ttl: int = rules.RATE_LIMIT_TTL,
-             bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+             bucket_seconds: float | None = None) -> DataFrame:
     """Was the key still blocked by its latest earlier 429, and for how long.
 
     Adds ``blocked`` and ``remaining_seconds`` (0 if not blocked).
     """
-    rows = _bucketed(log, ts, bucket_seconds).withColumn(
+    rows = _bucketed(log, key, ts, bucket_seconds).withColumn(
         "_until", F.when(F.col("status_code") == _LIMITED, F.col("_t") + _ttl(default_ttl)))
-    last = (rows.where(F.col("_until").isNotNull()).groupBy(key, "_bucket")
-            .agg(F.max_by("_until", F.struct("_t", order)).alias("_last")))
-    # every bucket of the key needs its carry, also one without a 429
-    buckets = rows.select(key, "_bucket").distinct().join(last, [key, "_bucket"], "left")
-    before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1)
-    carried = buckets.select(
-        key, "_bucket", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    inside = Window.partitionBy(key, "_bucket").orderBy("_t", order).rowsBetween(
+    # every bucket of the key needs its carry, also one without a 429 (NULL)
+    buckets = rows.groupBy("_g").agg(F.max_by("_until", F.when(
+        F.col("_until").isNotNull(), F.struct("_t", order))).alias("_last"))
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = buckets.select("*", F.col("_g.k").alias("_k"), F.col("_g.b").alias("_b")).select(
+        "_g", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
+    inside = Window.partitionBy("_g").orderBy("_t", order).rowsBetween(
         Window.unboundedPreceding, -1)
     until = F.coalesce(F.last("_until", ignorenulls=True).over(inside), F.col("_carry"))
     blocked = F.coalesce(F.col("_t") < F.col("_block"), F.lit(False))
     return (
-        rows.join(carried, [key, "_bucket"], "left")
+        rows.join(carried, "_g", "left")
         .withColumn("_block", until)
         .withColumn("blocked", blocked)
         .withColumn("remaining_seconds", F.when(
             F.col("blocked"), F.floor(F.col("_block") - F.col("_t"))).otherwise(F.lit(0)))
-        .drop("_t", "_bucket", "_until", "_carry", "_block")
+        .drop("_t", "_g", "_until", "_carry", "_block")
     )
 
 
@@ -79,40 +96,41 @@ def blocked_keys(log: DataFrame, at: Column, *, key: str = "key", ts: str = "ts"
 
 def backoff(log: DataFrame, *, key: str = "key", ts: str = "ts", order: str = "ord",
             multiplier: float = rules.BACKOFF_MULTIPLIER, cap: float = rules.BACKOFF_CAP,
-            bucket_seconds: int = BUCKET_SECONDS) -> DataFrame:
+            bucket_seconds: float | None = None) -> DataFrame:
     """Back-off level per response: the k-th 429 in a row gives
     ``least(multiplier^k, cap)``; any other response resets it to 1.
 
     Adds ``run`` (429s in a row up to this one) and ``backoff_seconds``.
     """
     limited = (F.col("status_code") == _LIMITED).cast("bigint")
-    rows = _bucketed(log, ts, bucket_seconds).withColumn("_hit", limited)
-    inside = Window.partitionBy(key, "_bucket").orderBy("_t", order).rowsBetween(
+    rows = _bucketed(log, key, ts, bucket_seconds).withColumn("_hit", limited)
+    inside = Window.partitionBy("_g").orderBy("_t", order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    island = Window.partitionBy(key, "_bucket", "_resets").orderBy("_t", order).rowsBetween(
+    island = Window.partitionBy("_g", "_resets").orderBy("_t", order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     local = (rows.withColumn("_resets", F.sum(F.lit(1) - F.col("_hit")).over(inside))
              .withColumn("_run", F.sum("_hit").over(island)))
 
-    ends = local.groupBy(key, "_bucket").agg(
+    ends = local.groupBy("_g").agg(
         F.max("_resets").alias("_resets"),
         F.max_by("_run", F.struct("_t", order)).alias("_tail"))
-    so_far = Window.partitionBy(key).orderBy("_bucket").rowsBetween(
+    so_far = Window.partitionBy("_k").orderBy("_b").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    chain = Window.partitionBy(key, "_chain").orderBy("_bucket").rowsBetween(
+    chain = Window.partitionBy("_k", "_chain").orderBy("_b").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     carried = (
-        ends.withColumn("_chain", F.sum(F.when(F.col("_resets") > 0, 1).otherwise(0)).over(so_far))
+        ends.select("*", F.col("_g.k").alias("_k"), F.col("_g.b").alias("_b"))
+        .withColumn("_chain", F.sum(F.when(F.col("_resets") > 0, 1).otherwise(0)).over(so_far))
         .withColumn("_end", F.sum("_tail").over(chain))
-        .select(key, "_bucket", F.coalesce(
-            F.lag("_end").over(Window.partitionBy(key).orderBy("_bucket")), F.lit(0))
+        .select("_g", F.coalesce(
+            F.lag("_end").over(Window.partitionBy("_k").orderBy("_b")), F.lit(0))
             .alias("_carry"))
     )
     run = F.col("_run") + F.when(F.col("_resets") == 0, F.col("_carry")).otherwise(F.lit(0))
     return (
-        local.join(carried, [key, "_bucket"], "left")
+        local.join(carried, "_g", "left")
         .withColumn("run", F.when(F.col("_hit") == 1, run).otherwise(F.lit(0)))
         .withColumn("backoff_seconds", F.least(F.pow(F.lit(float(multiplier)), F.col("run")),
                                                F.lit(float(cap))))
-        .drop("_t", "_bucket", "_hit", "_resets", "_run", "_carry")
+        .drop("_t", "_g", "_hit", "_resets", "_run", "_carry")
     )

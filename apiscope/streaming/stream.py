@@ -117,10 +117,9 @@ def exposure_writer(spark: SparkSession, out_path: str, state_path: str, *, key:
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(*names).withColumn("_old", F.lit(False))
-        stored = _stored(spark, state_path)
+        stored = _stored(spark, f"{state_path}/batch={batch_id - 1}")
         if stored is not None:
-            rows = rows.unionByName(stored.where(F.col("batch") == batch_id - 1)
-                                    .select(*names).withColumn("_old", F.lit(True)))
+            rows = rows.unionByName(stored.select(*names).withColumn("_old", F.lit(True)))
         checked = exposure(rows, key=key, ts=ts, order=order, default_ttl=default_ttl)
         _write_batch(checked.where(~F.col("_old")).drop("_old"), out_path, batch_id)
         limited = rows.where(F.col("status_code") == 429)

@@ -15,7 +15,7 @@ def make_log(seed, n=300):
     rows, t = [], t0
     for i in range(n):
         t += dt.timedelta(seconds=rng.choice([0, 0, 1, 30, 500, 7000]))
-        key = "hot" if rng.random() < 0.4 else f"k{rng.randrange(4)}"
+        key = "hot" if rng.random() < 0.4 else rng.choice(["a", "b", "", None])
         rows.append((i, key, t, rng.choice([429, 429, 200]), rng.choice([None, 0, 5, 4000])))
     return rows
 
@@ -33,7 +33,7 @@ def brute(rows, ttl, mult, cap):
     return out
 
 
-@pytest.mark.parametrize("seed,bucket", [(1, 60), (2, 3600), (3, 10 ** 7), (4, 7)])
+@pytest.mark.parametrize("seed,bucket", [(1, 60), (2, 3600), (3, 10 ** 7), (4, 7), (5, None)])
 def test_against_brute_force(spark, seed, bucket):
     rows = make_log(seed)
     log = spark.createDataFrame(rows, SCHEMA)
@@ -56,9 +56,18 @@ def test_blocked_keys(spark):
     assert [at(0), at(29), at(30), at(299), at(300)] == [2, 2, 1, 1, 0]
 
 
-def test_no_window_spans_a_key(spark):
-    log = spark.createDataFrame(make_log(5), SCHEMA)
-    plan = ratelimit.exposure(log)._jdf.queryExecution().optimizedPlan().toString()
-    windows = [line for line in plan.splitlines() if "Window [" in line]
-    # the only window per key alone runs over the bucket summaries
-    assert len(windows) == 2
+def test_rows_are_shuffled_once_and_never_by_key_alone(spark, tmp_path):
+    def final_plan(df):
+        df.collect()
+        return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+    spark.createDataFrame(make_log(5), SCHEMA).write.parquet(str(tmp_path / "log"))
+    log = spark.read.parquet(str(tmp_path / "log"))
+    exposed = final_plan(ratelimit.exposure(log, bucket_seconds=60))
+    backed = final_plan(ratelimit.backoff(log, bucket_seconds=60))
+    # the second reading of the windowed rows reuses their shuffle
+    assert "ReusedExchange" in backed
+    for text in (exposed, backed):
+        assert "hashpartitioning(key#" not in text
+        # by the key alone (_k) only bucket summaries are shuffled, once
+        assert text.count("Exchange hashpartitioning(_k#") <= 1
