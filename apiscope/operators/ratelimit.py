@@ -4,8 +4,10 @@ A log row has key, ts, an order column for equal times, status_code and
 retry_after.  One key may hold a third of a very large log, so no window here
 spans a whole key's rows: rows are windowed per (key, time bucket), each
 bucket is reduced to one summary row, and only the summaries are windowed per
-key to find what carries into the next bucket.  The rows are shuffled once, by
-(key, bucket).  The bucket width never changes a result; by default it is
+key to find what carries into the next bucket.  The rows are shuffled by (key,
+bucket); ``backoff`` reads its windowed rows a second time for the summaries,
+from the same shuffle or, if the caller keeps more columns, from a narrow one.
+The bucket width never changes a result; by default it is
 chosen from the number of rows and their time span, so that a bucket of all
 keys together holds about ``ROWS_PER_BUCKET`` rows.
 """

@@ -285,10 +285,14 @@ def c14(spark, sf):
     return extract.source_maps(scripts).select("page_id", "map_ref", "map_url")
 
 
-def _entropy(x: str) -> str:
-    return (f"round(-list_sum(list_transform(list_distinct(string_split({x}, '')), lambda c: "
+def _bits(x: str) -> str:
+    return (f"-list_sum(list_transform(list_distinct(string_split({x}, '')), lambda c: "
             f"((length({x}) - length(replace({x}, c, ''))) / length({x})::DOUBLE) * "
-            f"log2((length({x}) - length(replace({x}, c, ''))) / length({x})::DOUBLE))), 9)")
+            f"log2((length({x}) - length(replace({x}, c, ''))) / length({x})::DOUBLE)))")
+
+
+def _entropy(x: str) -> str:
+    return f"round({_bits(x)}, 9)"
 
 
 def _secret_sql(name, pattern, severity, floor, _words) -> str:
@@ -446,7 +450,7 @@ def d3(spark, sf):
     ).withColumn("ok", pii.luhn_ok("m"))
 
 
-@query("D4_entropy", f"SELECT doc_id, round({_entropy('text')}, 6) AS bits FROM documents")
+@query("D4_entropy", f"SELECT doc_id, round({_bits('text')}, 6) AS bits FROM documents")
 def d4(spark, sf):
     return table(spark, sf, "documents", "doc_id").select("doc_id", F.round(pii.entropy("text"), 6).alias("bits"))
 
