@@ -76,43 +76,66 @@ def rewrite_matches(text: Column, pattern: str, change: Callable[[Column, Column
     return F.array_join(pieces, "")
 
 
-_EDGE = "\u0002"
+_EDGE, _BLANK = "\u0002", "\u0001"
+_HIT = "array<struct<m:string,at:int,line:int,column:int>>"
+_CHUNK = 256  # even, so that odd places stay odd in every chunk
 
 
-def match_offsets(text: Column, pattern: str | Column,
-                  keep: Callable[[Column], Column] | None = None) -> Column:
-    """array<struct<m, at>>: each match and its 0-based offset, from one pass.
+def match_positions(text: Column, pattern: str | Column,
+                    keep: Callable[[Column], Column] | None = None) -> Column:
+    """array<struct<m, at, line, column>> of the matches that ``keep`` lets pass.
 
-    The pass puts an edge mark around every match; split at the marks, the
-    pieces at odd places are the matches and the lengths before one add up to
-    its offset.  A mark already in the text is blanked first (same length), so
-    cut exact values out of the text itself.  Offsets are summed only for the
-    matches that ``keep`` lets pass: the cost is kept matches times pieces.
+    One regex pass puts an edge mark around every match; split at the marks,
+    the pieces at odd places are the matches.  Folds over chunks of the pieces
+    carry offset, line and column along, and the chunks are then shifted by
+    what stands before them, so a text with very many matches costs little
+    more than one with few.  ``at`` is 0-based, line and column 1-based.  A mark
+    already in the text is blanked first (``exact_text`` restores it).
     """
-    marked = F.regexp_replace(F.translate(text, _EDGE, "\u0001"), F.lit(pattern),
+    marked = F.regexp_replace(F.translate(text, _EDGE, _BLANK), F.lit(pattern),
                               F.lit(f"{_EDGE}$0{_EDGE}"))
 
-    def place(pieces: Column) -> Column:
-        numbered = F.transform(pieces, lambda p, i: F.struct(i.alias("i"), p.alias("m")))
-        kept = F.filter(numbered, lambda x: (x["i"] % 2 == 1) if keep is None
-                        else (x["i"] % 2 == 1) & keep(x["m"]))
-        return let(
-            F.struct(kept.alias("kept"), F.transform(pieces, lambda p: F.length(p)).alias("sizes")),
-            lambda k: F.transform(k["kept"], lambda x: F.struct(
-                x["m"].alias("m"),
-                F.aggregate(F.slice(k["sizes"], 1, x["i"]), F.lit(0), lambda a, n: a + n)
-                .alias("at"))))
-
-    return let(F.split(marked, _EDGE, -1), place)
-
-
-def line_column(text: Column, at: Column) -> Column:
-    """struct<line:int, column:int>, both 1-based, of a 0-based offset."""
-    return let(
-        F.substring(text, F.lit(1), at),
-        lambda head: F.struct(
-            (F.lit(1) + F.length(head) - F.length(F.replace(head, F.lit("\n"), F.lit(""))))
-            .alias("line"),
-            (F.lit(1) + F.length(F.substring_index(head, "\n", -1))).alias("column"),
-        ),
-    )
+    def moved(acc: Column, size: Column, breaks: Column, tail: Column) -> list[Column]:
+        """Position after a piece; ``tail`` is its length after the last break."""
+        return [(acc["at"] + size).alias("at"), (acc["line"] + breaks).alias("line"),
+                F.when(breaks > 0, tail).otherwise(acc["column"] + size).alias("column")]
+
+    def origin() -> list[Column]:
+        return [F.lit(0).alias(n) for n in ("at", "line", "column")]
+
+    def step(acc: Column, p: Column) -> Column:
+        size = F.length(p)
+        breaks = size - F.length(F.replace(p, F.lit("\n"), F.lit("")))
+        wanted = acc["odd"] if keep is None else acc["odd"] & keep(p)
+        hit = F.struct(p.alias("m"), acc["at"], acc["line"], acc["column"])
+        return F.struct(
+            (~acc["odd"]).alias("odd"),
+            *moved(acc, size, breaks, F.length(F.substring_index(p, "\n", -1))),
+            F.when(wanted, F.concat(acc["hits"], F.array(hit.cast(_HIT[6:-1]))))
+            .otherwise(acc["hits"]).alias("hits"))
+
+    def chunks(pieces: Column) -> Column:
+        start = F.struct(F.lit(False).alias("odd"), *origin(), F.array().cast(_HIT).alias("hits"))
+        last = F.floor((F.size(pieces) - 1) / _CHUNK).cast("int")
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(
+            F.slice(pieces, b * _CHUNK + 1, F.lit(_CHUNK)), start, step))
+
+    def shifted(parts: Column) -> Column:
+        def base(b: Column) -> Column:
+            return F.aggregate(F.slice(parts, 1, b), F.struct(*origin()), lambda acc, c: F.struct(
+                *moved(acc, c["at"], c["line"], c["column"])))
+
+        return F.flatten(F.transform(parts, lambda c, b: let(base(b), lambda z: F.transform(
+            c["hits"], lambda h: F.struct(
+                h["m"].alias("m"), (h["at"] + z["at"]).alias("at"),
+                (h["line"] + z["line"] + 1).alias("line"),
+                (h["column"] + 1 + F.when(h["line"] == 0, z["column"]).otherwise(F.lit(0)))
+                .alias("column"))))))
+
+    return let(let(F.split(marked, _EDGE, -1), chunks), shifted)
+
+
+def exact_text(text: Column, match: Column, at: Column) -> Column:
+    """The match as it stands in ``text`` if blanks replace any of it."""
+    return F.when(match.contains(_BLANK), F.substring(text, at + 1, F.length(match))) \
+        .otherwise(match)

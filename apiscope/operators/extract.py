@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import pii, urls
-from ..functions.core import (any_of, as_col, contains_any, hinted, let, line_column,
-                              match_offsets, matches, non_null)
+from ..functions.core import (any_of, as_col, contains_any, exact_text, hinted, let,
+                              match_positions, matches, non_null)
 
 _MASK = "\u0001\u0001"
 
@@ -42,9 +42,9 @@ def dialect_of(language: Column | str) -> Column:
 
 
 def _literals(text: Column, dialect: str) -> Column:
-    """API-like literal tokens with their offsets; comments are dropped."""
+    """API-like literal tokens with their positions; comments are dropped."""
     comment = {"js": ("//", "/*"), "py": ("#",), "html": ("<!--",)}[dialect]
-    return match_offsets(
+    return match_positions(
         text, rules.LITERALS[dialect],
         keep=lambda m: ~_starts_with_any(m, comment) & urls.is_api_url(_unquoted(m)))
 
@@ -69,19 +69,12 @@ def literal_endpoints(files: DataFrame, *, path: str = "file", text: str = "text
     clean = unescaped(raw)
     found = let(clean, lambda t: F.when(lang == "js", _literals(t, "js"))
                 .when(lang == "py", _literals(t, "py")).otherwise(_literals(t, "html")))
+    # all that needs the text happens before the explode, so no row carries it
     placed = F.transform(found, lambda x: F.struct(
-        x["m"].alias("raw"), x["at"].alias("at"),
-        line_column(raw, x["at"]).alias("pos")))
+        _unquoted(exact_text(raw, x["m"], x["at"])).alias("url"), F.lit("GET").alias("method"),
+        x["line"].alias("line"), x["column"].alias("column")))
     return (
-        files.select(F.col(path).alias("file"), F.col(text).alias("_text"),
-                     F.inline(F.when(promising, placed)))
-        .select(
-            "file",
-            _unquoted(F.substring(F.col("_text"), F.col("at") + 1, F.length("raw"))).alias("url"),
-            F.lit("GET").alias("method"),
-            F.col("pos.line").alias("line"),
-            F.col("pos.column").alias("column"),
-        )
+        files.select(F.col(path).alias("file"), F.inline(F.when(promising, placed)))
         .withColumn("context", urls.snippet("url"))
         .withColumn("match_kind", F.lit("literal"))
     )
@@ -251,17 +244,15 @@ def secrets(files: DataFrame, table: Sequence[tuple] = rules.SECRET_RULES, *,
     per_rule = files.select(F.col(path).alias("file"), t.alias("_text"),
                             F.explode(hit_rules).alias("r"))
     rule, body = F.col("r"), F.col("_text")
-    located = F.filter(
-        F.arrays_zip(match_offsets(body, rule["pattern"]).alias("x"),
-                     matches(body, rule["pattern"], rule["grp"]).alias("g")),
-        lambda z: rule["floor"].isNull() | (F.round(pii.entropy(z["g"]), 9) >= rule["floor"]))
+    found = F.filter(
+        F.arrays_zip(match_positions(body, rule["pattern"]).alias("x"),
+                     matches(body, rule["pattern"], rule["grp"]).alias("value")),
+        lambda z: rule["floor"].isNull()
+        | (F.round(pii.entropy(z["value"]), 9) >= rule["floor"]))
     return (
-        per_rule.select("file", "_text", rule["type"].alias("type"),
-                        rule["severity"].alias("severity"), F.inline(located))
-        .select("file", "type", "severity", F.col("g").alias("value"),
-                line_column(body, F.col("x.at")).alias("_pos"))
-        .select("file", "type", "severity", "value", F.col("_pos.line").alias("line"),
-                F.col("_pos.column").alias("column"))
+        per_rule.select("file", rule["type"].alias("type"), rule["severity"].alias("severity"),
+                        F.inline(found))
+        .select("file", "type", "severity", "value", "x.line", "x.column")
     )
 
 

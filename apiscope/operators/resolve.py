@@ -196,18 +196,21 @@ def substitute(template: Column, constants: Column) -> Column:
 def tracked_constants(text: Column) -> Column:
     """array<struct<name,value>> in order of first assignment, last value kept."""
     _, pattern = rules.DEFINITIONS[1]
-    pairs = F.arrays_zip(matches(text, pattern, 1).alias("name"),
-                         matches(text, pattern, 2).alias("value"))
+    found = F.transform(matches(text, pattern), lambda m, i: F.struct(
+        F.regexp_extract(m, pattern, 1).alias("name"), i.alias("pos"),
+        F.regexp_extract(m, pattern, 2).alias("value")))
 
     def latest(ps: Column) -> Column:
-        return F.transform(
-            F.array_distinct(F.transform(ps, lambda p: p["name"])),
-            lambda n: F.struct(
-                n.alias("name"),
-                F.element_at(F.filter(ps, lambda p: p["name"] == n), -1)["value"]
-                .alias("value")))
-
-    return let(pairs, latest)
+        # sorted by name and place, the ends of each run are its first and last
+        first = F.filter(ps, lambda p, i: (i == 0) | (F.get(ps, i - 1)["name"] != p["name"]))
+        last = F.filter(ps, lambda p, i: (i == F.size(ps) - 1)
+                        | (F.get(ps, i + 1)["name"] != p["name"]))
+        both = F.zip_with(first, last, lambda f, z: F.struct(
+            f["pos"].alias("pos"), z["name"].alias("name"), z["value"].alias("value")))
+        return F.transform(F.sort_array(both), lambda d: F.struct(
+            d["name"].alias("name"), d["value"].alias("value")))
+
+    return let(F.sort_array(found), latest)
 
 
 def resolved_endpoints(files: DataFrame, **columns: str) -> DataFrame:

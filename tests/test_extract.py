@@ -3,7 +3,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from apiscope.functions.core import line_column, match_offsets
+from apiscope.functions.core import exact_text, match_positions
 from apiscope.operators import extract, resolve
 
 JS = '''
@@ -32,14 +32,28 @@ def test_language(spark, path, language):
     assert spark.range(1).select(extract.language_of(F.lit(path)).alias("y")).first().y == language
 
 
-def test_offsets_by_brute_force(spark):
-    text, pattern = "aa x12 b\n\n y7 \u0002 z9\nx1", r"[xyz]\d+"
-    rows = (spark.createDataFrame([(text,)], "t string")
-            .select("t", F.inline(match_offsets(F.col("t"), pattern)))
-            .select("m", "at", line_column(F.col("t"), F.col("at")).alias("p")).collect())
-    want = [(m.group(), m.start(), text[:m.start()].count("\n") + 1,
-             m.start() - text.rfind("\n", 0, m.start())) for m in re.finditer(pattern, text)]
-    assert [(r.m, r["at"], r.p.line, r.p.column) for r in rows] == want
+def test_positions_by_brute_force(spark):
+    pattern = r"[xyz]\d+[\u0001-\u0003]?"
+    texts = ["aa x12 b\n\n y7 \u0002 z9\nx1", "x1\u0002y2", "é漢x1\n\nx2é", "", "none", "x1", "\nx1\n"]
+    rows = (spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+            .select("i", "t", F.inline(match_positions(F.col("t"), pattern)))
+            .withColumn("m", exact_text(F.col("t"), F.col("m"), F.col("at"))).collect())
+    want = [(i, m.group(), m.start(), t[:m.start()].count("\n") + 1,
+             m.start() - t.rfind("\n", 0, m.start()))
+            for i, t in enumerate(texts) for m in re.finditer(pattern, t)]
+    assert sorted((r.i, r.m, r["at"], r.line, r.column) for r in rows) == sorted(want)
+
+
+def test_many_matches_in_one_text(spark):
+    text = "\n".join(f'f("/api/{i}")' for i in range(20000))
+    got = extract.literal_endpoints(source(spark, text)).agg(
+        F.count("*"), F.max("line"), F.max("column")).first()
+    assert tuple(got) == (20000, 20000, 3)
+
+
+def test_escapes_keep_the_original_text(spark):
+    rows = extract.literal_endpoints(source(spark, 'a = "x\\"y"; b = "/api/q\\"z"')).collect()
+    assert [r.url for r in rows] == ['/api/q\\"z']
 
 
 def test_literals(spark):
