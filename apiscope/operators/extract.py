@@ -60,6 +60,42 @@ def _unquoted(literal: Column) -> Column:
     return F.regexp_replace(literal, "^['\"`]+|['\"`]+$", "")
 
 
+def literal_rows(text: Column, language: Column) -> Column:
+    """array<struct<url, line, column>> of the API-like literals; NULL if hopeless."""
+    lang = dialect_of(language)
+    # a text without any of the path words holds no API URL in any dialect
+    promising = text.rlike(r"(?i)/(?:api|v\d|graphql|rest|ws|auth|admin|user|public)")
+    found = let(unescaped(text), lambda t: F.when(lang == "js", _literals(t, "js"))
+                .when(lang == "py", _literals(t, "py")).otherwise(_literals(t, "html")))
+    # all that needs the text happens before the explode, so no row carries it
+    return F.when(promising, F.transform(found, lambda x: F.struct(
+        _unquoted(exact_text(text, x["m"], x["at"])).alias("url"), x["line"], x["column"])))
+
+
+def literal_endpoints(files: DataFrame, *, path: str = "file", text: str = "text",
+                      language: str = "language") -> DataFrame:
+    """String literals that look like API URLs, with line, column and context."""
+    rows = files.select(F.col(path).alias("file"),
+                        F.inline(literal_rows(F.col(text), F.col(language))))
+    return as_literal_endpoints(rows)
+
+
+def as_literal_endpoints(rows: DataFrame) -> DataFrame:
+    return rows.select("file", "url", F.lit("GET").alias("method"), "line", "column",
+                       urls.snippet("url").alias("context"), F.lit("literal").alias("match_kind"))
+
+
+def _starts_with_any(text: Column, words: Sequence[str]) -> Column:
+    test = F.lit(False)
+    for w in words:
+        test = test | text.startswith(w)
+    return test
+
+
+def _unquoted(literal: Column) -> Column:
+    return F.regexp_replace(literal, "^['\"`]+|['\"`]+$", "")
+
+
 def literal_endpoints(files: DataFrame, *, path: str = "file", text: str = "text",
                       language: str = "language") -> DataFrame:
     """String literals that look like API URLs, with line, column and context."""
@@ -86,6 +122,19 @@ def verb_of(name: Column | str) -> Column:
     return F.when(verb.isin(*rules.INFERRED_VERBS), verb).otherwise(F.lit("GET"))
 
 
+def call_rows(text: Column, language: Column) -> Column:
+    """array<struct<function, argument>> of the client calls; NULL for other languages."""
+    dialect = dialect_of(language)
+
+    def calls(t: Column, pattern: str) -> Column:
+        return F.transform(matches(t, pattern), lambda m: F.struct(
+            F.regexp_extract(m, pattern, 1).alias("function"),
+            F.regexp_extract(m, pattern, 2).alias("argument")))
+
+    return let(unescaped(text), lambda t: F.when(dialect == "js", calls(t, rules.CALL_SITES["js"]))
+               .when(dialect == "py", calls(t, rules.CALL_SITES["py"])))
+
+
 def call_sites(files: DataFrame, *, path: str = "file", text: str = "text",
                language: str = "language") -> DataFrame:
     """Calls of HTTP client functions with their first argument.
@@ -94,15 +143,13 @@ def call_sites(files: DataFrame, *, path: str = "file", text: str = "text",
     name in Python.  ``argument`` is a literal, a name, a member or a ``+``
     chain; ``arg_kind`` says which.  ``ord`` numbers the calls of a file.
     """
-    dialect = dialect_of(language)
+    found = call_rows(F.col(text), F.col(language))
+    return as_call_sites(
+        files.select(F.col(path).alias("file"), F.posexplode(found).alias("ord", "c"))
+        .select("file", "ord", "c.function", "c.argument"))
 
-    def calls(t: Column, pattern: str) -> Column:
-        return F.transform(matches(t, pattern), lambda m: F.struct(
-            F.regexp_extract(m, pattern, 1).alias("function"),
-            F.regexp_extract(m, pattern, 2).alias("argument")))
 
-    found = let(unescaped(text), lambda t: F.when(dialect == "js", calls(t, rules.CALL_SITES["js"]))
-                .when(dialect == "py", calls(t, rules.CALL_SITES["py"])))
+def as_call_sites(rows: DataFrame) -> DataFrame:
     arg = F.col("argument")
     kind = (
         F.when(arg.rlike(r"^(?:\"[^\"]*\"|'[^']*')$"), F.lit("literal"))
@@ -111,20 +158,19 @@ def call_sites(files: DataFrame, *, path: str = "file", text: str = "text",
         .when(arg.rlike(r"^[A-Za-z_$][\w$.]*$"), F.lit("member"))
         .otherwise(F.lit("concat"))
     )
-    return (
-        files.select(F.col(path).alias("file"), F.posexplode(found).alias("ord", "c"))
-        .select("file", "ord", "c.function", "c.argument")
-        .withColumn("verb", verb_of(F.substring_index("function", ".", -1)))
-        .withColumn("arg_kind", kind)
-    )
+    return (rows.withColumn("verb", verb_of(F.substring_index("function", ".", -1)))
+            .withColumn("arg_kind", kind))
 
 
 def call_endpoints(files: DataFrame, **columns: str) -> DataFrame:
     """Call sites whose literal first argument is an API URL."""
+    return literal_calls(call_sites(files, **columns))
+
+
+def literal_calls(calls: DataFrame) -> DataFrame:
     url = _unquoted(F.col("argument"))
     return (
-        call_sites(files, **columns)
-        .where(F.col("arg_kind").isin("literal", "template"))
+        calls.where(F.col("arg_kind").isin("literal", "template"))
         .select("file", "ord", url.alias("url"), F.col("verb").alias("method"),
                 F.lit("call").alias("match_kind"))
         .where(urls.is_api_url("url"))

@@ -211,17 +211,17 @@ def version_siblings(inventory: DataFrame, *, url: str = "url",
     """The inventory plus ``/vN/`` variants for every other version up to the limit."""
     marker = r"/v(\d+)/"
     current = F.regexp_extract(F.col(url), marker, 1)
-    variants = (
-        inventory.withColumn("_cur", F.when(current != "", current))
-        .where(F.col("_cur").isNotNull())
-        .withColumn("_v", F.explode(F.sequence(F.lit(1), F.lit(max_version))))
-        .where(~F.col("_cur").try_cast("bigint").eqNullSafe(F.col("_v").cast("bigint")))
-        .withColumn(url, F.regexp_replace(F.col(url), F.lit(marker),
-                                          F.concat(F.lit("/v"), F.col("_v"), F.lit("/"))))
-        .drop("_cur", "_v")
+    others = F.filter(F.sequence(F.lit(1), F.lit(max_version)), lambda v: (current != "")
+                      & ~current.try_cast("bigint").eqNullSafe(v.cast("bigint")))
+    # the NULL entry is the row itself: one scan, one explode
+    versions = F.concat(F.array(F.lit(None).cast("int")), others)
+    rest = [c for c in inventory.columns if c != url]
+    variant = F.regexp_replace(F.col(url), F.lit(marker), F.concat(F.lit("/v"), F.col("_v"), F.lit("/")))
+    return (
+        inventory.withColumn("_v", F.explode(versions))
+        .select(*rest, F.when(F.col("_v").isNull(), F.col(url)).otherwise(variant).alias(url),
+                F.col("_v").isNotNull().alias("is_variant"))
     )
-    return (inventory.withColumn("is_variant", F.lit(False))
-            .unionByName(variants.withColumn("is_variant", F.lit(True))))
 
 
 def select_captures(captures: DataFrame, as_of: Column, *, months: int = rules.ARCHIVE_MONTHS,

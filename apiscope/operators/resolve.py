@@ -14,23 +14,26 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.core import let, matches
 from ..functions.urls import is_api_url
-from .extract import call_sites, dialect_of, unescaped
+from .extract import (as_call_sites, as_literal_endpoints, call_rows, call_sites, dialect_of,
+                      literal_rows, unescaped)
 
 
-def definitions(files: DataFrame, *, path: str = "file", text: str = "text",
-                only: Column | None = None) -> DataFrame:
-    """All (file, name, value, kind, pos) of the files where ``only`` holds.
-
-    ``kind`` is the priority of the pattern that matched.
-    """
+def definition_rows(text: Column) -> Column:
+    """array<struct<kind, pos, name, value>>; kind is the priority of the pattern."""
     def found(kind: int, pattern: str) -> Column:
         # one pass over the text; the groups are cut from the short matches
-        return F.transform(matches(F.col(text), pattern), lambda m, i: F.struct(
+        return F.transform(matches(text, pattern), lambda m, i: F.struct(
             F.lit(kind).alias("kind"), i.alias("pos"),
             F.regexp_extract(m, pattern, 1).alias("name"),
             F.regexp_extract(m, pattern, 2).alias("value")))
 
-    rows = F.concat(*[found(kind, pattern) for kind, pattern in rules.DEFINITIONS])
+    return F.concat(*[found(kind, pattern) for kind, pattern in rules.DEFINITIONS])
+
+
+def definitions(files: DataFrame, *, path: str = "file", text: str = "text",
+                only: Column | None = None) -> DataFrame:
+    """All (file, kind, pos, name, value) of the files where ``only`` holds."""
+    rows = definition_rows(F.col(text))
     return files.select(F.col(path).alias("file"),
                         F.inline(rows if only is None else F.when(only, rows)))
 
@@ -82,17 +85,24 @@ def _operands(chain: Column, max_depth: int) -> Column:
 
 def resolve_concats(files: DataFrame, *, max_depth: int = rules.MAX_RESOLUTION_DEPTH,
                     kinds: tuple = ("concat",), **columns: str) -> DataFrame:
-    """Client calls whose first argument is a ``+`` chain, resolved.
+    """Client calls whose first argument is a ``+`` chain, resolved."""
+    return resolve_chains(call_sites(files, **columns), _definitions_for_calls(files, columns),
+                          max_depth=max_depth, kinds=kinds)
+
+
+def resolve_chains(calls: DataFrame, defs: DataFrame, *,
+                   max_depth: int = rules.MAX_RESOLUTION_DEPTH,
+                   kinds: tuple = ("concat",)) -> DataFrame:
+    """As ``resolve_concats`` for given calls and definitions.
 
     Unresolved operands are skipped; a chain with none resolved is dropped.
     The re-assembly collects at most ``max_depth`` operands per call.
     """
-    calls = call_sites(files, **columns).where(F.col("arg_kind").isin(*kinds))
-    parts = calls.select("file", "ord", "verb", "argument",
-                         F.inline(_operands(F.col("argument"), max_depth)))
+    parts = calls.where(F.col("arg_kind").isin(*kinds)).select(
+        "file", "ord", "verb", "argument", F.inline(_operands(F.col("argument"), max_depth)))
     is_literal = F.col("op").rlike("^[\"'`]")
     names = parts.withColumn("name", F.when(~is_literal, F.col("op")))
-    values = resolve_names(names, _definitions_for_calls(files, columns)).withColumn(
+    values = resolve_names(names, defs).withColumn(
         "part", F.when(is_literal, F.regexp_replace("op", "^['\"`]+|['\"`]+$", ""))
         .otherwise(F.col("value")))
     return (
@@ -214,14 +224,62 @@ def tracked_constants(text: Column) -> Column:
 
 
 def resolved_endpoints(files: DataFrame, **columns: str) -> DataFrame:
-    """API URLs from calls whose argument needed resolution.
+    """API URLs from calls whose argument needed resolution."""
+    return resolved_calls(call_sites(files, **columns), _definitions_for_calls(files, columns))
 
-    A lone name is a chain of one operand, so both kinds share one scan and
-    one join.
-    """
+
+def resolved_calls(calls: DataFrame, defs: DataFrame) -> DataFrame:
+    """A lone name is a chain of one operand, so both kinds share one join."""
     return (
-        resolve_concats(files, kinds=("name", "concat"), **columns)
+        resolve_chains(calls, defs, kinds=("name", "concat"))
         .select("file", "ord", "url", F.col("verb").alias("method"))
         .where(is_api_url("url"))
         .withColumn("match_kind", F.lit("resolved"))
     )
+
+
+_TOKEN = ("array<struct<token:string,ord:int,name:string,value:string,kind:int,"
+          "line:int,column:int>>")
+
+
+def source_tokens(files: DataFrame, *, path: str = "file", text: str = "text",
+                  language: str = "language") -> DataFrame:
+    """Literals, client calls and definitions of a corpus from one scan.
+
+    Narrow rows (file, token, ord, name, value, kind, line, column): written
+    once, they answer all questions about endpoints without the texts.
+    """
+    t, lang = F.col(text), F.col(language)
+    none, nothing = F.lit(None).cast("string"), F.lit(None).cast("int")
+
+    def token(name: str, order: Column, a: Column, b: Column, kind: Column, line: Column,
+              column: Column) -> Column:
+        return F.struct(F.lit(name), order, a, b, kind, line, column)
+
+    parts = [
+        F.transform(literal_rows(t, lang), lambda x, i: token(
+            "literal", i, none, x["url"], nothing, x["line"], x["column"])),
+        F.transform(call_rows(t, lang), lambda x, i: token(
+            "call", i, x["function"], x["argument"], nothing, nothing, nothing)),
+        F.transform(F.when(needs_resolution(text, language), definition_rows(t)), lambda x: token(
+            "definition", x["pos"], x["name"], x["value"], x["kind"], nothing, nothing)),
+    ]
+    empty = F.array().cast(_TOKEN)
+    return files.select(F.col(path).alias("file"), F.inline(
+        F.concat(*[F.coalesce(p.cast(_TOKEN), empty) for p in parts])))
+
+
+def literals_of(tokens: DataFrame) -> DataFrame:
+    rows = tokens.where(F.col("token") == "literal")
+    return as_literal_endpoints(rows.select("file", F.col("value").alias("url"), "line", "column"))
+
+
+def calls_of(tokens: DataFrame) -> DataFrame:
+    rows = tokens.where(F.col("token") == "call")
+    return as_call_sites(rows.select("file", "ord", F.col("name").alias("function"),
+                                     F.col("value").alias("argument")))
+
+
+def definitions_of(tokens: DataFrame) -> DataFrame:
+    return tokens.where(F.col("token") == "definition").select(
+        "file", "kind", F.col("ord").alias("pos"), "name", "value")

@@ -9,18 +9,35 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..operators import extract, inventory, resolve, responses, scope
+from ..sources.files import work_path
 
+_TOKENS = ("file string, ord int, name string, value string, kind int, line int, column int, "
+           "token string")
 
-def parse_corpus(files: DataFrame, **columns: str) -> dict[str, DataFrame]:
-    """Endpoints, secrets and per-file counts of a source corpus."""
-    literal = extract.literal_endpoints(files, **columns)
-    calls = extract.call_endpoints(files, **columns)
-    resolved = resolve.resolved_endpoints(files, **columns)
+
+def parse_corpus(files: DataFrame, work: str | None = None, *, path: str = "file",
+                 text: str = "text", language: str = "language") -> dict[str, DataFrame]:
+    """Endpoints, secrets and per-file counts of a source corpus.
+
+    The texts are read twice, once for tokens and once for secrets, and both
+    narrow results are written below ``work`` (a new shared work folder by
+    default).  All that follows reads those tables, so nothing scans or parses
+    a text again, also after the loss of an executor.
+    """
+    spark = files.sparkSession
+    work = work or work_path(spark, "corpus")
+    (resolve.source_tokens(files, path=path, text=text, language=language)
+     .write.mode("overwrite").partitionBy("token").parquet(f"{work}/tokens"))
+    (extract.secrets(files, path=path, text=text)
+     .write.mode("overwrite").parquet(f"{work}/secrets"))
+    tokens = spark.read.schema(_TOKENS).parquet(f"{work}/tokens")
+    found = spark.read.parquet(f"{work}/secrets")
+    calls = resolve.calls_of(tokens)
     names = ["file", "url", "method", "match_kind"]
-    endpoints = (literal.select(*names).unionByName(calls.select(*names))
-                 .unionByName(resolved.select(*names)))
-    no_language = {k: v for k, v in columns.items() if k != "language"}
-    found = extract.secrets(files, **no_language)
+    endpoints = (
+        resolve.literals_of(tokens).select(*names)
+        .unionByName(extract.literal_calls(calls).select(*names))
+        .unionByName(resolve.resolved_calls(calls, resolve.definitions_of(tokens)).select(*names)))
     return {"endpoints": endpoints, "secrets": found,
             "files": extract.file_summary(endpoints, found)}
 

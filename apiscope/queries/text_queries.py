@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import pii
 from ..operators import extract, resolve
+from ..plans import stages
 from .registry import lit, query, table
 from .url_queries import in_list, is_api
 
@@ -244,6 +245,30 @@ def c10(spark, sf):
         .alias("filled"))
 
 
+# --- the corpus stage as a whole -------------------------------------------
+@query("corpus_stage", f"""
+WITH defs AS ({DEFS}), calls AS ({CALLS}),
+lits AS (SELECT file, url FROM ({_literal_sql("js", "language <> 'python'")}) UNION ALL
+  SELECT file, url FROM ({_literal_sql("py", PY)})),
+ops AS (SELECT file, ord, verb, i, os[i] AS op FROM (
+  SELECT *, unnest(range(1, len(os) + 1)) AS i FROM (
+    SELECT file, ord, verb, regexp_extract_all(argument, {lit(rules.OPERAND)}) AS os FROM calls
+    WHERE (contains(argument, '+') AND NOT regexp_matches(argument, '^("[^"]*"|''[^'']*'')$'))
+      OR regexp_matches(argument, '^[A-Za-z_$][\\w$]*$')))),
+chains AS (SELECT file, ord, verb, string_agg(part, '' ORDER BY i) AS url FROM (
+  SELECT o.file, o.ord, o.verb, o.i, CASE WHEN regexp_matches(o.op, '^["''`]')
+    THEN trim(o.op, '"''`') ELSE d.value END AS part
+  FROM ops o LEFT JOIN defs d ON d.file = o.file AND d.name = o.op)
+  WHERE part IS NOT NULL GROUP BY 1, 2, 3)
+SELECT file, url, 'GET' AS method, 'literal' AS match_kind FROM lits
+UNION ALL
+SELECT file, {unquoted('argument')}, verb, 'call' FROM calls
+  WHERE regexp_matches(argument, '^("[^"]*"|''[^'']*''|`[^`]*`)$') AND {is_api(unquoted('argument'))}
+UNION ALL SELECT file, url, verb, 'resolved' FROM chains WHERE {is_api('url')}""", SRC)
+def corpus_stage(spark, sf):
+    return stages.parse_corpus(table(spark, sf, "sources", "page_id"))["endpoints"]
+
+
 # --- C11 to C17 -----------------------------------------------------------
 @query("C11_script_assets", f"""
 SELECT ord, url FROM assets WHERE ends_with(url, '.js') OR contains(url, '.js?') OR

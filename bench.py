@@ -17,7 +17,7 @@ from apiscope.queries import catalog
 
 HEADLINE = [
     "B1_url_validation", "B2_scope_filter", "B2_scope_by_table", "B7_resolve_reference",
-    "B11_signature", "C1_literal_endpoints", "C4_C5_all_shapes", "C7_concatenation",
+    "B11_signature", "C1_literal_endpoints", "C4_C5_all_shapes", "C7_concatenation", "corpus_stage",
     "C13_inline_scripts", "C15_secret_scan", "C17_links", "D1_pii_types", "D2_redact",
     "D4_entropy", "E1_status_category", "F1_distinct_signature", "F2_audit", "F3_ghosts",
     "F5_scan_diff", "F9_target_rollup", "F17_findings", "F20_rate_limit_exposure", "F22_backoff",
