@@ -67,5 +67,12 @@ def with_inputs(uses: tuple[str, ...], sql: str) -> str:
 
 
 def lit(text: str) -> str:
-    """SQL string literal of a text or pattern (possessive marks dropped)."""
-    return "'" + text.replace(")*+", ")*").replace("'", "''") + "'"
+    """SQL string literal of a text or pattern.
+
+    RE2 knows neither possessive marks nor look-behind: the marks are dropped,
+    and "no name character before" becomes "start or another character".
+    """
+    for java, re2 in ((r"(?<![\w$])", r"(?:^|[^\w$])"), (r"(?<![\w.])", r"(?:^|[^\w.])"),
+                      ("*+", "*")):
+        text = text.replace(java, re2)
+    return "'" + text.replace("'", "''") + "'"

@@ -2,8 +2,8 @@
 
 Everything here is data: pattern lists, word lists and limits.  Operators take
 these tuples as default arguments, so a caller can pass another table.  The
-patterns use neither look-around nor back-references, so the same text works
-in Java and Python, and in RE2 once possessive marks are dropped.
+patterns use no back-references and, of look-around, only "no name character
+before"; with that and the possessive marks rewritten they run in RE2 too.
 """
 
 from __future__ import annotations
@@ -261,7 +261,7 @@ SECRET_RULES = (
     ("private_key", PII_RULES[12][1], "critical", None, PII_RULES[12][2]),
 )
 
-_NAME = r"[A-Za-z_$][\w$]*"
+_NAME = r"[A-Za-z_$][\w$]*+"
 _STR = r"(?:\"[^\"\n]*\"|'[^'\n]*')"
 _TEMPLATE = r"`[^`]*`"
 _PYSTR = r"[rbufRBUF]{0,2}(?:\"[^\"\n]*\"|'[^'\n]*')"
@@ -300,7 +300,7 @@ SHAPES = (
     ("route_decorator", "py",
      r"@[\w.]+\.(get|post|put|delete|patch|route)\(\s*(" + _PYSTR + r")", 1, 2, ("@",)),
     ("django_url", "py",
-     r"(?:^|[^\w.])(?:path|re_path|url)\(\s*(" + _PYSTR + r")", 0, 1, ("path(", "url(")),
+     r"(?<![\w.])(?:path|re_path|url)\(\s*(" + _PYSTR + r")", 0, 1, ("path(", "url(")),
     ("url_constant", "py",
      r"(?:^|\n)[ \t]*" + _CONST_WORDS + r"\s*=\s*(" + _PYSTR + r")", 0, 1, ("=",)),
 )
@@ -322,24 +322,24 @@ _ARGUMENT = (
     r"(?:\s*\+\s*(?:\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|[A-Za-z_$][\w$.]*))*+)"
 )
 CALL_SITES = {
-    "js": r"(?:^|[^\w$])((?i:" + "|".join(CLIENT_FUNCTIONS) + r"))" + _ARGUMENT,
-    "py": r"(?:^|[^\w.])(" + "|".join(PYTHON_CLIENTS).replace(".", r"\.") + r")" + _ARGUMENT,
+    "js": r"(?<![\w$])((?i:" + "|".join(CLIENT_FUNCTIONS) + r"))" + _ARGUMENT,
+    "py": r"(?<![\w.])(" + "|".join(PYTHON_CLIENTS).replace(".", r"\.") + r")" + _ARGUMENT,
 }
 # A call whose first argument is a name, a member or a chain: the file's
 # definitions are needed.
 _UNRESOLVED = r"\s*\(\s*(?:[A-Za-z_$]|(?:\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`)\s*\+)"
 UNRESOLVED_CALLS = {
-    "js": r"(?:^|[^\w$])(?i:" + "|".join(CLIENT_FUNCTIONS) + r")" + _UNRESOLVED,
-    "py": r"(?:^|[^\w.])(?:" + "|".join(PYTHON_CLIENTS).replace(".", r"\.") + r")" + _UNRESOLVED,
+    "js": r"(?<![\w$])(?i:" + "|".join(CLIENT_FUNCTIONS) + r")" + _UNRESOLVED,
+    "py": r"(?<![\w.])(?:" + "|".join(PYTHON_CLIENTS).replace(".", r"\.") + r")" + _UNRESOLVED,
 }
 OPERAND = r"\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|[A-Za-z_$][\w$.]*"
 
 # Definitions: (priority, pattern, name group, value group).
 DEFINITIONS = (
     (0, r"\b(?:const|let|var)\s+(" + _NAME + r")\s*=\s*[\"']([^\"']+)[\"']"),
-    (1, r"(?:^|[^\w$])(" + _NAME + r")\s*=\s*[\"']([^\"']+)[\"']"),
+    (1, r"(?<![\w$])(" + _NAME + r")\s*=\s*[\"']([^\"']+)[\"']"),
     (2, r"\b(?:const|let|var)\s+(" + _NAME + r")\s*=\s*`([^`]+)`"),
-    (3, r"(?:^|[^\w$])(" + _NAME + r")\s*:\s*[\"']([^\"']+)[\"']"),
+    (3, r"(?<![\w$])(" + _NAME + r")\s*:\s*[\"']([^\"']+)[\"']"),
 )
-OBJECT_LITERAL = r"(?:^|[^\w$])(" + _NAME + r")\s*=\s*\{([^}]*)\}"
-OBJECT_PROPERTY = r"(?:^|[^\w$])(" + _NAME + r")\s*:\s*[\"']([^\"']+)[\"']"
+OBJECT_LITERAL = r"(?<![\w$])(" + _NAME + r")\s*=\s*\{([^}]*)\}"
+OBJECT_PROPERTY = r"(?<![\w$])(" + _NAME + r")\s*:\s*[\"']([^\"']+)[\"']"
