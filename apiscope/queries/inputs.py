@@ -54,11 +54,11 @@ SELECT page_id AS ord,
     WHEN 2 THEN '/rest/items/{{item}}'
     WHEN 3 THEN '/graphql'
     WHEN 4 THEN '/api/v1/products/' || num
-    WHEN 5 THEN '/internal/' || lang || '/' || v
+    WHEN 5 THEN '/' || lang || '/' || num
     ELSE '/v' || CAST(page_id % 7 AS STRING) || '/auth/' || lang || '-tokens'
   END AS path,
-  CASE page_id % 4 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'PUT' ELSE 'DELETE' END
-    AS method,
+  CASE WHEN page_id % 7 = 5 OR page_id % 4 = 0 THEN 'GET' WHEN page_id % 4 = 1 THEN 'POST'
+    WHEN page_id % 4 = 2 THEN 'PUT' ELSE 'DELETE' END AS method,
   length(html) % 3 = 0 AS deprecated
 FROM {page_parts}
 """
