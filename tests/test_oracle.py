@@ -7,9 +7,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from apiscope.queries import catalog
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry_module.queries(), entry_module.oracle_sql()
+#: the library's own queries; those of the corpus operators have tests of their own
+QUERIES, ORACLE = catalog.QUERIES, catalog.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -41,6 +43,8 @@ def test_matches_duckdb(spark, duck, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLE) <= set(entry_module.oracle_sql())
 
 
 def test_entry(spark):
