@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import configure
 from ..sources.files import work_path
@@ -35,6 +36,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` with all but the ``needed`` columns renamed, and the way back.
+
+    Whatever other columns are called, they then clash with none of an operator's;
+    the way back keeps the columns of ``docs`` only, in their order.
+    """
+    kept = {c: c if c in needed else f"_kept{i}" for i, c in enumerate(docs.columns)}
+
+    def back(df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(k).alias(c) for c, k in kept.items()])
+
+    return docs.withColumnsRenamed({c: k for c, k in kept.items() if c != k}), back
+
+
 def parts(batches: Iterator[pa.RecordBatch], column: str = "text",
           limit: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``limit`` bytes of text each, or of one longer text."""

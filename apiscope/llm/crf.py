@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import parts
 from .words import mixed
@@ -278,7 +279,7 @@ class Labeller:
 _labellers: dict[int, Labeller] = {}
 
 
-def _labelled(sent):
+def _labelled(sent, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key = sent.value["key"]
         if key not in _labellers:
@@ -286,11 +287,10 @@ def _labelled(sent):
             _labellers[key] = Labeller(sent.value)
         labeller = _labellers[key]
         for part in parts(batches):
-            names, score = labeller.label(part.column("text").to_pylist())
-            kept = [part.column(c) for c in part.schema.names if c != "text"]
+            found, score = labeller.label(part.column("text").to_pylist())
+            new = {"lang_pred": pa.array(found, pa.string()), "score": pa.array(score, pa.float64())}
             yield pa.RecordBatch.from_arrays(
-                [*kept, pa.array(names, pa.string()), pa.array(score, pa.float64())],
-                [*[c for c in part.schema.names if c != "text"], "lang_pred", "score"])
+                [new[c] if c in new else part.column(c) for c in names], names)
 
     return run
 
@@ -312,21 +312,38 @@ def sample(docs: DataFrame, learnable: Column, *, per_language: int = PER_LANGUA
         ["doc_id", "lang"]).select("text", "lang")
 
 
-def identify(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of every document.
+def held_out() -> Column:
+    """One document in five, by a checksum of its id; a null id is not."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
 
-    ``docs`` has ``doc_id``, ``text`` and ``lang``; one document in five, by a
-    checksum of its id, is held out of training.
-    """
-    spark = docs.sparkSession
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
-    rows = sample(docs, ~held_out & F.col("text").isNotNull(),
+
+def fit(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> dict | None:
+    """The field learned from documents that are not held out (doc_id, text, lang)."""
+    rows = sample(docs.select("doc_id", "text", "lang"), ~held_out() & F.col("text").isNotNull(),
                   per_language=per_language).orderBy("lang", "text").collect()
     model = train([r.text for r in rows], [r.lang for r in rows])
-    base = docs.select("doc_id", held_out.alias("held_out"), "text")
-    schema = "doc_id long, held_out boolean, lang_pred string, score double"
+    if model is not None:
+        model["key"] = hash((tuple(model["names"]), float(model["weights"].sum()), len(rows)))
+    return model
+
+
+def label(docs: DataFrame, model: dict | None, *, keep_text: bool = False) -> DataFrame:
+    """``docs`` (text and any but the new columns) with lang_pred and score."""
+    fields = [f for f in docs.schema if keep_text or f.name != "text"]
     if model is None:
-        return base.select("doc_id", "held_out", F.lit("und").alias("lang_pred"),
+        return docs.select(*[f.name for f in fields], F.lit("und").alias("lang_pred"),
                            F.lit(0.0).alias("score"))
-    model["key"] = hash((tuple(model["names"]), float(model["weights"].sum()), len(rows)))
-    return base.mapInArrow(_labelled(spark.sparkContext.broadcast(model)), schema)
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()),
+                           T.StructField("score", T.DoubleType())])
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return docs.mapInArrow(_labelled(sent, schema.names), schema)
+
+
+def identify(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> DataFrame:
+    """doc_id, held_out, lang_pred, score of every document.
+
+    ``docs`` has ``doc_id``, ``text`` and ``lang``; held-out documents are not
+    learned from.
+    """
+    return label(docs.select("doc_id", held_out().alias("held_out"), "text"),
+                 fit(docs, per_language=per_language))

@@ -33,8 +33,13 @@ ALONE_FROM, CUT_FROM = 1 / 32, 1 / 2
 ROWS_PER_SLOT_GROUP = 256
 
 
-def place(items: list[tuple[int, int, int]], shards: int) -> list[int]:
-    """Shard of each item (bytes, tokens, rows) by the dot-product rule.
+#: What bytes, tokens and rows count in the dot product; the law is one of bytes.
+WEIGHTS = (4, 1, 1)
+
+
+def place(items: list[tuple[int, int, int]], shards: int, *,
+          weights: tuple[float, float, float] = WEIGHTS) -> list[int]:
+    """Shard of each item (bytes, tokens, rows) by the weighted dot-product rule.
 
     All are measured as parts of a shard's fair share.  The residual capacity
     of a shard that is already beyond its share in some dimension is negative
@@ -45,10 +50,9 @@ def place(items: list[tuple[int, int, int]], shards: int) -> list[int]:
     free = [[1.0] * 3 for _ in range(shards)]
     chosen = [0] * len(items)
     for i in sorted(range(len(items)), key=lambda i: (-max(vectors[i]), i)):
-        a, b, c = vectors[i]
-        best = max(range(shards), key=lambda s: a * free[s][0] + b * free[s][1] + c * free[s][2])
-        room = free[best]
-        room[0], room[1], room[2] = room[0] - a, room[1] - b, room[2] - c
+        x, y, z = (v * w for v, w in zip(vectors[i], weights, strict=True))
+        best = max(range(shards), key=lambda s: x * free[s][0] + y * free[s][1] + z * free[s][2])
+        free[best] = [r - v for r, v in zip(free[best], vectors[i], strict=True)]
         chosen[i] = best
     return chosen
 
