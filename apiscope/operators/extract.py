@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,13 +19,27 @@ from ..functions import pii, urls
 from ..functions.core import (any_of, as_col, contains_any, exact_text, hinted, let,
                               match_positions, matches, non_null)
 
-_MASK = "\u0001\u0001"
+# Characters that would read as syntax after a backslash, and the two letters
+# (Unicode noncharacters, so in no text) that stand for the pair meanwhile.
+_ESCAPED = "\\\"'`\n$/*#"
+_FILLER = "\ufdef"
+_MASKS = [("\\" + c, chr(0xFDD0 + i) + _FILLER) for i, c in enumerate(_ESCAPED)]
 
 
-def unescaped(text: Column | str) -> Column:
-    """Backslash escapes blanked out, length unchanged."""
+def masked(text: Column | str) -> Column:
+    """Escapes that could be taken for syntax hidden, length unchanged.
+
+    Backslashes pair from the left, so the doubled one is hidden first.
+    """
     t = as_col(text)
-    return F.when(t.contains("\\"), F.regexp_replace(t, r"\\[\s\S]", _MASK)).otherwise(t)
+    hidden = reduce(lambda x, m: F.replace(x, F.lit(m[0]), F.lit(m[1])), _MASKS, t)
+    return F.when(t.contains("\\"), hidden).otherwise(t)
+
+
+def restored(value: Column) -> Column:
+    """A piece of masked text as it stands in the source."""
+    shown = reduce(lambda x, m: F.replace(x, F.lit(m[1]), F.lit(m[0])), _MASKS, value)
+    return F.when(value.contains(_FILLER), shown).otherwise(value)
 
 
 def language_of(path: Column | str) -> Column:
@@ -46,7 +61,7 @@ def _literals(text: Column, dialect: str) -> Column:
     comment = {"js": ("//", "/*"), "py": ("#",), "html": ("<!--",)}[dialect]
     return match_positions(
         text, rules.LITERALS[dialect],
-        keep=lambda m: ~_starts_with_any(m, comment) & urls.is_api_url(_unquoted(m)))
+        keep=lambda m: ~_starts_with_any(m, comment) & urls.is_api_url(restored(_unquoted(m))))
 
 
 def _starts_with_any(text: Column, words: Sequence[str]) -> Column:
@@ -65,11 +80,12 @@ def literal_rows(text: Column, language: Column) -> Column:
     lang = dialect_of(language)
     # a text without any of the path words holds no API URL in any dialect
     promising = text.rlike(r"(?i)/(?:api|v\d|graphql|rest|ws|auth|admin|user|public)")
-    found = let(unescaped(text), lambda t: F.when(lang == "js", _literals(t, "js"))
+    found = let(masked(text), lambda t: F.when(lang == "js", _literals(t, "js"))
                 .when(lang == "py", _literals(t, "py")).otherwise(_literals(t, "html")))
     # all that needs the text happens before the explode, so no row carries it
     return F.when(promising, F.transform(found, lambda x: F.struct(
-        _unquoted(exact_text(text, x["m"], x["at"])).alias("url"), x["line"], x["column"])))
+        restored(_unquoted(exact_text(masked(text), x["m"], x["at"]))).alias("url"),
+        x["line"], x["column"])))
 
 
 def literal_endpoints(files: DataFrame, *, path: str = "file", text: str = "text",
@@ -85,54 +101,26 @@ def as_literal_endpoints(rows: DataFrame) -> DataFrame:
                        urls.snippet("url").alias("context"), F.lit("literal").alias("match_kind"))
 
 
-def _starts_with_any(text: Column, words: Sequence[str]) -> Column:
-    test = F.lit(False)
-    for w in words:
-        test = test | text.startswith(w)
-    return test
-
-
-def _unquoted(literal: Column) -> Column:
-    return F.regexp_replace(literal, "^['\"`]+|['\"`]+$", "")
-
-
-def literal_endpoints(files: DataFrame, *, path: str = "file", text: str = "text",
-                      language: str = "language") -> DataFrame:
-    """String literals that look like API URLs, with line, column and context."""
-    raw, lang = F.col(text), dialect_of(language)
-    # a text without any of the path words holds no API URL in any dialect
-    promising = raw.rlike(r"(?i)/(?:api|v\d|graphql|rest|ws|auth|admin|user|public)")
-    clean = unescaped(raw)
-    found = let(clean, lambda t: F.when(lang == "js", _literals(t, "js"))
-                .when(lang == "py", _literals(t, "py")).otherwise(_literals(t, "html")))
-    # all that needs the text happens before the explode, so no row carries it
-    placed = F.transform(found, lambda x: F.struct(
-        _unquoted(exact_text(raw, x["m"], x["at"])).alias("url"), F.lit("GET").alias("method"),
-        x["line"].alias("line"), x["column"].alias("column")))
-    return (
-        files.select(F.col(path).alias("file"), F.inline(F.when(promising, placed)))
-        .withColumn("context", urls.snippet("url"))
-        .withColumn("match_kind", F.lit("literal"))
-    )
-
-
 def verb_of(name: Column | str) -> Column:
     """HTTP verb named by a method, GET for any other name."""
     verb = F.upper(as_col(name))
     return F.when(verb.isin(*rules.INFERRED_VERBS), verb).otherwise(F.lit("GET"))
 
 
+def by_client(language: Column, choose) -> Column:
+    """``choose(family)`` of the language's client names; NULL without any."""
+    return (F.when(language == "typescript", choose("ts")).when(language == "javascript", choose("js"))
+            .when(language == "python", choose("py")))
+
+
 def call_rows(text: Column, language: Column) -> Column:
     """array<struct<function, argument>> of the client calls; NULL for other languages."""
-    dialect = dialect_of(language)
-
     def calls(t: Column, pattern: str) -> Column:
         return F.transform(matches(t, pattern), lambda m: F.struct(
             F.regexp_extract(m, pattern, 1).alias("function"),
-            F.regexp_extract(m, pattern, 2).alias("argument")))
+            restored(F.regexp_extract(m, pattern, 2)).alias("argument")))
 
-    return let(unescaped(text), lambda t: F.when(dialect == "js", calls(t, rules.CALL_SITES["js"]))
-               .when(dialect == "py", calls(t, rules.CALL_SITES["py"])))
+    return let(masked(text), lambda t: by_client(language, lambda k: calls(t, rules.CALL_SITES[k])))
 
 
 def call_sites(files: DataFrame, *, path: str = "file", text: str = "text",
@@ -152,8 +140,8 @@ def call_sites(files: DataFrame, *, path: str = "file", text: str = "text",
 def as_call_sites(rows: DataFrame) -> DataFrame:
     arg = F.col("argument")
     kind = (
-        F.when(arg.rlike(r"^(?:\"[^\"]*\"|'[^']*')$"), F.lit("literal"))
-        .when(arg.rlike(r"^`[^`]*`$"), F.lit("template"))
+        F.when(arg.rlike(r"(?s)^(?:\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+')$"), F.lit("literal"))
+        .when(arg.rlike(r"(?s)^`(?:[^`\\]|\\.)*+`$"), F.lit("template"))
         .when(arg.rlike(r"^[A-Za-z_$][\w$]*$"), F.lit("name"))
         .when(arg.rlike(r"^[A-Za-z_$][\w$.]*$"), F.lit("member"))
         .otherwise(F.lit("concat"))
@@ -168,7 +156,7 @@ def call_endpoints(files: DataFrame, **columns: str) -> DataFrame:
 
 
 def literal_calls(calls: DataFrame) -> DataFrame:
-    url = _unquoted(F.col("argument"))
+    url = restored(_unquoted(masked("argument")))
     return (
         calls.where(F.col("arg_kind").isin("literal", "template"))
         .select("file", "ord", url.alias("url"), F.col("verb").alias("method"),
@@ -198,12 +186,12 @@ def shaped_calls(files: DataFrame, shapes: Sequence[tuple] = rules.SHAPES, *,
                 i.alias("ord"),
                 (F.upper(F.regexp_extract(m, pattern, verb_group)) if verb_group
                  else F.lit("GET")).alias("verb"),
-                _unquoted(F.regexp_replace(F.regexp_extract(m, pattern, url_group),
-                                           r"^[rbufRBUF]+", "")).alias("url"),
+                restored(_unquoted(F.regexp_replace(F.regexp_extract(m, pattern, url_group),
+                                                    r"^[rbufRBUF]+", ""))).alias("url"),
             ))
         return F.when((dialect == family) & contains_any(t, words), found).otherwise(none)
 
-    every = let(unescaped(text), lambda t: F.concat(*[hits(t, s) for s in shapes]))
+    every = let(masked(text), lambda t: F.concat(*[hits(t, s) for s in shapes]))
     return (
         files.select(F.col(path).alias("file"), F.inline(every))
         .withColumn("verb", F.when(F.col("verb").isin(*rules.HTTP_METHODS), F.col("verb"))
@@ -212,7 +200,7 @@ def shaped_calls(files: DataFrame, shapes: Sequence[tuple] = rules.SHAPES, *,
 
 
 def inline_scripts(pages: DataFrame, *, key: str = "page_id", html: str = "html",
-                   min_len: int = rules.MIN_INLINE_SCRIPT) -> DataFrame:
+                   min_len: int) -> DataFrame:
     """Script elements without ``src`` and with more than ``min_len`` characters."""
     element = r"(?is)<script\b([^>]*)>(.*?)</script>"
     both = F.arrays_zip(matches(F.col(html), element, 1).alias("attrs"),
@@ -252,8 +240,8 @@ def script_assets(responses: DataFrame, *, url: str = "url",
     return responses.where(by_type | u.endswith(".js") | u.contains(".js?"))
 
 
-def within_size(assets: DataFrame, *, length: str = "content_length",
-                max_mb: float = rules.MAX_SCRIPT_MB) -> DataFrame:
+def within_size(assets: DataFrame, *, max_mb: float,
+                length: str = "content_length") -> DataFrame:
     """Drop assets whose declared length is over the limit; unknown passes."""
     size = F.col(length)
     return assets.where(size.isNull() | (size / (1024 * 1024) <= max_mb))

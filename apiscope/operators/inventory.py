@@ -225,11 +225,12 @@ def version_siblings(inventory: DataFrame, *, url: str = "url",
 
 
 def select_captures(captures: DataFrame, as_of: Column, *, months: int = rules.ARCHIVE_MONTHS,
-                    limit: int = rules.ARCHIVE_LIMIT) -> DataFrame:
-    """Successful captures of the period, first per URL, at most ``limit``.
+                    per_domain: int | None = None, domain: str = "host") -> DataFrame:
+    """Successful captures of the period, first per URL.
 
-    The URL key ignores scheme, ``www.`` and case.  The final limit is a top-n
-    over partial top-n lists.
+    The URL key ignores scheme, ``www.`` and case.  With ``per_domain`` only
+    that many URLs of each ``domain``, the first in order, are kept: a top-n
+    cut in every partition before the shuffle.
     """
     key = F.regexp_replace(F.lower("original_url"), r"^https?://(?:www\d*\.)?", "")
     day = F.substring("timestamp", 1, 8)
@@ -237,7 +238,11 @@ def select_captures(captures: DataFrame, as_of: Column, *, months: int = rules.A
     end = F.date_format(as_of, "yyyyMMdd")
     kept = (captures.where((F.col("status_code") == 200) & day.between(start, end))
             .withColumn("url_key", key))
-    first = (kept.groupBy("url_key").agg(F.min_by(
+    keys = ["url_key"] if per_domain is None else ["url_key", domain]
+    first = (kept.groupBy(*keys).agg(F.min_by(
         F.struct("timestamp", "original_url", "mime_type", "status_code"),
-        F.struct("timestamp", "original_url")).alias("r")).select("url_key", "r.*"))
-    return first.orderBy("url_key").limit(limit)
+        F.struct("timestamp", "original_url")).alias("r")).select(*keys, "r.*"))
+    if per_domain is None:
+        return first
+    place = F.row_number().over(Window.partitionBy(domain).orderBy("url_key"))
+    return first.withColumn("_n", place).where(F.col("_n") <= per_domain).drop("_n")

@@ -7,9 +7,10 @@ bucket is reduced to one summary row, and only the summaries are windowed per
 key to find what carries into the next bucket.  The rows are shuffled by (key,
 bucket); ``backoff`` reads its windowed rows a second time for the summaries,
 from the same shuffle or, if the caller keeps more columns, from a narrow one.
-The bucket width never changes a result; by default it is
-chosen from the number of rows and their time span, so that a bucket of all
-keys together holds about ``ROWS_PER_BUCKET`` rows.
+Buckets never change a result.  Only keys with more than ``ROWS_PER_BUCKET`` rows
+have more than one: such a key is cut at approximate quantiles of its own times,
+so neither an outlier nor a burst leaves a bucket much larger than the others.
+All of it is part of the plan; nothing runs while the plan is built.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .. import rules
 
 _LIMITED = 429
 ROWS_PER_BUCKET = 1_000_000
+#: buckets of a key with more rows than that
+CUTS = 128
 
 
 def _seconds(ts: Column) -> Column:
@@ -28,27 +31,25 @@ def _seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
 
 
-def bucket_width(log: DataFrame, ts: str = "ts",
-                 rows_per_bucket: int = ROWS_PER_BUCKET) -> float:
-    """Seconds per bucket, from one aggregate over the time column alone."""
-    t = _seconds(F.col(ts))
-    n, first, last = log.agg(F.count(F.lit(1)), F.min(t), F.max(t)).first()
-    span = (last - first) if n else 0.0
-    return max(span * rows_per_bucket / max(n, 1), 1.0)
-
-
-def _bucketed(log: DataFrame, key: str, ts: str, width: float | None) -> DataFrame:
+def _bucketed(log: DataFrame, key: str, ts: str, rows_per_bucket: int) -> DataFrame:
     """Adds ``_t`` and the group ``_g``, a struct of key and bucket.
 
     The struct is never NULL, so the self-joins on it add no NULL filter that
     would keep Spark from reusing one shuffle of the rows for both sides, and
-    rows without a key form a group like any other.
+    rows without a key form a group like any other.  The table of cuts is
+    broadcast: it has at most rows / ``rows_per_bucket`` rows, the hot keys.
     """
-    if width is None:
-        width = bucket_width(log, ts)
-    t = _seconds(F.col(ts))
-    return log.withColumn("_t", t).withColumn(
-        "_g", F.struct(F.col(key).alias("k"), F.floor(t / F.lit(float(width))).alias("b")))
+    timed = log.withColumn("_t", _seconds(F.col(ts)))
+    narrow = timed.select(F.col(key).alias("_k"), "_t")
+    hot = narrow.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(
+        F.col("_n") > rows_per_bucket).select(F.col("_k").alias("_hot"))
+    quantiles = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
+    cuts = narrow.join(F.broadcast(hot), F.col("_k").eqNullSafe(F.col("_hot"))).groupBy("_hot").agg(
+        F.percentile_approx("_t", quantiles, F.lit(100 * CUTS)).alias("_cuts"))
+    bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_t"))), F.lit(0))
+    return timed.join(F.broadcast(cuts), F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn(
+        "_g", F.struct(F.col(key).alias("k"), F.when(F.col("_cuts").isNull(), F.lit(0))
+                       .otherwise(bucket).alias("b"))).drop("_hot", "_cuts")
 
 
 def _ttl(default_ttl: int) -> Column:
@@ -58,12 +59,12 @@ def _ttl(default_ttl: int) -> Column:
 
 def exposure(log: DataFrame, *, key: str = "key", ts: str = "ts", order: str = "ord",
              default_ttl: int = rules.RATE_LIMIT_TTL,
-             bucket_seconds: float | None = None) -> DataFrame:
+             rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Was the key still blocked by its latest earlier 429, and for how long.
 
     Adds ``blocked`` and ``remaining_seconds`` (0 if not blocked).
     """
-    rows = _bucketed(log, key, ts, bucket_seconds).withColumn(
+    rows = _bucketed(log, key, ts, rows_per_bucket).withColumn(
         "_until", F.when(F.col("status_code") == _LIMITED, F.col("_t") + _ttl(default_ttl)))
     # every bucket of the key needs its carry, also one without a 429 (NULL)
     buckets = rows.groupBy("_g").agg(F.max_by("_until", F.when(
@@ -98,14 +99,14 @@ def blocked_keys(log: DataFrame, at: Column, *, key: str = "key", ts: str = "ts"
 
 def backoff(log: DataFrame, *, key: str = "key", ts: str = "ts", order: str = "ord",
             multiplier: float = rules.BACKOFF_MULTIPLIER, cap: float = rules.BACKOFF_CAP,
-            bucket_seconds: float | None = None) -> DataFrame:
+            rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Back-off level per response: the k-th 429 in a row gives
     ``least(multiplier^k, cap)``; any other response resets it to 1.
 
     Adds ``run`` (429s in a row up to this one) and ``backoff_seconds``.
     """
     limited = (F.col("status_code") == _LIMITED).cast("bigint")
-    rows = _bucketed(log, key, ts, bucket_seconds).withColumn("_hit", limited)
+    rows = _bucketed(log, key, ts, rows_per_bucket).withColumn("_hit", limited)
     inside = Window.partitionBy("_g").orderBy("_t", order).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     island = Window.partitionBy("_g", "_resets").orderBy("_t", order).rowsBetween(

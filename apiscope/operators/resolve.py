@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions.core import let, matches
 from ..functions.urls import is_api_url
-from .extract import (as_call_sites, as_literal_endpoints, call_rows, call_sites, dialect_of,
-                      literal_rows, unescaped)
+from .extract import (as_call_sites, as_literal_endpoints, by_client, call_rows, call_sites,
+                      literal_rows, masked, restored)
 
 
 def definition_rows(text: Column) -> Column:
@@ -44,9 +44,8 @@ def needs_resolution(text: str = "text", language: str = "language") -> Column:
     Most files of a corpus have none, so their definitions are neither
     extracted nor shuffled.
     """
-    dialect, t = dialect_of(language), unescaped(text)
-    return (F.when(dialect == "js", t.rlike(rules.UNRESOLVED_CALLS["js"]))
-            .when(dialect == "py", t.rlike(rules.UNRESOLVED_CALLS["py"])))
+    t = masked(text)
+    return by_client(F.col(language), lambda k: t.rlike(rules.UNRESOLVED_CALLS[k]))
 
 
 def _definitions_for_calls(files: DataFrame, columns: dict) -> DataFrame:
@@ -65,55 +64,58 @@ def resolve_names(refs: DataFrame, defs: DataFrame) -> DataFrame:
     return refs.join(resolved_names(defs), ["file", "name"], "left")
 
 
-def _operands(chain: Column, max_depth: int) -> Column:
-    """Operands of a ``+`` chain that lie within the nesting limit.
+def _operands(chain: Column) -> Column:
+    """Operands of a ``+`` chain with the depth of each.
 
     ``a + b + c`` nests to the left, so the last operand is at depth 1 and the
     first one deepest; a name costs one level more than a literal.
     """
 
-    def kept(ops: Column) -> Column:
+    def numbered(ops: Column) -> Column:
         n = F.size(ops)
-        numbered = F.transform(ops, lambda o, i: F.struct(
-            i.alias("pos"), o.alias("op"),
-            F.when(i == 0, n - 1).otherwise(n - i).alias("depth")))
-        return F.filter(numbered, lambda x: x["depth"] + F.when(
-            x["op"].rlike("^[\"'`]"), F.lit(0)).otherwise(F.lit(1)) < max_depth)
+        return F.transform(ops, lambda o, i: F.struct(
+            i.alias("pos"), restored(o).alias("op"),
+            (F.when(i == 0, n - 1).otherwise(n - i)
+             + F.when(o.rlike("^[\"'`]"), F.lit(0)).otherwise(F.lit(1))).alias("depth")))
 
-    return let(matches(chain, rules.OPERAND), kept)
+    return let(matches(masked(chain), rules.OPERAND), numbered)
 
 
-def resolve_concats(files: DataFrame, *, max_depth: int = rules.MAX_RESOLUTION_DEPTH,
+def resolve_concats(files: DataFrame, *, max_depth: int | None = None,
                     kinds: tuple = ("concat",), **columns: str) -> DataFrame:
     """Client calls whose first argument is a ``+`` chain, resolved."""
     return resolve_chains(call_sites(files, **columns), _definitions_for_calls(files, columns),
                           max_depth=max_depth, kinds=kinds)
 
 
-def resolve_chains(calls: DataFrame, defs: DataFrame, *,
-                   max_depth: int = rules.MAX_RESOLUTION_DEPTH,
+def resolve_chains(calls: DataFrame, defs: DataFrame, *, max_depth: int | None = None,
                    kinds: tuple = ("concat",)) -> DataFrame:
     """As ``resolve_concats`` for given calls and definitions.
 
     Unresolved operands are skipped; a chain with none resolved is dropped.
-    The re-assembly collects at most ``max_depth`` operands per call.
+    Chains are resolved whole, however long.  With ``max_depth`` a chain that
+    nests deeper has no URL, and ``too_deep`` says so.  Operands are shuffled;
+    the argument goes along with the first of them only.
     """
     parts = calls.where(F.col("arg_kind").isin(*kinds)).select(
-        "file", "ord", "verb", "argument", F.inline(_operands(F.col("argument"), max_depth)))
+        "file", "ord", "verb", "argument", F.inline(_operands(F.col("argument"))))
     is_literal = F.col("op").rlike("^[\"'`]")
-    names = parts.withColumn("name", F.when(~is_literal, F.col("op")))
-    values = resolve_names(names, defs).withColumn(
-        "part", F.when(is_literal, F.regexp_replace("op", "^['\"`]+|['\"`]+$", ""))
-        .otherwise(F.col("value")))
+    names = parts.select("file", "ord", "verb", "pos", "depth",
+                         F.when(F.col("pos") == 0, F.col("argument")).alias("argument"),
+                         F.when(~is_literal, F.col("op")).alias("name"),
+                         F.when(is_literal, restored(F.regexp_replace(
+                             masked("op"), "^['\"`]+|['\"`]+$", ""))).alias("fixed"))
+    part = F.coalesce("fixed", "value")
+    deep = F.lit(False) if max_depth is None else F.max("depth") >= max_depth
     return (
-        values.groupBy("file", "ord", "verb", "argument")
-        .agg(F.collect_list(F.when(F.col("part").isNotNull(), F.struct("pos", "part")))
+        resolve_names(names, defs).groupBy("file", "ord", "verb")
+        .agg(F.max("argument").alias("argument"), deep.alias("too_deep"),
+             F.collect_list(F.when(part.isNotNull(), F.struct("pos", part.alias("part"))))
              .alias("got"))
         .where(F.size("got") > 0)
-        .select("file", "ord", "verb", "argument",
-                F.array_join(F.transform(F.array_sort("got"), lambda g: g["part"]), "")
-                .alias("url"))
-    )
+        .select("file", "ord", "verb", "argument", "too_deep",
+                F.when(~F.col("too_deep"), F.array_join(F.transform(
+                    F.array_sort("got"), lambda g: g["part"]), "")).alias("url")))
 
 
 def _without_language(columns: dict) -> dict:
@@ -135,14 +137,14 @@ def resolve_templates(files: DataFrame, *, path: str = "file", text: str = "text
     re-assembly is bounded by the literal itself.
     """
     hole = r"\$\{[^}]*\}"
-    found = F.filter(matches(unescaped(text), rules.LITERALS["js"]),
+    found = F.filter(matches(masked(text), rules.LITERALS["js"]),
                      lambda m: m.startswith("`") & m.contains("${"))
     templates = files.select(F.col(path).alias("file"),
                              F.posexplode(found).alias("ord", "raw")) \
         .withColumn("template", F.expr("substring(raw, 2, length(raw) - 2)"))
     pieces = F.concat(
         F.transform(F.split("template", hole, -1),
-                    lambda s, i: F.struct((i * 2).alias("pos"), s.alias("fixed"),
+                    lambda s, i: F.struct((i * 2).alias("pos"), restored(s).alias("fixed"),
                                           F.lit(None).cast("string").alias("name"))),
         F.transform(matches(F.col("template"), hole),
                     lambda h, i: F.struct(
@@ -150,14 +152,17 @@ def resolve_templates(files: DataFrame, *, path: str = "file", text: str = "text
                         F.nullif(F.regexp_extract(h, r"^\$\{\s*([A-Za-z_$][\w$]*)\s*\}$", 1),
                                  F.lit("")).alias("name"))),
     )
-    parts = templates.select("file", "ord", "template", F.inline(pieces))
+    # pieces are shuffled; the literal itself goes along with the first of them only
+    parts = templates.select("file", "ord", "template", F.inline(pieces)).withColumn(
+        "template", F.when(F.col("pos") == 0, restored(F.col("template"))))
     defs = definitions(files, path=path, text=text, only=F.col(text).contains("${"))
     joined = resolve_names(parts, defs)
     filled = F.when(F.col("name").isNull(), F.col("fixed")) \
         .otherwise(F.coalesce("value", F.lit("${...}")))
     return (
-        joined.groupBy("file", "ord", "template")
-        .agg(F.collect_list(F.struct("pos", filled.alias("part"))).alias("got"))
+        joined.groupBy("file", "ord")
+        .agg(F.max("template").alias("template"),
+             F.collect_list(F.struct("pos", filled.alias("part"))).alias("got"))
         .select("file", "ord", "template",
                 F.array_join(F.transform(F.array_sort("got"), lambda g: g["part"]), "")
                 .alias("resolved"))

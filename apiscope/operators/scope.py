@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -46,35 +46,65 @@ def rejection_log(inventory: DataFrame, allowed: Sequence[str] = (),
     return out.select(F.col(url).alias("url"), "reason")
 
 
-def scope_check_by_table(inventory: DataFrame, patterns: DataFrame, *,
-                         url: str = "url") -> DataFrame:
+def _glob_regex(key: Column) -> Column:
+    """As ``urls.glob_regex``, for a column of normalised globs."""
+    plain = F.regexp_replace(key, r"\[(?![^\]]+\])", "\u0001")  # a bracket that never closes
+    escaped = F.regexp_replace(plain, r"([.^$+(){}|\\])", r"\\$1")
+    regex = F.replace(F.replace(F.replace(escaped, F.lit("*"), F.lit(".*")),
+                                F.lit("?"), F.lit(".")), F.lit("[!"), F.lit("[^"))
+    return F.concat(F.lit("(?s)^"), F.replace(regex, F.lit("\u0001"), F.lit("\\[")), F.lit("$"))
+
+
+def scope_check_by_table(inventory: DataFrame, patterns: DataFrame, *, url: str = "url",
+                         position: str | None = None, allow_ip: bool = False,
+                         block_internal: bool = True) -> DataFrame:
     """Scope check against a large pattern table ``(pattern, action)``.
 
-    ``action`` is 'allow' or 'deny'; a pattern is a host name or ``*.suffix``.
-    The verdict is computed once per distinct host: each host is exploded into
-    its own name and its parent suffixes, joined by equality with the
-    patterns, and reduced again.  No pattern is compared with every host.
+    ``action`` is 'allow' or 'deny'; a pattern is any glob of the list form.
+    The verdict is computed once per distinct host.  Host names and ``*.suffix``
+    are found by equality with the host and its parents.  Any other glob is
+    compared only with hosts that hold the first three characters of its longest
+    plain run; one without a run of three (such as ``*``) is an error, since it
+    would have to be compared with every host.  The reason names the first
+    pattern by ``position``, else the first in alphabetical order.
     """
-    valid = inventory.withColumn("_v", urls.validate(url))
+    valid = inventory.withColumn("_v", urls.validate(url, allow_ip=allow_ip,
+                                                     block_internal=block_internal))
     hosts = valid.where("_v.ok").select(F.col("_v.domain").alias("domain")).distinct()
     labels = F.split("domain", r"\.")
-    keys = F.concat(
-        F.array(F.col("domain")),
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(
-            F.lit("*."), F.array_join(F.slice(labels, i + 1, F.size(labels)), "."))))
-    candidates = hosts.select("domain", F.explode(keys).alias("key"))
-    rules_ = patterns.select(
-        F.regexp_replace(F.regexp_replace(F.lower("pattern"), "^https?://", ""), "/+$", "")
-        .alias("key"), "action").distinct()
-    hits = candidates.join(rules_, "key").groupBy("domain").agg(
-        F.min(F.when(F.col("action") == "deny", F.col("key"))).alias("deny"),
+    parents = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat(
+        F.lit("*."), F.array_join(F.slice(labels, i + 1, F.size(labels)), ".")))
+    candidates = hosts.select("domain", F.explode(F.concat(
+        F.array(F.col("domain")), parents)).alias("key"))
+    listed = patterns.select(
+        F.regexp_replace(F.lower(F.regexp_replace("pattern", "^https?://", "")), "/+$", "")
+        .alias("key"), "action",
+        (F.lit(0) if position is None else F.col(position)).alias("position"))
+    simple = ~F.regexp_replace("key", r"^\*\.", "").rlike(r"[*?\[]")
+    by_key = candidates.join(listed.where(simple), "key").select(
+        "domain", "key", "action", "position")
+
+    run = F.array_max(F.transform(F.split("key", r"\[[^\]]+\]|[*?]"), lambda r: F.struct(
+        F.length(r).alias("n"), r.alias("run"))))
+    globs = listed.where(~simple).withColumn("_run", run).withColumn("start", F.when(
+        F.col("_run.n") >= 3, F.substring("_run.run", 1, 3)).otherwise(F.raise_error(F.concat(
+            F.lit("too general for a pattern table: "), F.col("key")))))
+    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.length("domain") - 2, F.lit(1))),
+                          lambda i: F.substring("domain", i, F.lit(3)))
+    by_run = hosts.select("domain", F.explode(F.array_distinct(triples)).alias("start")).join(
+        globs.select("key", "action", "position", "start", _glob_regex(F.col("key")).alias("regex")),
+        "start").where(F.rlike("domain", F.col("regex"))).select(
+        "domain", "key", "action", "position")
+
+    hits = by_key.unionAll(by_run).groupBy("domain").agg(
+        F.min(F.when(F.col("action") == "deny", F.struct("position", "key"))).alias("deny"),
         F.bool_or(F.col("action") == "allow").alias("allow"))
-    has_allow = bool(patterns.where(F.col("action") == "allow").take(1))
+    has_allow = listed.agg(F.coalesce(F.bool_or(F.col("action") == "allow"), F.lit(False))).scalar()
     verdicts = hosts.join(hits, "domain", "left").select(
         F.col("domain").alias("_d"),
         F.when(F.col("deny").isNotNull(),
-               F.concat(F.lit("Matched blocked pattern: "), F.col("deny")))
-        .when(F.lit(has_allow) & ~F.coalesce("allow", F.lit(False)),
+               F.concat(F.lit("Matched blocked pattern: "), F.col("deny.key")))
+        .when(has_allow & ~F.coalesce("allow", F.lit(False)),
               F.lit("Not in allowed domains list"))
         .otherwise(F.lit("")).alias("_r"))
     return (

@@ -80,6 +80,9 @@ _SOURCE_LINES = [
     "'router.delete(\"/api/v1/route/' || num || '\", handler);'",
     "'  request(TPL); api.get(cfg.list); load().put(\"/ws/' || num || '\");'",
     "'fetch(MISSING + \"/api/tail/' || num || '\" + USERS);'",
+    "'fetch(\"/api/a' || chr(92) || '/b/' || num || '\");'",
+    "'axios.get(\"/api/it' || chr(92) || '\"s/' || num || '\"); httpClient(\"/api/one/' || num || '\");'",
+    "'fetch(\"/api/p0/' || num || '\" + ' || repeat('USERS + \"/k\" + ', 9) || 'USERS);'",
     "'//# sourceMappingURL=../maps/' || lang || '.js.map'",
 ]
 _PYTHON_LINES = [
@@ -95,6 +98,8 @@ _PYTHON_LINES = [
     "'@app.route(\"/api/v1/route/' || num || '\")'",
     "'@app.post(''/graphql/' || lang || ''')'",
     "'    path(r\"/api/v5/django/' || num || '\", view),'",
+    "'    re_path(r\"^api/v1/users/(' || chr(92) || 'd+)/' || num || '/$\", view),'",
+    "'requests.get(\"/api/it' || chr(92) || '\"s/' || num || '\")'",
 ]
 
 _SOURCES = f"""

@@ -58,14 +58,6 @@ def f26(spark, sf):
         "spec_id", "path", "method", "summary", "deprecated", F.array_join("tags", ",").alias("tags"))
 
 
-@query("A3_yaml_specs", _OPS, ("spec_docs",))
-def a3_yaml(spark, sf):
-    # JSON is YAML: the same documents read through the YAML route
-    docs = table(spark, sf, "spec_docs").withColumn("format", F.lit("yaml"))
-    return specs.spec_endpoints(specs.spec_documents(docs)).select(
-        "spec_id", "path", "method", "summary", "deprecated", F.array_join("tags", ",").alias("tags"))
-
-
 @query("A4_report_endpoints", """
 SELECT 's' || page_id AS scan_id, 0::BIGINT AS ord, '/api/v1/' || num AS url, 'POST' AS method,
   'verified' AS status, 'a.js' AS file, CAST(v AS BIGINT) AS line FROM page_parts

@@ -3,6 +3,7 @@ table and returns what the stream wrote."""
 
 from __future__ import annotations
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from ..operators import extract, inventory
@@ -11,22 +12,36 @@ from ..streaming import stream
 from . import inputs
 from .registry import query, table
 from .table_queries import _EXPOSURE
-from .text_queries import SECRETS
+from .text_queries import ENDPOINTS, SECRETS, SRC
 from .url_queries import SIGNATURE
 
 
-def streamed(spark, sf, name: str):
-    """A given table as a stream of its file; derived tables on top of it."""
+def split(spark, sf, name: str, order: str, slices: int = 4) -> tuple[str, int]:
+    """A given table as files written slice after slice, in ``order``; files in a slice."""
+    rows = table(spark, sf, name).withColumn("_o", F.expr(order))
+    cuts = rows.stat.approxQuantile("_o", [i / slices for i in range(1, slices)], 0.01)
+    edges = [None, *cuts, None]
+    path = work_path(spark, f"stream-{name}")
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        part = rows if low is None else rows.where(F.col("_o") >= low)
+        part = part if high is None else part.where(F.col("_o") < high)
+        part.drop("_o").write.mode("append").parquet(path)
+    return path, -(-len(spark.read.parquet(path).inputFiles()) // slices)
+
+
+def streamed(spark, sf, name: str, order: str):
+    """A table as a stream of several micro-batches; derived tables on top of it."""
     if name in inputs.DERIVED:
         needs, text = inputs.DERIVED[name]
-        return spark.sql(text, **{n: streamed(spark, sf, n) for n in needs})
-    schema = table(spark, sf, name).schema
-    return stream.read_stream(spark, sf, schema, glob=f"{name}.parquet")
+        return spark.sql(text, **{n: streamed(spark, sf, n, order) for n in needs})
+    path, files = split(spark, sf, name, order)
+    return stream.read_stream(spark, path, table(spark, sf, name).schema, files_per_batch=files)
 
 
 @query("G1_incremental_scan", SECRETS)
 def g1(spark, sf):
-    docs = streamed(spark, sf, "documents").select(F.col("doc_id").alias("file"), "text")
+    docs = streamed(spark, sf, "documents", "CAST(doc_id AS DOUBLE)").select(
+        F.col("doc_id").alias("file"), "text")
     out = work_path(spark, "g1")
     stream.run_to_table(extract.secrets(docs), out, work_path(spark, "g1-checkpoint"))
     return spark.read.parquet(out).select(
@@ -34,10 +49,24 @@ def g1(spark, sf):
         F.col("line").cast("bigint").alias("line"), F.col("column").cast("bigint").alias("column"))
 
 
+@query("G1_incremental_endpoints", ENDPOINTS, SRC)
+def g1_endpoints(spark, sf):
+    rows = extract.literal_endpoints(streamed(spark, sf, "sources", "CAST(page_id AS DOUBLE)"))
+    out = work_path(spark, "g1e")
+    stream.run_to_table(rows, out, work_path(spark, "g1e-checkpoint"))
+    return spark.read.parquet(out).select(
+        "file", "url", F.col("line").cast("bigint").alias("line"),
+        F.col("column").cast("bigint").alias("column"), "context")
+
+
+# rows of the log arrive up to 599 seconds out of order
+_ARRIVAL = "unix_micros(CAST(ts AS TIMESTAMP)) / 1e6 + pmod(event_id * 7919, 599)"
+
+
 @query("G2_stream_distinct", "SELECT DISTINCT key FROM request_log", ("request_log",))
 def g2(spark, sf):
     # the delay spans the log, so a key is new once
-    rows = streamed(spark, sf, "request_log").withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = streamed(spark, sf, "request_log", _ARRIVAL).withColumn("ts", F.col("ts").cast("timestamp"))
     out = work_path(spark, "g2")
     stream.run_to_table(stream.distinct_assets(rows, url="key", delay="400 days").select("key"),
                         out, work_path(spark, "g2-checkpoint"))
@@ -48,8 +77,8 @@ def g2(spark, sf):
 SELECT {SIGNATURE} AS signature, min(ord) AS ord FROM inventory GROUP BY 1""", ("inventory",))
 def g3(spark, sf):
     out = work_path(spark, "g3")
-    stream.run_batches(streamed(spark, sf, "inventory"), stream.new_endpoint_writer(spark, out),
-                       work_path(spark, "g3-checkpoint"))
+    stream.run_batches(streamed(spark, sf, "inventory", "CAST(page_id AS DOUBLE)"),
+                       stream.new_endpoint_writer(spark, out), work_path(spark, "g3-checkpoint"))
     return spark.read.parquet(out).select("signature", "ord")
 
 
@@ -96,7 +125,7 @@ def g4_session(spark, sf):
 def g5(spark, sf):
     out = work_path(spark, "g5")
     handle = stream.exposure_writer(spark, out, work_path(spark, "g5-state"), default_ttl=86400)
-    stream.run_batches(streamed(spark, sf, "request_log"), handle,
+    stream.run_batches(streamed(spark, sf, "request_log", _ARRIVAL), handle,
                        work_path(spark, "g5-checkpoint"))
     return spark.read.parquet(out).select("ord", "blocked", "remaining_seconds")
 
@@ -104,10 +133,19 @@ def g5(spark, sf):
 @query("G6_resume", f"SELECT {SIGNATURE} AS signature, count(*) AS n FROM inventory GROUP BY 1",
        ("inventory",))
 def g6(spark, sf):
+    """A batch fails after it has written; the restart runs it again and goes on."""
     out, mark = work_path(spark, "g6"), work_path(spark, "g6-checkpoint")
-    for _ in range(2):  # the second start finds its work done
-        rows = streamed(spark, sf, "inventory").select("method", "url")
-        stream.run_to_table(rows, out, mark)
+    rows = streamed(spark, sf, "inventory", "CAST(page_id AS DOUBLE)").select("method", "url")
+
+    def failing(batch, batch_id: int) -> None:
+        stream.write_batch(batch, out, batch_id)
+        if batch_id == 2:
+            raise RuntimeError("failed on purpose")
+
+    try:
+        stream.run_batches(rows, failing, mark)
+    except StreamingQueryException:
+        stream.run_batches(rows, lambda batch, i: stream.write_batch(batch, out, i), mark)
     signed = spark.read.parquet(out).select(
         inventory.urls.signature("method", "url").alias("signature"))
     return signed.groupBy("signature").agg(F.count(F.lit(1)).alias("n"))

@@ -172,8 +172,7 @@ WITH c AS (SELECT '2024' || lpad(CAST(page_id % 12 + 1 AS STRING), 2, '0') || '1
 SELECT url_key, r.timestamp AS timestamp, r.original_url AS original_url FROM (
   SELECT regexp_replace(lower(original_url), '^https?://(?:www\\d*\\.)?', '') AS url_key,
     min({timestamp: timestamp, original_url: original_url}) AS r FROM c
-  WHERE left(timestamp, 8) BETWEEN '20221212' AND '20241201' GROUP BY 1)
-ORDER BY url_key LIMIT 500""".replace("{timestamp:", "{'timestamp':").replace(", original_url:", ", 'original_url':"),
+  WHERE left(timestamp, 8) BETWEEN '20221212' AND '20241201' GROUP BY 1)""".replace("{timestamp:", "{'timestamp':").replace(", original_url:", ", 'original_url':"),
        ("page_parts",))
 def f10(spark, sf):
     captures = feeds.captures(table(spark, sf, "capture_index"))

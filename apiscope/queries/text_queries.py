@@ -15,8 +15,19 @@ SRC = ("sources",)
 PY = "language = 'python'"
 
 
-def unescaped(t: str) -> str:
-    return rf"regexp_replace({t}, '\\[\s\S]', chr(1) || chr(1), 'g')"
+_ESCAPES = "\\\"'`\n$/*#"
+
+
+def hidden(t: str, back: bool = False) -> str:
+    """Escapes that read as syntax replaced by pairs of private letters, or back."""
+    for i, c in enumerate(_ESCAPES):
+        pair = f"chr(92) || chr({ord(c)})", f"chr({57344 + i}) || chr(57400)"
+        t = f"replace({t}, {pair[back]}, {pair[not back]})"
+    return t
+
+
+def shown(t: str) -> str:
+    return hidden(t, back=True)
 
 
 def placed(table_name: str, key: str, text: str, pattern: str, group: int = 0,
@@ -48,20 +59,22 @@ def unquoted(m: str) -> str:
 
 # --- C1 -------------------------------------------------------------------
 def _literal_sql(dialect: str, where: str) -> str:
-    clean = f"(SELECT file, language, text, {unescaped('text')} AS t FROM sources)"
+    clean = f"(SELECT file, language, text, {hidden('text')} AS t FROM sources)"
     comment = {"js": "starts_with(m, '//') OR starts_with(m, '/*')", "py": "starts_with(m, '#')"}
     return f"""
-SELECT file, {unquoted('m')} AS url, {line_of('t')} AS line, {column_of('t')} AS "column",
-  left({unquoted('m')}, 100) AS context
+SELECT file, {shown(unquoted('m'))} AS url, {line_of('t')} AS line, {column_of('t')} AS "column",
+  left({shown(unquoted('m'))}, 100) AS context
 FROM ({placed(clean, 'file', 't', rules.LITERALS[dialect], where=where)})
-WHERE NOT ({comment[dialect]}) AND {is_api(unquoted('m'))}"""
+WHERE NOT ({comment[dialect]}) AND {is_api(shown(unquoted('m')))}"""
 
 
-@query("C1_literal_endpoints",
-       _literal_sql("js", "language <> 'python'") + "\nUNION ALL\n"
-       + _literal_sql("py", "language = 'python'"), SRC)
+ENDPOINTS = "\nUNION ALL\n".join([_literal_sql("js", "language <> 'python'"),
+                                   _literal_sql("py", "language = 'python'")])
+
+
+@query("C1_literal_endpoints", ENDPOINTS, SRC)
 def c1(spark, sf):
-    found = extract.literal_endpoints(table(spark, sf, "sources", "page_id"))
+    found = extract.literal_endpoints(table(spark, sf, "sources"))
     return found.select("file", "url", F.col("line").cast("bigint").alias("line"),
                         F.col("column").cast("bigint").alias("column"), "context")
 
@@ -71,7 +84,7 @@ SELECT count(*) FILTER (WHERE {is_api(unquoted('m'))}) AS api_literals FROM (
   SELECT unnest(regexp_extract_all(html, {lit(rules.LITERALS['html'])})) AS m FROM pages)
 WHERE NOT starts_with(m, '<!--')""")
 def c1_pages(spark, sf):
-    pages = table(spark, sf, "pages", "page_id").select(
+    pages = table(spark, sf, "pages").select(
         F.col("page_id").alias("file"), F.col("html").alias("text"),
         F.lit("html").alias("language"))
     return extract.literal_endpoints(pages).agg(F.count(F.lit(1)).alias("api_literals"))
@@ -84,39 +97,45 @@ def _calls_sql(dialect: str, where: str) -> str:
 SELECT file, i - 1 AS ord, regexp_extract(ms[i], {p}, 1) AS function,
   regexp_extract(ms[i], {p}, 2) AS argument
 FROM (SELECT file, ms, unnest(range(1, len(ms) + 1)) AS i FROM (
-    SELECT file, regexp_extract_all({unescaped('text')}, {p}) AS ms FROM sources WHERE {where}))"""
+    SELECT file, regexp_extract_all({hidden('text')}, {p}) AS ms FROM sources WHERE {where}))"""
 
 
 _LAST = "upper(split_part(function, '.', -1))"
 _VERB = f"CASE WHEN {_LAST} IN ('GET','POST','PUT','DELETE','PATCH') THEN {_LAST} ELSE 'GET' END"
-CALLS = (f"SELECT *, {_VERB} AS verb FROM ({_calls_sql('js', PY.replace('=', '<>'))}"
-         f" UNION ALL {_calls_sql('py', PY)})")
+# arguments with their escapes hidden
+CALLS = f"SELECT *, {_VERB} AS verb FROM (" + " UNION ALL ".join(
+    _calls_sql(k, f"language = '{v}'") for k, v in
+    (("js", "javascript"), ("ts", "typescript"), ("py", "python"))) + ")"
 
 
 @query("C2_call_endpoints", f"""
-SELECT file, {unquoted('argument')} AS url, verb AS method FROM ({CALLS})
-WHERE regexp_matches(argument, '^("[^"]*"|''[^'']*''|`[^`]*`)$') AND {is_api(unquoted('argument'))}""",
+SELECT file, {shown(unquoted('argument'))} AS url, verb AS method FROM ({CALLS})
+WHERE regexp_matches(argument, '^("[^"]*"|''[^'']*''|`[^`]*`)$')
+  AND {is_api(shown(unquoted('argument')))}""",
        SRC)
 def c2(spark, sf):
-    return extract.call_endpoints(table(spark, sf, "sources", "page_id")).select("file", "url", "method")
+    return extract.call_endpoints(table(spark, sf, "sources")).select("file", "url", "method")
 
 
 @query("C3_verb_inference", f"""
 SELECT function, verb, count(*) AS n FROM ({CALLS}) GROUP BY 1, 2""", SRC)
 def c3(spark, sf):
-    return (extract.call_sites(table(spark, sf, "sources", "page_id")).groupBy("function", "verb")
+    return (extract.call_sites(table(spark, sf, "sources")).groupBy("function", "verb")
             .agg(F.count(F.lit(1)).alias("n")))
 
 
 # --- C4, C5: one query per shape, all from the one-scan operator -----------
+_QUOTES = "'\"''`'"
+
+
 def _shape_sql(kind: str, family: str, pattern: str, verb_group: int, url_group: int) -> str:
     where = "language = 'python'" if family == "py" else "language <> 'python'"
     verb = f"upper(regexp_extract(m, {lit(pattern)}, {verb_group}))" if verb_group else "'GET'"
     url = f"regexp_extract(m, {lit(pattern)}, {url_group})"
     return f"""
 SELECT file, {lit(kind)} AS kind, CASE WHEN {verb} IN {in_list(rules.HTTP_METHODS)} THEN {verb}
-  ELSE 'GET' END AS verb, trim(regexp_replace({url}, '^[rbufRBUF]+', ''), '"''`') AS url
-FROM (SELECT file, unnest(regexp_extract_all({unescaped('text')}, {lit(pattern)})) AS m
+  ELSE 'GET' END AS verb, {shown(f"trim(regexp_replace({url}, '^[rbufRBUF]+', ''), {_QUOTES})")} AS url
+FROM (SELECT file, unnest(regexp_extract_all({hidden('text')}, {lit(pattern)})) AS m
       FROM sources WHERE {where})"""
 
 
@@ -125,7 +144,7 @@ def _register_shape(name: str, shape: tuple) -> None:
 
     @query(name, _shape_sql(kind, family, pattern, verb_group, url_group), SRC)
     def run(spark, sf):
-        return extract.shaped_calls(table(spark, sf, "sources", "page_id"), (shape,)).select(
+        return extract.shaped_calls(table(spark, sf, "sources"), (shape,)).select(
             "file", "kind", "verb", "url")
 
 
@@ -139,7 +158,7 @@ for _name, _shape in zip(
 
 @query("C4_C5_all_shapes", "\nUNION ALL\n".join(_shape_sql(*s[:5]) for s in rules.SHAPES), SRC)
 def all_shapes(spark, sf):
-    return extract.shaped_calls(table(spark, sf, "sources", "page_id")).select("file", "kind", "verb", "url")
+    return extract.shaped_calls(table(spark, sf, "sources")).select("file", "kind", "verb", "url")
 
 
 # --- C6 to C10 ------------------------------------------------------------
@@ -164,13 +183,13 @@ SELECT c.file, c.ord, c.argument AS name, d.value FROM calls c
 LEFT JOIN defs d ON d.file = c.file AND d.name = c.argument
 WHERE regexp_matches(c.argument, '^[A-Za-z_$][\\w$]*$')""", SRC)
 def c6(spark, sf):
-    return resolve.resolve_call_names(table(spark, sf, "sources", "page_id")).select(
+    return resolve.resolve_call_names(table(spark, sf, "sources")).select(
         "file", F.col("ord").cast("bigint").alias("ord"), "name", "value")
 
 
 @query("C6_definitions", DEFS, SRC)
 def c6_defs(spark, sf):
-    return resolve.resolved_names(resolve.definitions(table(spark, sf, "sources", "page_id")))
+    return resolve.resolved_names(resolve.definitions(table(spark, sf, "sources")))
 
 
 @query("C7_concatenation", f"""
@@ -179,13 +198,13 @@ ops AS (SELECT file, ord, argument, i, os[i] AS op FROM (
   SELECT *, unnest(range(1, len(os) + 1)) AS i FROM (
     SELECT file, ord, argument, regexp_extract_all(argument, {lit(rules.OPERAND)}) AS os
     FROM calls WHERE contains(argument, '+') AND NOT regexp_matches(argument, '^("[^"]*"|''[^'']*'')$'))))
-SELECT file, ord, argument, string_agg(part, '' ORDER BY i) AS url FROM (
+SELECT file, ord, {shown('argument')} AS argument, string_agg(part, '' ORDER BY i) AS url FROM (
   SELECT o.file, o.ord, o.argument, o.i, CASE WHEN regexp_matches(o.op, '^["''`]')
-    THEN trim(o.op, '"''`') ELSE d.value END AS part
+    THEN {shown(f"trim(o.op, {_QUOTES})")} ELSE d.value END AS part
   FROM ops o LEFT JOIN defs d ON d.file = o.file AND d.name = o.op)
-WHERE part IS NOT NULL GROUP BY 1, 2, 3""", SRC)
+WHERE part IS NOT NULL GROUP BY ALL""", SRC)
 def c7(spark, sf):
-    return resolve.resolve_concats(table(spark, sf, "sources", "page_id")).select(
+    return resolve.resolve_concats(table(spark, sf, "sources")).select(
         "file", F.col("ord").cast("bigint").alias("ord"), "argument", "url")
 
 
@@ -193,7 +212,7 @@ def c7(spark, sf):
 WITH defs AS ({DEFS}),
 t AS (SELECT file, trim(m, '`') AS template, string_split_regex(trim(m, '`'), '\\$\\{{[^}}]*\\}}') AS fs,
     regexp_extract_all(trim(m, '`'), '\\$\\{{[^}}]*\\}}') AS hs FROM (
-  SELECT file, unnest(regexp_extract_all({unescaped('text')}, {lit(rules.LITERALS['js'])})) AS m
+  SELECT file, unnest(regexp_extract_all({hidden('text')}, {lit(rules.LITERALS['js'])})) AS m
   FROM sources) WHERE starts_with(m, '`') AND contains(m, chr(36) || '{{')),
 parts AS (
   SELECT file, template, 2 * i AS pos, fs[i] AS fixed, NULL AS name
@@ -202,12 +221,12 @@ parts AS (
   SELECT file, template, 2 * i + 1, '', nullif(regexp_extract(hs[i],
       '^\\$\\{{\\s*([A-Za-z_$][\\w$]*)\\s*\\}}$', 1), '')
     FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM t))
-SELECT p.file, template, string_agg(CASE WHEN p.name IS NULL THEN fixed
+SELECT p.file, {shown('template')} AS template, string_agg(CASE WHEN p.name IS NULL THEN {shown('fixed')}
     ELSE coalesce(d.value, chr(36) || '{{...}}') END, '' ORDER BY pos) AS resolved
 FROM parts p LEFT JOIN defs d ON d.file = p.file AND d.name = p.name
-GROUP BY 1, 2""".replace("{{", "{").replace("}}", "}"), SRC)
+GROUP BY p.file, template""".replace("{{", "{").replace("}}", "}"), SRC)
 def c8(spark, sf):
-    return resolve.resolve_templates(table(spark, sf, "sources", "page_id")).select(
+    return resolve.resolve_templates(table(spark, sf, "sources")).select(
         "file", "template", "resolved")
 
 
@@ -228,7 +247,7 @@ SELECT c.file, c.argument, p.value FROM calls c LEFT JOIN props p ON p.file = c.
   AND p.obj = split_part(c.argument, '.', 1) AND p.prop = split_part(c.argument, '.', 2)
 WHERE regexp_matches(c.argument, '^[A-Za-z_$][\\w$]*\\.[\\w$.]*$')""", SRC)
 def c9(spark, sf):
-    return resolve.resolve_members(table(spark, sf, "sources", "page_id")).select("file", "argument", "value")
+    return resolve.resolve_members(table(spark, sf, "sources")).select("file", "argument", "value")
 
 
 # the derived texts define API_BASE, USERS and the two cfg properties in order
@@ -240,7 +259,7 @@ FROM page_parts""", SRC)
 def c10(spark, sf):
     template = F.when(F.col("language") == "python", F.lit("X {API_HOST} ${USERS} ${nope}")) \
         .otherwise(F.lit("X ${API_BASE} {USERS} ${nope}"))
-    return table(spark, sf, "sources", "page_id").select(
+    return table(spark, sf, "sources").select(
         "page_id", resolve.substitute(template, resolve.tracked_constants(F.col("text")))
         .alias("filled"))
 
@@ -257,16 +276,17 @@ ops AS (SELECT file, ord, verb, i, os[i] AS op FROM (
       OR regexp_matches(argument, '^[A-Za-z_$][\\w$]*$')))),
 chains AS (SELECT file, ord, verb, string_agg(part, '' ORDER BY i) AS url FROM (
   SELECT o.file, o.ord, o.verb, o.i, CASE WHEN regexp_matches(o.op, '^["''`]')
-    THEN trim(o.op, '"''`') ELSE d.value END AS part
+    THEN {shown(f"trim(o.op, {_QUOTES})")} ELSE d.value END AS part
   FROM ops o LEFT JOIN defs d ON d.file = o.file AND d.name = o.op)
   WHERE part IS NOT NULL GROUP BY 1, 2, 3)
 SELECT file, url, 'GET' AS method, 'literal' AS match_kind FROM lits
 UNION ALL
-SELECT file, {unquoted('argument')}, verb, 'call' FROM calls
-  WHERE regexp_matches(argument, '^("[^"]*"|''[^'']*''|`[^`]*`)$') AND {is_api(unquoted('argument'))}
+SELECT file, {shown(unquoted('argument'))}, verb, 'call' FROM calls
+  WHERE regexp_matches(argument, '^("[^"]*"|''[^'']*''|`[^`]*`)$')
+    AND {is_api(shown(unquoted('argument')))}
 UNION ALL SELECT file, url, verb, 'resolved' FROM chains WHERE {is_api('url')}""", SRC)
 def corpus_stage(spark, sf):
-    return stages.parse_corpus(table(spark, sf, "sources", "page_id"))["endpoints"]
+    return stages.parse_corpus(table(spark, sf, "sources"))["endpoints"]
 
 
 # --- C11 to C17 -----------------------------------------------------------
@@ -282,7 +302,7 @@ def c11(spark, sf):
 SELECT ord FROM assets WHERE content_length IS NULL OR content_length <= 10 * 1024 * 1024""",
        ("assets",))
 def c12(spark, sf):
-    return extract.within_size(table(spark, sf, "assets")).select("ord")
+    return extract.within_size(table(spark, sf, "assets"), max_mb=rules.MAX_SCRIPT_MB).select("ord")
 
 
 _SCRIPT = r"'(?is)<script\b([^>]*)>(.*?)</script>'"
@@ -295,7 +315,7 @@ SELECT page_id, i - 1 AS idx, 'inline_' || (i - 1) || '_' || left(md5(bs[i]), 8)
     SELECT page_id, list_filter(regexp_extract_all(html, {_SCRIPT}, 2), lambda b: length(b) > 0) AS bs
     FROM pages))""")
 def c13(spark, sf):
-    return extract.inline_scripts(table(spark, sf, "pages", "page_id"), min_len=0).select(
+    return extract.inline_scripts(table(spark, sf, "pages"), min_len=0).select(
         "page_id", F.col("idx").cast("bigint").alias("idx"), "name",
         F.col("size_chars").cast("bigint").alias("size_chars"))
 
@@ -305,7 +325,7 @@ SELECT page_id, '../maps/' || lang || '.js.map' AS map_ref,
   'https://' || host || '/maps/' || lang || '.js.map' AS map_url
 FROM page_parts WHERE page_id % 5 <> 0""", SRC)
 def c14(spark, sf):
-    scripts = table(spark, sf, "sources", "page_id").withColumn("url", F.concat(
+    scripts = table(spark, sf, "sources").withColumn("url", F.concat(
         F.lit("https://"), F.split_part("file", F.lit("/"), F.lit(2)), F.lit("/js/app.js")))
     return extract.source_maps(scripts).select("page_id", "map_ref", "map_url")
 
@@ -333,7 +353,7 @@ SECRETS = "\nUNION ALL\n".join(_secret_sql(*r) for r in rules.SECRET_RULES)
 
 
 def _secrets(spark, sf):
-    docs = table(spark, sf, "documents", "doc_id").select(F.col("doc_id").alias("file"), "text")
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("file"), "text")
     return extract.secrets(docs)
 
 
@@ -353,7 +373,7 @@ FROM (SELECT doc_id, 's' AS k FROM ({SECRETS})
 GROUP BY 1""")
 def c16(spark, sf):
     # IPv4 literals stand for endpoints: the documents hold no API URLs
-    hosts = table(spark, sf, "documents", "doc_id").select(
+    hosts = table(spark, sf, "documents").select(
         F.col("doc_id").alias("file"),
         F.explode(F.regexp_extract_all("text", F.lit(rules.PII_RULES[4][1]), F.lit(0))))
     return (extract.file_summary(hosts, _secrets(spark, sf))
@@ -366,7 +386,7 @@ SELECT page_id, i - 1 AS idx, hs[i] AS href, regexp_extract(url, '^(https?://[^/
 FROM (SELECT page_id, url, hs, unnest(range(1, len(hs) + 1)) AS i FROM (
   SELECT page_id, url, regexp_extract_all(html, 'href="([^"]*)"', 1) AS hs FROM pages))""")
 def c17(spark, sf):
-    return extract.links(table(spark, sf, "pages", "page_id")).select(
+    return extract.links(table(spark, sf, "pages")).select(
         "page_id", F.col("idx").cast("bigint").alias("idx"), "href", "target")
 
 
@@ -421,9 +441,9 @@ CORPUS = ("(SELECT 'd' || doc_id AS id, text FROM documents UNION ALL"
 
 
 def corpus(spark, sf):
-    docs = table(spark, sf, "documents", "doc_id").select(
+    docs = table(spark, sf, "documents").select(
         F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
-    turns = table(spark, sf, "conversations", "conv_id").select(
+    turns = table(spark, sf, "conversations").select(
         F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"),
                  F.col("turn").cast("string")).alias("id"), "text")
     return docs.unionByName(turns)
@@ -470,14 +490,14 @@ _CARDS = f"(SELECT doc_id, unnest(regexp_extract_all(text, {lit(_CARD)})) AS m F
 
 @query("D3_luhn", f"SELECT doc_id, m, {luhn('m')} AS ok FROM {_CARDS}")
 def d3(spark, sf):
-    return table(spark, sf, "documents", "doc_id").select(
+    return table(spark, sf, "documents").select(
         "doc_id", F.explode(F.regexp_extract_all("text", F.lit(_CARD), F.lit(0))).alias("m")
     ).withColumn("ok", pii.luhn_ok("m"))
 
 
 @query("D4_entropy", f"SELECT doc_id, round({_bits('text')}, 6) AS bits FROM documents")
 def d4(spark, sf):
-    return table(spark, sf, "documents", "doc_id").select("doc_id", F.round(pii.entropy("text"), 6).alias("bits"))
+    return table(spark, sf, "documents").select("doc_id", F.round(pii.entropy("text"), 6).alias("bits"))
 
 
 @query("D5_uuid_guard", f"""
@@ -498,7 +518,7 @@ def d5(spark, sf):
 SELECT doc_id, w, {_entropy('w')} >= 3.5 AS ok FROM (
   SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]{{12,}}')) AS w FROM documents)""")
 def d6(spark, sf):
-    return table(spark, sf, "documents", "doc_id").select(
+    return table(spark, sf, "documents").select(
         "doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z0-9]{12,}"), F.lit(0)))
         .alias("w")).withColumn("ok", pii.key_ok("w"))
 
@@ -511,7 +531,7 @@ _TOKENS = f"""(SELECT doc_id, unnest(list_concat(regexp_extract_all(text, {lit(_
 def _tokens(spark, sf):
     both = F.concat(F.regexp_extract_all("text", F.lit(_EMAIL), F.lit(0)),
                     F.regexp_extract_all("text", F.lit("[0-9]{3}-[0-9]{4}"), F.lit(0)))
-    return table(spark, sf, "documents", "doc_id").select("doc_id", F.explode(both).alias("w"))
+    return table(spark, sf, "documents").select("doc_id", F.explode(both).alias("w"))
 
 
 @query("D7_secret_mask", f"""
@@ -530,7 +550,7 @@ def d8(spark, sf):
 SELECT d.doc_id, md5(text) AS disabled, md5(t) AS no_checksum, {_types_sql('text', False)} AS types
 FROM documents d JOIN ({_redact_sql('documents', 'doc_id', False)}) r ON r.doc_id = d.doc_id""")
 def d9(spark, sf):
-    return table(spark, sf, "documents", "doc_id").select(
+    return table(spark, sf, "documents").select(
         "doc_id", F.md5(pii.redact("text", enabled=False)).alias("disabled"),
         F.md5(pii.redact("text", checksums=False)).alias("no_checksum"),
         F.array_join(pii.pii_types("text", checksums=False), ",").alias("types"))

@@ -76,6 +76,7 @@ CLIENT_FUNCTIONS = (
     "fetch", "axios", "request", "ajax", "http",
     "get", "post", "put", "delete", "patch",
 )
+TYPESCRIPT_CLIENTS = ("httpClient",)
 PYTHON_CLIENTS = (
     "requests.get", "requests.post", "requests.put", "requests.delete",
     "requests.patch", "httpx.get", "httpx.post", "httpx.put", "httpx.delete",
@@ -232,11 +233,8 @@ AUDIT_CATEGORIES = ("documented", "shadow", "ghost", "zombie")
 
 # --- Fixed values: limits -------------------------------------------------
 ARCHIVE_MONTHS = 24
-ARCHIVE_LIMIT = 500
 ARCHIVE_PREFIX = "https://web.archive.org/web/"
 MAX_SCRIPT_MB = 10
-MIN_INLINE_SCRIPT = 100
-MAX_RESOLUTION_DEPTH = 10
 MAX_VERSION = 5
 RATE_LIMIT_TTL = 300
 BACKOFF_MULTIPLIER = 2.0
@@ -323,6 +321,7 @@ _ARGUMENT = (
 )
 CALL_SITES = {
     "js": r"(?<![\w$])((?i:" + "|".join(CLIENT_FUNCTIONS) + r"))" + _ARGUMENT,
+    "ts": r"(?<![\w$])((?i:" + "|".join(CLIENT_FUNCTIONS + TYPESCRIPT_CLIENTS) + r"))" + _ARGUMENT,
     "py": r"(?<![\w.])(" + "|".join(PYTHON_CLIENTS).replace(".", r"\.") + r")" + _ARGUMENT,
 }
 # A call whose first argument is a name, a member or a chain: the file's
@@ -330,6 +329,7 @@ CALL_SITES = {
 _UNRESOLVED = r"\s*\(\s*(?:[A-Za-z_$]|(?:\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`)\s*\+)"
 UNRESOLVED_CALLS = {
     "js": r"(?<![\w$])(?i:" + "|".join(CLIENT_FUNCTIONS) + r")" + _UNRESOLVED,
+    "ts": r"(?<![\w$])(?i:" + "|".join(CLIENT_FUNCTIONS + TYPESCRIPT_CLIENTS) + r")" + _UNRESOLVED,
     "py": r"(?<![\w.])(?:" + "|".join(PYTHON_CLIENTS).replace(".", r"\.") + r")" + _UNRESOLVED,
 }
 OPERAND = r"\"[^\"\n]*\"|'[^'\n]*'|`[^`]*`|[A-Za-z_$][\w$.]*"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -14,28 +16,40 @@ from ..functions.urls import with_scheme
 from ..operators.extract import language_of
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one that ``spark.checkpoint.dir`` names.
 
-    Only where that setting is missing (local tests) a temporary folder is used.
+    All executors must see it, so a session without that setting is refused
+    unless it runs in one process.  The folders of a session are removed when
+    the driver ends.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="apiscope-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_remove_made)
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash the rows over all cores if the input has fewer splits than cores.
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
-    For small inputs with costly text work only: one row group is one task
-    however many cores there are.  An input large enough to keep a cluster
-    busy has more splits than cores and is returned as it is, unshuffled.
-    """
-    if df.isStreaming:
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+def _remove_made() -> None:
+    """Remove what `work_path` has named, as far as the session still answers."""
+    for spark, path in _made:
+        with contextlib.suppress(Exception):  # a stopped session keeps its files
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def is_source_path(path: Column | str) -> Column:
@@ -54,13 +68,14 @@ def read_source_tree(spark: SparkSession, root: str, *,
                      max_mb: float | None = None) -> DataFrame:
     """(file, text, language) of a source tree, one row per file.
 
-    Names are filtered while listing and the size limit before any content is
-    decoded.  Undecodable bytes are dropped (they become replacement
+    Extensions are filtered while listing, skipped folders and the size limit
+    by file metadata, before any content is read.  Undecodable bytes are dropped (they become replacement
     characters, and those are removed).
     """
     globs = "*.{" + ",".join(rules.SOURCE_EXTENSIONS) + "}"
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-           .option("pathGlobFilter", globs).load(root))
+           .option("pathGlobFilter", globs).load(root)
+           .where(is_source_path(F.col("_metadata.file_path"))))
     if max_mb is not None:
         raw = raw.where(F.col("length") <= int(max_mb * 1024 * 1024))
     text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))

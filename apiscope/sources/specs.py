@@ -22,7 +22,7 @@ def yaml_to_json(docs: DataFrame, *, key: str = "spec_id", text: str = "text") -
     """(key, text) with YAML text turned into JSON text, whole documents.
 
     Spark reads no YAML, so this one step runs in Python over Arrow batches;
-    a document that is no YAML gives NULL.
+    a document that is no YAML, or nothing that JSON can hold, gives NULL.
     """
     import pandas as pd
 
@@ -32,7 +32,7 @@ def yaml_to_json(docs: DataFrame, *, key: str = "spec_id", text: str = "text") -
         def one(doc: str | None) -> str | None:
             try:
                 return None if doc is None else json.dumps(yaml.safe_load(doc), default=str)
-            except yaml.YAMLError:
+            except (yaml.YAMLError, TypeError, ValueError, RecursionError):
                 return None
 
         for pdf in batches:

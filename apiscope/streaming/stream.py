@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import urls
+from ..sources.files import folder_exists
 
 
 def read_stream(spark: SparkSession, path: str, schema, *, fmt: str = "parquet",
@@ -44,35 +45,34 @@ def distinct_assets(stream: DataFrame, *, url: str = "url", ts: str = "ts",
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([url])
 
 
+#: Folders over which an inventory is spread by a hash of the signature.
+BUCKETS = 64
+
+
 def new_endpoint_writer(spark: SparkSession, inventory_path: str,
                         order: str = "ord") -> Callable[[DataFrame, int], None]:
     """Batch handler that appends endpoints with a signature not yet stored.
 
-    The inventory table itself is the memory, partitioned by batch, so a batch
-    that is run again overwrites its own partition and sees only earlier ones.
+    The inventory table itself is the memory, partitioned by a hash of the
+    signature and by batch: a batch reads only the parts that its own
+    signatures fall to, and one that is run again overwrites its own partitions
+    and sees only earlier ones.
     """
     from ..operators.inventory import distinct_endpoints
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        fresh = distinct_endpoints(batch, order=order)
-        known = _stored(spark, inventory_path)
-        if known is not None:
-            fresh = fresh.join(known.where(F.col("batch") < batch_id).select("signature"),
-                               "signature", "left_anti")
-        _write_batch(fresh, inventory_path, batch_id)
+        bucket = F.pmod(F.xxhash64("signature"), F.lit(BUCKETS)).cast("int")
+        fresh = distinct_endpoints(batch, order=order).withColumn("bucket", bucket)
+        if folder_exists(spark, inventory_path):
+            own = [r.bucket for r in fresh.select("bucket").distinct().collect()]  # BUCKETS at most
+            known = spark.read.parquet(inventory_path).where(
+                F.col("bucket").isin(*own) & (F.col("batch") < batch_id))
+            fresh = fresh.join(known.select("signature"), "signature", "left_anti")
+        write_batch(fresh, inventory_path, batch_id, "bucket")
 
     return handle
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return None
-
-
 def windowed_counts(events: DataFrame, window, *, ts: str = "ts", by: str = "kind",
                     delay: str | None = None) -> DataFrame:
     """Rows per window and kind; with ``delay`` late rows are dropped.
@@ -106,10 +106,11 @@ def exposure_writer(spark: SparkSession, out_path: str, state_path: str, *, key:
     """Batch handler for rate-limit exposure on a live log.
 
     The batch operator does the work, so a hot key is windowed per time bucket
-    here as well.  The memory between batches is the latest 429 of every key
-    that may still block, put in front of the next batch.  State and output
-    are partitioned by batch: a batch that runs again reads the state before
-    it and overwrites its own partitions.
+    here as well.  The memory between batches, put in front of the next one, is
+    what rows up to ``late_seconds`` late may still need: every 429 younger than
+    that, and of each key the last one before, while it may block.  State and
+    output are partitioned by batch: a batch that runs again reads the state
+    before it and overwrites its own partitions.
     """
     from ..operators.ratelimit import exposure
 
@@ -117,26 +118,30 @@ def exposure_writer(spark: SparkSession, out_path: str, state_path: str, *, key:
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(*names).withColumn("_old", F.lit(False))
-        stored = _stored(spark, f"{state_path}/batch={batch_id - 1}")
-        if stored is not None:
-            rows = rows.unionByName(stored.select(*names).withColumn("_old", F.lit(True)))
+        before = f"{state_path}/batch={batch_id - 1}"
+        if folder_exists(spark, before):
+            rows = rows.unionByName(
+                spark.read.parquet(before).select(*names).withColumn("_old", F.lit(True)))
         checked = exposure(rows, key=key, ts=ts, order=order, default_ttl=default_ttl)
-        _write_batch(checked.where(~F.col("_old")).drop("_old"), out_path, batch_id)
-        limited = rows.where(F.col("status_code") == 429)
-        latest = (limited.groupBy(key).agg(F.max_by(F.struct(*names[1:]), F.struct(ts, order))
-                                           .alias("r")).select(key, "r.*"))
+        write_batch(checked.where(~F.col("_old")).drop("_old"), out_path, batch_id)
+        limited = rows.where(F.col("status_code") == 429).select(
+            *names, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
+        newest = rows.agg(F.max(F.unix_micros(F.col(ts).cast("timestamp")))).scalar()
+        young = F.coalesce(F.col("_us") >= newest - late_seconds * 1_000_000, F.lit(True))
         ttl = F.when(F.coalesce("retry_after", F.lit(0)) > 0, F.col("retry_after")) \
             .otherwise(F.lit(default_ttl))
-        newest = rows.agg(F.max(F.unix_seconds(F.col(ts).cast("timestamp")))).scalar()
-        alive = F.unix_seconds(F.col(ts).cast("timestamp")) + ttl + F.lit(late_seconds) >= newest
-        _write_batch(latest.where(alive), state_path, batch_id)
+        alive = F.col("_us") + (ttl.cast("bigint") + late_seconds) * 1_000_000 >= newest
+        last = (limited.where(~young).groupBy(key).agg(F.max_by(
+            F.struct(*names[1:], "_us"), F.struct(ts, order)).alias("r")).select(key, "r.*"))
+        kept = limited.where(young).select(*names).unionByName(last.where(alive).select(*names))
+        write_batch(kept, state_path, batch_id)
 
     return handle
 
 
-def _write_batch(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int, *by: str) -> None:
     (df.withColumn("batch", F.lit(batch_id).cast("bigint")).write.mode("overwrite")
-     .option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path))
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*by, "batch").parquet(path))
 
 
 def endpoint_stream(pages: DataFrame, *, key: str = "page_id", url: str = "url") -> DataFrame:

@@ -105,13 +105,12 @@ def test_resolution_priority_and_first_wins(spark):
     assert {(r.name, r.value) for r in rows} == {("A", "declared"), ("B", "tpl")}
 
 
-def test_depth_limit_keeps_the_last_operands(spark):
+def test_deep_chains_keep_all_operands(spark):
     chain = " + ".join(f'"{i}"' for i in range(15))
     got = resolve.resolve_concats(source(spark, f"fetch({chain})")).first().url
-    # of a left-nested chain, literals at depth 1 to 9 resolve
-    assert got == "".join(str(i) for i in range(6, 15))
+    assert got == "".join(str(i) for i in range(15))
     names = 'const X = "x";' + "fetch(" + " + ".join(["X"] * 15) + ")"
-    assert resolve.resolve_concats(source(spark, names)).first().url == "x" * 8
+    assert resolve.resolve_concats(source(spark, names)).first().url == "x" * 15
 
 
 def test_unresolved_operands_are_skipped(spark):
@@ -157,7 +156,7 @@ def test_inline_scripts(spark):
     html = (f'<script src="x.js">{body}</script><script>short</script>'
             f"<SCRIPT type='a'>{body}</SCRIPT><script data-src='q'>{body}é</script>")
     df = spark.createDataFrame([(1, html)], "page_id long, html string")
-    rows = extract.inline_scripts(df).orderBy("idx").collect()
+    rows = extract.inline_scripts(df, min_len=100).orderBy("idx").collect()
     assert [(r.idx, r.size_chars) for r in rows] == [(0, 101), (1, 102)]
     assert rows[0].url == "inline://script_0" and re.fullmatch(r"inline_0_[0-9a-f]{8}\.js", rows[0].name)
 
@@ -168,9 +167,67 @@ def test_assets_and_maps(spark):
         ("https://h/b", "Text/JavaScript; q", 10 * 1024 * 1024), ("https://h/c.css", "text/css", 1)],
         "url string, content_type string, content_length long")
     found = extract.script_assets(df)
-    assert found.count() == 3 and extract.within_size(found).count() == 2
+    assert found.count() == 3 and extract.within_size(found, max_mb=10).count() == 2
     scripts = spark.createDataFrame([
         ("https://h/js/a.js", "x\n//# sourceMappingURL=a.js.map\n"),
         ("https://h/js/b.js", "//@ sourceMappingURL=data:xx"), ("https://h/js/c.js", "none")],
         "url string, text string")
     assert [r.map_url for r in extract.source_maps(scripts).collect()] == ["https://h/js/a.js.map"]
+
+
+ESCAPES = [
+    # (language, source, shape kind, URL), the URLs as they stand in the source
+    ("python", r'urlpatterns = [re_path(r"^api/v1/users/(\d+)/$", view)]', "django_url",
+     r"^api/v1/users/(\d+)/$"),
+    ("python", r'requests.get("/api/it\"s")', "requests_call", r'/api/it\"s'),
+    ("javascript", r'fetch("/api/a\/b");', "fetch", r"/api/a\/b"),
+    ("javascript", r"axios.get('/api/c\'d\\');", "axios_method", r"/api/c\'d\\"),
+    ("javascript", r"router.get('/api/:id(\d+)', h);", "express_route", r"/api/:id(\d+)"),
+]
+
+
+@pytest.mark.parametrize("language,text,kind,url", ESCAPES)
+def test_escapes_are_kept(spark, language, text, kind, url):
+    df = spark.createDataFrame([("f", text, language)], "file string, text string, language string")
+    found = [r.url for r in extract.shaped_calls(df).collect()]
+    assert url in found, found
+
+
+def test_escapes_in_calls_and_literals(spark):
+    text = (r'fetch("/api/a\/b"); axios.post("/api/it\"s"); request("/api/x\"" + TAIL + "/\d");'
+            "\nconst TAIL = '/t';\nx = /\\//; y = '/api/after';")
+    df = spark.createDataFrame([("f", text, "javascript")],
+                               "file string, text string, language string")
+    calls = {r.url for r in extract.call_endpoints(df).collect()}
+    assert calls == {r"/api/a\/b", r'/api/it\"s'}
+    literals = {r.url for r in extract.literal_endpoints(df).collect()}
+    assert literals == {r"/api/a\/b", r'/api/it\"s', r'/api/x\"', "/api/after"}
+    chain = resolve.resolve_concats(df).first()
+    assert chain.url == r'/api/x\"/t/\d' and not chain.too_deep
+    plain = spark.createDataFrame([("f", r"a(`/api/\${x}/${TAIL}\``); const TAIL = 't';")],
+                                  "file string, text string")
+    assert [r.resolved for r in resolve.resolve_templates(plain).collect()] == [r"/api/\${x}/t\`"]
+
+
+def test_typescript_client(spark):
+    rows = [(k, 'httpClient("/api/one");', k) for k in ("typescript", "javascript")]
+    df = spark.createDataFrame(rows, "file string, text string, language string")
+    assert [r.file for r in extract.call_endpoints(df).collect()] == ["typescript"]
+
+
+@pytest.mark.parametrize("n", [14, 1000])
+def test_long_chains_are_whole(spark, n):
+    chain = " + ".join(f'"/api/p{i}"' if i % 2 else f"N{i}" for i in range(n))
+    names = "\n".join(f"const N{i} = '/n{i}';" for i in range(0, n, 2))
+    df = spark.createDataFrame([("f", f"{names}\nfetch({chain});", "javascript")],
+                               "file string, text string, language string")
+    row = resolve.resolve_concats(df).first()
+    assert row.url == "".join(f"/api/p{i}" if i % 2 else f"/n{i}" for i in range(n))
+    deep = resolve.resolve_concats(df, max_depth=10).first()
+    assert deep.url is None and deep.too_deep
+
+
+def test_markup_literals(spark):
+    page = """<!-- "/api/no" --><a href="/api/v1/x" title='it "s'>t</a><b data-u='/graphql'></b>"""
+    df = spark.createDataFrame([("f", page, "html")], "file string, text string, language string")
+    assert {r.url for r in extract.literal_endpoints(df).collect()} == {"/api/v1/x", "/graphql"}

@@ -116,6 +116,17 @@ def test_capture_selection(spark):
     assert [(r.url_key, r.timestamp) for r in got] == [("h/a.js", "20230601000000")]
 
 
+def test_all_captures_unless_limited_per_domain(spark):
+    rows = [("20240101000000", f"https://d{d}/{i:04}.js", "m", 200, f"d{d}")
+            for d in range(3) for i in range(700)]
+    df = spark.createDataFrame(rows, "timestamp string, original_url string, mime_type string, "
+                                     "status_code int, host string")
+    day = F.lit("2024-06-01").cast("date")
+    assert inventory.select_captures(df, day).count() == 2100
+    few = inventory.select_captures(df, day, per_domain=5).collect()
+    assert sorted(r.url_key for r in few) == [f"d{d}/{i:04}.js" for d in range(3) for i in range(5)]
+
+
 def full(spark):
     rows = [(0, "/api/v1/users/{id}", "GET", "shadow", ("a.js", 3), 7, 200, ["q"], "s1"),
             (1, "/api/v1/users/:uid", "POST", "zombie", ("b'\"\n.js", 4), 1, None, None, "s1"),

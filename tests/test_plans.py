@@ -5,6 +5,7 @@ import re
 import pytest
 
 from apiscope.queries import catalog
+from apiscope.sources.files import read_source_tree, work_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,8 +18,7 @@ def plan(df, mode="formatted"):
 def test_no_cross_product_and_no_python(spark, name):
     text = plan(catalog.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-    if name != "A3_yaml_specs":
-        assert not re.search(r"MapInPandas|MapInArrow|EvalPython|InPandas", text)
+    assert not re.search(r"MapInPandas|MapInArrow|EvalPython|InPandas", text)
 
 
 def test_scan_reads_only_what_is_used(spark):
@@ -38,11 +38,33 @@ def test_digest_cuts_groups_before_the_shuffle(spark):
     assert "WindowGroupLimit" in text
 
 
-def test_capture_selection_is_a_top_n(spark):
-    assert "TakeOrderedAndProject" in plan(catalog.QUERIES["F10_capture_selection"](spark, SF))
-
-
 def test_row_wise_queries_do_not_shuffle(spark):
     for name in ("B1_url_validation", "B2_scope_filter", "B7_resolve_reference", "B11_signature",
                  "E15_triage", "F27_active_urls"):
         assert "Exchange" not in plan(catalog.QUERIES[name](spark, SF)), name
+
+
+def test_skipped_folders_are_not_read(spark, tmp_path):
+    """Names are tested on file metadata, below the scan's content."""
+    for folder in ("app", "app/node_modules/lib"):
+        (tmp_path / folder).mkdir(parents=True)
+        (tmp_path / folder / "a.js").write_text("fetch('/api/x')")
+    df = read_source_tree(spark, str(tmp_path))
+    assert [r.file.endswith("/app/a.js") for r in df.collect()] == [True]
+    text = plan(df)
+    assert re.search(r"PartitionFilters: \[[^\n]*node_modules|metadata[^\n]*file_path", text)
+
+
+def test_selected_captures_have_no_limit(spark):
+    assert "Limit" not in plan(catalog.QUERIES["F10_capture_selection"](spark, SF))
+
+
+def test_work_folders_need_a_shared_root(spark, monkeypatch):
+    class Elsewhere:
+        conf = {}
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        work_path(Elsewhere, "x")

@@ -33,12 +33,15 @@ def brute(rows, ttl, mult, cap):
     return out
 
 
-@pytest.mark.parametrize("seed,bucket", [(1, 60), (2, 3600), (3, 10 ** 7), (4, 7), (5, None)])
-def test_against_brute_force(spark, seed, bucket):
+@pytest.mark.parametrize("seed,rows_per_bucket,cuts", [
+    (1, 0, 128), (2, 50, 5), (3, 10 ** 7, 128), (4, 100, 2), (5, 20, 40)])
+def test_against_brute_force(spark, monkeypatch, seed, rows_per_bucket, cuts):
+    monkeypatch.setattr(ratelimit, "CUTS", cuts)
     rows = make_log(seed)
     log = spark.createDataFrame(rows, SCHEMA)
-    a = ratelimit.exposure(log, bucket_seconds=bucket)
-    b = ratelimit.backoff(log, bucket_seconds=bucket).select("ord", "run", "backoff_seconds")
+    a = ratelimit.exposure(log, rows_per_bucket=rows_per_bucket)
+    b = ratelimit.backoff(log, rows_per_bucket=rows_per_bucket).select(
+        "ord", "run", "backoff_seconds")
     got = {r.ord: (r.blocked, r.remaining_seconds, r.run, r.backoff_seconds)
            for r in a.join(b, "ord").collect()}
     assert got == brute(rows, 300, 2.0, 60.0)
@@ -63,11 +66,34 @@ def test_shuffles(spark, tmp_path):
 
     spark.createDataFrame(make_log(5), SCHEMA).write.parquet(str(tmp_path / "log"))
     log = spark.read.parquet(str(tmp_path / "log"))
-    exposed = final_plan(ratelimit.exposure(log, bucket_seconds=60))
-    backed = final_plan(ratelimit.backoff(log, bucket_seconds=60).select("ord", "run"))
+    exposed = final_plan(ratelimit.exposure(log))
+    backed = final_plan(ratelimit.backoff(log).select("ord", "run"))
     # the second reading of the windowed rows reuses their shuffle
     assert "ReusedExchange" in backed
     for text in (exposed, backed):
         assert "hashpartitioning(key#" not in text
-        # by the key alone (_k) only bucket summaries are shuffled, once
-        assert text.count("Exchange hashpartitioning(_k#") <= 1
+        # no window or join shuffles rows by the key alone; (_k) is for counts and summaries
+        assert "SortMergeJoin [key" not in text
+
+
+def test_buckets_hold_with_an_outlier_and_a_burst(spark):
+    """A hot key with one row of 1970 and a third of its rows within a second."""
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(0, "hot", dt.datetime(1970, 1, 1), 429, None)]
+    rows += [(i, "hot", t0 + dt.timedelta(seconds=i * 60), 200, None) for i in range(1, 8000)]
+    rows += [(10_000 + i, "hot", t0 + dt.timedelta(days=2, microseconds=i), 429, None)
+             for i in range(4000)]
+    rows += [(20_000 + i, f"k{i}", t0, 200, None) for i in range(500)]
+    log = spark.createDataFrame(rows, SCHEMA)
+    groups = ratelimit._bucketed(log, "key", "ts", 1000).groupBy("_g").count()
+    sizes = [r["count"] for r in groups.where("_g.k = 'hot'").collect()]
+    assert sum(sizes) == 12_000 and max(sizes) <= 2 * 12_000 / ratelimit.CUTS
+    assert groups.where("_g.k <> 'hot' AND _g.b <> 0").count() == 0
+
+
+def test_planning_runs_nothing(spark):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    log = spark.createDataFrame(make_log(1, 20), SCHEMA)
+    ratelimit.exposure(log)
+    ratelimit.backoff(log)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before

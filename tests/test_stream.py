@@ -108,3 +108,30 @@ def test_stateless_stream_equals_batch(spark, tmp_path):
     assert got.count() == 7
     assert got.select("signature", "ord").exceptAll(want.select("signature", "ord")).count() == 0
     assert spark.read.parquet(out).agg(F.count("*")).first()[0] == 40
+
+
+def test_late_rows_still_meet_earlier_limits(spark, tmp_path):
+    """429 at 0 s and 200 s, then a row at 100 s: the first of them blocks it."""
+    t0 = dt.datetime(2024, 1, 1)
+
+    def at(ord_, seconds, status):
+        return (ord_, "k", t0 + dt.timedelta(seconds=seconds), status, 150)
+
+    batches = [[at(0, 0, 429), at(1, 200, 429)], [at(2, 100, 200)], [at(3, 600, 200), at(4, 340, 200)],
+               [at(5, 349, 200), at(6, 351, 200)]]
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    handle = stream.exposure_writer(spark, out, state)
+    for i, rows in enumerate(batches):
+        handle(spark.createDataFrame(rows, SCHEMA), i)
+    names = ["ord", "blocked", "remaining_seconds"]
+    want = ratelimit.exposure(spark.createDataFrame([r for b in batches for r in b], SCHEMA))
+    assert sorted(map(tuple, spark.read.parquet(out).select(*names).collect())) == sorted(
+        map(tuple, want.select(*names).collect()))
+
+
+def test_an_unreadable_inventory_is_an_error(spark, tmp_path):
+    (tmp_path / "inventory").mkdir()
+    (tmp_path / "inventory" / "part-0.parquet").write_text("no parquet")
+    batch = spark.createDataFrame([(0, "GET", "/a")], "ord long, method string, url string")
+    with pytest.raises(Exception, match="(?i)parquet|footer|schema"):
+        stream.new_endpoint_writer(spark, str(tmp_path / "inventory"))(batch, 1)

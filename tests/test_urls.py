@@ -151,3 +151,35 @@ def test_capture_names(spark):
         urls.capture_time(F.lit("junk")).alias("bad")).first()
     assert row.u == "https://web.archive.org/web/20240101120000id_/https://example.com/app.js"
     assert (row.f, row.t, row.bad) == ("2024_index.js", 1704110400, None)
+
+
+GLOBS = ["spam-*.example.com", "*internal*", "h?st.example.org", "db[0-9].example.net",
+         "x[!a].example.net", "*.corp.io", "plain.com", "HTTPS://Upper.com/", "a.b+c.com", "odd[.com"]
+
+
+@pytest.mark.parametrize("allow_ip", [False, True])
+def test_every_glob_by_table(spark, allow_ip):
+    hosts = ["spam-1.example.com", "spam.example.com", "my-internal-host.org", "host.example.org",
+             "hoost.example.org", "db7.example.net", "dbx.example.net", "xa.example.net",
+             "xb.example.net", "a.corp.io", "corp.io", "plain.com", "upper.com", "ok.com", "a.b+c.com",
+             "axb+c.com", "odd[.com", "10.0.0.1", "8.8.8.8", "localhost", "ab"]
+    df = spark.createDataFrame([(f"https://{h}/x",) for h in hosts], "url string")
+    for allowed, blocked in (([], GLOBS), (GLOBS, ["*host*", "db7*"]), (["*.com"], GLOBS[::-1])):
+        rows = [(p, "allow", i) for i, p in enumerate(allowed)] + [
+            (p, "deny", i) for i, p in enumerate(blocked)]
+        table = spark.createDataFrame(rows, "pattern string, action string, at int")
+        by_list = scope.scope_check(df, allowed, blocked, allow_ip=allow_ip)
+        by_table = scope.scope_check_by_table(df, table, position="at", allow_ip=allow_ip)
+        assert {(r.url, r.in_scope) for r in by_table.collect()} == {
+            (r.url, r.in_scope) for r in by_list.collect()}
+        want = {r.url: r.reason.lower().replace("https://", "").rstrip("/") for r in by_list.collect()}
+        got = {r.url: r.reason.lower() for r in by_table.collect()}
+        assert got == want
+
+
+@pytest.mark.parametrize("pattern", ["*", "?.x", "*.*"])
+def test_too_general_globs_are_refused(spark, pattern):
+    df = spark.createDataFrame([("https://a.x/",)], "url string")
+    table = spark.createDataFrame([(pattern, "deny")], "pattern string, action string")
+    with pytest.raises(Exception, match="too general"):
+        scope.scope_check_by_table(df, table).collect()
