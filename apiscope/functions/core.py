@@ -77,6 +77,7 @@ def rewrite_matches(text: Column, pattern: str, change: Callable[[Column, Column
 
 
 _EDGE, _BLANK = "\u0002", "\u0001"
+_PLACE = "array<struct<at:int,line:int,column:int>>"
 _HIT = "array<struct<m:string,at:int,line:int,column:int>>"
 _CHUNK = 256  # even, so that odd places stay odd in every chunk
 
@@ -120,12 +121,18 @@ def match_positions(text: Column, pattern: str | Column,
         return F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(
             F.slice(pieces, b * _CHUNK + 1, F.lit(_CHUNK)), start, step))
 
+    def bases(parts: Column) -> Column:
+        """Where each chunk starts, by one running fold over the chunks."""
+        start = F.struct(*origin(), F.array().cast(_PLACE).alias("all"))
+        return F.aggregate(parts, start, lambda acc, c: F.struct(
+            *moved(acc, c["at"], c["line"], c["column"]), F.concat(acc["all"], F.array(F.struct(
+                acc["at"], acc["line"], acc["column"]))).alias("all")))["all"]
+
     def shifted(parts: Column) -> Column:
-        def base(b: Column) -> Column:
-            return F.aggregate(F.slice(parts, 1, b), F.struct(*origin()), lambda acc, c: F.struct(
-                *moved(acc, c["at"], c["line"], c["column"])))
+        return let(bases(parts), lambda starts: placed(parts, starts))
 
-        return F.flatten(F.transform(parts, lambda c, b: let(base(b), lambda z: F.transform(
+    def placed(parts: Column, starts: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda c, b: let(F.get(starts, b), lambda z: F.transform(
             c["hits"], lambda h: F.struct(
                 h["m"].alias("m"), (h["at"] + z["at"]).alias("at"),
                 (h["line"] + z["line"] + 1).alias("line"),

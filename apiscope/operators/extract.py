@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from .. import rules
 from ..functions import pii, urls
 from ..functions.core import (any_of, as_col, contains_any, exact_text, hinted, let,
-                              match_positions, matches, non_null)
+                              match_positions, matches)
 
 # Characters that would read as syntax after a backslash, and the two letters
 # (Unicode noncharacters, so in no text) that stand for the pair meanwhile.
@@ -75,17 +75,24 @@ def _unquoted(literal: Column) -> Column:
     return F.regexp_replace(literal, "^['\"`]+|['\"`]+$", "")
 
 
-def literal_rows(text: Column, language: Column) -> Column:
-    """array<struct<url, line, column>> of the API-like literals; NULL if hopeless."""
+def literal_rows(text: Column, language: Column, clean: Column | None = None) -> Column:
+    """array<struct<url, line, column>> of the API-like literals; NULL if hopeless.
+
+    ``clean`` is the masked text where the caller has it already.
+    """
     lang = dialect_of(language)
     # a text without any of the path words holds no API URL in any dialect
     promising = text.rlike(r"(?i)/(?:api|v\d|graphql|rest|ws|auth|admin|user|public)")
-    found = let(masked(text), lambda t: F.when(lang == "js", _literals(t, "js"))
-                .when(lang == "py", _literals(t, "py")).otherwise(_literals(t, "html")))
-    # all that needs the text happens before the explode, so no row carries it
-    return F.when(promising, F.transform(found, lambda x: F.struct(
-        restored(_unquoted(exact_text(masked(text), x["m"], x["at"]))).alias("url"),
-        x["line"], x["column"])))
+
+    def rows(t: Column) -> Column:
+        found = F.when(lang == "js", _literals(t, "js")).when(lang == "py", _literals(t, "py")) \
+            .otherwise(_literals(t, "html"))
+        # all that needs the text happens before the explode, so no row carries it
+        return F.transform(found, lambda x: F.struct(
+            restored(_unquoted(exact_text(t, x["m"], x["at"]))).alias("url"),
+            x["line"], x["column"]))
+
+    return F.when(promising, let(masked(text), rows) if clean is None else rows(clean))
 
 
 def literal_endpoints(files: DataFrame, *, path: str = "file", text: str = "text",
@@ -113,14 +120,17 @@ def by_client(language: Column, choose) -> Column:
             .when(language == "python", choose("py")))
 
 
-def call_rows(text: Column, language: Column) -> Column:
+def call_rows(text: Column, language: Column, clean: Column | None = None) -> Column:
     """array<struct<function, argument>> of the client calls; NULL for other languages."""
     def calls(t: Column, pattern: str) -> Column:
         return F.transform(matches(t, pattern), lambda m: F.struct(
             F.regexp_extract(m, pattern, 1).alias("function"),
             restored(F.regexp_extract(m, pattern, 2)).alias("argument")))
 
-    return let(masked(text), lambda t: by_client(language, lambda k: calls(t, rules.CALL_SITES[k])))
+    def rows(t: Column) -> Column:
+        return by_client(language, lambda k: calls(t, rules.CALL_SITES[k]))
+
+    return let(masked(text), rows) if clean is None else rows(clean)
 
 
 def call_sites(files: DataFrame, *, path: str = "file", text: str = "text",
@@ -137,6 +147,10 @@ def call_sites(files: DataFrame, *, path: str = "file", text: str = "text",
         .select("file", "ord", "c.function", "c.argument"))
 
 
+def is_literal(argument: Column) -> Column:
+    return argument.rlike(r"(?s)^(?:\"(?:[^\"\\]|\\.)*+\"|'(?:[^'\\]|\\.)*+'|`(?:[^`\\]|\\.)*+`)$")
+
+
 def as_call_sites(rows: DataFrame) -> DataFrame:
     arg = F.col("argument")
     kind = (
@@ -258,6 +272,27 @@ def source_maps(scripts: DataFrame, *, url: str = "url", text: str = "text") ->
     )
 
 
+_SECRET = "array<struct<type:string,severity:string,value:string,line:int,column:int>>"
+
+
+def secret_rows(t: Column, table: Sequence[tuple] = rules.SECRET_RULES) -> Column:
+    """array<struct<type, severity, value, line, column>> of all rules' hits."""
+    none = F.array().cast(_SECRET)
+
+    def hits(name: str, pattern: str, severity: str, floor: float | None, hint) -> Column:
+        grouped = re.compile(pattern).groups
+        found = F.transform(match_positions(t, pattern), lambda x: F.struct(
+            F.lit(name).alias("type"), F.lit(severity).alias("severity"),
+            # the group is cut from the short match
+            (F.regexp_extract(x["m"], pattern, 1) if grouped else x["m"]).alias("value"),
+            x["line"].alias("line"), x["column"].alias("column")))
+        if floor is not None:
+            found = F.filter(found, lambda z: F.round(pii.entropy(z["value"]), 9) >= floor)
+        return F.when(hinted(t, pattern, hint) & t.rlike(pattern), found.cast(_SECRET)).otherwise(none)
+
+    return F.concat(*[hits(*rule) for rule in table])
+
+
 def secrets(files: DataFrame, table: Sequence[tuple] = rules.SECRET_RULES, *,
             path: str = "file", text: str = "text") -> DataFrame:
     """Rule hits with value, severity, line and column.
@@ -265,29 +300,7 @@ def secrets(files: DataFrame, table: Sequence[tuple] = rules.SECRET_RULES, *,
     A rule is (name, pattern, severity, lowest entropy or None, plain words);
     group 1 of the pattern is the value if there is a group, else the match.
     """
-    t = F.col(text)
-    kinds = "struct<type:string,severity:string,pattern:string,grp:int,floor:double>"
-    hit_rules = non_null(*[
-        F.when(hinted(t, pattern, hint) & t.rlike(pattern), F.struct(
-            F.lit(name).alias("type"), F.lit(severity).alias("severity"),
-            F.lit(pattern).alias("pattern"),
-            F.lit(1 if re.compile(pattern).groups else 0).alias("grp"),
-            F.lit(floor).cast("double").alias("floor")).cast(kinds))
-        for name, pattern, severity, floor, hint in table])
-    # one row per text and rule that hits; texts without a hit end here
-    per_rule = files.select(F.col(path).alias("file"), t.alias("_text"),
-                            F.explode(hit_rules).alias("r"))
-    rule, body = F.col("r"), F.col("_text")
-    found = F.filter(
-        F.arrays_zip(match_positions(body, rule["pattern"]).alias("x"),
-                     matches(body, rule["pattern"], rule["grp"]).alias("value")),
-        lambda z: rule["floor"].isNull()
-        | (F.round(pii.entropy(z["value"]), 9) >= rule["floor"]))
-    return (
-        per_rule.select("file", rule["type"].alias("type"), rule["severity"].alias("severity"),
-                        F.inline(found))
-        .select("file", "type", "severity", "value", "x.line", "x.column")
-    )
+    return files.select(F.col(path).alias("file"), F.inline(secret_rows(F.col(text), table)))
 
 
 def file_summary(endpoints: DataFrame, secret_rows: DataFrame,

@@ -15,7 +15,7 @@ from .. import rules
 from ..functions.core import let, matches
 from ..functions.urls import is_api_url
 from .extract import (as_call_sites, as_literal_endpoints, by_client, call_rows, call_sites,
-                      literal_rows, masked, restored)
+                      is_literal, literal_rows, masked, restored, secret_rows)
 
 
 def definition_rows(text: Column) -> Column:
@@ -99,11 +99,11 @@ def resolve_chains(calls: DataFrame, defs: DataFrame, *, max_depth: int | None =
     """
     parts = calls.where(F.col("arg_kind").isin(*kinds)).select(
         "file", "ord", "verb", "argument", F.inline(_operands(F.col("argument"))))
-    is_literal = F.col("op").rlike("^[\"'`]")
+    quoted = F.col("op").rlike("^[\"'`]")
     names = parts.select("file", "ord", "verb", "pos", "depth",
                          F.when(F.col("pos") == 0, F.col("argument")).alias("argument"),
-                         F.when(~is_literal, F.col("op")).alias("name"),
-                         F.when(is_literal, restored(F.regexp_replace(
+                         F.when(~quoted, F.col("op")).alias("name"),
+                         F.when(quoted, restored(F.regexp_replace(
                              masked("op"), "^['\"`]+|['\"`]+$", ""))).alias("fixed"))
     part = F.coalesce("fixed", "value")
     deep = F.lit(False) if max_depth is None else F.max("depth") >= max_depth
@@ -244,34 +244,47 @@ def resolved_calls(calls: DataFrame, defs: DataFrame) -> DataFrame:
 
 
 _TOKEN = ("array<struct<token:string,ord:int,name:string,value:string,kind:int,"
-          "line:int,column:int>>")
+          "line:int,column:int,severity:string>>")
 
 
 def source_tokens(files: DataFrame, *, path: str = "file", text: str = "text",
                   language: str = "language") -> DataFrame:
-    """Literals, client calls and definitions of a corpus from one scan.
+    """Literals, client calls, definitions and secrets of a corpus from one scan.
 
-    Narrow rows (file, token, ord, name, value, kind, line, column): written
-    once, they answer all questions about endpoints without the texts.
+    Narrow rows (file, token, ord, name, value, kind, line, column, severity):
+    written once, they answer all questions without the texts.  Escapes are
+    masked once a text, and definitions are only sought where a call has an
+    argument that is no literal.
     """
     t, lang = F.col(text), F.col(language)
     none, nothing = F.lit(None).cast("string"), F.lit(None).cast("int")
+    empty = F.array().cast(_TOKEN)
 
     def token(name: str, order: Column, a: Column, b: Column, kind: Column, line: Column,
-              column: Column) -> Column:
-        return F.struct(F.lit(name), order, a, b, kind, line, column)
-
-    parts = [
-        F.transform(literal_rows(t, lang), lambda x, i: token(
-            "literal", i, none, x["url"], nothing, x["line"], x["column"])),
-        F.transform(call_rows(t, lang), lambda x, i: token(
-            "call", i, x["function"], x["argument"], nothing, nothing, nothing)),
-        F.transform(F.when(needs_resolution(text, language), definition_rows(t)), lambda x: token(
-            "definition", x["pos"], x["name"], x["value"], x["kind"], nothing, nothing)),
-    ]
-    empty = F.array().cast(_TOKEN)
+              column: Column, severity: Column = none) -> Column:
+        return F.struct(F.lit(name), order, a, b, kind, line, column, severity)
+
+    def joined(*found: Column) -> Column:
+        return F.concat(*[F.coalesce(p.cast(_TOKEN), empty) for p in found])
+
+    def from_calls(calls: Column) -> Column:
+        unresolved = F.exists(calls, lambda c: ~is_literal(c["argument"]))
+        return joined(
+            F.transform(calls, lambda x, i: token(
+                "call", i, x["function"], x["argument"], nothing, nothing, nothing)),
+            F.transform(F.when(unresolved, definition_rows(t)), lambda x: token(
+                "definition", x["pos"], x["name"], x["value"], x["kind"], nothing, nothing)))
+
+    def from_masked(clean: Column) -> Column:
+        literals = F.transform(literal_rows(t, lang, clean), lambda x, i: token(
+            "literal", i, none, x["url"], nothing, x["line"], x["column"]))
+        return F.concat(joined(literals), F.coalesce(
+            let(call_rows(t, lang, clean), from_calls), empty))
+
+    found = F.transform(secret_rows(t), lambda x, i: token(
+        "secret", i, x["type"], x["value"], nothing, x["line"], x["column"], x["severity"]))
     return files.select(F.col(path).alias("file"), F.inline(
-        F.concat(*[F.coalesce(p.cast(_TOKEN), empty) for p in parts])))
+        F.concat(F.coalesce(let(masked(t), from_masked), empty), joined(found))))
 
 
 def literals_of(tokens: DataFrame) -> DataFrame:
@@ -288,3 +301,8 @@ def calls_of(tokens: DataFrame) -> DataFrame:
 def definitions_of(tokens: DataFrame) -> DataFrame:
     return tokens.where(F.col("token") == "definition").select(
         "file", "kind", F.col("ord").alias("pos"), "name", "value")
+
+
+def secrets_of(tokens: DataFrame) -> DataFrame:
+    return tokens.where(F.col("token") == "secret").select(
+        "file", F.col("name").alias("type"), "severity", "value", "line", "column")

@@ -1,4 +1,4 @@
-"""The four stages as lazy plans: corpus, responses, audit, report."""
+"""Whole questions composed from the operators: corpus, crawl, responses, audit."""
 
 from __future__ import annotations
 
@@ -12,27 +12,24 @@ from ..operators import extract, inventory, resolve, responses, scope
 from ..sources.files import work_path
 
 _TOKENS = ("file string, ord int, name string, value string, kind int, line int, column int, "
-           "token string")
+           "severity string, token string")
 
 
 def parse_corpus(files: DataFrame, work: str | None = None, *, path: str = "file",
                  text: str = "text", language: str = "language") -> dict[str, DataFrame]:
     """Endpoints, secrets and per-file counts of a source corpus.
 
-    The texts are read twice, once for tokens and once for secrets, and both
-    narrow results are written below ``work`` (a new shared work folder by
-    default).  All that follows reads those tables, so nothing scans or parses
-    a text again, also after the loss of an executor.
+    The texts are read once, when this is called, and all tokens are written
+    below ``work`` (a new shared work folder by default).  All that follows
+    reads that table, so nothing scans or parses a text again, also after the
+    loss of an executor.
     """
     spark = files.sparkSession
     work = work or work_path(spark, "corpus")
     (resolve.source_tokens(files, path=path, text=text, language=language)
-     .write.mode("overwrite").partitionBy("token").parquet(f"{work}/tokens"))
-    (extract.secrets(files, path=path, text=text)
-     .write.mode("overwrite").parquet(f"{work}/secrets"))
-    tokens = spark.read.schema(_TOKENS).parquet(f"{work}/tokens")
-    found = spark.read.parquet(f"{work}/secrets")
-    calls = resolve.calls_of(tokens)
+     .write.mode("overwrite").partitionBy("token").parquet(work))
+    tokens = spark.read.schema(_TOKENS).parquet(work)
+    calls, found = resolve.calls_of(tokens), resolve.secrets_of(tokens)
     names = ["file", "url", "method", "match_kind"]
     endpoints = (
         resolve.literals_of(tokens).select(*names)
