@@ -61,11 +61,11 @@ def audit(inventory: DataFrame, spec: DataFrame, *, strip_host: bool = False,
     """
     signed = inventory.withColumn(
         "match_sig", urls.match_signature("method", "url", strip_host=strip_host))
-    # only the flag travels through the aggregate
-    known = last_per(
-        spec.select(urls.spec_signature("method", "path").alias("match_sig"),
-                    F.coalesce("deprecated", F.lit(False)).alias("spec_deprecated"),
-                    F.col(order).alias("_o")), ["match_sig"], "_o").drop("_o")
+    # only the flag travels through the aggregate, which hashes
+    known = spec.select(
+        urls.spec_signature("method", "path").alias("match_sig"),
+        F.coalesce("deprecated", F.lit(False)).alias("flag"), F.col(order).alias("_o")).groupBy(
+        "match_sig").agg(F.max_by("flag", "_o").alias("spec_deprecated"))
     return (
         signed.join(known, "match_sig", "left")
         .withColumn("category", F.when(F.col("spec_deprecated").isNull(), F.lit("shadow"))

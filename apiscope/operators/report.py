@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -68,7 +69,7 @@ def openapi_operations(inventory: DataFrame, *, order: str = "ord") -> DataFrame
     last = last_per(keyed, ["path", "verb"], order)
     return last.select(
         "path", "verb", "method", "url", "source", "http_status", "status", "query_params",
-        F.concat(F.lit("Discovered endpoint at "), F.col("url")).alias("summary"),
+        _filled(rules.OPERATION_SUMMARY, url=F.col("url")).alias("summary"),
         _description().alias("description"),
         urls.tags("url").alias("tags"),
         urls.path_params("url").alias("path_params"),
@@ -76,18 +77,17 @@ def openapi_operations(inventory: DataFrame, *, order: str = "ord") -> DataFrame
     )
 
 
+def _filled(text: str, **given: Column) -> Column:
+    """A fixed text with columns in place of the names in braces; NULL if one is."""
+    pieces = re.split(r"\{(\w+)\}", text)
+    return F.concat(*[given[p].cast("string") if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
+
+
 def _description() -> Column:
-    return F.array_join(non_null(
-        F.lit("**Auto-discovered endpoint**"), F.lit(""),
-        F.concat(F.lit("- **URL**: `"), F.col("url"), F.lit("`")),
-        F.concat(F.lit("- **Found in**: `"), F.col("source.file"), F.lit(":"),
-                 F.col("source.line").cast("string"), F.lit("`")),
-        F.concat(F.lit("- **Verified status**: "),
-                 F.nullif(F.col("http_status"), F.lit(0)).cast("string")),
-        F.concat(F.lit("- **Classification**: "), F.col("status")),
-        F.lit(""),
-        F.lit("> This endpoint was discovered automatically and may not be fully documented."),
-    ), "\n")
+    """The lines whose columns are all known."""
+    given = {"url": F.col("url"), "file": F.col("source.file"), "line": F.col("source.line"),
+             "http_status": F.nullif(F.col("http_status"), F.lit(0)), "status": F.col("status")}
+    return F.array_join(non_null(*[_filled(t, **given) for t in rules.OPERATION_LINES]), "\n")
 
 
 def operation_json(ops: DataFrame) -> DataFrame:
@@ -143,10 +143,6 @@ def schema_components(inventory: DataFrame, *, order: str = "ord") -> DataFrame:
 
 
 # --- findings (SARIF) -------------------------------------------------------
-_RULE_OF_STATUS = (("shadow", "SHADOW-API-001"), ("zombie", "SHADOW-API-002"),
-                   ("unprotected", "SHADOW-API-003"))
-
-
 def endpoint_level(status: Column) -> Column:
     return F.when(status.isin("zombie", "unprotected"), F.lit("error")).otherwise(F.lit("warning"))
 
@@ -174,24 +170,23 @@ def findings(inventory: DataFrame | None, secret_rows: DataFrame | None = None,
     c = F.col
     parts = []
     if inventory is not None:
-        rule = first_case((c("status") == value, F.lit(r)) for value, r in _RULE_OF_STATUS)
+        rule = first_case((c("status") == value, F.lit(r)) for value, r in rules.RULE_OF_STATUS)
         parts.append(_result(
             inventory.withColumn("_rule", rule).where("_rule IS NOT NULL"), keep,
             rule_id=c("_rule"), level=endpoint_level(c("status")),
-            message=F.concat(F.lit("Discovered "), c("status"), F.lit(" endpoint: "), c("method"),
-                             F.lit(" "), c("url")),
+            message=_filled(rules.ENDPOINT_MESSAGE, status=c("status"), method=c("method"),
+                            url=c("url")),
             file=c("file"), line=c("line"), column=c("column"), url=c("url"),
             method=c("method"), http_status=c("http_status")))
     if secret_rows is not None:
         parts.append(_result(
-            secret_rows, keep, rule_id=F.lit("SHADOW-API-004"), level=secret_level(c("severity")),
-            message=F.concat(F.lit("Hardcoded "), c("type"), F.lit(" detected")), file=c("file"),
+            secret_rows, keep, rule_id=F.lit(rules.SECRET_RULE), level=secret_level(c("severity")),
+            message=_filled(rules.SECRET_MESSAGE, type=c("type")), file=c("file"),
             line=c("line"), column=c("column"), secret_type=c("type"), severity=c("severity")))
     if ghost_rows is not None:
         parts.append(_result(
-            ghost_rows, keep, rule_id=F.lit("SHADOW-API-005"), level=F.lit("note"),
-            message=F.concat(F.lit("Documented endpoint not responding: "), c("method"),
-                             F.lit(" "), c("path"))))
+            ghost_rows, keep, rule_id=F.lit(rules.GHOST_RULE), level=F.lit("note"),
+            message=_filled(rules.GHOST_MESSAGE, method=c("method"), path=c("path"))))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -203,7 +198,7 @@ def finding_json(rows: DataFrame) -> DataFrame:
         .alias("region")).alias("physicalLocation"))
     locations = F.when(F.col("file").isNotNull(), F.array(location)) \
         .otherwise(F.filter(F.array(location), lambda _: F.lit(False)))
-    props = F.when(F.col("rule_id") != "SHADOW-API-005", F.struct(
+    props = F.when(F.col("rule_id") != rules.GHOST_RULE, F.struct(
         "url", "method", F.col("http_status").alias("httpStatus"),
         F.col("secret_type").alias("secretType"), "severity"))
     return rows.withColumn("result", F.to_json(F.struct(
@@ -212,22 +207,38 @@ def finding_json(rows: DataFrame) -> DataFrame:
         locations.alias("locations"), props.alias("properties"))))
 
 
+_RESULT_ORDER = ["rule_id", "file", "line", "column", "message", "result"]
+
+
+def sarif_document(scans: DataFrame, inventory: DataFrame | None,
+                   secret_rows: DataFrame | None = None, ghost_rows: DataFrame | None = None, *,
+                   scan: str = "scan_id") -> DataFrame:
+    """SARIF documents of endpoints, secrets and ghosts, one for each row of ``scans``.
+
+    The results need no numbers: equal ones are one, and they stand in the
+    order of rule, place and message.
+    """
+    return sarif_lines(findings(inventory, secret_rows, ghost_rows, keep=[scan]), scans, scan=scan)
+
+
 def sarif_lines(rows: DataFrame, scans: DataFrame, *, scan: str = "scan_id") -> DataFrame:
-    """SARIF documents as ordered text lines (scan, part, seq, line).
+    """SARIF documents as ordered text lines (scan, part, key, line).
 
     A document may hold more results than one task can, so it is never built
     as one value: each result is a line, the head and the tail come from the
-    scan table, and the lines in (part, seq) order are the document.  ``rows``
-    needs the scan column and a unique ``seq``; ``scans`` has started_at,
-    completed_at and the number of errors.
+    scan table, and the lines in (part, key) order are the document.  ``rows``
+    are `findings` with the scan column; ``scans`` has started_at, completed_at
+    and the number of errors.
     """
     head, tail = _sarif_frame()
-    body = finding_json(rows)
-    first = body.groupBy(scan).agg(F.min("seq").alias("_first"))
-    results = (body.join(first, scan)
-               .select(scan, F.lit(1).alias("part"), F.col("seq").cast("bigint").alias("seq"),
-                       F.concat(F.when(F.col("seq") == F.col("_first"), F.lit(""))
-                                .otherwise(F.lit(",")), F.col("result")).alias("line")))
+    key = F.struct(*_RESULT_ORDER)
+    body = finding_json(rows).select(scan, "result", key.alias("key")).distinct()
+    # the one result without a comma before it; a scan's least key, reduced in every task
+    first = body.groupBy(scan).agg(F.min("key").alias("_first"))
+    results = body.join(first, scan).select(
+        scan, F.lit(1).alias("part"), "key",
+        F.concat(F.when(F.col("key") == F.col("_first"), F.lit("")).otherwise(F.lit(",")),
+                 F.col("result")).alias("line"))
 
     def iso(ts: Column) -> Column:
         return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
@@ -236,9 +247,9 @@ def sarif_lines(rows: DataFrame, scans: DataFrame, *, scan: str = "scan_id") ->
         (F.coalesce("errors", F.lit(0)) == 0).alias("executionSuccessful"),
         iso(F.col("started_at")).alias("startTimeUtc"),
         iso(F.col("completed_at")).alias("endTimeUtc")))
-    zero = F.lit(0).cast("bigint")
-    heads = scans.select(scan, F.lit(0).alias("part"), zero.alias("seq"), F.lit(head).alias("line"))
-    tails = scans.select(scan, F.lit(2).alias("part"), zero.alias("seq"), F.concat(
+    none = F.lit(None).cast(body.schema["key"].dataType).alias("key")
+    heads = scans.select(scan, F.lit(0).alias("part"), none, F.lit(head).alias("line"))
+    tails = scans.select(scan, F.lit(2).alias("part"), none, F.concat(
         F.lit(tail), invocation, F.lit("]}]}")).alias("line"))
     return heads.unionByName(results).unionByName(tails)
 
@@ -258,9 +269,9 @@ def _sarif_frame() -> tuple[str, str]:
 def openapi_lines(items: DataFrame, *, title: str = "Discovered API", version: str = "1.0.0",
                   server_url: str | None = None,
                   components: DataFrame | None = None) -> DataFrame:
-    """One OpenAPI document as ordered text lines (part, seq, line).
+    """One OpenAPI document as ordered text lines (part, key, line).
 
-    ``seq`` is the path (or schema name), so the lines sort without a global
+    ``key`` is the path (or schema name), so the lines sort without a global
     numbering; every path line but the smallest starts with a comma.
     """
     head = {"openapi": "3.0.3", "info": {"title": title, "version": version}}
@@ -271,14 +282,14 @@ def openapi_lines(items: DataFrame, *, title: str = "Discovered API", version: s
     def block(df: DataFrame, name: str, value: str, part: int) -> DataFrame:
         smallest = df.agg(F.min(name)).scalar()
         return df.select(
-            F.lit(part).alias("part"), F.col(name).alias("seq"),
+            F.lit(part).alias("part"), F.col(name).alias("key"),
             F.concat(F.when(F.col(name) == smallest, F.lit("")).otherwise(F.lit(",")),
                      F.regexp_replace(F.to_json(F.struct(F.col(name).alias("k"))),
                                       r'^\{"k":|\}$', ""),
                      F.lit(":"), F.col(value)).alias("line"))
 
     def fixed(part: int, line: str) -> DataFrame:
-        return spark.range(1).select(F.lit(part).alias("part"), F.lit("").alias("seq"),
+        return spark.range(1).select(F.lit(part).alias("part"), F.lit("").alias("key"),
                                      F.lit(line).alias("line"))
 
     lines = fixed(0, json.dumps(head)[:-1] + ',"paths":{').unionByName(

@@ -114,6 +114,15 @@ SELECT page_id,
 FROM {{page_parts}}
 """
 
+_MARKUPS = """
+SELECT page_id, 'site/' || host || '/' || CAST(page_id AS STRING) || '.html' AS file, 'html' AS language,
+  '<!-- "/api/v9/hidden" -->' || chr(10) || '<a href="/api/v' || v || '/items/' || num || '">t</a>'
+  || chr(10) || '<form action=' || chr(39) || '/auth/' || lang || chr(39) || '><b data-u="/static/'
+  || lang || '">' || chr(10) || CASE WHEN page_id % 2 = 0 THEN split_part(html, '<body>', 1) ELSE '' END
+  || '<i data-q="/graphql?p=' || num || '"></i>' AS text
+FROM {page_parts}
+"""
+
 _PATHS = """
 SELECT page_id,
   CASE page_id % 3 WHEN 0 THEN 'app/' WHEN 1 THEN 'app/node_modules/' ELSE 'lib/__pycache__/' END
@@ -322,6 +331,7 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
     "inventory": (("page_parts",), _INVENTORY),
     "spec": (("page_parts",), _SPEC),
     "sources": (("page_parts",), _SOURCES),
+    "markups": (("page_parts",), _MARKUPS),
     "paths": (("page_parts",), _PATHS),
     "responses": (("page_parts",), _RESPONSES),
     "probes": (("responses",), _PROBES),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import urls
 from ..operators import inventory, ratelimit, report, scope
 from ..plans import stages
-from ..sources import feeds
+from ..sources import feeds, sinks
+from ..sources.files import work_path
 from .registry import query, table
 from .text_queries import SECRETS, _secrets
 from .url_queries import (ALLOWED, BLOCKED, MATCH, OPENAPI, OPENAPI_FROM, SCHEMA_NAME, SIGNATURE,
@@ -317,23 +318,62 @@ def f18(spark, sf):
     return findings(spark, sf).groupBy("rule_id", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("F19_sarif_lines", """
-WITH r AS (SELECT scan_id, ord, method, url, status FROM inventory
-  WHERE status IN ('shadow', 'zombie', 'unprotected'))
-SELECT scan_id, 1 AS part, ord AS seq, 'Discovered ' || status || ' endpoint: ' || method || ' ' || url
-    AS message, ord = min(ord) OVER (PARTITION BY scan_id) AS is_first FROM r
-UNION ALL SELECT DISTINCT scan_id, 0, 0, NULL, false FROM inventory
-UNION ALL SELECT DISTINCT scan_id, 2, 0, NULL, false FROM inventory""", INV)
+@query("F19_sarif_documents", """
+SELECT scan_id, 'head' AS kind, '2.1.0' AS value FROM inventory GROUP BY 1
+UNION ALL SELECT scan_id, 'tail', 'true' FROM inventory GROUP BY 1
+UNION ALL SELECT scan_id, 'first', '' FROM inventory
+  WHERE status IN ('shadow', 'zombie', 'unprotected') GROUP BY 1
+UNION ALL SELECT scan_id, 'result', CASE status WHEN 'shadow' THEN 'SHADOW-API-001'
+    WHEN 'zombie' THEN 'SHADOW-API-002' ELSE 'SHADOW-API-003' END || ' ' || file || ':' || line || ' '
+    || 'Discovered ' || status || ' endpoint: ' || method || ' ' || url
+  FROM (SELECT DISTINCT scan_id, status, file, line, col, method, url, http_status FROM inventory
+        WHERE status IN ('shadow', 'zombie', 'unprotected'))""", INV)
 def f19(spark, sf):
-    i = inv(spark, sf).withColumn("seq", F.col("ord")).withColumnRenamed("col", "column")
-    scan_rows = i.groupBy("scan_id").agg(
+    """Documents written, read again, and their lines parsed as JSON."""
+    i = inv(spark, sf).withColumnRenamed("col", "column")
+    scans = i.groupBy("scan_id").agg(
         F.lit("2024-01-01").cast("timestamp").alias("started_at"),
         F.lit("2024-01-02").cast("timestamp").alias("completed_at"), F.lit(0).alias("errors"))
-    lines = report.sarif_lines(report.findings(i, keep=["scan_id", "seq"]), scan_rows)
-    is_result = F.col("part") == 1
-    text = F.get_json_object(F.ltrim("line", F.lit(",")), "$.message.text")
-    return lines.select("scan_id", "part", "seq", F.when(is_result, text).alias("message"),
-                        (is_result & ~F.col("line").startswith(",")).alias("is_first"))
+    path = work_path(spark, "sarif")
+    sinks.write_document(report.sarif_document(scans, i), path, scan="scan_id")
+    line = F.col("value")
+    head, tail = line.startswith('{"$schema"'), line.startswith('],"invocations"')
+    # head and tail are JSON once what stands between them is closed or opened
+    version = F.get_json_object(F.concat(line, F.lit("]}]}")), "$.version")
+    success = F.get_json_object(F.concat(F.lit('{"runs":[{"results":['), line),
+                                "$.runs[0].invocations[0].executionSuccessful")
+    r = F.from_json(F.ltrim(line, F.lit(",")),
+                    "ruleId string, message struct<text:string>, locations array<struct<"
+                    "physicalLocation:struct<artifactLocation:struct<uri:string>,"
+                    "region:struct<startLine:int>>>>")
+    place = r["locations"][0]["physicalLocation"]
+    result = F.concat(r["ruleId"], F.lit(" "), place["artifactLocation"]["uri"], F.lit(":"),
+                      place["region"]["startLine"].cast("string"), F.lit(" "), r["message"]["text"])
+    lines = spark.read.text(path)
+    firsts = lines.where(~head & ~tail & ~line.startswith(",")).select(
+        "scan_id", F.lit("first").alias("kind"), F.lit("").alias("value"))
+    return lines.select(
+        "scan_id", F.when(head, "head").when(tail, "tail").otherwise("result").alias("kind"),
+        F.when(head, version).when(tail, success).otherwise(result).alias("value")).unionAll(firsts)
+
+
+@query("F14_openapi_document", f"""
+WITH {_LAST_OPS} SELECT path, string_agg(DISTINCT verb, ',' ORDER BY verb) AS verbs FROM ops GROUP BY 1
+UNION ALL SELECT '', '3.0.3'""", INV)
+def f14_document(spark, sf):
+    """The document written, read again, and its lines parsed as JSON."""
+    path = work_path(spark, "openapi")
+    sinks.write_document(report.openapi_lines(report.path_items(report.operation_json(
+        operations(spark, sf)))), path)
+    line = F.col("value")
+    head = line.startswith('{"openapi"')
+    entry = F.map_entries(F.from_json(F.concat(F.lit("{"), F.ltrim(line, F.lit(",")), F.lit("}")),
+                                      "map<string,string>"))[0]
+    verbs = F.array_join(F.array_sort(F.json_object_keys(entry["value"])), ",")
+    return spark.read.text(path).where(line != "}}").select(
+        F.when(head, "").otherwise(entry["key"]).alias("path"),
+        F.when(head, F.get_json_object(F.concat(line, F.lit("}}")), "$.openapi"))
+        .otherwise(verbs).alias("verbs"))
 
 
 # an error event stands for a 429, the user for the key; TTL one day

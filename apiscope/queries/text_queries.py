@@ -58,9 +58,10 @@ def unquoted(m: str) -> str:
 
 
 # --- C1 -------------------------------------------------------------------
-def _literal_sql(dialect: str, where: str) -> str:
-    clean = f"(SELECT file, language, text, {hidden('text')} AS t FROM sources)"
-    comment = {"js": "starts_with(m, '//') OR starts_with(m, '/*')", "py": "starts_with(m, '#')"}
+def _literal_sql(dialect: str, where: str, source: str = "sources") -> str:
+    clean = f"(SELECT file, language, text, {hidden('text')} AS t FROM {source})"
+    comment = {"js": "starts_with(m, '//') OR starts_with(m, '/*')", "py": "starts_with(m, '#')",
+               "html": "starts_with(m, '<!--')"}
     return f"""
 SELECT file, {shown(unquoted('m'))} AS url, {line_of('t')} AS line, {column_of('t')} AS "column",
   left({shown(unquoted('m'))}, 100) AS context
@@ -79,15 +80,11 @@ def c1(spark, sf):
                         F.col("column").cast("bigint").alias("column"), "context")
 
 
-@query("C1_page_literals", f"""
-SELECT count(*) FILTER (WHERE {is_api(unquoted('m'))}) AS api_literals FROM (
-  SELECT unnest(regexp_extract_all(html, {lit(rules.LITERALS['html'])})) AS m FROM pages)
-WHERE NOT starts_with(m, '<!--')""")
+@query("C1_page_literals", _literal_sql("html", "true", "markups"), ("markups",))
 def c1_pages(spark, sf):
-    pages = table(spark, sf, "pages").select(
-        F.col("page_id").alias("file"), F.col("html").alias("text"),
-        F.lit("html").alias("language"))
-    return extract.literal_endpoints(pages).agg(F.count(F.lit(1)).alias("api_literals"))
+    found = extract.literal_endpoints(table(spark, sf, "markups"))
+    return found.select("file", "url", F.col("line").cast("bigint").alias("line"),
+                        F.col("column").cast("bigint").alias("column"), "context")
 
 
 # --- C2, C3 ---------------------------------------------------------------
@@ -364,20 +361,23 @@ def c15(spark, sf):
         F.col("line").cast("bigint").alias("line"), F.col("column").cast("bigint").alias("column"))
 
 
+def _source_secret_sql(name, pattern, severity, floor, _words) -> str:
+    group = 1 if "([" in pattern else 0
+    gate = f"WHERE {_entropy('g')} >= {floor}" if floor is not None else ""
+    return f"SELECT file FROM ({placed('sources', 'file', 'text', pattern, group)}) {gate}"
+
+
 @query("C16_file_summary", f"""
-SELECT doc_id, count(*) FILTER (WHERE k = 'e') AS endpoint_count,
-  count(*) FILTER (WHERE k = 's') AS secret_count, 0::BIGINT AS error_count
-FROM (SELECT doc_id, 's' AS k FROM ({SECRETS})
-  UNION ALL SELECT doc_id, 'e' FROM (
-    SELECT doc_id, unnest(regexp_extract_all(text, {lit(rules.PII_RULES[4][1])})) FROM documents))
-GROUP BY 1""")
+SELECT file, count(*) FILTER (WHERE k = 'e') AS endpoint_count,
+  count(*) FILTER (WHERE k = 's') AS secret_count, count(*) FILTER (WHERE k = 'x') AS error_count
+FROM (SELECT file, 'e' AS k FROM ({ENDPOINTS})
+  UNION ALL SELECT file, 's' FROM ({" UNION ALL ".join(_source_secret_sql(*r) for r in rules.SECRET_RULES)})
+  UNION ALL SELECT file, 'x' FROM sources WHERE ends_with(file, '.mjs')) GROUP BY 1""", SRC)
 def c16(spark, sf):
-    # IPv4 literals stand for endpoints: the documents hold no API URLs
-    hosts = table(spark, sf, "documents").select(
-        F.col("doc_id").alias("file"),
-        F.explode(F.regexp_extract_all("text", F.lit(rules.PII_RULES[4][1]), F.lit(0))))
-    return (extract.file_summary(hosts, _secrets(spark, sf))
-            .withColumnRenamed("file", "doc_id"))
+    # files of one extension stand for those that could not be read
+    rows = table(spark, sf, "sources")
+    return extract.file_summary(extract.literal_endpoints(rows), extract.secrets(rows),
+                                rows.where(F.col("file").endswith(".mjs")))
 
 
 @query("C17_links", f"""

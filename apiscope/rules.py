@@ -216,18 +216,39 @@ SARIF_VERSION = "2.1.0"
 # (id, name, short description, default level, tags)
 SARIF_RULES = (
     ("SHADOW-API-001", "UndocumentedEndpoint",
-     "Undocumented API endpoint discovered", "warning", ("security", "api", "shadow")),
+     "An endpoint is in use that no specification lists", "warning", ("security", "api", "shadow")),
     ("SHADOW-API-002", "ZombieEndpoint",
-     "Deprecated API endpoint still active", "error",
+     "An endpoint marked as deprecated still answers", "error",
      ("security", "api", "zombie", "deprecated")),
     ("SHADOW-API-003", "UnprotectedEndpoint",
-     "API endpoint accessible without authentication", "error",
+     "An endpoint answers requests without credentials", "error",
      ("security", "api", "authentication")),
     ("SHADOW-API-004", "HardcodedSecret",
-     "Hardcoded secret detected in source code", "error",
+     "Source text holds a key, token or password", "error",
      ("security", "secrets", "credentials")),
     ("SHADOW-API-005", "GhostEndpoint",
-     "Documented endpoint not responding", "note", ("api", "documentation")),
+     "A specification lists an endpoint that does not answer", "note", ("api", "documentation")),
+)
+RULE_OF_STATUS = (
+    ("shadow", "SHADOW-API-001"),
+    ("zombie", "SHADOW-API-002"),
+    ("unprotected", "SHADOW-API-003"),
+)
+SECRET_RULE, GHOST_RULE = "SHADOW-API-004", "SHADOW-API-005"
+# messages; the names in braces are columns
+ENDPOINT_MESSAGE = "Discovered {status} endpoint: {method} {url}"
+SECRET_MESSAGE = "Hardcoded {type} detected"
+GHOST_MESSAGE = "Documented endpoint not responding: {method} {path}"
+OPERATION_SUMMARY = "Discovered endpoint at {url}"
+OPERATION_LINES = (
+    "**Auto-discovered endpoint**",
+    "",
+    "- **URL**: `{url}`",
+    "- **Found in**: `{file}:{line}`",
+    "- **Verified status**: {http_status}",
+    "- **Classification**: {status}",
+    "",
+    "> This endpoint was discovered automatically and may not be fully documented.",
 )
 AUDIT_CATEGORIES = ("documented", "shadow", "ghost", "zombie")
 
@@ -246,17 +267,18 @@ FINDING_SEVERITIES = ("low", "medium", "high", "critical")
 # --- Our own tables --------------------------------------------------------
 # Secret rules: (name, pattern, severity, lowest entropy or None, hint).
 # Group 1, where present, is the value.
+_PII = {name: (pattern, hint) for name, pattern, hint in PII_RULES}
 SECRET_RULES = (
-    ("stripe_key", PII_RULES[5][1], "critical", None, PII_RULES[5][2]),
-    ("aws_access_key", PII_RULES[6][1], "critical", None, PII_RULES[6][2]),
-    ("github_token", PII_RULES[7][1], "critical", None, PII_RULES[7][2]),
-    ("google_api_key", PII_RULES[8][1], "high", None, PII_RULES[8][2]),
-    ("generic_api_key", PII_RULES[9][1], "high", MIN_KEY_ENTROPY, ("key", "token")),
+    ("stripe_key", _PII["api_key_stripe"][0], "critical", None, _PII["api_key_stripe"][1]),
+    ("aws_access_key", _PII["api_key_aws"][0], "critical", None, _PII["api_key_aws"][1]),
+    ("github_token", _PII["api_key_github"][0], "critical", None, _PII["api_key_github"][1]),
+    ("google_api_key", _PII["api_key_google"][0], "high", None, _PII["api_key_google"][1]),
+    ("generic_api_key", _PII["api_key_generic"][0], "high", MIN_KEY_ENTROPY, ("key", "token")),
     ("token_assignment", r"\btoken\s*=\s*\"([0-9a-f]{40})\"", "medium",
      MIN_KEY_ENTROPY, ("token",)),
-    ("bearer_token", PII_RULES[10][1], "high", None, PII_RULES[10][2]),
-    ("basic_auth", PII_RULES[11][1], "medium", None, PII_RULES[11][2]),
-    ("private_key", PII_RULES[12][1], "critical", None, PII_RULES[12][2]),
+    ("bearer_token", _PII["bearer_token"][0], "high", None, _PII["bearer_token"][1]),
+    ("basic_auth", _PII["basic_auth"][0], "medium", None, _PII["basic_auth"][1]),
+    ("private_key", _PII["private_key"][0], "critical", None, _PII["private_key"][1]),
 )
 
 _NAME = r"[A-Za-z_$][\w$]*+"

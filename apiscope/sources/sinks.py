@@ -25,7 +25,7 @@ def write_host_list(hosts: DataFrame, path: str, *, host: str = "host") -> None:
      .write.mode("overwrite").text(path))
 
 
-def write_document(lines: DataFrame, path: str, *, order: Sequence[str] = ("part", "seq"),
+def write_document(lines: DataFrame, path: str, *, order: Sequence[str] = ("part", "key"),
                    scan: str | None = None) -> None:
     """Text lines in order: the part files, read by name, are the document.
 

@@ -156,16 +156,15 @@ def test_openapi_document(spark, tmp_path):
 
 
 def test_sarif_document(spark, tmp_path):
-    inv = full(spark).select("*", "source.file", "source.line").withColumn("seq", F.col("ord"))
-    secret_rows = spark.createDataFrame([("s1", 10, "k", "low", "z.js", 1, 2)],
-                                        "scan_id string, seq long, type string, severity string, "
+    inv = full(spark).select("*", "source.file", "source.line").drop("ord")
+    secret_rows = spark.createDataFrame([("s1", "k", "low", "z.js", 1, 2)] * 2,
+                                        "scan_id string, type string, severity string, "
                                         "file string, line int, column int")
-    rows = report.findings(inv, secret_rows, keep=["scan_id", "seq"])
     scans = spark.createDataFrame([("s1", 0), ("s2", 1), ("s3", 0)], "scan_id string, errors int") \
         .withColumn("started_at", F.lit("2024-01-01").cast("timestamp")) \
         .withColumn("completed_at", F.lit("2024-01-01 01:00:00").cast("timestamp"))
     out = str(tmp_path / "sarif")
-    sinks.write_document(report.sarif_lines(rows, scans), out, scan="scan_id")
+    sinks.write_document(report.sarif_document(scans, inv, secret_rows), out, scan="scan_id")
     docs = {}
     for scan in ("s1", "s2", "s3"):
         parts = sorted((tmp_path / "sarif" / f"scan_id={scan}").glob("part-*"))
