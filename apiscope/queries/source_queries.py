@@ -18,6 +18,25 @@ def a1(spark, sf):
     return files.source_files(table(spark, sf, "paths"))
 
 
+@query("A1_source_tree", """
+SELECT folder, line, count(*) AS n FROM (
+  SELECT CASE page_id % 3 WHEN 0 THEN 'app' ELSE 'lib' END AS folder,
+    unnest(string_split(text, chr(10))) AS line
+  FROM sources WHERE page_id % 3 <> 1) WHERE line <> '' GROUP BY ALL""", ("sources",))
+def a1_tree(spark, sf):
+    """Source texts written as files of a tree, a third below a skipped folder, and read again."""
+    path = files.work_path(spark, "tree")
+    folder = F.when(F.col("page_id") % 3 == 0, "app").when(
+        F.col("page_id") % 3 == 1, "node_modules").otherwise("lib")
+    table(spark, sf, "sources").select(folder.alias("folder"), "text").write.partitionBy(
+        "folder").text(path)
+    read = files.read_source_tree(spark, path, extensions=("txt",))
+    return read.select(
+        F.regexp_extract("file", "folder=([^/]+)", 1).alias("folder"),
+        F.explode(F.split("text", "\n")).alias("line")).where("line <> ''").groupBy(
+        "folder", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("A2_language_tag", """
 SELECT page_id, CASE lower(split_part(split_part(file, '/', -1), '.', -1))
   WHEN 'js' THEN 'javascript' WHEN 'jsx' THEN 'javascript' WHEN 'ts' THEN 'typescript'

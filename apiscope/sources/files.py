@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,35 +53,37 @@ def _remove_made() -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def is_source_path(path: Column | str) -> Column:
+def is_source_path(path: Column | str,
+                   extensions: Sequence[str] = rules.SOURCE_EXTENSIONS) -> Column:
     """Known extension, and not below a dependency or byte-code folder."""
     p = as_col(path)
-    wanted = p.rlike(r"\.(?:" + "|".join(rules.SOURCE_EXTENSIONS) + r")$")
+    wanted = p.rlike(r"\.(?:" + "|".join(extensions) + r")$")
     return wanted & ~p.rlike(any_of(rules.SKIPPED_PATHS))
 
 
-def source_files(files: DataFrame, *, path: str = "file") -> DataFrame:
+def source_files(files: DataFrame, *, path: str = "file",
+                 extensions: Sequence[str] = rules.SOURCE_EXTENSIONS) -> DataFrame:
     """Files of a (path, text) table that a source scan reads, with language."""
-    return files.where(is_source_path(path)).withColumn("language", language_of(path))
+    return files.where(is_source_path(path, extensions)).withColumn("language", language_of(path))
 
 
-def read_source_tree(spark: SparkSession, root: str, *,
-                     max_mb: float | None = None) -> DataFrame:
+def read_source_tree(spark: SparkSession, root: str, *, max_mb: float | None = None,
+                     extensions: Sequence[str] = rules.SOURCE_EXTENSIONS) -> DataFrame:
     """(file, text, language) of a source tree, one row per file.
 
     Extensions are filtered while listing, skipped folders and the size limit
     by file metadata, before any content is read.  Undecodable bytes are dropped (they become replacement
     characters, and those are removed).
     """
-    globs = "*.{" + ",".join(rules.SOURCE_EXTENSIONS) + "}"
+    globs = "*.{" + ",".join(extensions) + "}"
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
            .option("pathGlobFilter", globs).load(root)
-           .where(is_source_path(F.col("_metadata.file_path"))))
+           .where(is_source_path(F.col("_metadata.file_path"), extensions)))
     if max_mb is not None:
         raw = raw.where(F.col("length") <= int(max_mb * 1024 * 1024))
     text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("\ufffd"), F.lit(""))
     return source_files(raw.select(
-        F.regexp_replace("path", "^file:", "").alias("file"), "content")).select(
+        F.regexp_replace("path", "^file:", "").alias("file"), "content"), extensions=extensions).select(
         "file", text.alias("text"), "language")
 
 
