@@ -43,6 +43,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs, back = aside(docs, "doc_id", "text")
     classes = near_dups.classes(docs)
     stays = written(classes.where(F.col("doc_id") == F.col("class_id")).groupBy(
         F.col("doc_id").alias("_stays")).agg(F.count(F.lit(1)).alias("_rows")), "stays")
@@ -51,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # rows that repeat an id, and rows without one
     more = found.where(F.col("_rows") > 1).select(*docs.columns).dropDuplicates(["doc_id", "text"])
     unnamed = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return once.unionAll(more).unionAll(unnamed)
+    return back(once.unionAll(more).unionAll(unnamed))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
