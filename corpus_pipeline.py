@@ -47,7 +47,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     classes = near_dups.classes(docs)
     stays = written(classes.where(F.col("doc_id") == F.col("class_id")).groupBy(
         F.col("doc_id").alias("_stays")).agg(F.count(F.lit(1)).alias("_rows")), "stays")
-    found = docs.join(stays, F.col("doc_id") == F.col("_stays"))
+    # a merge join at every size: what is shuffled follows the input
+    found = docs.join(stays.hint("merge"), F.col("doc_id") == F.col("_stays"))
     once = found.where(F.col("_rows") == 1).select(*docs.columns)
     # rows that repeat an id, and rows without one
     more = found.where(F.col("_rows") > 1).select(*docs.columns).dropDuplicates(["doc_id", "text"])
