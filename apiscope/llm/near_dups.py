@@ -12,8 +12,9 @@ Texts of equal words are one node, so copies cost nothing beyond their
 fingerprint.  No bucket is expanded into pairs: its members are compared with
 its least member.  Where some are not similar to that, they are compared with
 each other and with those similar members that the triangle inequality (the
-distance 1 - similarity is a metric) leaves possible, by signature and in
-blocks.  Classes are the connected components of verified links.
+distance 1 - similarity is a metric) leaves possible, in blocks of bounded size;
+each block verifies its pairs and returns links that unite its classes, fewer
+than it has members.  Classes are the connected components of verified links.
 
 Defined results: a document without words (null, empty) is a class of its own;
 the class id is the least document id in the class; rows that share an id share
@@ -38,8 +39,10 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Bands and components of each: a pair at the threshold is missed in one case of 14,000.
 BANDS, ROWS = 24, 5
 M = BANDS * ROWS
-#: Five standard errors of a similarity estimated from M components.
-SLACK = 0.2
+#: Four standard errors of a similarity of 0.8 estimated from M components.
+SLACK = 0.15
+#: Bits of the filter that keeps texts of no pair from being shuffled: 16 MB at most.
+FILTER_BITS = 1 << 27
 #: Members of a block that is compared with another.
 BLOCK = 256
 
@@ -132,7 +135,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in range(ROWS):
             bands = mixed(bands * _U(0xD1342543DE82EF95) + grid[:, :, r])
         bands = mixed(bands + _GOLD * np.arange(1, BANDS + 1, dtype=_U)).view(np.int64)
-        short = (sig >> _U(32)).astype("<u4")
+        short = (sig >> _U(48)).astype("<u2")
         yield pa.RecordBatch.from_arrays([
             part.column("doc_id"), pa.array(np.diff(w.first), pa.int64()),
             pa.array(prints[0], pa.int64()), pa.array(prints[1], pa.int64()),
@@ -144,7 +147,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Similarity of two signatures a row, from the share of equal components."""
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u4").reshape(-1, M)
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, M)
                 for c in ("sig_a", "sig_b"))
         yield pa.RecordBatch.from_arrays(
             [batch.column("a"), batch.column("b"),
@@ -169,50 +172,108 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["a", "b", "similarity"])
 
 
-def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of one block's members with another's whose signatures are near enough.
+def alike(i: int, doc: np.ndarray, number: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Probability Jaccard similarity of text ``i`` with each of ``n`` texts at once.
 
-    Rows come sorted by block; ``far`` tells members that are not similar to
-    their bucket's least, which are compared with all others of the block.
+    The texts' shingles have numbers and weights.  Of the sum's terms, those of
+    shingles with the same ratio r of both weights have the same denominator,
+    own total + sum over the other text of max(weight / r - own weight, 0).
     """
+    own = np.flatnonzero(doc == i)
+    mine = np.zeros(int(number.max(initial=-1)) + 1)
+    mine[number[own]] = weight[own]
+    total = mine.sum()
+    mine = mine[number]
+    shared = np.flatnonzero(mine)
+    ratio = weight[shared] / mine[shared]
+    found = np.zeros(n)
+    for r in np.unique(ratio):
+        at = shared[ratio == r]
+        rest = np.bincount(doc, np.maximum(weight / r - mine, 0), minlength=n)
+        found += np.bincount(doc[at], mine[at], minlength=n) / np.maximum(total + rest, 1e-300)
+    return found
+
+
+def _links_of(node: np.ndarray, far: np.ndarray, asking: np.ndarray,
+              texts: list[str]) -> list[tuple[int, int]]:
+    """Verified links between the classes of one block's members.
+
+    Members that are not far are one class.  Each asking member is compared
+    with all others, and one link unites it with each class it is similar to.
+    """
+    doc, value, count = shingles(words(pa.array(texts, pa.string())))
+    number = np.unique(value, return_inverse=True)[1]
+    weight = count.astype(np.float64)
+    root = np.arange(len(node))
+    if not far.all():
+        root[~far] = np.flatnonzero(~far)[0]
+    found = []
+    for i in np.flatnonzero(asking):
+        if (root == root[i]).all():
+            break
+        for k in np.flatnonzero(alike(i, doc, number, weight, len(node)) >= THRESHOLD):
+            if root[k] != root[i]:
+                found.append((min(int(node[i]), int(node[k])), max(int(node[i]), int(node[k]))))
+                root[root == root[k]] = root[i]
+    return found
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each block; rows come sorted by block, and a block fits in memory."""
     held: list[tuple] = []
     current = None
 
-    def pairs():
-        if len(held) < 2:
-            return
-        node = np.array([h[1] for h in held], np.int64)
-        far = np.array([h[2] for h in held], bool)
-        sig = np.frombuffer(b"".join(h[3] for h in held), "<u4").reshape(-1, M)
-        for i in np.flatnonzero(far):
-            near = (sig == sig[i]).mean(axis=1) >= THRESHOLD - SLACK
-            near &= (node != node[i]) & (~far | (node > node[i]))
-            if near.any():
-                other = node[near]
-                yield np.minimum(other, node[i]), np.maximum(other, node[i])
+    def links():
+        if len(held) < 2 or not any(h[3] for h in held):
+            return []
+        return _links_of(np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held]),
+                         np.array([h[3] for h in held]), [h[4] for h in held])
 
     def batch_of(found):
-        a = np.concatenate([f[0] for f in found]) if found else np.empty(0, np.int64)
-        b = np.concatenate([f[1] for f in found]) if found else np.empty(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+        pairs = np.array(found, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     for batch in batches:
         found = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("block", "node", "far", "sig")),
-                       strict=True):
-            if row[0] != current:
-                found += pairs()
-                held.clear()
-                current = row[0]
-            held.append(row)
+        for at in range(0, batch.num_rows, BLOCK):
+            part = batch.slice(at, BLOCK)
+            for row in zip(*(part.column(c).to_pylist()
+                             for c in ("block", "node", "far", "asking", "text")),
+                           strict=True):
+                if row[0] != current:
+                    found += links()
+                    held.clear()
+                    current = row[0]
+                held.append(row)
         yield batch_of(found)
-    yield batch_of(list(pairs()))
+    yield batch_of(links())
+
+
+def _filtered(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """Texts (node, text) whose node may be in ``needed`` (node); few others pass.
+
+    A bitmap of hashed nodes, of bounded size, is broadcast, so that a text is
+    looked at where it is read and only those of pairs are shuffled.
+    """
+    def place(node: str):
+        return F.pmod(F.xxhash64(node, F.lit(11)), F.lit(FILTER_BITS)) + 1
+
+    bits = needed.select(place("node").alias("p")).groupBy(
+        F.bitmap_bucket_number("p").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))
+    at = F.bitmap_bit_position("p")
+    byte = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10)
+    return texts.withColumn("p", place("node")).withColumn(
+        "bucket", F.bitmap_bucket_number("p")).join(F.broadcast(bits), "bucket").where(
+        F.getbit(byte.cast("int"), (at % 8).cast("int")) == 1).select("node", "text")
 
 
 def _similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, similarity) of pairs (a, b), from the texts (node, text)."""
     needed = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    texts = written(texts.join(needed, "node"), "pair-texts")
+    needed = written(needed, "pair-nodes")
+    # a merge join at every size: what is shuffled follows the input
+    texts = written(_filtered(texts, needed).join(needed.hint("merge"), "node"), "pair-texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a") \
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(
@@ -274,23 +335,21 @@ def classes(docs: DataFrame) -> DataFrame:
     blocks_all = F.ceil(F.col("n") / BLOCK).cast("int")
     salt = F.xxhash64("node", F.lit(5))
     own_far, own_all = F.pmod(salt, blocks_far), F.pmod(salt, blocks_all)
-    as_far = rest.where("far").select("key", "node", F.lit(True).alias("far"), own_far.alias("i"),
+    as_far = rest.where("far").select("key", "node", "far", F.lit(True).alias("asking"),
+                                      own_far.alias("i"),
                                       F.explode(F.sequence(F.lit(0), blocks_all - 1)).alias("j"))
-    as_any = rest.select("key", "node", F.lit(False).alias("far"),
+    as_any = rest.select("key", "node", "far", F.lit(False).alias("asking"),
                          F.explode(F.sequence(F.lit(0), blocks_far - 1)).alias("i"),
                          own_all.alias("j"))
-    block = F.xxhash64("key", "i", "j")
-    members_of = as_far.select(block.alias("block"), "node", "far").unionAll(
-        as_any.select(block.alias("block"), "node", "far"))
-    # a far member that stands in both sets of a block counts as far
-    members_of = members_of.groupBy("block", "node").agg(F.max("far").alias("far"))
-    near = members_of.join(sigs, "node").repartition("block").sortWithinPartitions("block") \
-        .mapInArrow(_compared, "a long, b long").distinct()
-    more = written(near.join(estimates.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
-        links = links.unionAll(_similarities(more, texts).where(
-            F.col("similarity") >= THRESHOLD).select("a", "b"))
-    labels = components(links)
+    # a far member may stand in both sets of a block
+    blocks = as_far.unionAll(as_any).groupBy(F.xxhash64("key", "i", "j").alias("block"), "node").agg(
+        F.max("far").alias("far"), F.max("asking").alias("asking"))
+    blocks = written(blocks, "blocks")
+    wanted = written(blocks.select("node").distinct(), "block-nodes")
+    known = written(_filtered(texts, wanted).join(wanted.hint("merge"), "node"), "block-texts")
+    more = blocks.join(known, "node").repartition("block").sortWithinPartitions("block").mapInArrow(
+        _united, "a long, b long")
+    labels = components(links.unionAll(written(more, "more-links")))
     named = written(groups.join(labels, "node", "left").select(
         *prints, F.coalesce("label", "node").alias("class_id")), "classes")
     return signed.select("doc_id", *prints, "n_words").join(named, prints, "left").select(

@@ -391,3 +391,14 @@ def test_page_edges(spark):
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [
         (0, 1), (1, 0), (2, 0), (3, 1), (3, 1), (4, 4), (5, 999_999)]
     assert templates.extract(page_table(spark, [])).count() == 0
+
+
+def test_all_similarities_of_a_text_at_once():
+    rng = np.random.default_rng(8)
+    sets = [collections.Counter(rng.integers(0, 25, rng.integers(1, 60)).tolist()) for _ in range(30)]
+    doc = np.concatenate([[i] * len(s) for i, s in enumerate(sets)])
+    number = np.concatenate([sorted(s) for s in sets])
+    weight = np.array([s[k] for s in sets for k in sorted(s)], float)
+    for i in range(30):
+        got = near_dups.alike(i, doc, number, weight, 30)
+        assert got == pytest.approx([probability_jaccard(sets[i], s) for s in sets])
