@@ -93,8 +93,17 @@ def match_positions(text: Column, pattern: str | Column,
     more than one with few.  ``at`` is 0-based, line and column 1-based.  A mark
     already in the text is blanked first (``exact_text`` restores it).
     """
-    marked = F.regexp_replace(F.translate(text, _EDGE, _BLANK), F.lit(pattern),
-                              F.lit(f"{_EDGE}$0{_EDGE}"))
+    return marked_positions(marked(text, pattern), keep)
+
+
+def marked(text: Column, pattern: str | Column) -> Column:
+    """The text with an edge mark before and after every match."""
+    return F.regexp_replace(F.translate(text, _EDGE, _BLANK), F.lit(pattern),
+                            F.lit(f"{_EDGE}$0{_EDGE}"))
+
+
+def marked_positions(marked_text: Column, keep: Callable[[Column], Column] | None = None) -> Column:
+    """As ``match_positions``, from the marked text."""
 
     def moved(acc: Column, size: Column, breaks: Column, tail: Column) -> list[Column]:
         """Position after a piece; ``tail`` is its length after the last break."""
@@ -139,7 +148,7 @@ def match_positions(text: Column, pattern: str | Column,
                 (h["column"] + 1 + F.when(h["line"] == 0, z["column"]).otherwise(F.lit(0)))
                 .alias("column"))))))
 
-    return let(let(F.split(marked, _EDGE, -1), chunks), shifted)
+    return let(let(F.split(marked_text, _EDGE, -1), chunks), shifted)
 
 
 def exact_text(text: Column, match: Column, at: Column) -> Column:

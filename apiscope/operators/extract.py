@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import pii, urls
-from ..functions.core import (any_of, as_col, contains_any, exact_text, hinted, let,
-                              match_positions, matches)
+from ..functions.core import (any_of, as_col, contains_any, exact_text, hinted, let, marked,
+                              marked_positions, matches)
 
 # Characters that would read as syntax after a backslash, and the two letters
 # (Unicode noncharacters, so in no text) that stand for the pair meanwhile.
@@ -56,12 +56,17 @@ def dialect_of(language: Column | str) -> Column:
             .when(language == "python", F.lit("py")).otherwise(F.lit("html")))
 
 
-def _literals(text: Column, dialect: str) -> Column:
-    """API-like literal tokens with their positions; comments are dropped."""
-    comment = {"js": ("//", "/*"), "py": ("#",), "html": ("<!--",)}[dialect]
-    return match_positions(
-        text, rules.LITERALS[dialect],
-        keep=lambda m: ~_starts_with_any(m, comment) & urls.is_api_url(restored(_unquoted(m))))
+def _literals(text: Column, dialect: Column) -> Column:
+    """API-like literal tokens with their positions; comments are dropped.
+
+    A token is a comment or begins with a quote, whatever the dialect, so one
+    fold serves all three.
+    """
+    tokens = (F.when(dialect == "js", marked(text, rules.LITERALS["js"]))
+              .when(dialect == "py", marked(text, rules.LITERALS["py"]))
+              .otherwise(marked(text, rules.LITERALS["html"])))
+    return marked_positions(tokens, keep=lambda m: ~_starts_with_any(
+        m, ("//", "/*", "#", "<!--")) & urls.is_api_url(restored(_unquoted(m))))
 
 
 def _starts_with_any(text: Column, words: Sequence[str]) -> Column:
@@ -85,10 +90,8 @@ def literal_rows(text: Column, language: Column, clean: Column | None = None) ->
     promising = text.rlike(r"(?i)/(?:api|v\d|graphql|rest|ws|auth|admin|user|public)")
 
     def rows(t: Column) -> Column:
-        found = F.when(lang == "js", _literals(t, "js")).when(lang == "py", _literals(t, "py")) \
-            .otherwise(_literals(t, "html"))
         # all that needs the text happens before the explode, so no row carries it
-        return F.transform(found, lambda x: F.struct(
+        return F.transform(_literals(t, lang), lambda x: F.struct(
             restored(_unquoted(exact_text(t, x["m"], x["at"]))).alias("url"),
             x["line"], x["column"]))
 
@@ -276,21 +279,28 @@ _SECRET = "array<struct<type:string,severity:string,value:string,line:int,column
 
 
 def secret_rows(t: Column, table: Sequence[tuple] = rules.SECRET_RULES) -> Column:
-    """array<struct<type, severity, value, line, column>> of all rules' hits."""
+    """array<struct<type, severity, value, line, column>> of all rules' hits.
+
+    The texts marked by each rule that hits go through one and the same fold.
+    """
+    marks = F.array(*[F.when(hinted(t, pattern, hint) & t.rlike(pattern), marked(t, pattern))
+                      for _, pattern, _, _, hint in table])
     none = F.array().cast(_SECRET)
 
-    def hits(name: str, pattern: str, severity: str, floor: float | None, hint) -> Column:
+    def hits(places: Column, number: int, rule: tuple) -> Column:
+        name, pattern, severity, floor, _ = rule
         grouped = re.compile(pattern).groups
-        found = F.transform(match_positions(t, pattern), lambda x: F.struct(
+        found = F.transform(F.get(places, F.lit(number)), lambda x: F.struct(
             F.lit(name).alias("type"), F.lit(severity).alias("severity"),
             # the group is cut from the short match
             (F.regexp_extract(x["m"], pattern, 1) if grouped else x["m"]).alias("value"),
             x["line"].alias("line"), x["column"].alias("column")))
         if floor is not None:
             found = F.filter(found, lambda z: F.round(pii.entropy(z["value"]), 9) >= floor)
-        return F.when(hinted(t, pattern, hint) & t.rlike(pattern), found.cast(_SECRET)).otherwise(none)
+        return F.coalesce(found.cast(_SECRET), none)
 
-    return F.concat(*[hits(*rule) for rule in table])
+    places = F.transform(marks, lambda m: F.when(m.isNotNull(), marked_positions(m)))
+    return let(places, lambda p: F.concat(*[hits(p, n, rule) for n, rule in enumerate(table)]))
 
 
 def secrets(files: DataFrame, table: Sequence[tuple] = rules.SECRET_RULES, *,
