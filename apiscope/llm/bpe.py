@@ -28,13 +28,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import parts
+from .common import bounded, parts
 
 #: Fixed value: how a byte-level BPE cuts a text into words.
 WORD = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words whose encodings a worker keeps from one slice to the next.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 
 _NEVER = 1 << 62
 _TAIL = 6  # bytes by which tokens that may end a prefix are looked up
@@ -124,14 +124,14 @@ class Vocabulary:
                     i += 1
                 else:
                     j += 1
-            if len(self._fits) >= 1_000_000:
+            if len(self._fits) >= 300_000:
                 self._fits.clear()
             self._fits[left, right] = found
         return found
 
     def endings(self, tail: bytes) -> list[tuple[int, int, bytes]]:
         """Tokens that may end a word with these last bytes, longest first."""
-        if len(self._endings) >= 500_000:
+        if len(self._endings) >= 200_000:
             self._endings.clear()
         found = [(n, self.token[tail[-n:]], tail[-n:]) for n in range(len(tail), 0, -1)
                  if tail[-n:] in self.token]
@@ -256,13 +256,13 @@ def _sent(docs: DataFrame, tokenizer: str):
 
 def encode(docs: DataFrame, tokenizer: str, *, special: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the decoded text."""
-    return docs.select("doc_id", "text").mapInArrow(
+    return bounded(docs).select("doc_id", "text").mapInArrow(
         _mapped(_sent(docs, tokenizer), special, True),
         "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, tokenizer: str, *, special: bool = True) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of the decoded text."""
-    return docs.select("doc_id", "text").mapInArrow(
+    return bounded(docs).select("doc_id", "text").mapInArrow(
         _mapped(_sent(docs, tokenizer), special, False),
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

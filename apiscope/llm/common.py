@@ -14,7 +14,9 @@ from ..session import configure
 from ..sources.files import work_path
 
 #: Bytes of text that a task turns into arrays at a time (a longer text stands alone).
-PART_BYTES = 2_000_000
+PART_BYTES = 1_000_000
+#: Rows that Spark hands to a Python worker at a time.
+BATCH_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, whose rows Python workers then get in small batches: texts may be long."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, read again: its lineage ends there."""
     spark = df.sparkSession

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import parts
+from .common import bounded, parts
 from .words import utf8, words
 
 WINDOW = 10
@@ -283,7 +283,7 @@ def match(docs: DataFrame, benchmark: DataFrame, *, cut: bool = False) -> DataFr
     if clash:
         raise ValueError(f"columns of the result: {sorted(clash)}")
     blocks = list(_blocks(benchmark))
-    found = docs
+    found = bounded(docs)
     for i, phrases in enumerate(blocks):
         last = i == len(blocks) - 1
         fields = [f for f in docs.schema if f.name != "text" or cut or not last]

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, written
+from .common import bounded, parts, written
 from .components import components
 from .words import Words, mixed, words
 
@@ -289,7 +289,7 @@ def _estimates(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id of every document (doc_id, text)."""
-    signed = written(docs.select("doc_id", "text").mapInArrow(
+    signed = written(bounded(docs).select("doc_id", "text").mapInArrow(
         _signed, "doc_id long, n_words long, print1 long, print2 long, bands array<long>, "
                  "sig binary"), "signatures")
     worded = signed.where(F.col("n_words") > 0)

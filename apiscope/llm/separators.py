@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import work_path
 from .bpe import _sent, vocabulary
-from .common import parts
+from .common import bounded, parts
 
 #: Big-endian unsigned 16-bit ids, the separator and its last byte as a character.
 WIDTH, SEPARATOR = 2, 50256
@@ -66,7 +66,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str) -> None:
                    for c, t in zip(coded, trailers, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    docs.select("doc_id", "text").mapInArrow(rows, "value binary").select(
+    bounded(docs).select("doc_id", "text").mapInArrow(rows, "value binary").select(
         F.col("value").cast("string")).write.option("lineSep", _CUT).text(path)
 
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import parts, written
+from .common import bounded, parts, written
 from .reputation import url_host
 
 #: Elements by what HTML says of them.
@@ -247,7 +247,7 @@ def extract(pages: DataFrame, *, min_pages: int = 5, min_share: float = 0.3) ->
     host and on at least ``min_share`` of them.  ``pages`` has ``page_id``,
     ``url`` and ``html``.
     """
-    hosted = pages.select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
+    hosted = bounded(pages).select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
     # a page is known by what it is, so that a retried task names it alike
     keyed = hosted.withColumn("row", F.xxhash64("page_id", "url", "html"))
     subtrees = written(keyed.select("row", "host", "html").mapInArrow(
