@@ -118,7 +118,7 @@ _MARKUPS = """
 SELECT page_id, 'site/' || host || '/' || CAST(page_id AS STRING) || '.html' AS file, 'html' AS language,
   '<!-- "/api/v9/hidden" -->' || chr(10) || '<a href="/api/v' || v || '/items/' || num || '">t</a>'
   || chr(10) || '<form action=' || chr(39) || '/auth/' || lang || chr(39) || '><b data-u="/static/'
-  || lang || '">' || chr(10) || CASE WHEN page_id % 2 = 0 THEN split_part(html, '<body>', 1) ELSE '' END
+  || lang || '">' || chr(10) || html || chr(10)
   || '<i data-q="/graphql?p=' || num || '"></i>' AS text
 FROM {page_parts}
 """
