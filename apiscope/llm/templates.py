@@ -1,16 +1,18 @@
 """Main text of HTML pages: site templates are found by counting element subtrees.
 
-Every element outside a page's main part, and every container within it, has a
-hash of its subtree (names, classes and text).  Spark counts on how many pages
-of a host each subtree stands; subtrees that recur on many pages are the site's
-template, and are deleted from every page of that host, together with what is
-no text of an article by its element or role (menus, forms, scripts and so on).
-The text blocks that remain are joined in page order.
+Every element outside a page's main part, menus, footers and adverts included,
+and every container within it, has a hash of its subtree (its name and text).
+Spark counts on how many pages of a host each subtree stands; subtrees that
+recur on many pages are the site's template, and are deleted first from every
+page of that host.  Of what the counts leave, that goes which is no text of an
+article by its element, role or class (menus, forms, scripts and so on).  The
+text blocks that remain are joined in page order.
 
 The main part is the page's ``article`` or ``main`` elements if it has any, else
 the body.  Headings, paragraphs and other text blocks of an ``article`` or
 ``main`` are never taken for template: copies of an article, or passages that
-many articles share, are text.
+many articles share, are text.  Nor is an element that holds a main part, or an
+inline element of running text (one in a text block, or beside bare text).
 
 Defined results: a null or empty page has the empty text; broken markup is read
 as browsers do (missing end tags are implied, stray ones skipped); a page whose
@@ -74,13 +76,15 @@ _SPACE = re.compile(r"\s+")
 
 
 class Element:
-    __slots__ = ("name", "main", "drop", "hash", "block", "first", "last", "text_block")
+    __slots__ = ("name", "main", "drop", "text_block", "first", "last", "up", "own", "holds")
 
-    def __init__(self, name, main, drop, text_block, first):
+    def __init__(self, name, main, drop, text_block, first, up=None):
         self.name, self.main, self.drop, self.text_block = name, main, drop, text_block
         self.first = first     # number of the first piece of text within
         self.last = first
-        self.hash = None
+        self.up = up
+        self.own = False       # whether text stands directly in it
+        self.holds = False     # whether it is or holds a main part
 
 
 def _drops(name: str, attributes: str, in_main: bool) -> bool:
@@ -110,9 +114,15 @@ def parse(page: str) -> tuple[list[str], list[Element], bool]:
     pieces: list[str] = []
     elements: list[Element] = []
     stack: list[Element] = []
+    root = Element("body", False, False, False, 0)
     has_main = False
     at = 0
 
+    def add(text: str) -> None:
+        pieces.append(html.unescape(text))
+        if text.strip():
+            (stack[-1] if stack else root).own = True
+
     def close(depth: int) -> None:
         while len(stack) > depth:
             element = stack.pop()
@@ -132,10 +142,10 @@ def parse(page: str) -> tuple[list[str], list[Element], bool]:
     while at < n:
         m = _TOKEN.search(page, at)
         if m is None:
-            pieces.append(html.unescape(page[at:]))
+            add(page[at:])
             break
         if m.start() > at:
-            pieces.append(html.unescape(page[at:m.start()]))
+            add(page[at:m.start()])
         at = m.end()
         name = m.group(2)
         if name is None:
@@ -166,8 +176,15 @@ def parse(page: str) -> tuple[list[str], list[Element], bool]:
         has_main |= main and not dropped
         if name not in INLINE:
             pieces.append(" ")
-        element = Element(name, main and not dropped, dropped, name in TEXT_BLOCK, len(pieces))
+        element = Element(name, main and not dropped, dropped, name in TEXT_BLOCK, len(pieces),
+                          stack[-1] if stack else root)
         elements.append(element)
+        if element.main and not inside:
+            element.holds = True
+            for e in reversed(stack):
+                if e.holds:
+                    break
+                e.holds = True
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             if end is not None:
@@ -181,37 +198,48 @@ def parse(page: str) -> tuple[list[str], list[Element], bool]:
     return pieces, elements, has_main
 
 
-def candidates(page: str) -> set[int]:
-    """Hashes of the subtrees of a page that may be template."""
-    pieces, elements, has_main = parse(page)
-    found = set()
+def _running(e: Element) -> bool:
+    """Whether an inline element is part of running text."""
+    up = e.up
+    while up.name in INLINE and not up.own:
+        up = up.up
+    return up.own or up.text_block
+
+
+def _subtrees(pieces: list[str], elements: list[Element]) -> Iterator[tuple[Element, int]]:
+    """The elements that may be template, and the hashes of their subtrees."""
     for e in elements:
-        # a subtree's pieces are what it holds; a dropped one need not be counted
-        if e.drop or e.name in ("html", "body", "article", "main") or e.name in INLINE:
-            continue
-        if e.main and e.text_block:
-            continue
+        if not e.drop:
+            if e.holds or e.name in ("html", "body", "article", "main"):
+                continue
+            if e.main and (e.text_block or e.name in INLINE) or e.name in INLINE and _running(e):
+                continue
         text = _SPACE.sub(" ", "".join(pieces[e.first:e.last])).strip()
         if text:
-            found.add(xxhash.xxh64_intdigest(f"{e.name}\0{text}") - (1 << 63))
-    return found
+            yield e, xxhash.xxh64_intdigest(f"{e.name}\0{text}") - (1 << 63)
+
+
+def candidates(page: str) -> set[int]:
+    """Hashes of the subtrees of a page that may be template."""
+    pieces, elements, _ = parse(page)
+    return {h for _, h in _subtrees(pieces, elements)}
 
 
 def main_text(page: str, template: set[int]) -> str:
     """The page's main text, without the subtrees in ``template``."""
     pieces, elements, has_main = parse(page)
-    keep = np.full(len(pieces), not has_main, bool)
+    main = np.full(len(pieces), not has_main, bool)
     for e in elements:
         if has_main and e.main:
-            keep[e.first:e.last] = True
+            main[e.first:e.last] = True
+    keep = np.ones(len(pieces), bool)
+    for e, h in _subtrees(pieces, elements) if template else ():
+        if h in template:
+            keep[e.first:e.last] = False
+    keep &= main
     for e in elements:
         if e.drop:
             keep[e.first:e.last] = False
-        elif template and e.name not in INLINE and not (e.main and e.text_block) and e.name not in (
-                "html", "body", "article", "main"):
-            text = _SPACE.sub(" ", "".join(pieces[e.first:e.last])).strip()
-            if text and xxhash.xxh64_intdigest(f"{e.name}\0{text}") - (1 << 63) in template:
-                keep[e.first:e.last] = False
     return _SPACE.sub(" ", "".join(p if k else " " if p == " " else ""
                                    for p, k in zip(pieces, keep.tolist(), strict=True))).strip()
 
