@@ -36,6 +36,8 @@ from .components import components
 from .words import Words, mixed, words
 
 SHINGLE, THRESHOLD = 5, 0.8
+#: A sum of fractions that falls short of the threshold by less has reached it.
+ROUNDING = 1e-9
 #: Bands and components of each: a pair at the threshold is missed in one case of 14,000.
 BANDS, ROWS = 24, 5
 M = BANDS * ROWS
@@ -211,7 +213,8 @@ def _links_of(node: np.ndarray, far: np.ndarray, asking: np.ndarray,
     for i in np.flatnonzero(asking):
         if (root == root[i]).all():
             break
-        for k in np.flatnonzero(alike(i, doc, number, weight, len(node)) >= THRESHOLD):
+        for k in np.flatnonzero(alike(
+                i, doc, number, weight, len(node)) >= THRESHOLD - ROUNDING):
             if root[k] != root[i]:
                 found.append((min(int(node[i]), int(node[k])), max(int(node[i]), int(node[k]))))
                 root[root == root[k]] = root[i]
@@ -314,12 +317,12 @@ def classes(docs: DataFrame) -> DataFrame:
     estimates = _estimates(star, sigs)
     exact = _similarities(estimates.where(F.col("estimate") >= THRESHOLD - SLACK).select("a", "b"),
                           texts)
-    links = exact.where(F.col("similarity") >= THRESHOLD).select("a", "b")
+    links = exact.where(F.col("similarity") >= THRESHOLD - ROUNDING).select("a", "b")
 
     # members that are not similar to their bucket's least, and the others they may be similar to
     known = written(estimates.join(exact, ["a", "b"], "left").select(
         F.col("a").alias("hub"), F.col("b").alias("node"),
-        (F.coalesce(F.col("similarity"), F.lit(0.0)) < THRESHOLD).alias("far"),
+        (F.coalesce(F.col("similarity"), F.lit(0.0)) < THRESHOLD - ROUNDING).alias("far"),
         F.coalesce(1 - F.col("similarity"), F.greatest(
             1 - F.col("estimate") - SLACK, F.lit(1 - THRESHOLD))).alias("distance")), "known")
     judged = written(members.where(F.col("n") > 2).select("key", "node", "hub").join(
@@ -327,7 +330,7 @@ def classes(docs: DataFrame) -> DataFrame:
     far = judged.where("far").groupBy("key").agg(
         F.min("distance").alias("nearest"), F.count(F.lit(1)).alias("n_far"))
     rest = judged.join(written(far, "far"), "key").where(
-        F.col("far") | (F.col("distance") >= F.col("nearest") - (1 - THRESHOLD) - 1e-9))
+        F.col("far") | (F.col("distance") >= F.col("nearest") - (1 - THRESHOLD) - 2 * ROUNDING))
     sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     rest = written(rest.join(sizes, "key"), "rest")
     # far members are spread over one set of blocks and all over another
