@@ -1,12 +1,13 @@
 """Personal data, and the terms that give it away: information-theoretic sanitisation.
 
 Base spans come from patterns: e-mail addresses, IP addresses, card numbers and
-telephone numbers.  Each distinct value is a protected entity.  Words near an
-entity are its terms.  Over the whole corpus, the pointwise mutual information
+telephone numbers.  Each distinct value is a protected entity.  All words of the
+documents that hold an entity are its terms.  Over the whole corpus, the pointwise mutual information
 of a term t and an entity e, log2(N c(t,e) / (df(t) df(e))), says how much of
 the entity's information log2(N / df(e)) a reader of t gains; N, c and df count
 documents.  A term that gives away at least `REMOVE` of it is removed, one that
-gives away at least `GENERALISE` is replaced by its kind of word.  Co-occurrence
+gives away at least `GENERALISE` is replaced by its kind of word, at every place of those
+documents.  Co-occurrence
 in a single document is no evidence, so at least `SUPPORT` documents are needed.
 
 All of it is DataFrame expressions, joins and aggregates: no Python on the rows.
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 from ..functions.core import let, match_positions
 from .common import written
 
-#: Code points on either side of an entity whose words are its terms.
-CONTEXT = 80
 #: Parts of an entity's information from which a term is generalised, and removed.
 GENERALISE, REMOVE = 0.6, 0.9
 SUPPORT = 2
@@ -47,6 +46,9 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+_WORD = r"\p{L}\p{N}"
+#: Stands for a letter or digit of a base span; itself none.
+_MASK = "\uE000"
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -97,60 +99,82 @@ def _written_as(spans: Column) -> Column:
         ":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def _masked(text: Column, spans: Column) -> Column:
+    """The text, as long, with `_MASK` for letters and digits of spans."""
+    clean = F.translate(text, _MASK, " ")
+
+    def step(acc: Column, s: Column) -> Column:
+        begin = F.greatest(s["start"], acc["end"])
+        kept = F.substring(clean, acc["end"] + 1, begin - acc["end"])
+        inside = F.substring(clean, begin + 1, F.greatest(s["end"] - begin, F.lit(0)))
+        return F.struct(
+            F.concat(acc["parts"], F.array(
+                kept, F.regexp_replace(inside, f"[{_WORD}]", _MASK))).alias("parts"),
+            F.greatest(acc["end"], s["end"]).alias("end"))
+
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("end"))
+    return let(F.aggregate(spans, start, step), lambda z: F.concat(
+        F.array_join(z["parts"], ""), F.substring(clean, z["end"] + 1, F.length(text))))
+
+
+def _distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.split(text, f"[^{_WORD}]+"), F.lower))
+
+
 def _entities(docs: DataFrame) -> DataFrame:
-    """doc_id, same (a hash of the text), spans and what stands around each, of every document."""
-    text = F.col("text")
+    """doc_id, same (a hash of the text), spans and terms of every document.
+
+    Terms are the distinct words outside the spans, of documents with any span;
+    a word that is partly in a span is none.
+    """
     spans = docs.select("doc_id", F.xxhash64("text").alias("same"), "text",
-                        base_spans(text).alias("spans"))
-    around = F.transform("spans", lambda s: F.struct(
-        F.greatest(s["start"] - CONTEXT, F.lit(0)).alias("left"),
-        F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1,
-                    F.least(s["start"], F.lit(CONTEXT))).alias("before"),
-        F.substring(text, s["end"] + 1, F.lit(CONTEXT)).alias("after")))
-    return written(spans.select("doc_id", "same", "spans", around.alias("around")), "entities")
+                        base_spans(F.col("text")).alias("spans"))
+    outside = F.regexp_replace(
+        _masked(F.col("text"), F.col("spans")),
+        f"(?<![{_WORD}{_MASK}])[{_WORD}]*+{_MASK}[{_WORD}{_MASK}]*+", " ")
+    terms = F.when(F.size("spans") > 0, F.array_remove(_distinct_words(outside), ""))
+    return written(spans.select("doc_id", "same", "spans", terms.alias("terms")), "entities")
 
 
-def _terms(entities: DataFrame) -> DataFrame:
-    """doc_id, same, entity, term, start, end of each word near an entity.
+def _same_document(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:
+    """``left`` and ``right``, whose keys are renamed, joined by document."""
+    keys = right.withColumnsRenamed({"doc_id": "_id", "same": "_of"})
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("same") == F.col("_of"))
+    return left.join(keys, on, how).drop("_id", "_of")
 
-    A word cut by the edge of what is looked at is none.
-    """
-    one = entities.where(F.size("spans") > 0).select(
-        "doc_id", "same", "spans", F.explode(F.arrays_zip("spans", "around")).alias("x")).select(
-        "doc_id", "same", "spans", F.col("x.spans").alias("s"), F.col("x.around").alias("a"))
-
-    def words(side: str, base: Column) -> Column:
-        # whole words only: none that runs on beyond the edge
-        edge = (r"(?<![\p{L}\p{N}])[\p{L}\p{N}]++(?=[^\p{L}\p{N}])" if side == "after" else
-                r"(?<=[^\p{L}\p{N}])[\p{L}\p{N}]++")
-        return F.transform(match_positions(F.col(f"a.{side}"), edge), lambda h: F.struct(
-            F.lower(h["m"]).alias("term"), (base + h["at"]).cast("int").alias("start"),
-            (base + h["at"] + F.length(h["m"])).cast("int").alias("end")))
-
-    found = one.select("doc_id", "same", "spans",
-                       F.concat(F.col("s.kind"), F.lit(":"), F.lower("s.value")).alias("entity"),
-                       F.explode(F.concat(words("before", F.col("a.left")),
-                                          words("after", F.col("s.end")))).alias("w"))
-    clear = ~F.exists("spans", lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"]))
-    return found.where(clear).select("doc_id", "same", "entity", "w.*")
+
+def _terms(entities: DataFrame) -> DataFrame:
+    """doc_id, same, entities (distinct) and terms of each document with an entity, once."""
+    held = entities.where(F.size("spans") > 0).select(
+        "doc_id", "same", F.array_distinct(F.transform("spans", lambda s: F.concat(
+            s["kind"], F.lit(":"), F.lower(s["value"])))).alias("entities"), "terms")
+    repeated = written(held.groupBy("doc_id", "same").agg(F.count(F.lit(1)).alias("rows")).where(
+        F.col("rows") > 1).select("doc_id", "same"), "repeated")
+    return _same_document(held, repeated, "left_anti").unionAll(
+        _same_document(held, repeated, "left_semi").dropDuplicates(["doc_id", "same"]))
 
 
 def disclosing(docs: DataFrame, terms: DataFrame, *, generalise: float = GENERALISE,
                remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """entity, term, share: the terms that give away enough of an entity.
+    """entity, term, share, kind: the terms that give away enough of an entity.
 
     ``terms`` is `_terms` of ``docs``.  Document counts of words are taken over
-    all texts; each task reduces its words before they are shuffled.
+    all texts; each task reduces its words before they are shuffled.  Entities of
+    fewer than ``support`` documents have no term, and meet no words.
     """
-    seen = terms.select("entity", "term", "doc_id", "same").distinct()
-    pairs = written(seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(
+    held = terms.select("doc_id", "same", F.explode("entities").alias("entity"))
+    of_entity = written(held.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).where(
+        F.col("df_entity") >= support), "entity-documents")
+    known = written(held.join(of_entity, "entity").groupBy("doc_id", "same").agg(
+        F.collect_list("entity").alias("entities")), "document-entities")
+    together = _same_document(terms.select("doc_id", "same", "terms"), known).select(
+        F.explode("entities").alias("entity"), "terms").select(
+        "entity", F.explode("terms").alias("term"))
+    pairs = written(together.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(
         F.col("both") >= support), "entity-terms")
-    of_entity = terms.select("entity", "doc_id", "same").distinct().groupBy("entity").agg(
-        F.count(F.lit(1)).alias("df_entity"))
     wanted = written(pairs.select("term").distinct(), "entity-words")
-    in_doc = F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))
-    of_term = docs.select(F.explode(in_doc).alias("term")).groupBy("term").agg(
-        F.count(F.lit(1)).alias("df_term")).join(wanted, "term")
+    of_term = docs.select(F.explode(_distinct_words(F.col("text"))).alias("term")).groupBy(
+        "term").agg(F.count(F.lit(1)).alias("df_term")).join(wanted, "term")
     documents = docs.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
     rated = pairs.join(of_entity, "entity").join(of_term, "term").withColumn("n", documents)
     gained = F.log2(F.col("n") * F.col("both") / (F.col("df_term") * F.col("df_entity")))
@@ -162,13 +186,34 @@ def disclosing(docs: DataFrame, terms: DataFrame, *, generalise: float = GENERAL
 
 def _added(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """doc_id, same, added: the spans that the method adds, documents with any only."""
-    terms = written(_terms(entities), "terms")
+    terms = _terms(entities)
     chosen = written(disclosing(docs, terms).select("entity", "term", "kind"), "disclosing")
-    hits = terms.join(chosen, ["entity", "term"]).groupBy("doc_id", "same", "start", "end").agg(
-        F.min("kind").alias("kind"))
+    # a document's chosen terms, and which of them are its words
+    found = terms.select("doc_id", "same", F.explode("entities").alias("entity")).join(
+        chosen, "entity").groupBy("doc_id", "same", "term").agg(F.min("kind").alias("kind"))
+    marks = written(found.groupBy("doc_id", "same").agg(F.collect_list(
+        F.struct("term", F.col("kind").cast("int").alias("kind"))).alias("marks")), "marks")
+    # one merge join by document; what follows is grouped within its partitions
+    texts = docs.where(F.col("text").isNotNull()).select(
+        "doc_id", F.xxhash64("text").alias("same"), "text")
+    text = F.col("text")
+    words = match_positions(_masked(text, base_spans(text)),
+                            f"(?<![{_WORD}{_MASK}])[{_WORD}]++(?!{_MASK})")
+    places = F.transform(words, lambda h: F.struct(
+        F.lower(h["m"]).alias("term"), F.lit(None).cast("int").alias("kind"),
+        h["at"].cast("int").alias("start"),
+        (h["at"] + F.length(h["m"])).cast("int").alias("end")))
+    wanted = F.transform("marks", lambda m: F.struct(
+        m["term"].alias("term"), m["kind"].alias("kind"), F.lit(None).cast("int").alias("start"),
+        F.lit(None).cast("int").alias("end")))
+    hits = _same_document(texts, marks.hint("merge")).select(
+        "doc_id", "same", F.inline(F.concat(places, wanted))).groupBy(
+        "doc_id", "same", "term").agg(F.min("kind").alias("kind"), F.collect_set(F.when(
+            F.col("start").isNotNull(), F.struct("start", "end"))).alias("places")).where(
+        F.col("kind").isNotNull()).select("doc_id", "same", "kind", F.inline("places"))
     return written(hits.groupBy("doc_id", "same").agg(F.collect_list(F.struct(
-        "start", F.col("kind").cast("int").alias("kind"), "end",
-        F.lit(None).cast("string").alias("value"))).alias("added")), "added")
+        "start", "kind", "end", F.lit(None).cast("string").alias("value"))).alias("added")),
+        "added")
 
 
 def find(docs: DataFrame) -> DataFrame:
