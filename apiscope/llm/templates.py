@@ -268,11 +268,13 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
              pa.array([len(x) for x in out], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def extract(pages: DataFrame, *, min_pages: int = 5, min_share: float = 0.3) -> DataFrame:
+def extract(pages: DataFrame, *, min_pages: int = 5, min_share: float = 0.3,
+            many_pages: int = 100) -> DataFrame:
     """page_id, url, text, n_chars of every page.
 
     A subtree is template if it stands on at least ``min_pages`` pages of its
-    host and on at least ``min_share`` of them.  ``pages`` has ``page_id``,
+    host and on at least ``min_share`` of them, or on ``many_pages`` of them: those
+    are many however large and mixed the host is.  ``pages`` has ``page_id``,
     ``url`` and ``html``.
     """
     hosted = bounded(pages).select("page_id", "url", "html", url_host(F.col("url")).alias("host"))
@@ -284,7 +286,7 @@ def extract(pages: DataFrame, *, min_pages: int = 5, min_share: float = 0.3) ->
     totals = hosted.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(
         F.col("pages") >= min_pages)
     template = written(counts.where(F.col("n") >= min_pages).join(totals, "host").where(
-        F.col("n") >= min_share * F.col("pages")).select("host", "hash"), "template")
+        (F.col("n") >= min_share * F.col("pages")) | (F.col("n") >= many_pages)).select("host", "hash"), "template")
     marked = written(subtrees.join(template, ["host", "hash"]).groupBy("row").agg(
         F.collect_set("hash").alias("template")), "template-pages")
     return keyed.select("page_id", "url", "html", "row").join(marked, "row", "left").drop(

@@ -32,3 +32,12 @@ def test_inline_elements_and_whole_articles(spark):
     got = extracted(spark, rows)
     assert got[3] == "own 3 see also 3"
     assert got[105] == "copied"
+
+
+def test_many_pages_of_a_large_host(spark):
+    """A section's block goes although most pages of the host lack it; a rare one stays."""
+    rows = [(i, f"http://a.org/{i}", f"<div><section>{'Shop' if i % 5 == 0 else f'own {i}'}</section>"
+             f"<section>{'Rare' if i % 20 == 1 else 'x'} {i}</section>"
+             f"<section>{'Few' if i % 20 == 2 else i}</section></div>") for i in range(600)]
+    got = extracted(spark, rows)
+    assert got[5] == "x 5 5" and got[6] == "own 6 x 6 6" and got[2] == "own 2 x 2 Few"
