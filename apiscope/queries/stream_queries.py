@@ -24,7 +24,9 @@ def split(spark, sf, name: str, order: str, slices: int = 4) -> tuple[str, int]:
     path = work_path(spark, f"stream-{name}")
     for low, high in zip(edges[:-1], edges[1:], strict=True):
         part = rows if low is None else rows.where(F.col("_o") >= low)
-        part = part if high is None else part.where(F.col("_o") < high)
+        # rows without an order key come first
+        part = part if high is None else part.where(
+            F.coalesce(F.col("_o") < high, F.lit(low is None)))
         part.drop("_o").write.mode("append").parquet(path)
     return path, -(-len(spark.read.parquet(path).inputFiles()) // slices)
 

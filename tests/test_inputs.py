@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from apiscope.queries import catalog
+from apiscope.queries import catalog, stream_queries
 
 
 @pytest.mark.parametrize("page_id", [6, 7])
@@ -21,3 +21,12 @@ def test_page_bodies_are_searched(spark, tmp_path, page_id):
                        f"FROM ({catalog.ORACLE['C1_page_literals']})").fetchall()
     assert sorted(map(tuple, got)) == sorted(want)
     assert "/api/v1/deep" in {r.url for r in got}
+
+
+def test_rows_without_an_order_key_reach_the_stream(spark, tmp_path):
+    rows = [(i if i % 5 else None, f"t{i}") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(
+        str(tmp_path / "documents.parquet"))
+    path, _ = stream_queries.split(spark, str(tmp_path), "documents", "CAST(doc_id AS DOUBLE)")
+    got = spark.read.parquet(path).collect()
+    assert sorted(r.text for r in got) == sorted(t for _, t in rows)
