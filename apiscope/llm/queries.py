@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, crf, fm_index, near_dups, packing, reputation, sanitise, separators, templates,
-               topk)
+from . import (bpe, conversations, crf, fm_index, near_dups, packing, reputation, sanitise,
+               separators, templates, topk)
 from .common import table
 
 #: The tokenizer's file; a parameter of every operator that needs one.
@@ -65,11 +65,16 @@ def op10_branch_and_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
 
+def op11_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, left = conversations.damaged(table(spark, sf_dir, "conversations"))
+    return conversations.digests(conversations.repair(rows, left))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_separator_scan, op2_language_crf, op3_site_templates, op4_disclosure,
         op5_host_reputation, op6_vector_packing, op7_probminhash, op8_fm_index, op9_trie_bpe,
-        op10_branch_and_bound)
+        op10_branch_and_bound, op11_auction_repair)
 }
 
 #: The same rules, sums, moments and posteriors by SQL aggregates.
