@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (bpe, conversations, crf, fm_index, near_dups, packing, reputation, sanitise,
-               separators, templates, topk)
+               separators, spelling, templates, topk)
 from .common import table
 
 #: The tokenizer's file; a parameter of every operator that needs one.
@@ -70,11 +70,17 @@ def op11_auction_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.digests(conversations.repair(rows, left))
 
 
+def op12_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.misspelt(spelling.runs(table(spark, sf_dir, "documents")))
+    return spelling.variants(spelling.counted(found))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_separator_scan, op2_language_crf, op3_site_templates, op4_disclosure,
         op5_host_reputation, op6_vector_packing, op7_probminhash, op8_fm_index, op9_trie_bpe,
-        op10_branch_and_bound, op11_auction_repair)
+        op10_branch_and_bound, op11_auction_repair,
+        op12_pivotal_grams)
 }
 
 #: The same rules, sums, moments and posteriors by SQL aggregates.
