@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, conversations, crf, fm_index, near_dups, packing, reputation, sanitise,
+from . import (bpe, conversations, crf, fm_index, near_dups, packing, randomness, reputation, sanitise,
                separators, spelling, templates, topk)
 from .common import table
 
@@ -75,12 +75,16 @@ def op12_pivotal_grams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.counted(found))
 
 
+def op13_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return randomness.digests(randomness.scan(table(spark, sf_dir, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_separator_scan, op2_language_crf, op3_site_templates, op4_disclosure,
         op5_host_reputation, op6_vector_packing, op7_probminhash, op8_fm_index, op9_trie_bpe,
         op10_branch_and_bound, op11_auction_repair,
-        op12_pivotal_grams)
+        op12_pivotal_grams, op13_randomness_battery)
 }
 
 #: The same rules, sums, moments and posteriors by SQL aggregates.
