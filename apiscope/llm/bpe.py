@@ -4,17 +4,20 @@ The distinct words of a slice of texts form a trie.  Sorted, they stand in the
 trie's depth-first order, and the length of the prefix that a word shares with
 the one before says at which node it branches off, so the walk keeps one stack:
 for each prefix of the current word the last token of its encoding.  A word
-only pays for the nodes below its branch.
+only pays for the nodes below its branch, and its encoding is read off the
+stack from its end: each last token leads to the prefix before it.
 
 A prefix's last token is the one token that ends it and fits the last token of
 what stands before (`Vocabulary.fits`): two tokens fit if no merge joins pieces
-across their boundary before both are complete.  The encoding of every prefix
-follows from that of a shorter one by a single token.
+across their boundary before both are complete.  The tokens that may end a
+prefix come with its `State`: the longest end of it that some token begins with,
+found from the state before by one byte.
 
 Defined results: null and empty texts have no tokens and decode to the empty
 text; the special token's string inside a text is the special token, unless
-``special=False``; a text is encoded whole, however long.  Each text is encoded
-on its own, so repeated rows give equal rows.
+``special=False``; a text is encoded whole, however long, and a word without any
+break takes memory in proportion to its length.  Each text is encoded on its
+own, so repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -33,11 +36,10 @@ from .common import bounded, parts
 #: Fixed value: how a byte-level BPE cuts a text into words.
 WORD = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Words whose encodings a worker keeps from one slice to the next.
+#: Words whose encodings a worker keeps from one slice to the next, in two generations.
 KEPT_WORDS = 300_000
 
 _NEVER = 1 << 62
-_TAIL = 6  # bytes by which tokens that may end a prefix are looked up
 
 
 def byte_letters() -> dict[str, int]:
@@ -51,6 +53,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(others)}
 
 
+class State:
+    """The longest end of a prefix that begins a token, and where each byte leads from it."""
+
+    __slots__ = ("ends", "next", "text")
+
+    def __init__(self, text: bytes, token: dict[bytes, int]):
+        self.text = text
+        self.next: dict[int, State] = {}
+        #: tokens that end here, longest first: (length, id)
+        self.ends = tuple((len(text) - i, token[text[i:]]) for i in range(len(text))
+                          if text[i:] in token)
+
+
 class Vocabulary:
     """Tokens, merges and special tokens of a tokenizer file, with encodings so far."""
 
@@ -66,12 +81,9 @@ class Vocabulary:
             self.bytes[i] = word.encode()
         self.token = {b: i for i, b in self.bytes.items() if i not in self.special.values()}
         self.packed = {i: np.array([i], "<u4").tobytes() for i in self.bytes}
-        #: longer tokens by their last bytes
-        self._longer: dict[bytes, list[tuple[int, int, bytes]]] = {}
-        for b, i in sorted(self.token.items(), key=lambda x: (-len(x[0]), x[1])):
-            if len(b) > _TAIL:
-                self._longer.setdefault(b[-_TAIL:], []).append((len(b), i, b))
-        self._endings: dict[bytes, list[tuple[int, int, bytes]]] = {}
+        self._length = {i: len(b) for b, i in self.token.items()}
+        self._begins = {b[:i] for b in self.token for i in range(1, len(b) + 1)}
+        self._states = {b"": State(b"", self.token)}
         self.rank: dict[tuple[int, int], int] = {}
         self.halves: dict[int, tuple[int, int]] = {}
         for r, merge in enumerate(model["merges"]):
@@ -79,9 +91,10 @@ class Vocabulary:
             a, b = ids[left], ids[right]
             self.rank[a, b] = r
             self.halves.setdefault(ids[left + right], (a, b))
-        self._fits: dict[tuple[int, int], bool] = {}
+        self._fits: dict[int, bool] = {}
         self._edge: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
         self.known: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
 
     def edge(self, token: int, side: int) -> tuple[list[int], list[int]]:
         """Pieces at a token's left (0) or right (1) edge while it is built, and until when.
@@ -107,7 +120,7 @@ class Vocabulary:
         is below that of the left piece's next merge, and not above that of the
         right piece's: of equal ranks, the leftmost comes first.
         """
-        found = self._fits.get((left, right))
+        found = self._fits.get(left << 32 | right)
         if found is None:
             a, a_until = self.edge(left, 1)
             b, b_until = self.edge(right, 0)
@@ -126,24 +139,27 @@ class Vocabulary:
                     j += 1
             if len(self._fits) >= 300_000:
                 self._fits.clear()
-            self._fits[left, right] = found
+            self._fits[left << 32 | right] = found
         return found
 
-    def endings(self, tail: bytes) -> list[tuple[int, int, bytes]]:
-        """Tokens that may end a word with these last bytes, longest first."""
-        if len(self._endings) >= 200_000:
-            self._endings.clear()
-        found = [(n, self.token[tail[-n:]], tail[-n:]) for n in range(len(tail), 0, -1)
-                 if tail[-n:] in self.token]
-        found = self._endings[tail] = self._longer.get(tail, []) + found
+    def step(self, state: State, byte: int) -> State:
+        """The state after one more byte; there are no more states than beginnings of tokens."""
+        text = state.text + bytes((byte,))
+        while text and text not in self._begins:
+            text = text[1:]
+        found = self._states.get(text)
+        if found is None:
+            found = self._states[text] = State(text, self.token)
+        state.next[byte] = found
         return found
 
     def encode_words(self, words: Iterable[str]) -> dict[str, bytes]:
         """Token ids of distinct words, as little-endian unsigned 32-bit integers."""
-        fits, fitting, endings, packed = self.fits, self._fits, self._endings, self.packed
+        fits, fitting, packed = self.fits, self._fits, self.packed
         out: dict[str, bytes] = {}
+        length = self._length
         last = [-1]     # the last token of each prefix of the current path
-        coded = [b""]   # and the prefix's encoding
+        states = [self._states[b""]]
         path = b""
         for text, word in sorted([(w.encode("utf-8", "surrogatepass"), w) for w in words]):
             depth = 0
@@ -151,26 +167,34 @@ class Vocabulary:
                 if x != y:
                     break
                 depth += 1
-            del last[depth + 1:], coded[depth + 1:]
-            for end in range(depth + 1, len(text) + 1):
-                tail = text[max(0, end - _TAIL):end]
-                found = endings.get(tail)
-                if found is None:
-                    found = self.endings(tail)
-                for n, ending, whole in found:
-                    if n > _TAIL and not text.endswith(whole, 0, end):
-                        continue
+            del last[depth + 1:], states[depth + 1:]
+            state, end = states[depth], depth
+            for byte in text[depth:]:
+                state = state.next.get(byte) or self.step(state, byte)
+                end += 1
+                for n, ending in state.ends:
                     before = last[end - n]
-                    fit = before < 0 or fitting.get((before, ending))
+                    if before < 0:
+                        break
+                    fit = fitting.get(before << 32 | ending)
                     if fit is None:
                         fit = fits(before, ending)
                     if fit:
-                        last.append(ending)
-                        coded.append(coded[end - n] + packed[ending])
                         break
-                else:  # always true of a byte-level vocabulary that is whole
+                else:  # a byte-level vocabulary that is whole has a token for each byte
                     raise ValueError(f"no token ends {text[:end]!r}")
-            out[word] = coded[-1]
+                last.append(ending)
+                states.append(state)
+            ending = last[end]
+            if length[ending] == end:
+                out[word] = packed[ending]
+            else:
+                tokens = []
+                while end:
+                    ending = last[end]
+                    tokens.append(packed[ending])
+                    end -= length[ending]
+                out[word] = b"".join(tokens[::-1])
             path = text
         return out
 
@@ -181,7 +205,6 @@ class Vocabulary:
         cut = regex.compile("|".join(map(regex.escape, marks))) if marks else None
         found: list[list[bytes]] = []
         new: set[str] = set()
-        known = self.known
         for text in texts:
             spans = [text]
             between: list[bytes] = []
@@ -193,13 +216,13 @@ class Vocabulary:
                 new.update(w)
             pieces.append(words)
             found.append(between)
+        if len(self.known) > KEPT_WORDS // 2:
+            self._older, self.known = self.known, {}
+        known, older = self.known, self._older
         new.difference_update(known)
-        if len(known) + len(new) > KEPT_WORDS:
-            for words in pieces:
-                for w in words:
-                    new.update(w)
-            known.clear()
-        known.update(self.encode_words(new))
+        still = new & older.keys()
+        known.update((w, older[w]) for w in still)
+        known.update(self.encode_words(new - still))
         out = []
         for words, between in zip(pieces, found, strict=True):
             coded = [b"".join(map(known.__getitem__, w)) for w in words]

@@ -137,3 +137,33 @@ def test_foreign_files_in_small_blocks(spark, tmp_path, split):
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert sorted(r.n_tokens for r in rows) == sorted(want)
     assert all(r.doc_id is None for r in rows if r.n_tokens < 11)
+
+
+@pytest.mark.parametrize("unit", ["a", "-", " ", "xq", "\u00e9", "abcdefghijklmnopqrstuvwxyz"])
+def test_unbroken_words_take_little_memory(coder, unit):
+    """Long words are encoded as the library does, in memory proportional to them."""
+    import tracemalloc
+
+    text = unit * (40_000 // len(unit))
+    assert ids(coder.encode([text], special=False)[0]) == expected(text)
+    text = unit * (100_000 // len(unit))
+    tracemalloc.start()
+    found, = coder.encode([text], special=False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6 and coder.decode(found) == text
+
+
+def test_word_of_a_million_letters(coder):
+    found, = coder.encode(["ab" * 500_000], special=False)
+    assert coder.decode(found) == "ab" * 500_000
+
+
+def test_word_cache_generations(coder, monkeypatch):
+    """Words come back from the older generation; results do not depend on what is kept."""
+    monkeypatch.setattr(bpe, "KEPT_WORDS", 40)
+    for round_ in range(6):
+        texts = [" ".join(f"{w}{(i * round_) % 11}" for i in range(30)) for w in ("ab", "token", "é")]
+        for text, found in zip(texts, coder.encode(texts), strict=True):
+            assert ids(found) == expected(text)
+    assert len(coder.known) < 400
