@@ -18,6 +18,7 @@ from .. import rules
 from ..functions import pii, urls
 from ..functions.core import (any_of, as_col, contains_any, exact_text, hinted, let, marked,
                               marked_positions, matches)
+from .nesting import config_pairs
 
 # Characters that would read as syntax after a backslash, and the two letters
 # (Unicode noncharacters, so in no text) that stand for the pair meanwhile.
@@ -182,15 +183,38 @@ def literal_calls(calls: DataFrame) -> DataFrame:
     )
 
 
-def shaped_calls(files: DataFrame, shapes: Sequence[tuple] = rules.SHAPES, *,
+def shaped_calls(files: DataFrame, shapes: Sequence[tuple] = rules.SHAPES,
+                 configs: Sequence[tuple] = rules.CONFIG_CALLS, *,
                  path: str = "file", text: str = "text",
                  language: str = "language") -> DataFrame:
-    """Known source shapes (clients, routes, constants) from one scan.
+    """Known source shapes: clients, routes, constants, and configuration objects.
 
-    Each shape contributes an array of (kind, verb, url, ord); the arrays are
-    joined in the row and exploded once.  A plain-word test keeps the regex off
-    texts that cannot match.
+    Each of ``shapes`` contributes an array of (kind, verb, url, ord); the arrays
+    are joined in the row and exploded once.  A plain-word test keeps the regex
+    off texts that cannot match.  Objects of ``configs`` are found by the depth
+    of their brackets (`nesting.config_pairs`).
     """
+    found = []
+    if shapes:
+        found.append(_plain_shapes(files, shapes, path, text, language))
+    if configs:
+        found.append(config_calls(files, configs, path=path, text=text, language=language))
+    return reduce(DataFrame.unionByName, found)
+
+
+def config_calls(files: DataFrame, configs: Sequence[tuple] = rules.CONFIG_CALLS, *,
+                 path: str = "file", text: str = "text", language: str = "language") -> DataFrame:
+    """file, kind, ord, verb, url of calls by a configuration object with a ``url``."""
+    words = [w for _, _, hints in configs for w in hints]
+    scripts = files.where((dialect_of(language) == "js") & contains_any(F.col(text), words)).select(
+        F.col(path).alias("file"), masked(text).alias("text"))
+    return config_pairs(scripts, configs).select(
+        "file", "kind", "ord", F.lit("GET").alias("verb"),
+        restored(_unquoted(F.col("value"))).alias("url"))
+
+
+def _plain_shapes(files: DataFrame, shapes: Sequence[tuple], path: str, text: str,
+                  language: str) -> DataFrame:
     dialect = dialect_of(language)
     none = F.array().cast("array<struct<kind:string,ord:int,verb:string,url:string>>")
 

@@ -77,6 +77,9 @@ _SOURCE_LINES = [
     "'axios({{ method: \"get\", url: \"/api/v1/conf/' || lang || '\" }});'",
     "'xhr.open(\"PUT\", \"/api/v4/x/' || num || '\");'",
     "'$.ajax({{ type: \"POST\", url: ''/api/v1/ajax/' || num || ''' }});'",
+    "'axios({{ headers: {{ a: \"b}}\", url: \"/api/v1/no/' || num || '\" }}, method: \"post\", url: \"/api/v1/nested/' || num || '\" }});'",
+    "'$.ajax({{ url: ''/api/v1/first/' || num || ''', data: {{ x: [1, {{ url: ''/api/v1/inner'' }}] }} }}).done(() => axios({{ data: {{ q: f({{ y: 1 }}) }}, /* url: \"/api/v1/note\" */ url: \"/api/v1/late/' || lang || '\" }}));'",
+    "'wrap({{ url: \"/api/v1/bare/' || num || '\" }}); axios(pick({{ url: \"/api/v1/deep\" }}), {{ url: ''/api/v1/second/' || num || ''' }});'",
     "'router.delete(\"/api/v1/route/' || num || '\", handler);'",
     "'  request(TPL); api.get(cfg.list); load().put(\"/ws/' || num || '\");'",
     "'fetch(MISSING + \"/api/tail/' || num || '\" + USERS);'",

@@ -136,26 +136,54 @@ FROM (SELECT file, unnest(regexp_extract_all({hidden('text')}, {lit(pattern)}))
       FROM sources WHERE {where})"""
 
 
-def _register_shape(name: str, shape: tuple) -> None:
-    kind, family, pattern, verb_group, url_group, _ = shape
+_LITERAL_MARKS = "chr(34), chr(39), chr(96), '/'"
 
-    @query(name, _shape_sql(kind, family, pattern, verb_group, url_group), SRC)
+
+def _config_sql(kinds: tuple) -> str:
+    """Depths by a running sum; the bracket around a token is the last opened at its depth."""
+    p = lit(rules.config_token([c[1] for c in kinds]))
+    call = " ".join(f"WHEN regexp_full_match(m, {lit(c[1])}) THEN {lit(c[0])}" for c in kinds)
+    return f"""
+SELECT file, kind, 'GET' AS verb, {shown(f"trim(value, {_QUOTES})")} AS url FROM (
+WITH tokens AS (
+  SELECT r, file, pos, m, left(m, 1) AS c, left(m, 1) IN ('{{', '[', '(') OR right(m, 1) = '(' AS opens
+  FROM (SELECT r, file, pos, ms[pos] AS m FROM (
+    SELECT r, file, ms, unnest(range(1, len(ms) + 1)) AS pos FROM (
+      SELECT row_number() OVER () AS r, file, regexp_extract_all({hidden('text')}, {p}) AS ms
+      FROM sources WHERE language <> 'python')))
+  WHERE left(m, 1) NOT IN ({_LITERAL_MARKS})),
+deep AS (SELECT *, sum(CASE WHEN opens THEN 1 WHEN c IN ('}}', ']', ')') THEN -1 ELSE 0 END)
+  OVER (PARTITION BY r ORDER BY pos) AS depth FROM tokens),
+opened AS (SELECT *, CASE {call} END AS call FROM deep WHERE opens),
+named AS (
+  SELECT o.r, o.pos, o.depth, CASE WHEN o.c = '{{' THEN u.call END AS call
+  FROM opened o ASOF LEFT JOIN opened u ON o.r = u.r AND o.depth - 1 = u.depth AND o.pos > u.pos)
+SELECT d.file, n.call AS kind, regexp_extract(d.m, {lit(rules.CONFIG_VALUE)}, 1) AS value
+FROM deep d ASOF JOIN named n ON d.r = n.r AND d.depth = n.depth AND d.pos >= n.pos
+WHERE d.c IN ('{{', ',') AND length(d.m) > 1 AND n.call IS NOT NULL)"""
+
+
+def _register_shape(name: str, shapes: tuple, configs: tuple) -> None:
+    @query(name, "\nUNION ALL\n".join([*(_shape_sql(*s[:5]) for s in shapes), *(
+        [_config_sql(configs)] if configs else [])]), SRC)
     def run(spark, sf):
-        return extract.shaped_calls(table(spark, sf, "sources"), (shape,)).select(
+        return extract.shaped_calls(table(spark, sf, "sources"), shapes, configs).select(
             "file", "kind", "verb", "url")
 
 
-for _name, _shape in zip(
-        ("C4a_fetch", "C4b_fetch_template", "C4c_axios_method", "C4d_axios_config",
-         "C4e_xhr_open", "C4f_jquery_ajax", "C4g_express_route", "C4h_url_constant",
-         "C4i_url_property", "C5a_requests", "C5b_httpx", "C5c_session", "C5d_urllib",
-         "C5e_route_decorator", "C5f_django_url", "C5g_url_constant"), rules.SHAPES, strict=True):
-    _register_shape(_name, _shape)
-
-
-@query("C4_C5_all_shapes", "\nUNION ALL\n".join(_shape_sql(*s[:5]) for s in rules.SHAPES), SRC)
-def all_shapes(spark, sf):
-    return extract.shaped_calls(table(spark, sf, "sources")).select("file", "kind", "verb", "url")
+_SHAPE_NAMES = {
+    "C4a_fetch": ("js", "fetch"), "C4b_fetch_template": ("js", "fetch_template"),
+    "C4c_axios_method": ("js", "axios_method"), "C4d_axios_config": ("js", "axios_config"),
+    "C4e_xhr_open": ("js", "xhr_open"), "C4f_jquery_ajax": ("js", "jquery_ajax"),
+    "C4g_express_route": ("js", "express_route"), "C4h_url_constant": ("js", "url_constant"),
+    "C4i_url_property": ("js", "url_property"), "C5a_requests": ("py", "requests_call"),
+    "C5b_httpx": ("py", "httpx_call"), "C5c_session": ("py", "session_call"),
+    "C5d_urllib": ("py", "urllib_call"), "C5e_route_decorator": ("py", "route_decorator"),
+    "C5f_django_url": ("py", "django_url"), "C5g_url_constant": ("py", "url_constant")}
+for _name, (_family, _kind) in _SHAPE_NAMES.items():
+    _register_shape(_name, tuple(s for s in rules.SHAPES if s[:2] == (_kind, _family)),
+                    tuple(c for c in rules.CONFIG_CALLS if c[0] == _kind))
+_register_shape("C4_C5_all_shapes", rules.SHAPES, rules.CONFIG_CALLS)
 
 
 # --- C6 to C10 ------------------------------------------------------------

@@ -294,11 +294,7 @@ SHAPES = (
     ("fetch", "js", r"\bfetch\(\s*(" + _STR + r")", 0, 1, ("fetch",)),
     ("fetch_template", "js", r"\bfetch\(\s*(" + _TEMPLATE + r")", 0, 1, ("fetch",)),
     ("axios_method", "js", r"\baxios\.(\w+)\(\s*(" + _STR + r")", 1, 2, ("axios.",)),
-    ("axios_config", "js",
-     r"\baxios\(\s*\{[^{}]*?\burl\s*:\s*(" + _STR + r")", 0, 1, ("axios",)),
     ("xhr_open", "js", r"\.open\(\s*[\"'](\w+)[\"']\s*,\s*(" + _STR + r")", 1, 2, (".open",)),
-    ("jquery_ajax", "js",
-     r"(?:\$|\bjQuery)\.ajax\(\s*\{[^{}]*?\burl\s*:\s*(" + _STR + r")", 0, 1, (".ajax",)),
     ("express_route", "js",
      r"\b(?:app|router|express)\.(get|post|put|delete|patch|use|all)\(\s*(" + _STR + r")",
      1, 2, ("app.", "router.", "express.")),
@@ -325,6 +321,29 @@ SHAPES = (
      r"(?:^|\n)[ \t]*" + _CONST_WORDS + r"\s*=\s*(" + _PYSTR + r")", 0, 1, ("=",)),
 )
 
+# Calls whose argument is a configuration object with a ``url``: (kind, call up to
+# its bracket, texts of which one must occur).
+CONFIG_CALLS = (
+    ("axios_config", r"\baxios\s*\(", ("axios",)),
+    ("jquery_ajax", r"(?:\$|\bjQuery)\.ajax\s*\(", (".ajax",)),
+)
+_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
+CONFIG_VALUE = r"url\s*:\s*(" + _STR + r")$"
+
+
+def config_token(openings: list[str], *, possessive: bool = False) -> str:
+    """Comments, literals, the given calls, ``url`` pairs and brackets of a script.
+
+    A pair begins with the brace or comma before its name.  With ``possessive``
+    (not every engine has it) long runs of comments do not recurse, and a slash
+    where a value may begin opens a pattern literal.
+    """
+    again = "*+" if possessive else "*"
+    pattern = r"(?<=[=(,:;!&|?{}\[]\s{0,9})/[^/*\n][^/\n]*+/|" if possessive else ""
+    return ("(?:" + pattern + _COMMENT + "|" + _STR + "|" + _TEMPLATE + "|" + "|".join(openings)
+            + r"|[{,](?:\s|" + _COMMENT + ")" + again + r"url\s*:\s*" + _STR + r"|[{}()\[\]])")
+
+
 # Lexical tokens of a source text: comments are consumed so that quotes inside
 # them open no literal.  Escapes are masked before matching.
 LITERALS = {

@@ -231,3 +231,43 @@ def test_markup_literals(spark):
     page = """<!-- "/api/no" --><a href="/api/v1/x" title='it "s'>t</a><b data-u='/graphql'></b>"""
     df = spark.createDataFrame([("f", page, "html")], "file string, text string, language string")
     assert {r.url for r in extract.literal_endpoints(df).collect()} == {"/api/v1/x", "/graphql"}
+
+
+def config_rows(spark, text):
+    rows = extract.config_calls(source(spark, text)).collect()
+    return sorted((r.kind, r.ord, r.url) for r in rows)
+
+
+@pytest.mark.parametrize("text,expected", [
+    ('axios({ headers: { a: "b" }, method: "post", url: "/api/nested" })', [("axios_config", 0, "/api/nested")]),
+    ('$.ajax({ data: { x: 1 }, url: "/api/jq" })', [("jquery_ajax", 0, "/api/jq")]),
+    ("jQuery.ajax({url:'/a',x:{url:'/no'}});axios ( {url : '/b'} )",
+     [("axios_config", 0, "/b"), ("jquery_ajax", 0, "/a")]),
+    ('axios({ a: "}", b: \'{\', c: `}${x}`, // }\n /* { */ url: "/api/q" })', [("axios_config", 0, "/api/q")]),
+    ('axios({ data: f({ url: "/no" }), list: [{ url: "/no" }] })', []),
+    ('wrap({ url: "/no" }); axios(pick({ url: "/no" }), { url: "/second" })', [("axios_config", 0, "/second")]),
+    ('axios({ then: () => { axios({ d: {}, url: "/in" }) }, url: "/out" })',
+     [("axios_config", 0, "/in"), ("axios_config", 1, "/out")]),
+    ('axios({ re: /["\'{]/, url: "/api/re" }); axios({ x: c ? url : "/no" })', [("axios_config", 0, "/api/re")]),
+    ('// axios({ url: "/no" })\nmyaxios({ url: "/no" }); "axios({ url: 1"; axios({ baseurl: "/no" })', []),
+    ('axios({ url: "/api/a\\"b" })', [("axios_config", 0, '/api/a\\"b')]), ("axios(", []), ("", []), ("})axios({url:'/x'})", [("axios_config", 0, "/x")]),
+])
+def test_config_objects(spark, text, expected):
+    assert config_rows(spark, text) == expected
+
+
+def test_config_objects_in_rows_of_one_file(spark):
+    """Repeated rows of a file are texts of their own; null texts give nothing."""
+    df = spark.createDataFrame([("a.js", 'axios({ x: {}, url: "/a" })')] * 2 + [("a.js", None), (None, "axios({url:'/n'})")],
+                               "file string, text string").withColumn("language", F.lit("javascript"))
+    assert sorted(((r.file, r.ord, r.url) for r in extract.config_calls(df).collect()), key=repr) == [
+        ("a.js", 0, "/a"), ("a.js", 0, "/a"), (None, 0, "/n")]
+    assert extract.config_calls(df.limit(0)).count() == 0
+
+
+def test_minified_config_objects_are_linear(spark):
+    """1 MB in one line: many calls, deep nesting, and unclosed brackets."""
+    call = 'axios({headers:{a:{b:[1,{url:"/no"}]}},url:"/api/%d"}),'
+    text = "".join(call % i for i in range(20_000)) + "[" * 100_000 + "axios(" * 10_000 + "{url:'/last'"
+    rows = config_rows(spark, text)
+    assert len(rows) == 20_001 and rows[0][2] == "/api/0" and rows[-1] == ("axios_config", 20_000, "/last")
