@@ -1,29 +1,21 @@
 """Rate limiting seen in a request log: exposure, blocked keys, back-off.
 
 A log row has key, ts, an order column for equal times, status_code and
-retry_after.  One key may hold a third of a very large log, so no window here
-spans a whole key's rows: rows are windowed per (key, time bucket), each
-bucket is reduced to one summary row, and only the summaries are windowed per
-key to find what carries into the next bucket.  The rows are shuffled by (key,
-bucket); ``backoff`` reads its windowed rows a second time for the summaries,
-from the same shuffle or, if the caller keeps more columns, from a narrow one.
-Buckets never change a result.  Only keys with more than ``ROWS_PER_BUCKET`` rows
-have more than one: such a key is cut at approximate quantiles of its own times,
-so neither an outlier nor a burst leaves a bucket much larger than the others.
-All of it is part of the plan; nothing runs while the plan is built.
+retry_after.  One key may hold a third of a very large log, or all of its rows
+one time: exposure and back-off are running totals of `segments.running`, whose
+largest task depends on no key's share.  The log is sorted once and written to
+the work folder while the query is built.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
+from .segments import running
 
 _LIMITED = 429
-ROWS_PER_BUCKET = 1_000_000
-#: buckets of a key with more rows than that
-CUTS = 128
 
 
 def _seconds(ts: Column) -> Column:
@@ -31,58 +23,27 @@ def _seconds(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp")) / F.lit(1e6)
 
 
-def _bucketed(log: DataFrame, key: str, ts: str, rows_per_bucket: int) -> DataFrame:
-    """Adds ``_t`` and the group ``_g``, a struct of key and bucket.
-
-    The struct is never NULL, so the self-joins on it add no NULL filter that
-    would keep Spark from reusing one shuffle of the rows for both sides, and
-    rows without a key form a group like any other.  The table of cuts is
-    broadcast: it has at most rows / ``rows_per_bucket`` rows, the hot keys.
-    """
-    timed = log.withColumn("_t", _seconds(F.col(ts)))
-    narrow = timed.select(F.col(key).alias("_k"), "_t")
-    hot = narrow.groupBy("_k").agg(F.count(F.lit(1)).alias("_n")).where(
-        F.col("_n") > rows_per_bucket).select(F.col("_k").alias("_hot"))
-    quantiles = F.array(*[F.lit(i / CUTS) for i in range(1, CUTS)])
-    cuts = narrow.join(F.broadcast(hot), F.col("_k").eqNullSafe(F.col("_hot"))).groupBy("_hot").agg(
-        F.percentile_approx("_t", quantiles, F.lit(100 * CUTS)).alias("_cuts"))
-    bucket = F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_t"))), F.lit(0))
-    return timed.join(F.broadcast(cuts), F.col(key).eqNullSafe(F.col("_hot")), "left").withColumn(
-        "_g", F.struct(F.col(key).alias("k"), F.when(F.col("_cuts").isNull(), F.lit(0))
-                       .otherwise(bucket).alias("b"))).drop("_hot", "_cuts")
-
-
 def _ttl(default_ttl: int) -> Column:
     return F.when(F.coalesce("retry_after", F.lit(0)) > 0, F.col("retry_after")) \
         .otherwise(F.lit(default_ttl))
 
 
 def exposure(log: DataFrame, *, key: str = "key", ts: str = "ts", order: str = "ord",
-             default_ttl: int = rules.RATE_LIMIT_TTL,
-             rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+             default_ttl: int = rules.RATE_LIMIT_TTL) -> DataFrame:
     """Was the key still blocked by its latest earlier 429, and for how long.
 
-    Adds ``blocked`` and ``remaining_seconds`` (0 if not blocked).
+    Adds ``blocked`` and ``remaining_seconds`` (0 if not blocked).  A row
+    without a time is not blocked and blocks nothing.
     """
-    rows = _bucketed(log, key, ts, rows_per_bucket).withColumn(
-        "_until", F.when(F.col("status_code") == _LIMITED, F.col("_t") + _ttl(default_ttl)))
-    # every bucket of the key needs its carry, also one without a 429 (NULL)
-    buckets = rows.groupBy("_g").agg(F.max_by("_until", F.when(
-        F.col("_until").isNotNull(), F.struct("_t", order))).alias("_last"))
-    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = buckets.select("*", F.col("_g.k").alias("_k"), F.col("_g.b").alias("_b")).select(
-        "_g", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    inside = Window.partitionBy("_g").orderBy("_t", order).rowsBetween(
-        Window.unboundedPreceding, -1)
-    until = F.coalesce(F.last("_until", ignorenulls=True).over(inside), F.col("_carry"))
-    blocked = F.coalesce(F.col("_t") < F.col("_block"), F.lit(False))
+    rows = log.withColumn("_t", _seconds(F.col(ts)))
+    until = F.when(F.col("status_code") == _LIMITED, F.col("_t") + _ttl(default_ttl))
+    block = F.col("_base")
     return (
-        rows.join(carried, "_g", "left")
-        .withColumn("_block", until)
-        .withColumn("blocked", blocked)
-        .withColumn("remaining_seconds", F.when(
-            F.col("blocked"), F.floor(F.col("_block") - F.col("_t"))).otherwise(F.lit(0)))
-        .drop("_t", "_g", "_until", "_carry", "_block")
+        running(rows, key, ["_t", order], until, F.lit(0), inclusive=False)
+        .withColumn("blocked", F.coalesce(F.col("_t") < block, F.lit(False)))
+        .withColumn("remaining_seconds", F.when(F.col("blocked"), F.floor(block - F.col("_t")))
+                    .otherwise(F.lit(0)))
+        .drop("_t", "_base", "_sum")
     )
 
 
@@ -98,42 +59,18 @@ def blocked_keys(log: DataFrame, at: Column, *, key: str = "key", ts: str = "ts"
 
 
 def backoff(log: DataFrame, *, key: str = "key", ts: str = "ts", order: str = "ord",
-            multiplier: float = rules.BACKOFF_MULTIPLIER, cap: float = rules.BACKOFF_CAP,
-            rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+            multiplier: float = rules.BACKOFF_MULTIPLIER, cap: float = rules.BACKOFF_CAP) -> DataFrame:
     """Back-off level per response: the k-th 429 in a row gives
     ``least(multiplier^k, cap)``; any other response resets it to 1.
 
     Adds ``run`` (429s in a row up to this one) and ``backoff_seconds``.
     """
-    limited = (F.col("status_code") == _LIMITED).cast("bigint")
-    rows = _bucketed(log, key, ts, rows_per_bucket).withColumn("_hit", limited)
-    inside = Window.partitionBy("_g").orderBy("_t", order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    island = Window.partitionBy("_g", "_resets").orderBy("_t", order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    local = (rows.withColumn("_resets", F.sum(F.lit(1) - F.col("_hit")).over(inside))
-             .withColumn("_run", F.sum("_hit").over(island)))
-
-    ends = local.groupBy("_g").agg(
-        F.max("_resets").alias("_resets"),
-        F.max_by("_run", F.struct("_t", order)).alias("_tail"))
-    so_far = Window.partitionBy("_k").orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    chain = Window.partitionBy("_k", "_chain").orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    carried = (
-        ends.select("*", F.col("_g.k").alias("_k"), F.col("_g.b").alias("_b"))
-        .withColumn("_chain", F.sum(F.when(F.col("_resets") > 0, 1).otherwise(0)).over(so_far))
-        .withColumn("_end", F.sum("_tail").over(chain))
-        .select("_g", F.coalesce(
-            F.lag("_end").over(Window.partitionBy("_k").orderBy("_b")), F.lit(0))
-            .alias("_carry"))
-    )
-    run = F.col("_run") + F.when(F.col("_resets") == 0, F.col("_carry")).otherwise(F.lit(0))
+    rows = log.withColumn("_t", _seconds(F.col(ts)))
+    hit = F.coalesce(F.col("status_code") == _LIMITED, F.lit(False))
     return (
-        local.join(carried, "_g", "left")
-        .withColumn("run", F.when(F.col("_hit") == 1, run).otherwise(F.lit(0)))
+        running(rows, key, ["_t", order], F.when(~hit, 0.0), hit.cast("long"), inclusive=True)
+        .withColumn("run", F.col("_sum"))
         .withColumn("backoff_seconds", F.least(F.pow(F.lit(float(multiplier)), F.col("run")),
                                                F.lit(float(cap))))
-        .drop("_t", "_g", "_hit", "_resets", "_run", "_carry")
+        .drop("_t", "_base", "_sum")
     )

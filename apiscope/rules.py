@@ -327,7 +327,9 @@ CONFIG_CALLS = (
     ("axios_config", r"\baxios\s*\(", ("axios",)),
     ("jquery_ajax", r"(?:\$|\bjQuery)\.ajax\s*\(", (".ajax",)),
 )
-_COMMENT = r"//[^\n]*|/\*[\s\S]*?\*/"
+# a comment that is never closed goes on to the end; the second form does not step back
+_COMMENT = r"//[^\n]*|/\*(?:[\s\S]*?\*/|[\s\S]*\z)"
+_POSSESSIVE_COMMENT = r"//[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/|\z)"
 CONFIG_VALUE = r"url\s*:\s*(" + _STR + r")$"
 
 
@@ -338,10 +340,11 @@ def config_token(openings: list[str], *, possessive: bool = False) -> str:
     (not every engine has it) long runs of comments do not recurse, and a slash
     where a value may begin opens a pattern literal.
     """
+    comment = _POSSESSIVE_COMMENT if possessive else _COMMENT
     again = "*+" if possessive else "*"
-    pattern = r"(?<=[=(,:;!&|?{}\[]\s{0,9})/[^/*\n][^/\n]*+/|" if possessive else ""
-    return ("(?:" + pattern + _COMMENT + "|" + _STR + "|" + _TEMPLATE + "|" + "|".join(openings)
-            + r"|[{,](?:\s|" + _COMMENT + ")" + again + r"url\s*:\s*" + _STR + r"|[{}()\[\]])")
+    pattern = r"|/(?<=[=(,:;!&|?{}\[]\s{0,9}/)[^/*\n][^/\n]*+/" if possessive else ""
+    return (r"(?:[{,](?:\s|" + comment + ")" + again + r"url\s*:\s*" + _STR + "|" + _STR + "|" + _TEMPLATE
+            + "|" + comment + pattern + "|" + "|".join(openings) + r"|[{}()\[\]])")
 
 
 # Lexical tokens of a source text: comments are consumed so that quotes inside

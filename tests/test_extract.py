@@ -268,6 +268,6 @@ def test_config_objects_in_rows_of_one_file(spark):
 def test_minified_config_objects_are_linear(spark):
     """1 MB in one line: many calls, deep nesting, and unclosed brackets."""
     call = 'axios({headers:{a:{b:[1,{url:"/no"}]}},url:"/api/%d"}),'
-    text = "".join(call % i for i in range(20_000)) + "[" * 100_000 + "axios(" * 10_000 + "{url:'/last'"
+    text = "".join(call % i for i in range(20_000)) + "[" * 100_000 + "axios(" * 10_000 + "{url:'/last'}" + "/*" * 100_000
     rows = config_rows(spark, text)
     assert len(rows) == 20_001 and rows[0][2] == "/api/0" and rows[-1] == ("axios_config", 20_000, "/last")

@@ -33,20 +33,37 @@ def brute(rows, ttl, mult, cap):
     return out
 
 
-@pytest.mark.parametrize("seed,rows_per_bucket,cuts", [
-    (1, 0, 128), (2, 50, 5), (3, 10 ** 7, 128), (4, 100, 2), (5, 20, 40)])
-def test_against_brute_force(spark, monkeypatch, seed, rows_per_bucket, cuts):
-    monkeypatch.setattr(ratelimit, "CUTS", cuts)
+@pytest.mark.parametrize("seed,partitions,batch", [(1, 4, 10_000), (2, 9, 7), (3, 1, 1), (4, 40, 3), (5, 3, 50)])
+def test_against_brute_force(spark, seed, partitions, batch):
+    """Partitions and batches that cut keys anywhere change nothing."""
     rows = make_log(seed)
     log = spark.createDataFrame(rows, SCHEMA)
-    a = ratelimit.exposure(log, rows_per_bucket=rows_per_bucket)
-    b = ratelimit.backoff(log, rows_per_bucket=rows_per_bucket).select(
-        "ord", "run", "backoff_seconds")
-    got = {r.ord: (r.blocked, r.remaining_seconds, r.run, r.backoff_seconds)
-           for r in a.join(b, "ord").collect()}
+    conf = {"spark.sql.shuffle.partitions": partitions, "spark.sql.execution.arrow.maxRecordsPerBatch": batch,
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, str(v))
+        a = ratelimit.exposure(log)
+        b = ratelimit.backoff(log).select("ord", "run", "backoff_seconds")
+        got = {r.ord: (r.blocked, r.remaining_seconds, r.run, r.backoff_seconds)
+               for r in a.join(b, "ord").collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
     assert got == brute(rows, 300, 2.0, 60.0)
 
 
+def test_no_time_and_other_columns(spark):
+    rows = [(0, "a", None, 429, 50), (1, "a", dt.datetime(2024, 1, 1), 200, None), (2, None, None, 429, None)]
+    log = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 AS part", "array(struct(ord)) AS _kept")
+    got = {r.ord: (r.blocked, r.part) for r in ratelimit.exposure(log).collect()}
+    assert got == {0: (False, 1), 1: (False, 1), 2: (False, 1)}
+    assert {r.ord: r.run for r in ratelimit.backoff(log).collect()} == {0: 1, 1: 0, 2: 1}
+    assert ratelimit.exposure(log.limit(0)).columns == [*log.columns, "blocked", "remaining_seconds"]
+    assert ratelimit.backoff(log.limit(0)).count() == 0
+
+
 def test_blocked_keys(spark):
     t0 = dt.datetime(2024, 1, 1)
     rows = [(0, "a", t0, 429, 100), (1, "a", t0 + dt.timedelta(seconds=10), 429, 20),
@@ -59,41 +76,25 @@ def test_blocked_keys(spark):
     assert [at(0), at(29), at(30), at(299), at(300)] == [2, 2, 1, 1, 0]
 
 
-def test_shuffles(spark, tmp_path):
-    def final_plan(df):
-        df.collect()
-        return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
-
-    spark.createDataFrame(make_log(5), SCHEMA).write.parquet(str(tmp_path / "log"))
-    log = spark.read.parquet(str(tmp_path / "log"))
-    exposed = final_plan(ratelimit.exposure(log))
-    backed = final_plan(ratelimit.backoff(log).select("ord", "run"))
-    # the second reading of the windowed rows reuses their shuffle
-    assert "ReusedExchange" in backed
-    for text in (exposed, backed):
-        assert "hashpartitioning(key#" not in text
-        # no window or join shuffles rows by the key alone; (_k) is for counts and summaries
-        assert "SortMergeJoin [key" not in text
-
-
-def test_buckets_hold_with_an_outlier_and_a_burst(spark):
-    """A hot key with one row of 1970 and a third of its rows within a second."""
-    t0 = dt.datetime(2024, 1, 1)
-    rows = [(0, "hot", dt.datetime(1970, 1, 1), 429, None)]
-    rows += [(i, "hot", t0 + dt.timedelta(seconds=i * 60), 200, None) for i in range(1, 8000)]
-    rows += [(10_000 + i, "hot", t0 + dt.timedelta(days=2, microseconds=i), 429, None)
-             for i in range(4000)]
-    rows += [(20_000 + i, f"k{i}", t0, 200, None) for i in range(500)]
-    log = spark.createDataFrame(rows, SCHEMA)
-    groups = ratelimit._bucketed(log, "key", "ts", 1000).groupBy("_g").count()
-    sizes = [r["count"] for r in groups.where("_g.k = 'hot'").collect()]
-    assert sum(sizes) == 12_000 and max(sizes) <= 2 * 12_000 / ratelimit.CUTS
-    assert groups.where("_g.k <> 'hot' AND _g.b <> 0").count() == 0
-
-
-def test_planning_runs_nothing(spark):
-    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
-    log = spark.createDataFrame(make_log(1, 20), SCHEMA)
-    ratelimit.exposure(log)
-    ratelimit.backoff(log)
-    assert spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+def test_no_task_follows_a_hot_key(spark):
+    """A third of 3 M rows in one key, all of one time: rows are spread evenly, totals hold."""
+    n = 3_000_000
+    log = spark.range(n).select(
+        F.col("id").alias("ord"), F.when(F.col("id") % 3 == 0, "hot").otherwise(
+            F.concat(F.lit("k"), F.col("id") % 50_000)).alias("key"),
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).cast("timestamp").alias("ts"),
+        F.when(F.col("id") % 3 == 0, 429).otherwise(200).alias("status_code"), F.lit(None).cast("int").alias("retry_after"))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        done = ratelimit.backoff(log)
+        parts = [r["count"] for r in spark.read.parquet(*done.inputFiles()).groupBy("_part").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert max(parts) < 2 * n / 24
+    top = done.where("key = 'hot'").agg(F.max("run"), F.sum("run"), F.count("*")).first()
+    assert tuple(top) == (n // 3, (n // 3) * (n // 3 + 1) // 2, n // 3)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SortMergeJoin" not in plan
