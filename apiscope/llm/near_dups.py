@@ -9,7 +9,8 @@ probability Jaccard similarity of the documents.  Equal bands of components make
 candidates, and candidates are verified on the exact multisets.
 
 Texts of equal words are one node, so copies cost nothing beyond their
-fingerprint.  No bucket is expanded into pairs: its members are compared with
+fingerprint.  A node is named by the hash of its least row (id and text), so
+neither ids that stand over several texts nor missing ones mix texts up.  No bucket is expanded into pairs: its members are compared with
 its least member.  Where some are not similar to that, they are compared with
 each other and with those similar members that the triangle inequality (the
 distance 1 - similarity is a metric) leaves possible, in blocks of bounded size;
@@ -17,9 +18,9 @@ each block verifies its pairs and returns links that unite its classes, fewer
 than it has members.  Classes are the connected components of verified links.
 
 Defined results: a document without words (null, empty) is a class of its own;
-the class id is the least document id in the class; rows that share an id share
-its fate text by text; rows with a null id get the class of their text, null if
-it has no other; an empty table has no rows.  Other columns are not read.
+the class id is the least document id in the class, null if it has none; rows
+that share an id are documents of their own, each of the class of its text; two
+rows of equal id and text are one; an empty table has no rows.  Other columns are not read.
 """
 
 from __future__ import annotations
@@ -139,11 +140,11 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = mixed(bands + _GOLD * np.arange(1, BANDS + 1, dtype=_U)).view(np.int64)
         short = (sig >> _U(48)).astype("<u2")
         yield pa.RecordBatch.from_arrays([
-            part.column("doc_id"), pa.array(np.diff(w.first), pa.int64()),
+            part.column("doc_id"), part.column("own"), pa.array(np.diff(w.first), pa.int64()),
             pa.array(prints[0], pa.int64()), pa.array(prints[1], pa.int64()),
             pa.array(list(bands), pa.list_(pa.int64())),
             pa.array([r.tobytes() for r in short], pa.binary())],
-            ["doc_id", "n_words", "print1", "print2", "bands", "sig"])
+            ["doc_id", "own", "n_words", "print1", "print2", "bands", "sig"])
 
 
 def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,12 +272,17 @@ def _filtered(texts: DataFrame, needed: DataFrame) -> DataFrame:
         F.getbit(byte.cast("int"), (at % 8).cast("int")) == 1).select("node", "text")
 
 
+def _once(texts: DataFrame) -> DataFrame:
+    """One of the rows of a node; those of equal id and text are reduced in every task first."""
+    return texts.dropDuplicates(["node"])
+
+
 def _similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, similarity) of pairs (a, b), from the texts (node, text)."""
     needed = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "node")
     needed = written(needed, "pair-nodes")
     # a merge join at every size: what is shuffled follows the input
-    texts = written(_filtered(texts, needed).join(needed.hint("merge"), "node"), "pair-texts")
+    texts = written(_once(_filtered(texts, needed)).join(needed.hint("merge"), "node"), "pair-texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a") \
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(
@@ -290,24 +296,29 @@ def _estimates(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
         _estimated, "a long, b long, estimate double"), "estimates")
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id of every document (doc_id, text)."""
-    signed = written(bounded(docs).select("doc_id", "text").mapInArrow(
-        _signed, "doc_id long, n_words long, print1 long, print2 long, bands array<long>, "
+def own_key():
+    """What tells the rows of a table apart: a hash of id and text."""
+    return F.xxhash64("doc_id", "text")
+
+
+def members(docs: DataFrame) -> DataFrame:
+    """doc_id, own, label, class_id of every document (doc_id, text).
+
+    ``own`` is the row's `own_key`, ``label`` that of one row of its class.
+    """
+    signed = written(bounded(docs.select("doc_id", "text", own_key().alias("own"))).mapInArrow(
+        _signed, "doc_id long, own long, n_words long, print1 long, print2 long, bands array<long>, "
                  "sig binary"), "signatures")
     worded = signed.where(F.col("n_words") > 0)
     prints = ["print1", "print2"]
-    # one node a text: its least id; the copies are reduced in every task before the shuffle
-    groups = written(worded.groupBy(*prints).agg(F.min("doc_id").alias("node")), "groups")
-    nodes = written(worded.join(
-        groups.where(F.col("node").isNotNull()).select(
-            "node", *[F.col(p).alias(f"of_{p}") for p in prints]),
-        (F.col("doc_id") == F.col("node")) & (F.col("print1") == F.col("of_print1"))
-        & (F.col("print2") == F.col("of_print2"))).select("node", "bands", "sig").dropDuplicates(
-        ["node"]), "nodes")
+    # one node a text: its least row; the copies are reduced in every task before the shuffle
+    groups = written(worded.groupBy(*prints).agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("unnamed"), "doc_id", "own")).alias("least")).select(
+        *prints, F.col("least.own").alias("node"), F.col("least.doc_id").alias("least")), "groups")
+    nodes = written(worded.join(groups.select("node"), F.col("own") == F.col("node")).select(
+        "node", "bands", "sig").dropDuplicates(["node"]), "nodes")
     sigs = nodes.select("node", "sig")
-    texts = docs.select(F.col("doc_id").alias("node"), "text").where(
-        F.col("text").isNotNull() & F.col("node").isNotNull())
+    texts = docs.select(own_key().alias("node"), "text").where(F.col("text").isNotNull())
     rows = nodes.select("node", F.explode("bands").alias("key"))
     hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where(
         F.col("n") > 1)
@@ -349,12 +360,23 @@ def classes(docs: DataFrame) -> DataFrame:
         F.max("far").alias("far"), F.max("asking").alias("asking"))
     blocks = written(blocks, "blocks")
     wanted = written(blocks.select("node").distinct(), "block-nodes")
-    known = written(_filtered(texts, wanted).join(wanted.hint("merge"), "node"), "block-texts")
+    known = written(_once(_filtered(texts, wanted)).join(wanted.hint("merge"), "node"), "block-texts")
     more = blocks.join(known, "node").repartition("block").sortWithinPartitions("block").mapInArrow(
         _united, "a long, b long")
     labels = components(links.unionAll(written(more, "more-links")))
-    named = written(groups.join(labels, "node", "left").select(
-        *prints, F.coalesce("label", "node").alias("class_id")), "classes")
-    return signed.select("doc_id", *prints, "n_words").join(named, prints, "left").select(
-        "doc_id", F.when(F.col("n_words") > 0, F.col("class_id")).otherwise(
-            F.col("doc_id")).alias("class_id"))
+    linked = written(groups.select("node", "least").join(labels, "node"), "linked")
+    names = linked.groupBy("label").agg(F.min("least").alias("name"))
+    linked = linked.join(names, "label").select("node", "label", "name")
+    named = written(groups.join(linked, "node", "left").select(
+        *prints, F.coalesce("label", "node").alias("label"),
+        F.when(F.col("label").isNotNull(), F.col("name")).otherwise(F.col("least")).alias("class_id")),
+        "classes")
+    has_words = F.col("n_words") > 0
+    return signed.select("doc_id", "own", *prints, "n_words").join(named, prints, "left").select(
+        "doc_id", "own", F.when(has_words, F.col("label")).otherwise(F.col("own")).alias("label"),
+        F.when(has_words, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id of every document (doc_id, text)."""
+    return members(docs).select("doc_id", "class_id")

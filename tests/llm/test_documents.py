@@ -38,6 +38,20 @@ def test_class_edges(spark):
     assert near_dups.classes(documents(spark, [])).count() == 0
 
 
+def test_repeated_and_missing_ids(spark):
+    """A text keeps its links whatever ids it stands under."""
+    a, b = (" ".join(f"{w}{i}" for i in range(80)) for w in "ab")
+    rows = [(1, a), (1, b), (7, a + " x"), (8, b + " x"), (None, a), (None, "c " * 90), (9, "c " * 89 + "d")]
+    got = near_dups.classes(documents(spark, [(i, t, "en") for i, t in rows])).collect()
+    assert sorted(((r.doc_id, r.class_id) for r in got), key=repr) == sorted(
+        [(1, 1), (1, 1), (7, 1), (8, 1), (None, 1), (None, 9), (9, 9)], key=repr)
+    # two rows without an id that are near each other, and nothing else
+    rows = [(None, a), (None, a + " y"), (2, b)]
+    both = near_dups.members(documents(spark, [(i, t, "en") for i, t in rows])).collect()
+    assert len({r.label for r in both if r.doc_id is None}) == 1
+    assert {r.doc_id: r.class_id for r in both} == {None: None, 2: 2}
+
+
 def chain(n, step, size=200):
     """Texts of which neighbours are alike and distant ones are not."""
     return [" ".join(f"w{i}" for i in range(k * step, k * step + size)) for k in range(n)]

@@ -85,10 +85,20 @@ def test_stage_edges(spark):
             assert all(r[c] == "clash" for r in rows for c in CLASH)
             assert rows or df is not docs
     near = corpus_pipeline.near_duplicates(spark, docs, SF).collect()
-    assert sorted((r.doc_id or 0) for r in near) == [-8, 0, 1, 2, 3, 4, 6, 7, 9]
+    assert sorted((r.doc_id or 0) for r in near) == [-8, 1, 2, 3, 4, 6, 7, 9]
     assert corpus_pipeline.tokens(spark, docs.limit(0), SF).count() == 0
 
 
+def test_no_copy_of_a_kept_text_stays(spark):
+    """Ids over several texts, and missing ones: one row of each class stays."""
+    a, b = (" ".join(f"{w}{i}" for i in range(60)) for w in "ab")
+    rows = [(3, a, "en"), (5, b, "en"), (5, a, "en"), (None, a, "en"), (None, a, "en"), (9, b + " more", "en"),
+            (None, "one two three", "en"), (None, "one two three", "en"), (None, None, "en"), (None, None, "en")]
+    kept = corpus_pipeline.near_duplicates(spark, documents(spark, rows), SF).collect()
+    assert sorted(((r.doc_id, r.text) for r in kept), key=repr) == sorted(
+        [(3, a), (5, b), (None, "one two three"), (None, None)], key=repr)
+
+
 def test_nothing_else_imports_the_operators():
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     for folder, _, names in os.walk(os.path.join(root, "apiscope")):

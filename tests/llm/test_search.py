@@ -153,3 +153,31 @@ def test_shard_with_many_repeats():
     phrase, first = fm_index.occurrences(w.hash, w.doc, phrases)
     assert len(set(zip(phrase.tolist(), first.tolist(), strict=True))) == len(phrase)
     assert len(phrase) == 2 * (2 * 3000 - 9 + 1)
+
+
+def test_components_beyond_doubles_and_long(spark):
+    """Finite components take part whatever their size; ranks follow exact scores."""
+    rows = [(0, [1e200, 1.0]), (1, [1e200, 2.0]), (2, [1e200, 1.0]), (3, [-1e200, 5.0]), (4, [1e307, 0.0]),
+            (5, [0.5, float("inf")]), (6, [0.5, 0.25]), (7, [2.0**40, 1.0]), (8, [-2.0**70, 1.0]), (9, None)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = {i: [int(x) * 1024 if abs(x) > 2**60 else int(x * 1024 // 1) for x in v] for i, v in rows
+             if v is not None and i != 5}
+    got = topk.top_k(vectors, F.col("vec_id") < 9, k=4).collect()
+    clip = 1 << 63
+    expected = []
+    for q, v in whole.items():
+        scored = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), i) for i, w in whole.items() if i != q)
+        expected += [(q, k, i, max(-clip, min(clip - 1, -s))) for k, (s, i) in enumerate(scored[:4], 1)]
+    assert sorted(tuple(r) for r in got) == sorted(expected)
+
+
+def test_many_query_blocks(spark, monkeypatch):
+    """Blocks are answered one after the other; together they are all queries."""
+    monkeypatch.setattr(topk, "QUERY_COMPONENTS", 16)
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(vectors, F.col("vec_id") % 3 == 0, k=5).collect()
+    monkeypatch.setattr(topk, "QUERY_COMPONENTS", 1 << 20)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, topk.top_k(
+        vectors, F.col("vec_id") % 3 == 0, k=5).collect())) and len(got) == 100
