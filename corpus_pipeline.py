@@ -6,15 +6,14 @@ the columns of ``documents``.
 
 1. language: documents without a letter have no language, and go; a missing
    ``lang`` becomes the predicted one.
-2. near_dups: one document of each class of near-duplicates stays, the one of
-   the least id.
+2. near_dups: one row of each class of near-duplicates stays, the one of the
+   least id (rows without an id come last, and stay only if none has one).
 3. benchmark: passages of test items are cut out; a document goes if no word of
    it is left by that.
 4. personal_data: personal data, and words that give it away, are replaced.
 5. tokens: ids of every text, and the text decoded from them.
 
-``n_chars`` follows the text.  Rows with a null id cannot be classed: of those
-of equal text one stays in stage 2.  An empty table stays empty throughout.
+``n_chars`` follows the text.  An empty table stays empty throughout.
 """
 
 from __future__ import annotations
@@ -44,16 +43,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs, back = aside(docs, "doc_id", "text")
-    classes = near_dups.classes(docs)
-    stays = written(classes.where(F.col("doc_id") == F.col("class_id")).groupBy(
-        F.col("doc_id").alias("_stays")).agg(F.count(F.lit(1)).alias("_rows")), "stays")
+    # rows of equal id and text are one; of each class the least row stays, named ones first
+    copies = near_dups.members(docs).groupBy("label", "doc_id", "own").agg(
+        F.count(F.lit(1)).alias("rows"))
+    stays = written(copies.groupBy("label").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("unnamed"), "doc_id", "own", "rows")).alias("least")).select(
+        F.col("least.own").alias("_stays"), F.col("least.rows").alias("_rows")), "stays")
     # a merge join at every size: what is shuffled follows the input
-    found = docs.join(stays.hint("merge"), F.col("doc_id") == F.col("_stays"))
+    found = docs.withColumn("_own", near_dups.own_key()).join(
+        stays.hint("merge"), F.col("_own") == F.col("_stays"))
     once = found.where(F.col("_rows") == 1).select(*docs.columns)
-    # rows that repeat an id, and rows without one
-    more = found.where(F.col("_rows") > 1).select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    unnamed = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return back(once.unionAll(more).unionAll(unnamed))
+    more = found.where(F.col("_rows") > 1).dropDuplicates(["_own"]).select(*docs.columns)
+    return back(once.unionAll(more))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
