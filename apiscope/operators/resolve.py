@@ -64,6 +64,56 @@ def resolve_names(refs: DataFrame, defs: DataFrame) -> DataFrame:
     return refs.join(resolved_names(defs), ["file", "name"], "left")
 
 
+def aliases(files: DataFrame, *, path: str = "file", text: str = "text") -> DataFrame:
+    """(file, name, target): names given to other names, the first target of each."""
+    pairs = F.transform(matches(F.col(text), rules.ALIAS), lambda m, i: F.struct(
+        i.alias("pos"), F.regexp_extract(m, rules.ALIAS, 1).alias("name"),
+        F.regexp_extract(m, rules.ALIAS, 2).alias("target")))
+    return files.select(F.col(path).alias("file"), F.inline(pairs)).groupBy("file", "name").agg(
+        F.min_by("target", "pos").alias("target"))
+
+
+def resolve_aliases(names: DataFrame, values: DataFrame) -> DataFrame:
+    """(file, name, value, cyclic) of every name of ``names`` (file, name, target).
+
+    ``values`` has one value per (file, name); a name with a value of its own is
+    no alias.  Names and targets are a graph in which each name has one way on, so
+    pointer jumping finds all ends: in every round a name takes its target's
+    target, which doubles the way it has gone.  A chain of n names is done in
+    log2(n) rounds, each one join written to the work folder.  What still points
+    at an alias then is, or leads to, a cycle: it has no value, nor has a name
+    whose chain ends in one that nothing defines.
+    """
+    edges = _kept(names.join(values, ["file", "name"], "left_anti").select("file", "name", "target"))
+    longest = edges.groupBy("file").count().agg(F.max("count")).first()[0] or 0
+    reached = edges
+    for _ in range(longest.bit_length()):
+        onward = reached.select("file", F.col("name").alias("target"), F.col("target").alias("next"))
+        reached = _kept(reached.join(onward, ["file", "target"], "left").select(
+            "file", "name", F.coalesce("next", "target").alias("target")))
+    ends = values.select("file", F.col("name").alias("target"), "value")
+    turns = edges.select("file", F.col("name").alias("target"), F.lit(True).alias("cyclic"))
+    return reached.join(ends, ["file", "target"], "left").join(turns, ["file", "target"], "left").select(
+        "file", "name", "value", F.coalesce("cyclic", F.lit(False)).alias("cyclic"))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` as a table of the work folder."""
+    from ..sources.files import work_path
+
+    path = work_path(df.sparkSession, "aliases")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def with_aliases(files: DataFrame, *, path: str = "file", text: str = "text") -> DataFrame:
+    """As `definitions`, with the names that are given others' values (kind after all literals)."""
+    defs = definitions(files, path=path, text=text)
+    chased = resolve_aliases(aliases(files, path=path, text=text), resolved_names(defs))
+    return defs.unionByName(chased.where(F.col("value").isNotNull()).select(
+        "file", F.lit(len(rules.DEFINITIONS)).alias("kind"), F.lit(0).alias("pos"), "name", "value"))
+
+
 def _operands(chain: Column) -> Column:
     """Operands of a ``+`` chain with the depth of each.
 

@@ -55,6 +55,65 @@ def _glob_regex(key: Column) -> Column:
     return F.concat(F.lit("(?s)^"), F.replace(regex, F.lit("\u0001"), F.lit("\\[")), F.lit("$"))
 
 
+#: Stand before and after a host, so that a glob's ends count as letters of it.
+_START, _END = "\u0002", "\u0003"
+
+
+def _pieces(key: Column) -> Column:
+    """The plain runs of a glob between its wildcards, its ends included."""
+    return F.split(F.concat(F.lit(_START), key, F.lit(_END)), r"\[[^\]]+\]|[*?]")
+
+
+def _grams(runs: Column) -> Column:
+    """Distinct runs of one, two and three letters; an end alone is none."""
+    def of_length(run: Column, n: int) -> Column:
+        last = F.length(run) - n + 1
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))),
+                                            lambda i: F.substring(run, i, F.lit(n))))
+
+    found = F.flatten(F.transform(runs, lambda r: F.flatten(F.filter(
+        F.array(*[of_length(r, n) for n in (1, 2, 3)]), lambda x: x.isNotNull()))))
+    return F.array_except(F.array_distinct(found), F.array(F.lit(_START), F.lit(_END)))
+
+
+def _by_gram(hosts: DataFrame, globs: DataFrame) -> DataFrame:
+    """(domain, key, action, position) of the globs with a plain letter.
+
+    An inverted index: every glob is filed under that of its grams which the
+    fewest hosts hold (then the fewest globs), and meets those hosts only.  A glob
+    with a gram that no host holds can match none.
+    """
+    of_host = hosts.select("domain", F.explode(_grams(F.array(F.concat(
+        F.lit(_START), "domain", F.lit(_END))))).alias("gram"))
+    of_glob = globs.select("key", F.explode(_grams(_pieces(F.col("key")))).alias("gram")).distinct()
+    holders = of_host.groupBy("gram").agg(F.count(F.lit(1)).alias("hosts"))
+    sharers = of_glob.groupBy("gram").agg(F.count(F.lit(1)).alias("globs"))
+    rarest = (of_glob.join(sharers, "gram").join(holders, "gram", "left").groupBy("key")
+              .agg(F.min(F.struct(F.coalesce("hosts", F.lit(0)).alias("hosts"), "globs", "gram"))
+                   .alias("least")).where(F.col("least.hosts") > 0)
+              .select("key", F.col("least.gram").alias("gram")))
+    return of_host.join(globs.join(rarest, "key"), "gram").where(
+        F.rlike("domain", F.col("regex"))).select("domain", "key", "action", "position")
+
+
+def _by_wildcards(hosts: DataFrame, globs: DataFrame) -> DataFrame:
+    """As `_by_gram`, of the globs without a plain letter.
+
+    Stars and question marks only say how long a host is, so such globs are
+    reduced to one of each form, the first, and all forms are tested in one pass
+    over the hosts.
+    """
+    bare = globs.where(F.size(_grams(_pieces(F.col("key")))) == 0).withColumn(
+        "form", F.when(F.col("key").contains("["), F.col("key")).otherwise(F.concat(
+            F.regexp_replace("key", r"\*", ""), F.when(F.col("key").contains("*"), "*").otherwise(""))))
+    first = bare.groupBy("form", "action").agg(F.min_by(
+        F.struct("key", "action", "position", "regex"), F.struct("position", "key")).alias("g"))
+    forms = first.agg(F.collect_list("g")).scalar()
+    return hosts.select("domain", forms.alias("forms")).select("domain", F.inline(F.filter(
+        "forms", lambda g: F.rlike(F.col("domain"), g["regex"])))).select(
+        "domain", "key", "action", "position")
+
+
 def scope_check_by_table(inventory: DataFrame, patterns: DataFrame, *, url: str = "url",
                          position: str | None = None, allow_ip: bool = False,
                          block_internal: bool = True) -> DataFrame:
@@ -63,9 +122,8 @@ def scope_check_by_table(inventory: DataFrame, patterns: DataFrame, *, url: str
     ``action`` is 'allow' or 'deny'; a pattern is any glob of the list form.
     The verdict is computed once per distinct host.  Host names and ``*.suffix``
     are found by equality with the host and its parents.  Any other glob is
-    compared only with hosts that hold the first three characters of its longest
-    plain run; one without a run of three (such as ``*``) is an error, since it
-    would have to be compared with every host.  The reason names the first
+    compared only with hosts that hold its rarest gram (see `_by_gram`); globs of
+    nothing but wildcards share one test per host.  The reason names the first
     pattern by ``position``, else the first in alphabetical order.
     """
     valid = inventory.withColumn("_v", urls.validate(url, allow_ip=allow_ip,
@@ -84,19 +142,8 @@ def scope_check_by_table(inventory: DataFrame, patterns: DataFrame, *, url: str
     by_key = candidates.join(listed.where(simple), "key").select(
         "domain", "key", "action", "position")
 
-    run = F.array_max(F.transform(F.split("key", r"\[[^\]]+\]|[*?]"), lambda r: F.struct(
-        F.length(r).alias("n"), r.alias("run"))))
-    globs = listed.where(~simple).withColumn("_run", run).withColumn("start", F.when(
-        F.col("_run.n") >= 3, F.substring("_run.run", 1, 3)).otherwise(F.raise_error(F.concat(
-            F.lit("too general for a pattern table: "), F.col("key")))))
-    triples = F.transform(F.sequence(F.lit(1), F.greatest(F.length("domain") - 2, F.lit(1))),
-                          lambda i: F.substring("domain", i, F.lit(3)))
-    by_run = hosts.select("domain", F.explode(F.array_distinct(triples)).alias("start")).join(
-        globs.select("key", "action", "position", "start", _glob_regex(F.col("key")).alias("regex")),
-        "start").where(F.rlike("domain", F.col("regex"))).select(
-        "domain", "key", "action", "position")
-
-    hits = by_key.unionAll(by_run).groupBy("domain").agg(
+    globs = listed.where(~simple).withColumn("regex", _glob_regex(F.col("key")))
+    hits = by_key.unionAll(_by_gram(hosts, globs)).unionAll(_by_wildcards(hosts, globs)).groupBy("domain").agg(
         F.min(F.when(F.col("action") == "deny", F.struct("position", "key"))).alias("deny"),
         F.bool_or(F.col("action") == "allow").alias("allow"))
     has_allow = listed.agg(F.coalesce(F.bool_or(F.col("action") == "allow"), F.lit(False))).scalar()
@@ -137,6 +184,15 @@ def hosts_in_scope(hosts: DataFrame, allowed: Sequence[str] = (), blocked: Seque
     return kept.drop("_u", "in_scope", "domain", "reason")
 
 
+def hosts_in_scope_by_table(hosts: DataFrame, patterns: DataFrame, *, host: str = "host",
+                            **options) -> DataFrame:
+    """As `hosts_in_scope` against a large table (pattern, action); all rows if none allows."""
+    probe = hosts.withColumn("_u", F.concat(F.lit("https://"), F.col(host)))
+    allows = patterns.agg(F.coalesce(F.bool_or(F.col("action") == "allow"), F.lit(False))).scalar()
+    checked = scope_check_by_table(probe, patterns, url="_u", **options)
+    return checked.where(F.col("in_scope") | ~allows).drop("_u", "in_scope", "reason")
+
+
 def subdomains(names: DataFrame, *, domain: str = "domain", name: str = "name_value",
                dot_boundary: bool = True) -> DataFrame:
     """Distinct, sorted (domain, host) from certificate names.

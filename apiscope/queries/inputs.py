@@ -117,6 +117,15 @@ SELECT page_id,
 FROM {{page_parts}}
 """
 
+# names given to names: a chain, its order mixed, and a cycle; the end is a name of the source, or none
+_ALIASED = """
+SELECT page_id, file, language, text || 'const L3 = L2;' || chr(10) || 'let L1 = API_BASE' || chr(10)
+  || CASE WHEN page_id % 3 = 0 THEN '' ELSE 'var L2 = L1;L4 = L3' || chr(10) END
+  || 'const L5 = L4; const U = API_HOST;' || chr(10) || 'const P' || v || ' = Q; const Q = P2; var M = NONE;' || chr(10)
+  || 'fetch(L5 + "/deep/' || num || '"); requests.get(U); axios.get(P2 + "/cyclic"); fetch(M)' || chr(10) AS text
+FROM (SELECT s.*, num, v FROM {sources} s JOIN {page_parts} p ON p.page_id = s.page_id)
+"""
+
 _MARKUPS = """
 SELECT page_id, 'site/' || host || '/' || CAST(page_id AS STRING) || '.html' AS file, 'html' AS language,
   '<!-- "/api/v9/hidden" -->' || chr(10) || '<a href="/api/v' || v || '/items/' || num || '">t</a>'
@@ -345,6 +354,7 @@ DERIVED: dict[str, tuple[tuple[str, ...], str]] = {
     "finding_lines": (("page_parts",), _FINDING_LINES),
     "reports": (("page_parts",), _REPORTS),
     "introspection": (("page_parts",), _INTROSPECTION),
+    "aliased": (("sources", "page_parts"), _ALIASED),
     "request_log": (("events",), _REQUEST_LOG),
     "target_results": (("events",), _TARGET_RESULTS),
     "target_lines": (("page_parts",), _TARGET_LINES),

@@ -217,6 +217,29 @@ def c6_defs(spark, sf):
     return resolve.resolved_names(resolve.definitions(table(spark, sf, "sources")))
 
 
+@query("C6_alias_chains", f"""
+SELECT * FROM (
+WITH RECURSIVE defs AS ({DEFS.replace("sources", "aliased")}),
+pairs AS (SELECT file, ns[i] AS name, ts[i] AS target, i FROM (
+  SELECT *, unnest(range(1, len(ns) + 1)) AS i FROM (
+    SELECT file, regexp_extract_all(text, {lit(rules.ALIAS)}, 1) AS ns,
+      regexp_extract_all(text, {lit(rules.ALIAS)}, 2) AS ts FROM aliased))),
+edges AS (SELECT file, name, arg_min(target, i) AS target FROM pairs p
+  WHERE NOT EXISTS (SELECT 1 FROM defs d WHERE d.file = p.file AND d.name = p.name) GROUP BY 1, 2),
+walk AS (SELECT file, name, target, 1 AS n FROM edges
+  UNION ALL SELECT w.file, w.name, e.target, n + 1 FROM walk w
+  JOIN edges e ON e.file = w.file AND e.name = w.target WHERE n < 20),
+ends AS (SELECT w.file, w.name, w.target FROM walk w
+  WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.file = w.file AND e.name = w.target))
+SELECT e.file, e.name, d.value, x.target IS NULL AS cyclic FROM edges e
+LEFT JOIN ends x ON x.file = e.file AND x.name = e.name
+LEFT JOIN defs d ON d.file = e.file AND d.name = x.target)""", ("aliased",))
+def c6_aliases(spark, sf):
+    files = table(spark, sf, "aliased")
+    return resolve.resolve_aliases(resolve.aliases(files),
+                                   resolve.resolved_names(resolve.definitions(files)))
+
+
 @query("C7_concatenation", f"""
 WITH defs AS ({DEFS}), calls AS ({CALLS}),
 ops AS (SELECT file, ord, argument, i, os[i] AS op FROM (

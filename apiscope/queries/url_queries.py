@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules
@@ -113,6 +116,37 @@ def b2_table(spark, sf):
     return scope.scope_check_by_table(pages, deny.unionByName(allow)).drop("in_scope")
 
 
+# a glob of every first word and path: a host with any letters, its vowels left open, and a part of it
+_GLOBS = """
+SELECT DISTINCT * FROM (
+  SELECT '*' || substr({h}, 3, 6) || '?' || substr({h}, 10) AS pattern, 'deny' AS action FROM pages
+    WHERE split_part(url, '/', 4) = 'es'
+  UNION ALL SELECT translate({h}, 'aeiou', '?????'), 'allow' FROM pages
+  UNION ALL SELECT substr({h}, 1, 1) || '*n?t', 'deny' FROM pages
+  UNION ALL SELECT '???', 'deny' FROM pages)"""
+
+
+@query("B2_scope_by_globs", f"""
+WITH globs AS ({_GLOBS.format(h=host('url'))}), hosts AS (SELECT DISTINCT {host('url')} AS h FROM pages),
+met AS (SELECT h, min(pattern) FILTER (WHERE action = 'deny') AS deny,
+    count(*) FILTER (WHERE action = 'allow') > 0 AS allow
+  FROM hosts JOIN globs ON h GLOB pattern GROUP BY h)
+SELECT page_id, url, CASE WHEN deny IS NOT NULL THEN 'Matched blocked pattern: ' || deny
+  WHEN allow THEN '' ELSE 'Not in allowed domains list' END AS reason
+FROM pages LEFT JOIN met ON h = {host('url')}""")
+def b2_globs(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url")
+    h = urls.host("url")
+    deny = [pages.where(F.split_part("url", F.lit("/"), F.lit(4)) == "es").select(F.concat(
+                F.lit("*"), F.substring(h, 3, 6), F.lit("?"), F.substring(h, 10, 1000)).alias("pattern")),
+            pages.select(F.concat(F.substring(h, 1, 1), F.lit("*n?t")).alias("pattern")),
+            pages.select(F.lit("???").alias("pattern"))]
+    allow = pages.select(F.translate(h, "aeiou", "?????").alias("pattern"))
+    globs = reduce(DataFrame.unionAll, [d.withColumn("action", F.lit("deny")) for d in deny]).unionAll(
+        allow.withColumn("action", F.lit("allow"))).distinct()
+    return scope.scope_check_by_table(pages, globs).drop("in_scope")
+
+
 @query("B3_scope_partition", f"""
 SELECT {scope_reason('url')} = '' AS in_scope, count(*) AS n FROM pages GROUP BY 1""")
 def b3(spark, sf):

@@ -387,3 +387,7 @@ DEFINITIONS = (
 )
 OBJECT_LITERAL = r"(?<![\w$])(" + _NAME + r")\s*=\s*\{([^}]*)\}"
 OBJECT_PROPERTY = r"(?<![\w$])(" + _NAME + r")\s*:\s*[\"']([^\"']+)[\"']"
+
+# A name given to another one, alone in its statement.
+ALIAS = (r"(?:\b(?:const|let|var)\s+|(?m:^)[ \t]*)(" + _NAME + r")[ \t]*=[ \t]*(" + _NAME
+         + r")[ \t]*(?:[;,]|\r?(?m:$))")

@@ -177,9 +177,40 @@ def test_every_glob_by_table(spark, allow_ip):
         assert got == want
 
 
-@pytest.mark.parametrize("pattern", ["*", "?.x", "*.*"])
-def test_too_general_globs_are_refused(spark, pattern):
-    df = spark.createDataFrame([("https://a.x/",)], "url string")
-    table = spark.createDataFrame([(pattern, "deny")], "pattern string, action string")
-    with pytest.raises(Exception, match="too general"):
-        scope.scope_check_by_table(df, table).collect()
+@pytest.mark.parametrize("blocked", [
+    ["*"], ["?.x"], ["*.*"], ["????", "?*?"], ["**", "[a-c]*", "*"], ["[!a]??", "b*", "*z"]])
+def test_globs_of_few_letters_by_table(spark, blocked):
+    hosts = ["a.x", "abc", "abcd", "b", "z", "long-host.example.com", "c.zz"]
+    df = spark.createDataFrame([(f"https://{h}/",) for h in hosts], "url string")
+    table = spark.createDataFrame([(p, "deny", i) for i, p in enumerate(blocked)],
+                                  "pattern string, action string, at int")
+    want = {(r.url, r.reason) for r in scope.scope_check(df, [], blocked).collect()}
+    got = {(r.url, r.reason) for r in scope.scope_check_by_table(df, table, position="at").collect()}
+    assert got == want
+
+
+def test_many_globs_meet_few_hosts(spark):
+    """Every glob starts alike; each is compared with the hosts of its rarest gram."""
+    n = 3000
+    hosts = spark.range(n).select(F.concat(F.lit("www"), "id", F.lit(".example.com")).alias("domain"))
+    globs = spark.range(n).select(
+        F.concat(F.lit("www*"), F.lpad("id", 4, "0"), F.lit(".example.?om")).alias("key"),
+        F.lit("deny").alias("action"), F.lit(0).alias("position")).withColumn(
+        "regex", scope._glob_regex(F.col("key")))
+    found = scope._by_gram(hosts, globs)
+    assert {r.domain for r in found.select("domain").collect()} == {
+        f"www{i}.example.com" for i in range(1000, n)}
+    wide = scope._by_gram(hosts, globs.withColumn("regex", F.lit("")))  # every comparison
+    assert wide.count() < n * n / 20
+    urls_ = hosts.select(F.concat(F.lit("https://"), "domain", F.lit("/x")).alias("url"))
+    checked = scope.scope_check_by_table(urls_, globs.select(F.col("key").alias("pattern"), "action"))
+    assert checked.where("in_scope").count() == 1000
+
+
+def test_hosts_in_scope_by_table(spark):
+    hosts = spark.createDataFrame([("a.example.com",), ("b.org",), ("spam.example.com",)], "host string")
+    for allowed, blocked in ((["*.example.com"], ["sp?m*"]), ([], ["b*"])):
+        table = spark.createDataFrame([(p, "allow") for p in allowed] + [(p, "deny") for p in blocked],
+                                      "pattern string, action string")
+        want = {r.host for r in scope.hosts_in_scope(hosts, allowed, blocked).collect()}
+        assert {r.host for r in scope.hosts_in_scope_by_table(hosts, table).collect()} == want
