@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from ..operators import extract, inventory
 from ..sources.files import work_path
-from ..streaming import stream
+from ..streaming import keyed, stream
 from . import inputs
-from .registry import query, table
+from .registry import ORACLE, query, table
 from .table_queries import _EXPOSURE
 from .text_queries import ENDPOINTS, SECRETS, SRC
 from .url_queries import SIGNATURE
@@ -31,12 +31,26 @@ def split(spark, sf, name: str, order: str, slices: int = 4) -> tuple[str, int]:
     return path, -(-len(spark.read.parquet(path).inputFiles()) // slices)
 
 
-def streamed(spark, sf, name: str, order: str):
+def split_evenly(spark, sf, name: str, order: str, slices: int = 4) -> tuple[str, int]:
+    """As `split`, with as many files in each slice, so that no batch holds parts of two."""
+    rows = table(spark, sf, name).withColumn("_o", F.expr(order))
+    files = -(-len(rows.inputFiles()) // slices)
+    cuts = rows.stat.approxQuantile("_o", [i / slices for i in range(1, slices)], 0.01)
+    number = F.lit(0)
+    for cut in cuts:  # rows without an order key come first
+        number = number + F.coalesce(F.col("_o") >= cut, F.lit(False)).cast("int")
+    rows, path = rows.withColumn("_n", number).drop("_o"), work_path(spark, f"even-{name}")
+    for n in range(slices):
+        rows.where(F.col("_n") == n).drop("_n").repartition(files).write.mode("append").parquet(path)
+    return path, files
+
+
+def streamed(spark, sf, name: str, order: str, evenly: bool = False):
     """A table as a stream of several micro-batches; derived tables on top of it."""
     if name in inputs.DERIVED:
         needs, text = inputs.DERIVED[name]
-        return spark.sql(text, **{n: streamed(spark, sf, n, order) for n in needs})
-    path, files = split(spark, sf, name, order)
+        return spark.sql(text, **{n: streamed(spark, sf, n, order, evenly) for n in needs})
+    path, files = (split_evenly if evenly else split)(spark, sf, name, order)
     return stream.read_stream(spark, path, table(spark, sf, name).schema, files_per_batch=files)
 
 
@@ -123,6 +137,65 @@ def g4_session(spark, sf):
     return _windows(spark, sf, stream.session("ts", "20 minutes"))
 
 
+# the watermark after the last row: ten minutes before the newest, in whole milliseconds
+_PASSED = "((SELECT max(epoch_us(ts)) FROM events) // 1000 * 1000 - 600000000)"
+
+
+def _streamed_windows(spark, sf, window, name: str):
+    """Windows that the watermark has closed, from a stream whose rows come out of order."""
+    events = streamed(spark, sf, "events", _ARRIVAL, evenly=True).select(
+        F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("kind"))
+    out = work_path(spark, name)
+    stream.run_to_table(stream.windowed_counts(events, window, delay="10 minutes"), out,
+                        work_path(spark, f"{name}-checkpoint"))
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    return spark.read.parquet(out).select(
+        F.date_format("window_start", fmt).alias("window_start"),
+        F.date_format("window_end", fmt).alias("window_end"), "kind", "n")
+
+
+def _closed(windows: str, end: str) -> str:
+    return f"SELECT * FROM ({windows}) WHERE epoch_us(strptime({end}, '%Y-%m-%d %H:%M:%S')) <= {_PASSED}"
+
+
+@query("G4_streamed_tumbling", _closed(ORACLE["G4_tumbling_counts"], "window_end"))
+def g4_streamed(spark, sf):
+    return _streamed_windows(spark, sf, stream.tumbling("ts", "6 hours"), "g4-tumbling")
+
+
+@query("G4_streamed_sliding", _closed(ORACLE["G4_sliding_counts"], "window_end"))
+def g4_streamed_sliding(spark, sf):
+    return _streamed_windows(spark, sf, stream.sliding("ts", "6 hours", "2 hours"), "g4-sliding")
+
+
+@query("G4_streamed_sessions", _closed(ORACLE["G4_session_counts"], "window_end"))
+def g4_streamed_sessions(spark, sf):
+    return _streamed_windows(spark, sf, stream.session("ts", "20 minutes"), "g4-sessions")
+
+
+@query("G3_keyed_alerts", f"""
+SELECT key, ord FROM (SELECT key, ord, epoch_us(ts) AS us, lag(epoch_us(ts)) OVER (
+  PARTITION BY key ORDER BY ts, ord) AS seen FROM request_log WHERE ts IS NOT NULL)
+WHERE (seen IS NULL OR us - seen > 86400000000) AND us <= {_PASSED}""", ("request_log",))
+def g3_keyed(spark, sf):
+    """Keys not seen for a day, by keyed state with event-time timers."""
+    out = work_path(spark, "g3k")
+    log = streamed(spark, sf, "request_log", _ARRIVAL, evenly=True)
+    keyed.run_keyed(keyed.alerts(log, key="key"), out, work_path(spark, "g3k-checkpoint"))
+    return spark.read.parquet(out).select("key", "ord")
+
+
+@query("G5_keyed_exposure", f"""
+SELECT x.* FROM ({_EXPOSURE}) x JOIN request_log r ON r.ord = x.ord
+WHERE r.ts IS NULL OR epoch_us(r.ts) <= {_PASSED}""", ("request_log",))
+def g5_keyed(spark, sf):
+    """Exposure of each row, once no earlier row can come, by keyed state."""
+    out = work_path(spark, "g5k")
+    log = streamed(spark, sf, "request_log", _ARRIVAL, evenly=True)
+    keyed.run_keyed(keyed.live_exposure(log, default_ttl=86400), out, work_path(spark, "g5k-checkpoint"))
+    return spark.read.parquet(out).select("ord", "blocked", "remaining_seconds")
+
+
 @query("G5_live_exposure", _EXPOSURE, ("request_log",))
 def g5(spark, sf):
     out = work_path(spark, "g5")
