@@ -16,12 +16,15 @@ Defined results: a null text counts as empty and stays null; matches do not
 overlap within a kind, and failing ones are dropped; equal spans of several
 kinds all count; a term span that overlaps a base span is none; ties among spans
 go by kind as listed; rows that repeat an id and text are treated alike, rows
-that only repeat an id each by their text.  Other columns are not read, or pass
+that only repeat an id each by their text; a text of many spans takes time in
+proportion to its length and spans.  Other columns are not read, or pass
 through `rewrite` unchanged.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,6 +52,11 @@ _PART = r"0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 _WORD = r"\p{L}\p{N}"
 #: Stands for a letter or digit of a base span; itself none.
 _MASK = "\uE000"
+_SIGN = 0xE010
+_SHOWN = ["[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "", "[WORD]", "[NUMBER]"]
+_CHUNK = 512
+#: Entity groups of a document that meet its words in one task.
+_BLOCK = 64
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 
 
@@ -99,22 +107,56 @@ def _written_as(spans: Column) -> Column:
         ":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
 
 
+def _chunks(text: Column) -> Column:
+    """The text cut into chunks, so that no part of it is sought from its start."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), F.lit(0))
+
+
+def _part(chunks: Column, begin: Column, end: Column) -> Column:
+    """The text from ``begin`` to ``end``, put together from its chunks."""
+    first, last = (F.floor(p / _CHUNK).cast("int") for p in (begin, end - 1))
+    offset = begin % _CHUNK + 1
+    whole = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return (F.when(begin >= end, "").when(first == last, F.substring(
+        F.get(chunks, first), offset, end - begin)).otherwise(F.concat(
+            F.substring(F.get(chunks, first), offset, F.lit(_CHUNK)), whole,
+            F.substring(F.get(chunks, last), F.lit(1), end - last * _CHUNK))))
+
+
+def _exchanged(text: Column, spans: Column, change: Callable[[Column, Column], Column]) -> Column:
+    """The text with ``change(part, span)`` for each of the sorted spans, none of which overlap."""
+    def cut(t: Column, spans: Column, chunks: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            before = F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["end"])
+            return let(_part(chunks, s["start"], s["end"]), lambda inside: F.concat(
+                _part(chunks, before, s["start"]), change(inside, s)))
+
+        return F.concat(F.array_join(F.transform(spans, piece), ""), _part(
+            chunks, F.get(spans, F.size(spans) - 1)["end"], F.length(t)))
+
+    # text and spans are what other expressions give: each is evaluated once
+    both = F.struct(text.alias("t"), spans.alias("s"))
+    return let(both, lambda x: F.when(F.size(x["s"]) == 0, x["t"]).otherwise(
+        let(_chunks(x["t"]), lambda chunks: cut(x["t"], x["s"], chunks))))
+
+
+def _of_kind(spans: Column, kind: int) -> Column:
+    return F.filter(spans, lambda s: s["kind"] == kind)
+
+
 def _masked(text: Column, spans: Column) -> Column:
-    """The text, as long, with `_MASK` for letters and digits of spans."""
-    clean = F.translate(text, _MASK, " ")
+    """The text, as long, with `_MASK` for letters and digits of base spans.
 
-    def step(acc: Column, s: Column) -> Column:
-        begin = F.greatest(s["start"], acc["end"])
-        kept = F.substring(clean, acc["end"] + 1, begin - acc["end"])
-        inside = F.substring(clean, begin + 1, F.greatest(s["end"] - begin, F.lit(0)))
-        return F.struct(
-            F.concat(acc["parts"], F.array(
-                kept, F.regexp_replace(inside, f"[{_WORD}]", _MASK))).alias("parts"),
-            F.greatest(acc["end"], s["end"]).alias("end"))
+    Spans of a kind do not overlap, so the text is cut once for each kind.
+    """
+    def by_kind(spans: Column) -> Column:
+        masked = F.translate(text, _MASK, " ")
+        for kind in range(len(KINDS)):
+            masked = _exchanged(masked, _of_kind(spans, kind), lambda part, _: F.regexp_replace(
+                part, f"[{_WORD}]", _MASK))
+        return masked
 
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("end"))
-    return let(F.aggregate(spans, start, step), lambda z: F.concat(
-        F.array_join(z["parts"], ""), F.substring(clean, z["end"] + 1, F.length(text))))
+    return let(spans, by_kind)
 
 
 def _distinct_words(text: Column) -> Column:
@@ -154,43 +196,78 @@ def _terms(entities: DataFrame) -> DataFrame:
         _same_document(held, repeated, "left_semi").dropDuplicates(["doc_id", "same"]))
 
 
-def disclosing(docs: DataFrame, terms: DataFrame, *, generalise: float = GENERALISE,
-               remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
-    """entity, term, share, kind: the terms that give away enough of an entity.
+def _groups(terms: DataFrame, support: int) -> tuple[DataFrame, DataFrame]:
+    """(entity, group, df_entity), and (doc_id, same, groups) of documents with any.
 
-    ``terms`` is `_terms` of ``docs``.  Document counts of words are taken over
-    all texts; each task reduces its words before they are shuffled.  Entities of
-    fewer than ``support`` documents have no term, and meet no words.
+    Entities of the same documents meet every word equally often: they are one
+    group, known by its number of documents and two sums of their hashes.
+    Entities of fewer than ``support`` documents have no term, and are in none.
     """
     held = terms.select("doc_id", "same", F.explode("entities").alias("entity"))
-    of_entity = written(held.groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity")).where(
+    sums = [F.bit_xor(F.xxhash64(F.lit(n), "doc_id", "same")) for n in (1, 2)]
+    n = F.count(F.lit(1))
+    of_entity = written(held.groupBy("entity").agg(
+        n.alias("df_entity"), F.concat_ws(":", n, *sums).alias("group")).where(
         F.col("df_entity") >= support), "entity-documents")
     known = written(held.join(of_entity, "entity").groupBy("doc_id", "same").agg(
-        F.collect_list("entity").alias("entities")), "document-entities")
-    together = _same_document(terms.select("doc_id", "same", "terms"), known).select(
-        F.explode("entities").alias("entity"), "terms").select(
-        "entity", F.explode("terms").alias("term"))
-    pairs = written(together.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(
-        F.col("both") >= support), "entity-terms")
+        F.collect_set("group").alias("groups")), "document-entities")
+    return of_entity, known
+
+
+def _together(terms: DataFrame, known: DataFrame) -> DataFrame:
+    """(group, term) of every document; many groups of one are dealt over many tasks."""
+    words = terms.select("doc_id", "same", "terms")
+    few = _same_document(words, known.where(F.size("groups") <= _BLOCK)).select("groups", "terms")
+    many = _same_document(words, known.where(F.size("groups") > _BLOCK))
+    blocks = F.sequence(F.lit(0), F.floor((F.size("groups") - 1) / _BLOCK).cast("int"))
+    dealt = many.select("doc_id", "same", "groups", "terms", F.explode(blocks).alias("block")).select(
+        "doc_id", "same", "block", F.slice("groups", F.col("block") * _BLOCK + 1, F.lit(_BLOCK))
+        .alias("groups"), "terms").repartition("doc_id", "same", "block").select("groups", "terms")
+    return few.unionAll(dealt).select(F.explode("groups").alias("group"), "terms").select(
+        "group", F.explode("terms").alias("term"))
+
+
+def _disclosing(docs: DataFrame, terms: DataFrame, of_entity: DataFrame, known: DataFrame, *,
+                generalise: float, remove: float, support: int) -> DataFrame:
+    """group, term, share, kind: the terms that give away enough of a group's entities."""
+    of_group = of_entity.groupBy("group").agg(F.max("df_entity").alias("df_entity"))
+    pairs = written(_together(terms, known).groupBy("group", "term").agg(
+        F.count(F.lit(1)).alias("both")).where(F.col("both") >= support), "entity-terms")
     wanted = written(pairs.select("term").distinct(), "entity-words")
     of_term = docs.select(F.explode(_distinct_words(F.col("text"))).alias("term")).groupBy(
         "term").agg(F.count(F.lit(1)).alias("df_term")).join(wanted, "term")
     documents = docs.agg(F.count(F.lit(1)).cast("double").alias("n")).scalar()
-    rated = pairs.join(of_entity, "entity").join(of_term, "term").withColumn("n", documents)
+    rated = pairs.join(of_group, "group").join(of_term, "term").withColumn("n", documents)
     gained = F.log2(F.col("n") * F.col("both") / (F.col("df_term") * F.col("df_entity")))
     share = gained / F.log2(F.col("n") / F.col("df_entity"))
     return rated.where(F.col("n") > F.col("df_entity")).select(
-        "entity", "term", share.alias("share")).where(F.col("share") >= generalise).withColumn(
+        "group", "term", share.alias("share")).where(F.col("share") >= generalise).withColumn(
         "kind", F.lit(len(KINDS)) + (F.col("share") < remove).cast("int"))
 
 
+def disclosing(docs: DataFrame, terms: DataFrame, *, generalise: float = GENERALISE,
+               remove: float = REMOVE, support: int = SUPPORT) -> DataFrame:
+    """entity, term, share, kind: the terms that give away enough of an entity.
+
+    ``terms`` is `_terms` of ``docs``.  Document counts of words are taken over
+    all texts; each task reduces its words before they are shuffled.
+    """
+    of_entity, known = _groups(terms, support)
+    return of_entity.select("entity", "group").join(_disclosing(
+        docs, terms, of_entity, known, generalise=generalise, remove=remove, support=support),
+        "group").select("entity", "term", "share", "kind")
+
+
 def _added(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """doc_id, same, added: the spans that the method adds, documents with any only."""
     terms = _terms(entities)
-    chosen = written(disclosing(docs, terms).select("entity", "term", "kind"), "disclosing")
+    of_entity, known = _groups(terms, SUPPORT)
+    chosen = written(_disclosing(
+        docs, terms, of_entity, known, generalise=GENERALISE, remove=REMOVE,
+        support=SUPPORT).select("group", "term", "kind"), "disclosing")
     # a document's chosen terms, and which of them are its words
-    found = terms.select("doc_id", "same", F.explode("entities").alias("entity")).join(
-        chosen, "entity").groupBy("doc_id", "same", "term").agg(F.min("kind").alias("kind"))
+    found = known.select("doc_id", "same", F.explode("groups").alias("group")).join(
+        chosen, "group").groupBy("doc_id", "same", "term").agg(F.min("kind").alias("kind"))
     marks = written(found.groupBy("doc_id", "same").agg(F.collect_list(
         F.struct("term", F.col("kind").cast("int").alias("kind"))).alias("marks")), "marks")
     # one merge join by document; what follows is grouped within its partitions
@@ -241,22 +318,32 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def _replaced(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind; overlapping spans become one."""
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["end"]
-        kept = F.substring(text, acc["end"] + 1, F.greatest(s["start"] - acc["end"], F.lit(0)))
-        mark = F.element_at(F.array(*[F.lit(x) for x in (
-            "[EMAIL]", "[IP]", "[CARD]", "[PHONE]", "", "[WORD]")]), s["kind"] + 1)
-        number = F.substring(text, s["start"] + 1, s["end"] - s["start"]).rlike(r"^\p{N}+$")
-        mark = F.when((s["kind"] == 5) & number, "[NUMBER]").otherwise(mark)
-        return F.struct(
-            F.when(fresh, F.concat(acc["parts"], F.array(kept, mark))).otherwise(
-                acc["parts"]).alias("parts"),
-            F.greatest(acc["end"], s["end"]).alias("end"))
-
-    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit(0).alias("end"))
-    return let(F.aggregate(spans, start, step), lambda z: F.concat(
-        F.array_join(z["parts"], ""), F.substring(text, z["end"] + 1, F.length(text))))
+    """The text with each span replaced by its kind; overlapping spans become one.
+
+    In a text as long, every span's first letter becomes the sign of its kind, unless
+    it lies in a span already, and the others `_MASK`.  A sign with the masks behind
+    it is then all of overlapping spans, and these places are cut from the text.
+    """
+    signs = "".join(chr(_SIGN + k) for k in range(len(_SHOWN)))
+    def signed(spans: Column) -> Column:
+        masked = F.translate(text, _MASK + signs, " " * (1 + len(signs)))
+        for kind in range(len(KINDS + ADDED)):
+            masked = _exchanged(masked, _of_kind(spans, kind), lambda part, _, kind=kind: F.concat(
+                F.when(part.rlike(f"^[{_MASK}{signs}]"), F.substring(part, 1, 1))
+                .when(part.rlike(r"^\p{N}+$"), _sign(kind, number=True))
+                .otherwise(_sign(kind)), F.repeat(F.lit(_MASK), F.length(part) - 1)))
+        return masked
+
+    places = F.transform(match_positions(let(spans, signed), f"[{signs}]{_MASK}*+"), lambda h: F.struct(
+        h["at"].alias("start"), (h["at"] + F.length(h["m"])).alias("end"), h["m"].alias("m")))
+    return _exchanged(text, places, lambda _, s: F.element_at(
+        F.array(*[F.lit(x) for x in _SHOWN]), F.ascii(s["m"]) - _SIGN + 1))
+
+
+def _sign(kind: int, number: bool = False) -> Column:
+    """A letter for a kind as it is shown; a generalised number has one of its own."""
+    last = len(KINDS + ADDED) - 1
+    return F.lit(chr(_SIGN + kind + (number and kind == last)))
 
 
 def rewrite(docs: DataFrame) -> DataFrame:
