@@ -37,7 +37,7 @@ from .common import bounded, parts
 WORD = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words whose encodings a worker keeps from one slice to the next, in two generations.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 
 _NEVER = 1 << 62
 

@@ -41,7 +41,7 @@ from .words import mixed
 PER_LANGUAGE = 160
 FEATURES = 1 << 17
 #: Distinct words whose scores a worker keeps.
-KEPT_WORDS = 150_000
+KEPT_WORDS = 100_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 _U = np.uint64
