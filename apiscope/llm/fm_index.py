@@ -252,8 +252,12 @@ def _matched(sent, names: list[str], schema: pa.Schema, cut: bool):
     return run
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Phrases]:
-    """Phrases of the items, block by block, each of bounded size."""
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[Phrases, bool]]:
+    """Phrases of the items, block by block, each of bounded size; is it the last?
+
+    A block is built when it is asked for, so the driver holds one at a time: what
+    is sent stands in files and in the block store, which goes to disk.
+    """
     items = benchmark.select("item_id", "text").where(
         F.col("text").isNotNull() & F.col("item_id").isNotNull())
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
@@ -262,7 +266,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[Phrases]:
         block = items if blocks == 1 else items.where(
             F.pmod(F.xxhash64("item_id", F.lit(8)), F.lit(blocks)) == b)
         rows = block.orderBy("item_id", "text").collect()
-        yield Phrases([r.item_id for r in rows], [r.text for r in rows])
+        yield Phrases([r.item_id for r in rows], [r.text for r in rows]), b == blocks - 1
 
 
 _NEW = T.StructType([
@@ -282,17 +286,15 @@ def match(docs: DataFrame, benchmark: DataFrame, *, cut: bool = False) -> DataFr
     clash = {f.name for f in _NEW} & set(docs.columns)
     if clash:
         raise ValueError(f"columns of the result: {sorted(clash)}")
-    blocks = list(_blocks(benchmark))
     found = bounded(docs)
-    for i, phrases in enumerate(blocks):
-        last = i == len(blocks) - 1
+    for phrases, last in _blocks(benchmark):
         fields = [f for f in docs.schema if f.name != "text" or cut or not last]
         schema = T.StructType(fields + list(_NEW))
         types = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()),
                            ("items", pa.list_(pa.string())),
                            ("spans", pa.list_(pa.list_(pa.int32())))])
-        found = found.mapInArrow(_matched(spark.sparkContext.broadcast(phrases), schema.names,
-                                          types, cut and last), schema)
+        sent = spark.sparkContext.broadcast(phrases)
+        found = found.mapInArrow(_matched(sent, schema.names, types, cut and last), schema)
     return found
 
 

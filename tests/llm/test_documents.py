@@ -2,11 +2,15 @@
 
 import collections
 import hashlib
+import math
+import re
+import struct
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from apiscope.llm import (common, components, crf, near_dups, packing, queries, reputation, sanitise,
@@ -263,6 +267,72 @@ def test_sharding_query(spark):
     assert max(load.values()) - min(load[s] for s in range(24)) <= largest
 
 
+def spark_hash(*values, seed=42):
+    """Spark's xxhash64 of values given as bytes: each value's hash seeds the next."""
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64(v, seed=seed).intdigest()
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def seed_hash(number, salt):
+    return spark_hash(struct.pack("<q", number), struct.pack("<i", salt))
+
+
+def shards_by_force(rows, shards):
+    """(doc_id, shard, slot) of (doc_id, text) rows, one item after another."""
+    def vector(texts):
+        return (sum(len((t or "").encode()) + 8 for t in texts),
+                sum(len(re.findall(r"[^ \t\n\x0b\f\r]+", t or "")) for t in texts), len(texts))
+
+    same = {t: spark_hash(None if t is None else t.encode(), struct.pack("<i", t is None)) for _, t in rows}
+    groups = collections.defaultdict(list)
+    for i, t in rows:
+        groups[t].append(i)
+    share = [max(1, n) / shards for n in vector([t for _, t in rows])]
+    buckets, members = shards * packing.BUCKETS_PER_SHARD, collections.defaultdict(list)
+    first = buckets
+    for t in sorted(groups, key=same.get):
+        part = max(n / s for n, s in zip(vector([t] * len(groups[t])), share, strict=True))
+        if part <= packing.ALONE_FROM:
+            members[same[t] % buckets] += [(i, t) for i in groups[t]]
+            continue
+        pieces = min(math.ceil(part / packing.CUT_FROM), len(groups[t])) \
+            if part > packing.CUT_FROM else 1
+        for i in groups[t]:
+            members[first + seed_hash(i, 1) % pieces].append((i, t))
+        first += pieces
+    sizes = {k: [n / s for n, s in zip(vector([t for _, t in m]), share, strict=True)]
+             for k, m in members.items()}
+    room = [[1.0, 1.0, 1.0] for _ in range(shards)]
+    where = {}
+    for k in sorted(sizes, key=lambda k: (-max(sizes[k]), k)):
+        wanted = [sum(w * v * r for w, v, r in zip(packing.WEIGHTS, sizes[k], free, strict=True))
+                  for free in room]
+        where[k] = wanted.index(max(wanted))
+        room[where[k]] = [r - v for r, v in zip(room[where[k]], sizes[k], strict=True)]
+    filled, out = collections.Counter(), []
+    for k in sorted(members):
+        windows = math.ceil(len(members[k]) / packing.ROWS_PER_SLOT_GROUP)
+        for i, _ in sorted(members[k], key=lambda m: (seed_hash(m[0], 2) % windows, m[0])):
+            out.append((i, where[k], filled[where[k]]))
+            filled[where[k]] += 1
+    return sorted(out)
+
+
+def test_sharding_by_force(spark):
+    rows = sorted(texts_of(spark).items())
+    got = queries.op6_vector_packing(spark, SF).select("doc_id", "shard", "slot").collect()
+    assert sorted(map(tuple, got)) == shards_by_force(rows, 24)
+    # a group that is cut, one that stands alone, and small ones
+    rows = [(i, "copy " * 40) for i in range(900)] + [(i, "some " * 40) for i in range(900, 1000)]
+    rows += [(1000 + i, f"text {i // 2} " * (1 + i // 2 % 60)) for i in range(2000)]
+    rows += [(5000, None), (5001, ""), (5002, None)]
+    docs = documents(spark, [(i, t, "en") for i, t in rows])
+    got = packing.shard(docs, shards=4).select("doc_id", "shard", "slot").collect()
+    assert sorted(map(tuple, got)) == shards_by_force(rows, 4)
+
+
 def test_sharding_hot_group(spark):
     """A third of the rows are copies; other groups stay together."""
     rows = [(i, "copy " * 40, "en") for i in range(1000)]
