@@ -114,20 +114,24 @@ def mark_shadow(inventory: DataFrame, audited: DataFrame) -> DataFrame:
     )
 
 
-_COMPARED = ("status", "http_status", "deprecated")
+COMPARED = ("status", "http_status", "deprecated")
+
+
+def signed(scan: DataFrame) -> DataFrame:
+    """A scan with ``signature``, the raw ``METHOD:url`` that scans are compared by."""
+    return scan.withColumn("signature", F.concat(
+        F.coalesce("method", F.lit("GET")), F.lit(":"), F.coalesce("url", F.lit(""))))
 
 
 def compare_scans(baseline: DataFrame, current: DataFrame, *, order: str = "ord",
-                  compared: Sequence[str] = _COMPARED) -> DataFrame:
+                  compared: Sequence[str] = COMPARED) -> DataFrame:
     """Added, removed, changed and unchanged endpoints of two scans.
 
     Key is the raw ``METHOD:url``; the last of equal keys stands.  Both sides
     are unique per key before they meet, so the full outer join is one-to-one.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
-        keyed = df.withColumn("signature", F.concat(
-            F.coalesce("method", F.lit("GET")), F.lit(":"), F.coalesce("url", F.lit(""))))
-        rows = last_per(keyed, ["signature"], order)
+        rows = last_per(signed(df), ["signature"], order)
         return rows.select("signature", F.struct(
             *[c for c in rows.columns if c != "signature"]).alias(name))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import urls
-from ..operators import inventory, ratelimit, report, scope
+from ..operators import inventory, ratelimit, report, scantree, scope
 from ..plans import stages
 from ..sources import feeds, sinks
 from ..sources.files import work_path
@@ -113,6 +113,28 @@ def f5_counts(spark, sf):
         F.count(F.lit(1)).alias("n"))
 
 
+def stored_scans(spark, sf):
+    """Both scans stored with their trees; pages of one language change together."""
+    paths = [work_path(spark, f"scan-{n}") for n in ("before", "after")]
+    for scan, where in zip(scans(spark, sf), paths, strict=True):
+        scantree.store_scan(scan, where, cluster=lambda u: F.split_part(u, F.lit("/"), F.lit(2)))
+    return paths
+
+
+@query("F5_stored_changes", f"WITH {_SIDES} SELECT * FROM d WHERE change_type <> 'unchanged'",
+       ("page_parts",))
+def f5_stored(spark, sf):
+    return scantree.stored_changes(spark, *stored_scans(spark, sf)).select(
+        "signature", "change_type", F.col("before.ord").alias("before_ord"),
+        F.col("after.ord").alias("after_ord"))
+
+
+@query("F5_stored_counts", f"WITH {_SIDES} SELECT change_type, count(*) AS n FROM d GROUP BY 1",
+       ("page_parts",))
+def f5_stored_counts(spark, sf):
+    return scantree.stored_change_counts(spark, *stored_scans(spark, sf))
+
+
 @query("F6_secret_delta", f"""
 SELECT greatest(n, 0) AS secrets_added, greatest(-n, 0) AS secrets_removed FROM (
   SELECT CAST(coalesce(sum(CASE WHEN lang = 'en' THEN 1 ELSE -1 END), 0) AS BIGINT) AS n
