@@ -6,18 +6,24 @@ what no later row can need.  The answer for a row is thus the batch answer,
 whatever order rows within the delay came in; rows later than that are dropped.
 
 State holds a key's rows of the last ``delay`` and one row of memory, which ends
-by its own timer; `run_keyed` reports its size.  All rows of a key meet in one
-task, so a key that holds much of a log is better served by the table forms of
-`stream`, whose work is spread over time as well.
+by a timer; `run_keyed` reports its size.  Keys share the state and the timer of
+their bucket, a hash of the key, so the calls to the store follow buckets and
+packs of rows, not rows or keys.  A bucket is taken up in one task, so a key that
+holds much of a log is better served by the table forms of `stream`, whose work is
+spread over time as well.
 
 State lives in the RocksDB store, below the checkpoint.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
+from itertools import batched, chain
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.types import LongType, StructField, StructType
@@ -27,21 +33,52 @@ from .. import rules
 _LIMITED = 429
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: Buckets of keys; more are worth it where more cores than this work on a stream.
+BUCKETS = 512
+#: Rows of one value of the state, and of one table of the result.
+PACK_ROWS = 2000
+#: Times that pandas holds; the watermark takes earlier and later ones for these.
+_EARLIEST, _LATEST = "1678-01-01 00:00:00", "2262-01-01 00:00:00"
+
+
+def _packs(rows: Iterable) -> list[tuple]:
+    """Values of the state that hold the rows."""
+    return [(pickle.dumps(some, pickle.HIGHEST_PROTOCOL),) for some in batched(rows, PACK_ROWS)]
+
+
+def _rows_in_one_column(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, ts, row) with all but the first two columns in ``row``, whatever their types."""
+    for batch in batches:
+        rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+        packed = [pickle.dumps(row, pickle.HIGHEST_PROTOCOL) for row in rows]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["bucket", "ts", "row"])
+
+
+def _same(key):
+    """What tells a key from others of its bucket: NaN equals itself, nested keys go by their text."""
+    if isinstance(key, dict | list | tuple) or key != key:
+        return repr(key)
+    return key
 
 
 class InOrder(StatefulProcessor):
     """Each row of a key once, in order of event time.
 
-    Rows have ``us`` (microseconds since the epoch) as their first column and the
-    order column as their second.  A subclass says in `step` what a row gives and
-    what is remembered of it, and in `needed_until` how long that is needed.
+    Rows have the key as their first column, ``us`` (microseconds since the epoch) as
+    their second and the order column as their third; `step` gets them without the key.
+    A subclass says in `step` what a row gives and what is remembered of it, and in
+    `needed_until` how long that is needed.
     """
 
-    memory_schema: str
+    def __init__(self, out: StructType):
+        self.names = out.names
+        self.floats = {f.name for f in out if f.dataType.typeName() in ("float", "double")}
 
-    def __init__(self, rows: StructType, out: StructType):
-        self.rows = rows
-        self.made = Row(*out.names)
+    def _column(self, name: str, values: tuple) -> pd.Series:
+        if name in self.floats:  # NaN is no null
+            return pd.Series(pd.arrays.ArrowExtensionArray(pa.array(values, pa.float64())))
+        return pd.Series(values, dtype=object)
 
     def step(self, row: tuple, memory: tuple | None) -> tuple[list[tuple], tuple | None]:
         raise NotImplementedError
@@ -56,12 +93,12 @@ class InOrder(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.rows)
-        self.memory = handle.getValueState("memory", self.memory_schema)
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.memory = handle.getValueState("memory", "keys binary")
         self.timer = handle.getValueState("timer", "ms long")
 
     def _wake_at(self, us: float | None) -> None:
-        """One timer a key, at the first whole millisecond from ``us`` on."""
+        """One timer a bucket, at the first whole millisecond from ``us`` on."""
         old = self.timer.get()
         new = None if us is None else -int(-us // 1000)
         if old is not None and old[0] != new:
@@ -73,51 +110,68 @@ class InOrder(StatefulProcessor):
             self.handle.registerTimer(new)
             self.timer.update((new,))
 
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        timed = []
-        for row in rows:
-            row = tuple(row[n] for n in self.rows.names)
-            if row[0] is None:
-                yield from (self.made(*key, *out) for out in self.untimed(row))
-            else:
-                timed.append(row)
-        if timed:
-            self.waiting.appendList(timed)
-            first = min(r[0] for r in timed)
+    def _tables(self, made: Iterable[tuple]) -> Iterator[pd.DataFrame]:
+        for some in batched(made, PACK_ROWS):
+            columns = zip(*some, strict=True)
+            yield pd.DataFrame({n: self._column(n, c) for n, c in zip(
+                self.names, columns, strict=True)})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first, untimed = None, []
+        for table in rows:
+            timed = []
+            for row in map(pickle.loads, table["row"]):
+                (untimed if row[1] is None else timed).append(row)
+            if timed:
+                self.waiting.appendList(_packs(timed))
+                least = min(row[1] for row in timed)
+                first = least if first is None else min(first, least)
+        if first is not None:
             old = self.timer.get()
             if old is None or first <= old[0] * 1000:
                 self._wake_at(first)
+        yield from self._tables((row[0], *out) for row in untimed for out in self.untimed(row[1:]))
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         self.timer.clear()
-        due, later = [], []
-        for row in self.waiting.get() if self.waiting.exists() else ():
-            (due if row[0] <= passed else later).append(tuple(row))
-        old = memory = self.memory.get()
-        for row in sorted(due, key=lambda r: (r[0], r[1] is not None, r[1])):
-            out, memory = self.step(row, memory)
-            yield from (self.made(*key, *x) for x in out)
-        if memory is not None and self.needed_until(memory) <= passed:
-            memory = None
+        due, later = {}, []
+        for row in chain.from_iterable(
+                pickle.loads(pack[0]) for pack in (self.waiting.get() if self.waiting.exists() else ())):
+            if row[1] <= passed:
+                due.setdefault(_same(row[0]), []).append(row)
+            else:
+                later.append(row)
+        held = self.memory.get()
+        known = pickle.loads(held[0]) if held is not None else {}
+        yield from self._tables(self._taken(due, known))
+        until = {k: self.needed_until(m) for k, m in known.items() if m is not None}
+        known = {k: known[k] for k, us in until.items() if us > passed}
         if due:
-            self.waiting.put(later) if later else self.waiting.clear()
-        if memory is None:
-            if old is not None:
-                self.memory.clear()
-        elif memory != old:
-            self.memory.update(memory)
-        if later:
-            self._wake_at(min(r[0] for r in later))
-        elif memory is not None:
-            self._wake_at(self.needed_until(memory))
+            self.waiting.put(_packs(later)) if later else self.waiting.clear()
+        if known:
+            self.memory.update((pickle.dumps(known, pickle.HIGHEST_PROTOCOL),))
+        elif held is not None:
+            self.memory.clear()
+        wake = [row[1] for row in later] + [until[k] for k in known]
+        if wake:
+            self._wake_at(min(wake))
+
+    def _taken(self, due: dict, known: dict) -> Iterator[tuple]:
+        """What the due rows of each key give, in order; ``known`` is what is then remembered."""
+        for same, rows in due.items():
+            memory = known.get(same)
+            rows.sort(key=lambda r: (r[1], r[2] is not None, r[2]))
+            for row in rows:
+                made, memory = self.step(row[1:], memory)
+                for out in made:
+                    yield (row[0], *out)
+            known[same] = memory
 
 
 class _Exposure(InOrder):
-    memory_schema = "until double"
-
-    def __init__(self, rows: StructType, out: StructType, default_ttl: int):
-        super().__init__(rows, out)
+    def __init__(self, out: StructType, default_ttl: int):
+        super().__init__(out)
         self.default_ttl = default_ttl
 
     def step(self, row, memory):
@@ -137,10 +191,8 @@ class _Exposure(InOrder):
 
 
 class _Alerts(InOrder):
-    memory_schema = "us long"
-
-    def __init__(self, rows: StructType, out: StructType, forget_us: int):
-        super().__init__(rows, out)
+    def __init__(self, out: StructType, forget_us: int):
+        super().__init__(out)
         self.forget_us = forget_us
 
     def step(self, row, memory):
@@ -152,41 +204,48 @@ class _Alerts(InOrder):
         return memory[0] + self.forget_us + 1
 
 
-def _grouped(stream: DataFrame, key: str, ts: str, order: str, delay: str, more: list[str]):
-    """Rows (key, us, order, more) by key, and the schema of those that wait."""
-    rows = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay).select(
-        F.col(key).alias("key"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us"),
-        F.col(order).alias("ord"), *more)
-    waiting = StructType([StructField("us", LongType())] + [rows.schema[n] for n in ("ord", *more)])
-    return rows, waiting
+def _grouped(stream: DataFrame, key: str, ts: str, order: str, delay: str, more: list[str],
+             buckets: int) -> tuple[GroupedData, list[StructField]]:
+    """Rows (key, us, order, more) by bucket, and the fields of key and order."""
+    at = F.col(ts).cast("timestamp")
+    rows = stream.select(
+        F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)).cast("int").alias("bucket"),
+        F.when(at.isNotNull(), F.greatest(F.least(at, F.lit(_LATEST).cast("timestamp")),
+                                          F.lit(_EARLIEST).cast("timestamp"))).alias("ts"),
+        F.col(key).alias("key"), F.unix_micros(at).alias("us"), F.col(order).alias("ord"), *more)
+    packed = rows.mapInArrow(_rows_in_one_column, "bucket int, ts timestamp, row binary")
+    return packed.withWatermark("ts", delay).groupBy("bucket"), [rows.schema["key"], rows.schema["ord"]]
 
 
 def live_exposure(stream: DataFrame, *, key: str = "key", ts: str = "ts", order: str = "ord",
-                  default_ttl: int = rules.RATE_LIMIT_TTL, delay: str = "10 minutes") -> DataFrame:
+                  default_ttl: int = rules.RATE_LIMIT_TTL, delay: str = "10 minutes",
+                  buckets: int = BUCKETS) -> DataFrame:
     """(key, ord, blocked, remaining_seconds) of each row, once the watermark has passed it.
 
     Equals `ratelimit.exposure` on all rows that are no later than ``delay``.
     """
-    rows, waiting = _grouped(stream.withColumn("status_code", F.col("status_code").cast("int"))
-                             .withColumn("retry_after", F.col("retry_after").cast("long")),
-                             key, ts, order, delay, ["status_code", "retry_after"])
-    out = StructType([rows.schema["key"], rows.schema["ord"]]).add("blocked", "boolean").add(
+    typed = stream.withColumn("status_code", F.col("status_code").cast("int")).withColumn(
+        "retry_after", F.col("retry_after").cast("long"))
+    rows, (name, number) = _grouped(
+        typed, key, ts, order, delay, ["status_code", "retry_after"], buckets)
+    out = StructType([name, number]).add("blocked", "boolean").add(
         "remaining_seconds", "long")
-    return rows.groupBy("key").transformWithState(
-        _Exposure(waiting, out, default_ttl), out, "Append", "EventTime")
+    return rows.transformWithStateInPandas(
+        _Exposure(out, default_ttl), out, "Append", "EventTime")
 
 
 def alerts(stream: DataFrame, *, key: str = "signature", ts: str = "ts", order: str = "ord",
-           forget_seconds: int = 86400, delay: str = "10 minutes") -> DataFrame:
+           forget_seconds: int = 86400, delay: str = "10 minutes",
+           buckets: int = BUCKETS) -> DataFrame:
     """(key, us, ord) of each row whose key was not seen for ``forget_seconds``.
 
     The state of a key ends when it is forgotten, so it is bounded by the keys
     of that time.  Rows without a time alert nobody.
     """
-    rows, waiting = _grouped(stream, key, ts, order, delay, [])
-    out = StructType([rows.schema["key"], StructField("us", LongType()), rows.schema["ord"]])
-    return rows.groupBy("key").transformWithState(
-        _Alerts(waiting, out, forget_seconds * 1_000_000), out, "Append", "EventTime")
+    rows, (name, number) = _grouped(stream, key, ts, order, delay, [], buckets)
+    out = StructType([name, StructField("us", LongType()), number])
+    return rows.transformWithStateInPandas(
+        _Alerts(out, forget_seconds * 1_000_000), out, "Append", "EventTime")
 
 
 def run_keyed(stream: DataFrame, path: str, checkpoint: str) -> list[dict]:

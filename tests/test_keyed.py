@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from apiscope.operators import ratelimit
 from apiscope.streaming import keyed, stream
@@ -84,3 +85,24 @@ def test_empty_stream(spark, tmp_path):
     keyed.run_keyed(keyed.live_exposure(stream.read_stream(spark, folder, SCHEMA)), out,
                     str(tmp_path / "mark"))
     assert spark.read.schema("ord long").parquet(out).count() == 0
+
+
+def test_state_follows_buckets_not_keys(spark, tmp_path):
+    """3000 keys of two rows each, some null or not a number, and a time that pandas cannot hold."""
+    folder, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    schema = "key double, us long, ord long, status_code int, retry_after long"
+    keys = [None, float("nan"), *map(float, range(2998))]
+    rows = [(k, (5_000 + 40 * n + i % 7) * US, 2**60 + 3000 * n + i, 429 - 229 * n, 45 if i % 2 else None)
+            for n in (0, 1) for i, k in enumerate(keys)]
+    rows += [(1.0, None, None, 429, 5), (2.0, 10**16, 8, 200, None)]
+    append_in_order(spark, [rows[:3000], rows[3000:]], schema, folder)
+    read = stream.read_stream(spark, folder, schema, files_per_batch=1).withColumn(
+        "ts", F.timestamp_micros("us"))
+    report = keyed.run_keyed(keyed.live_exposure(read, default_ttl=30), out, mark)
+    assert max(p["state_rows"] for p in report) < 3000
+    log = spark.createDataFrame(rows, schema).withColumn("ts", F.timestamp_micros("us"))
+    want = ratelimit.exposure(log, default_ttl=30).where("us is null or us < 10000000000000000")
+    names = ["key", "ord", "blocked", "remaining_seconds"]
+    got = sorted(map(repr, spark.read.parquet(out).select(*names).collect()))
+    assert got == sorted(
+        map(repr, want.select(*names).collect()))
