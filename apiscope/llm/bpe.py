@@ -31,7 +31,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bounded, parts
+from .common import bounded, kept, parts, tidy
 
 #: Fixed value: how a byte-level BPE cuts a text into words.
 WORD = regex.compile(
@@ -237,16 +237,9 @@ class Vocabulary:
             "utf-8", "replace")
 
 
-_loaded: dict[str, Vocabulary] = {}
-
-
 def vocabulary(text: str) -> Vocabulary:
     """One vocabulary a worker for each tokenizer, kept between tasks."""
-    key = hashlib.sha256(text.encode()).hexdigest()
-    if key not in _loaded:
-        _loaded.clear()
-        _loaded[key] = Vocabulary(text)
-    return _loaded[key]
+    return kept(hashlib.sha256(text.encode()).hexdigest(), lambda: Vocabulary(text))
 
 
 def _mapped(sent, special: bool, texts_too: bool):
@@ -280,12 +273,12 @@ def _sent(docs: DataFrame, tokenizer: str):
 def encode(docs: DataFrame, tokenizer: str, *, special: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit) and the decoded text."""
     return bounded(docs).select("doc_id", "text").mapInArrow(
-        _mapped(_sent(docs, tokenizer), special, True),
+        tidy(_mapped(_sent(docs, tokenizer), special, True), keeps=True),
         "doc_id long, n_tokens long, ids binary, decoded string")
 
 
 def digests(docs: DataFrame, tokenizer: str, *, special: bool = True) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of the ids and of the decoded text."""
     return bounded(docs).select("doc_id", "text").mapInArrow(
-        _mapped(_sent(docs, tokenizer), special, False),
+        tidy(_mapped(_sent(docs, tokenizer), special, False), keeps=True),
         "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

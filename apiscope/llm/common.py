@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 from collections.abc import Callable, Iterator
 
@@ -46,6 +47,42 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_kept: dict = {}
+
+
+def kept(key, make: Callable[[], object]):
+    """The one object that a worker keeps between tasks; another takes its place."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def _tidily(step, keeps: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if not keeps:
+        _kept.clear()
+    try:
+        yield from step(batches)
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError, TypeError):  # only glibc has it
+            pass
+
+
+def tidy(step, keeps: bool = False):
+    """An Arrow step after which the worker gives freed memory back to the system.
+
+    Workers outlive the stage they worked in, so what one holds is taken from the
+    operators after it.  A step that keeps nothing drops what others `kept`.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _tidily(step, keeps, batches)
+
+    return run
+
+
 def aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """``docs`` with all but the ``needed`` columns renamed, and the way back.
 

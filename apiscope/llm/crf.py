@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, parts
+from .common import bounded, parts, tidy
 from .words import mixed
 
 #: Documents of each language that training reads at most, and hashed features.
@@ -336,7 +336,7 @@ def label(docs: DataFrame, model: dict | None, *, keep_text: bool = False) -> Da
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return bounded(docs).mapInArrow(_labelled(sent, schema.names), schema)
+    return bounded(docs).mapInArrow(tidy(_labelled(sent, schema.names)), schema)
 
 
 def identify(docs: DataFrame, *, per_language: int = PER_LANGUAGE) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded, parts
+from .common import bounded, parts, tidy
 from .words import utf8, words
 
 WINDOW = 10
@@ -294,7 +294,7 @@ def match(docs: DataFrame, benchmark: DataFrame, *, cut: bool = False) -> DataFr
                            ("items", pa.list_(pa.string())),
                            ("spans", pa.list_(pa.list_(pa.int32())))])
         sent = spark.sparkContext.broadcast(phrases)
-        found = found.mapInArrow(_matched(sent, schema.names, types, cut and last), schema)
+        found = found.mapInArrow(tidy(_matched(sent, schema.names, types, cut and last)), schema)
     return found
 
 

@@ -10,8 +10,10 @@ candidates, and candidates are verified on the exact multisets.
 
 Texts of equal words are one node, so copies cost nothing beyond their
 fingerprint.  A node is named by the hash of its least row (id and text), so
-neither ids that stand over several texts nor missing ones mix texts up.  No bucket is expanded into pairs: its members are compared with
-its least member.  Where some are not similar to that, they are compared with
+neither ids that stand over several texts nor missing ones mix texts up.  No bucket is expanded into pairs.  At first each
+text is compared with one other, the least of the least members of its buckets; a
+bucket whose members are then of one class is done.  The members of any other are
+compared with its least member.  Where some are not similar to that, they are compared with
 each other and with those similar members that the triangle inequality (the
 distance 1 - similarity is a metric) leaves possible, in blocks of bounded size;
 each block verifies its pairs and returns links that unite its classes, fewer
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded, parts, written
+from .common import bounded, parts, tidy, written
 from .components import components
 from .words import Words, mixed, words
 
@@ -286,14 +288,21 @@ def _similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a") \
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(
-        _verified, "a long, b long, similarity double"), "similarities")
+        tidy(_verified), "a long, b long, similarity double"), "similarities")
 
 
 def _estimates(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a") \
         .join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
     return written(both.select("a", "b", "sig_a", "sig_b").mapInArrow(
-        _estimated, "a long, b long, estimate double"), "estimates")
+        tidy(_estimated), "a long, b long, estimate double"), "estimates")
+
+
+def _compared(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b, estimate) of pairs (a, b), and (a, b, similarity) where it may reach the threshold."""
+    estimates = _estimates(pairs, sigs)
+    return estimates, _similarities(
+        estimates.where(F.col("estimate") >= THRESHOLD - SLACK).select("a", "b"), texts)
 
 
 def own_key():
@@ -307,7 +316,7 @@ def members(docs: DataFrame) -> DataFrame:
     ``own`` is the row's `own_key`, ``label`` that of one row of its class.
     """
     signed = written(bounded(docs.select("doc_id", "text", own_key().alias("own"))).mapInArrow(
-        _signed, "doc_id long, own long, n_words long, print1 long, print2 long, bands array<long>, "
+        tidy(_signed), "doc_id long, own long, n_words long, print1 long, print2 long, bands array<long>, "
                  "sig binary"), "signatures")
     worded = signed.where(F.col("n_words") > 0)
     prints = ["print1", "print2"]
@@ -324,11 +333,21 @@ def members(docs: DataFrame) -> DataFrame:
         F.col("n") > 1)
     members = written(rows.join(written(hubs, "hubs"), "key").where(
         F.col("node") != F.col("hub")).select("key", "node", "hub", "n"), "members")
+    first = members.groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b"))
+    near = _compared(first, sigs, texts)[1].where(
+        F.col("similarity") >= THRESHOLD - ROUNDING).select("a", "b")
+    # only buckets of several classes have more to tell
+    shared = members.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
+    united = nodes.select("node", "bands").join(shared, "node").join(
+        components(near), "node", "left").select(
+        "node", F.coalesce("label", "node").alias("label"), F.explode("bands").alias("key"))
+    mixed_keys = written(united.groupBy("key").agg(
+        F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"),
+        "mixed")
+    members = written(members.join(mixed_keys, "key", "left_semi"), "mixed-members")
     star = members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    estimates = _estimates(star, sigs)
-    exact = _similarities(estimates.where(F.col("estimate") >= THRESHOLD - SLACK).select("a", "b"),
-                          texts)
-    links = exact.where(F.col("similarity") >= THRESHOLD - ROUNDING).select("a", "b")
+    estimates, exact = _compared(star, sigs, texts)
+    links = near.unionAll(exact.where(F.col("similarity") >= THRESHOLD - ROUNDING).select("a", "b"))
 
     # members that are not similar to their bucket's least, and the others they may be similar to
     known = written(estimates.join(exact, ["a", "b"], "left").select(
@@ -362,7 +381,7 @@ def members(docs: DataFrame) -> DataFrame:
     wanted = written(blocks.select("node").distinct(), "block-nodes")
     known = written(_once(_filtered(texts, wanted)).join(wanted.hint("merge"), "node"), "block-texts")
     more = blocks.join(known, "node").repartition("block").sortWithinPartitions("block").mapInArrow(
-        _united, "a long, b long")
+        tidy(_united), "a long, b long")
     labels = components(links.unionAll(written(more, "more-links")))
     linked = written(groups.select("node", "least").join(labels, "node"), "linked")
     names = linked.groupBy("label").agg(F.min("least").alias("name"))

@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from apiscope.llm import near_dups
+from apiscope.llm import common, near_dups
 
 from .helpers import documents
 
@@ -35,3 +35,25 @@ def test_links_of_a_block_at_the_threshold():
         far = np.array([True, True])
         assert near_dups._links_of(np.array([1, 2]), far, far, texts[:2]) == [(1, 2)]
         assert near_dups._links_of(np.array([1, 3]), far, far, texts[::2]) == []
+
+
+def test_near_copies_meet_one_text_each(spark, monkeypatch):
+    """A group of near copies is not compared with the least member of each of its buckets."""
+    counted, real = [], near_dups._estimates
+
+    def estimates(pairs, sigs):
+        counted.append(pairs.count())
+        return real(pairs, sigs)
+
+    monkeypatch.setattr(near_dups, "_estimates", estimates)
+    shared = " ".join(f"s{i}" for i in range(200))
+    rows = [(i, f"{shared} " + " ".join(f"p{i}x{k}" for k in range(12)), "en") for i in range(40)]
+    found = near_dups.classes(documents(spark, rows)).collect()
+    assert {r.class_id for r in found} == {0} and len(found) == 40
+    assert sum(counted) < 80
+
+
+def test_a_worker_keeps_the_words_of_one_operator():
+    common.kept("words", dict)
+    assert list(common.tidy(iter, keeps=True)([1])) == [1] and "words" in common._kept
+    assert list(common.tidy(iter)([2])) == [2] and not common._kept
