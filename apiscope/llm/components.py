@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import narrow
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -15,23 +15,17 @@ def components(links: DataFrame) -> DataFrame:
     round is written to the shared folder, so no lineage grows.  Nodes with very
     many links are reduced in each task before the shuffle.
     """
-    files = 2 * links.sparkSession.sparkContext.defaultParallelism
-
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        """Narrow rows, in no more files than keep all cores busy."""
-        return written(df.coalesce(files), name)
-
     both = links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    edges = kept(both.where(F.col("a") != F.col("b")).distinct(), "edges")
-    labels = kept(edges.groupBy("a").agg(F.min("b").alias("least")).select(
+    edges = narrow(both.where(F.col("a") != F.col("b")).distinct(), "edges")
+    labels = narrow(edges.groupBy("a").agg(F.min("b").alias("least")).select(
         F.col("a").alias("node"), F.least("a", "least").alias("label")), "labels")
     while True:
         near = edges.join(labels.withColumnRenamed("node", "a"), "a").groupBy("b").agg(
             F.min("label").alias("near"))
-        spread = kept(labels.join(near.withColumnRenamed("b", "node"), "node").select(
+        spread = narrow(labels.join(near.withColumnRenamed("b", "node"), "node").select(
             "node", F.least("label", "near").alias("next"), "label"), "labels-spread")
         target = spread.select(F.col("node").alias("next"), F.col("next").alias("far"))
-        labels = kept(spread.join(target, "next").select(
+        labels = narrow(spread.join(target, "next").select(
             "node", F.col("far").alias("label"),
             (F.col("far") != F.col("label")).alias("changed")), "labels")
         if labels.where("changed").isEmpty():

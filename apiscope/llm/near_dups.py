@@ -10,14 +10,15 @@ candidates, and candidates are verified on the exact multisets.
 
 Texts of equal words are one node, so copies cost nothing beyond their
 fingerprint.  A node is named by the hash of its least row (id and text), so
-neither ids that stand over several texts nor missing ones mix texts up.  No bucket is expanded into pairs.  At first each
-text is compared with one other, the least of the least members of its buckets; a
-bucket whose members are then of one class is done.  The members of any other are
-compared with its least member.  Where some are not similar to that, they are compared with
-each other and with those similar members that the triangle inequality (the
-distance 1 - similarity is a metric) leaves possible, in blocks of bounded size;
-each block verifies its pairs and returns links that unite its classes, fewer
-than it has members.  Classes are the connected components of verified links.
+neither ids that stand over several texts nor missing ones mix texts up.  No bucket is expanded into pairs, and
+buckets of the same members are one.  At first each text is compared with one other,
+the member that is the least of most of its buckets; a bucket whose members are then of one
+class is done.  In any other, members that are not of the class of its least member
+are compared with that.  Where classes are still left, the members outside the
+largest are compared with all, in blocks of bounded size; each block verifies its pairs and returns
+links between classes, not texts, and those to the largest class where it can, so
+what the blocks of a large group return is the same few links.  Classes are the
+connected components of verified links.
 
 Defined results: a document without words (null, empty) is a class of its own;
 the class id is the least document id in the class, null if it has none; rows
@@ -31,10 +32,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, parts, tidy, written
+from .common import bounded, narrow, parts, tidy, written
 from .components import components
 from .words import Words, mixed, words
 
@@ -199,28 +200,35 @@ def alike(i: int, doc: np.ndarray, number: np.ndarray, weight: np.ndarray, n: in
     return found
 
 
-def _links_of(node: np.ndarray, far: np.ndarray, asking: np.ndarray,
+def _links_of(label: np.ndarray, far: np.ndarray, asking: np.ndarray,
               texts: list[str]) -> list[tuple[int, int]]:
     """Verified links between the classes of one block's members.
 
-    Members that are not far are one class.  Each asking member is compared
-    with all others, and one link unites it with each class it is similar to.
+    ``label`` is a member's class; those that are not far are of the bucket's
+    largest.  An asking member is compared with all of other classes, unless it
+    has come to the largest by then: whoever is not of that asks for itself.  Each
+    class found is a star around the largest class, or else its least.
     """
     doc, value, count = shingles(words(pa.array(texts, pa.string())))
     number = np.unique(value, return_inverse=True)[1]
     weight = count.astype(np.float64)
-    root = np.arange(len(node))
-    if not far.all():
-        root[~far] = np.flatnonzero(~far)[0]
-    found = []
+    root = np.unique(label, return_inverse=True)[1]
+    near = np.flatnonzero(~far)[:1]
     for i in np.flatnonzero(asking):
-        if (root == root[i]).all():
+        if (root[near] == root[i]).any():
+            continue
+        other = root != root[i]
+        if not other.any():
             break
-        for k in np.flatnonzero(alike(
-                i, doc, number, weight, len(node)) >= THRESHOLD - ROUNDING):
-            if root[k] != root[i]:
-                found.append((min(int(node[i]), int(node[k])), max(int(node[i]), int(node[k]))))
-                root[root == root[k]] = root[i]
+        other[i] = True
+        at = other[doc]
+        similar = alike(i, doc[at], number[at], weight[at], len(label)) >= THRESHOLD - ROUNDING
+        root[np.isin(root, root[similar & other])] = root[i]
+    found = []
+    for r in np.unique(root):
+        united = np.unique(label[root == r])
+        centre = label[near][0] if (root[near] == r).any() else united[0]
+        found += [(min(int(centre), int(x)), max(int(centre), int(x))) for x in united if x != centre]
     return found
 
 
@@ -230,7 +238,7 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     current = None
 
     def links():
-        if len(held) < 2 or not any(h[3] for h in held):
+        if not any(h[3] for h in held):
             return []
         return _links_of(np.array([h[1] for h in held], np.int64), np.array([h[2] for h in held]),
                          np.array([h[3] for h in held]), [h[4] for h in held])
@@ -244,7 +252,7 @@ def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, BLOCK):
             part = batch.slice(at, BLOCK)
             for row in zip(*(part.column(c).to_pylist()
-                             for c in ("block", "node", "far", "asking", "text")),
+                             for c in ("block", "label", "far", "asking", "text")),
                            strict=True):
                 if row[0] != current:
                     found += links()
@@ -279,12 +287,14 @@ def _once(texts: DataFrame) -> DataFrame:
     return texts.dropDuplicates(["node"])
 
 
+def _texts_of(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text) of the nodes (node)."""
+    # a merge join at every size: what is shuffled follows the input
+    return written(_once(_filtered(texts, nodes)).join(nodes.hint("merge"), "node"), "texts")
+
+
 def _similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(a, b, similarity) of pairs (a, b), from the texts (node, text)."""
-    needed = pairs.select("a").unionAll(pairs.select("b")).distinct().withColumnRenamed("a", "node")
-    needed = written(needed, "pair-nodes")
-    # a merge join at every size: what is shuffled follows the input
-    texts = written(_once(_filtered(texts, needed)).join(needed.hint("merge"), "node"), "pair-texts")
     both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a") \
         .join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     return written(both.select("a", "b", "text_a", "text_b").mapInArrow(
@@ -294,15 +304,51 @@ def _similarities(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _estimates(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a") \
         .join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return written(both.select("a", "b", "sig_a", "sig_b").mapInArrow(
+    return narrow(both.select("a", "b", "sig_a", "sig_b").mapInArrow(
         tidy(_estimated), "a long, b long, estimate double"), "estimates")
 
 
-def _compared(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(a, b, estimate) of pairs (a, b), and (a, b, similarity) where it may reach the threshold."""
-    estimates = _estimates(pairs, sigs)
-    return estimates, _similarities(
-        estimates.where(F.col("estimate") >= THRESHOLD - SLACK).select("a", "b"), texts)
+def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar, once each."""
+    likely = _estimates(pairs.distinct(), sigs).where(F.col("estimate") >= THRESHOLD - SLACK)
+    return _similarities(likely.select("a", "b"), texts).where(
+        F.col("similarity") >= THRESHOLD - ROUNDING).select("a", "b")
+
+
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """``members`` and the class (label) that the links put each node into."""
+    return narrow(members.join(components(links), "node", "left").withColumn(
+        "label", F.coalesce("label", "node")), "labelled")
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """(block, node, label, far, asking): what is left to compare in buckets of several classes.
+
+    ``members`` has key, node and label.
+    """
+    by_class = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    largest = F.max(F.struct("n", "label"))
+    mixed_keys = narrow(by_class.groupBy("key").agg(
+        largest["label"].alias("main"), F.sum("n").alias("n"),
+        (F.sum("n") - largest["n"]).alias("n_far")).where("n_far > 0"), "mixed")
+    # members of other classes than the largest are spread over one set of blocks, all over another
+    salt = F.xxhash64("node", F.lit(5))
+    size_far, size_all = (F.ceil(F.col(n) / BLOCK).cast("int") for n in ("n_far", "n"))
+    rest = members.join(mixed_keys, "key").select(
+        "key", "node", "label", (F.col("label") != F.col("main")).alias("far"),
+        F.pmod(salt, size_far).alias("own_far"), F.pmod(salt, size_all).alias("own_all"),
+        F.sequence(F.lit(0), size_far - 1).alias("all_far"),
+        F.sequence(F.lit(0), size_all - 1).alias("all"))
+    asks = rest.where("far").select(
+        "key", "node", "label", "far", F.lit(True).alias("asking"),
+        F.col("own_far").cast("int").alias("i"), F.explode("all").alias("j"))
+    # where it asks, a member stands already
+    asked = rest.select(
+        "key", "node", "label", "far", F.lit(False).alias("asking"),
+        F.explode(F.filter("all_far", lambda i: ~F.col("far") | (i != F.col("own_far")))).alias("i"),
+        F.col("own_all").cast("int").alias("j"))
+    return narrow(asks.unionAll(asked).select(
+        F.xxhash64("key", "i", "j").alias("block"), "node", "label", "far", "asking"), "blocks")
 
 
 def own_key():
@@ -321,67 +367,40 @@ def members(docs: DataFrame) -> DataFrame:
     worded = signed.where(F.col("n_words") > 0)
     prints = ["print1", "print2"]
     # one node a text: its least row; the copies are reduced in every task before the shuffle
-    groups = written(worded.groupBy(*prints).agg(F.min(F.struct(
+    groups = narrow(worded.groupBy(*prints).agg(F.min(F.struct(
         F.col("doc_id").isNull().alias("unnamed"), "doc_id", "own")).alias("least")).select(
         *prints, F.col("least.own").alias("node"), F.col("least.doc_id").alias("least")), "groups")
     nodes = written(worded.join(groups.select("node"), F.col("own") == F.col("node")).select(
         "node", "bands", "sig").dropDuplicates(["node"]), "nodes")
-    sigs = nodes.select("node", "sig")
-    texts = docs.select(own_key().alias("node"), "text").where(F.col("text").isNotNull())
     rows = nodes.select("node", F.explode("bands").alias("key"))
-    hubs = rows.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where(
-        F.col("n") > 1)
-    members = written(rows.join(written(hubs, "hubs"), "key").where(
-        F.col("node") != F.col("hub")).select("key", "node", "hub", "n"), "members")
-    first = members.groupBy("node").agg(F.min("hub").alias("a")).select("a", F.col("node").alias("b"))
-    near = _compared(first, sigs, texts)[1].where(
-        F.col("similarity") >= THRESHOLD - ROUNDING).select("a", "b")
+    hubs = rows.groupBy("key").agg(
+        F.min("node").alias("hub"), F.count(F.lit(1)).alias("n"),
+        *[F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"set{k}") for k in (1, 2)]).where("n > 1")
+    hubs = hubs.groupBy("hub", "n", "set1", "set2").agg(
+        F.min("key").alias("key"), F.count(F.lit(1)).alias("same"))
+    # the hub of most of a node's buckets is the likeliest to be similar; of several, the least
+    of_node = Window.partitionBy("node")
+    times = F.sum("same").over(of_node.orderBy("hub").rangeBetween(0, 0))
+    best = F.max(F.when(F.col("node") != F.col("hub"), F.struct(
+        "times", F.bitwise_not("hub").alias("hub")))).over(of_node)
+    members = narrow(rows.join(narrow(hubs.select("key", "hub", "same"), "hubs"), "key").withColumn(
+        "times", times).select("key", "node", "hub", F.bitwise_not(best["hub"]).alias("first")), "members")
+    texts = _texts_of(narrow(members.select("node").distinct(), "shared"), docs.select(
+        own_key().alias("node"), "text").where(F.col("text").isNotNull()))
+    sigs = nodes.select("node", "sig")
+    links = _links(members.where(F.col("node") != F.col("hub")).select(
+        F.col("first").alias("a"), F.col("node").alias("b")), sigs, texts)
     # only buckets of several classes have more to tell
-    shared = members.select(F.explode(F.array("hub", "node")).alias("node")).distinct()
-    united = nodes.select("node", "bands").join(shared, "node").join(
-        components(near), "node", "left").select(
-        "node", F.coalesce("label", "node").alias("label"), F.explode("bands").alias("key"))
-    mixed_keys = written(united.groupBy("key").agg(
-        F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"),
-        "mixed")
-    members = written(members.join(mixed_keys, "key", "left_semi"), "mixed-members")
-    star = members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    estimates, exact = _compared(star, sigs, texts)
-    links = near.unionAll(exact.where(F.col("similarity") >= THRESHOLD - ROUNDING).select("a", "b"))
-
-    # members that are not similar to their bucket's least, and the others they may be similar to
-    known = written(estimates.join(exact, ["a", "b"], "left").select(
-        F.col("a").alias("hub"), F.col("b").alias("node"),
-        (F.coalesce(F.col("similarity"), F.lit(0.0)) < THRESHOLD - ROUNDING).alias("far"),
-        F.coalesce(1 - F.col("similarity"), F.greatest(
-            1 - F.col("estimate") - SLACK, F.lit(1 - THRESHOLD))).alias("distance")), "known")
-    judged = written(members.where(F.col("n") > 2).select("key", "node", "hub").join(
-        known, ["hub", "node"]).select("key", "node", "far", "distance"), "judged")
-    far = judged.where("far").groupBy("key").agg(
-        F.min("distance").alias("nearest"), F.count(F.lit(1)).alias("n_far"))
-    rest = judged.join(written(far, "far"), "key").where(
-        F.col("far") | (F.col("distance") >= F.col("nearest") - (1 - THRESHOLD) - 2 * ROUNDING))
-    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    rest = written(rest.join(sizes, "key"), "rest")
-    # far members are spread over one set of blocks and all over another
-    blocks_far = F.ceil(F.col("n_far") / BLOCK).cast("int")
-    blocks_all = F.ceil(F.col("n") / BLOCK).cast("int")
-    salt = F.xxhash64("node", F.lit(5))
-    own_far, own_all = F.pmod(salt, blocks_far), F.pmod(salt, blocks_all)
-    as_far = rest.where("far").select("key", "node", "far", F.lit(True).alias("asking"),
-                                      own_far.alias("i"),
-                                      F.explode(F.sequence(F.lit(0), blocks_all - 1)).alias("j"))
-    as_any = rest.select("key", "node", "far", F.lit(False).alias("asking"),
-                         F.explode(F.sequence(F.lit(0), blocks_far - 1)).alias("i"),
-                         own_all.alias("j"))
-    # a far member may stand in both sets of a block
-    blocks = as_far.unionAll(as_any).groupBy(F.xxhash64("key", "i", "j").alias("block"), "node").agg(
-        F.max("far").alias("far"), F.max("asking").alias("asking"))
-    blocks = written(blocks, "blocks")
-    wanted = written(blocks.select("node").distinct(), "block-nodes")
-    known = written(_once(_filtered(texts, wanted)).join(wanted.hint("merge"), "node"), "block-texts")
-    more = blocks.join(known, "node").repartition("block").sortWithinPartitions("block").mapInArrow(
-        tidy(_united), "a long, b long")
+    known = _labelled(members, links)
+    apart = known.join(known.where(F.col("node") == F.col("hub")).select(
+        "key", F.col("label").alias("of_hub")), "key").where(
+        (F.col("label") != F.col("of_hub")) & (F.col("first") != F.col("hub")))
+    links = links.unionAll(_links(apart.select(
+        F.col("hub").alias("a"), F.col("node").alias("b")), sigs, texts))
+    # what is not of the class of its bucket's least member is not similar to that
+    known = _labelled(members, links).where(F.col("node") != F.col("hub"))
+    more = _blocks(known).join(texts, "node").repartition("block").sortWithinPartitions(
+        "block").mapInArrow(tidy(_united), "a long, b long")
     labels = components(links.unionAll(written(more, "more-links")))
     linked = written(groups.select("node", "least").join(labels, "node"), "linked")
     names = linked.groupBy("label").agg(F.min("least").alias("name"))

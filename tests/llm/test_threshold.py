@@ -4,7 +4,7 @@ import numpy as np
 
 from apiscope.llm import common, near_dups
 
-from .helpers import documents
+from .helpers import documents, shingles
 
 #: Unions of 5k shingles of which 4k are shared; adding 4k fractions 1 / 5k gives less than 0.8.
 SHORT = [k for k in range(1, 400) if np.sum(np.full(4 * k, 1 / (5 * k))) < 0.8][:24]
@@ -53,6 +53,47 @@ def test_near_copies_meet_one_text_each(spark, monkeypatch):
     assert sum(counted) < 80
 
 
+def test_links_of_a_group_follow_its_members(spark, monkeypatch):
+    """Blocks of a large group of near copies, some of them not alike, return few links."""
+    counted, real = [], near_dups.components
+
+    def components(links):
+        counted.append(links.distinct().count())
+        return real(links)
+
+    monkeypatch.setattr(near_dups, "components", components)
+    monkeypatch.setattr(near_dups, "BLOCK", 8)
+    rng = np.random.default_rng(6)
+    texts = []
+    for i in range(160):
+        words = [f"w{k}" for k in range(300)]
+        for k in rng.choice(300, rng.integers(2, 6), replace=False):
+            words[k] = f"x{i}y{k}"
+        texts.append(" ".join(words))
+    rows = [(i, t, "en") for i, t in enumerate(texts)]
+    found = {r.doc_id: r.class_id for r in near_dups.classes(documents(spark, rows)).collect()}
+    # no shingle stands twice in a text
+    sets = [set(shingles(t)) for t in texts]
+    assert all(len(x) == 296 for x in sets)
+    want = list(range(len(texts)))
+    for i, x in enumerate(sets):
+        for k in range(i):
+            if 10 * len(x & sets[k]) >= 8 * len(x | sets[k]) and want[i] != want[k]:
+                low, high = sorted((want[i], want[k]))
+                want = [low if w == high else w for w in want]
+    assert found == dict(enumerate(want))
+    assert max(counted) < 3 * len(texts)
+
+
+def test_links_of_a_block_are_between_classes():
+    """Classes known before need no link, and those found are a star around the largest."""
+    texts = [text(1, 0, 50), text(1, 0, 49), text(1, 0, 48), text(1, 0, 47), text(2, 0, 50)]
+    label, far = np.array([7, 7, 3, 3, 5]), np.array([False, False, True, True, True])
+    assert near_dups._links_of(label, far, far, texts) == [(3, 7)]
+    assert near_dups._links_of(label[[0, 1, 4]], far[[0, 1, 4]], far[[0, 1, 4]], [
+        texts[k] for k in (0, 1, 4)]) == []
+
+
 def test_a_worker_keeps_the_words_of_one_operator():
     common.kept("words", dict)
     assert list(common.tidy(iter, keeps=True)([1])) == [1] and "words" in common._kept
